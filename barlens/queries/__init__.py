@@ -1,0 +1,6 @@
+"""All registered queries; importing this package fills the registry."""
+
+from barlens.queries.registry import ORACLES, QUERIES
+from barlens.queries import bars_q, features_q  # noqa: F401
+
+__all__ = ["QUERIES", "ORACLES"]
