@@ -72,12 +72,14 @@ def cte(name: str, body: str) -> None:
     CTES[name] = body.strip()
 
 
-def _needed(text: str, seen: list[str]) -> list[str]:
+def _needed(text: str, seen: list[str], open_: tuple[str, ...] = ()) -> list[str]:
+    """Names of the shared parts a text mentions, dependencies first."""
     for name in CTES:
-        if name not in seen and re.search(rf"\b{name}\b", text):
-            _needed(CTES[name], seen)
-            if name not in seen:
-                seen.append(name)
+        if name in seen or name in open_ or not re.search(rf"\b{name}\b", text):
+            continue
+        _needed(CTES[name], seen, open_ + (name,))
+        if name not in seen:
+            seen.append(name)
     return seen
 
 

@@ -44,20 +44,38 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_from(load(spark, sf_dir, "events"))
 
 
+# fixed values: microseconds per unit
+_UNIT = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
+def freq_micros(freq: str) -> int:
+    n, unit = freq.split()
+    return int(n) * _UNIT[unit.rstrip("s")]
+
+
 def bucket(ts: str | Column, freq: str) -> Column:
-    return F.window(ts, freq)["start"]
+    """Start of the epoch-aligned bucket; plain arithmetic, so it may be used more than once."""
+    step = freq_micros(freq)
+    us = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
+    return F.timestamp_micros(us - F.pmod(us, F.lit(step)))
+
+
+def bucket_ceil(ts: str | Column, freq: str) -> Column:
+    step = freq_micros(freq)
+    us = F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
+    return F.timestamp_micros(us + F.pmod(-us, F.lit(step)))
 
 
 def bars_of(t: DataFrame, freq: str) -> DataFrame:
     """Ticks to bars; (ts, event_id) orders trades inside a bucket."""
     at = F.struct("ts", "event_id")
-    g = t.groupBy("symbol", F.window("ts", freq).alias("_w")).agg(
+    g = t.groupBy("symbol", bucket("ts", freq).alias("_w")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("size").alias("volume"),
         F.sum(F.col("price") * F.col("size")).alias("quote_volume"),
         F.count(F.lit(1)).alias("trade_count"),
         F.sum(F.when(F.col("side") == "buy", F.col("size")).otherwise(0.0)).alias("taker_buy_volume"))
-    return g.select("symbol", F.col("_w.start").alias("ts"), *[x for x in g.columns if x not in ("symbol", "_w")])
+    return g.select("symbol", F.col("_w").alias("ts"), *[x for x in g.columns if x not in ("symbol", "_w")])
 
 
 def bars(spark: SparkSession, sf_dir: str, freq: str = "4 hours") -> DataFrame:
