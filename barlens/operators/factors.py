@@ -45,7 +45,8 @@ def prepare(df: DataFrame) -> DataFrame:
     df = df.withColumn("hl2", F.pow(div(_rng(), (F.col(H) + F.col(L)) / 2), 2))
     df = df.withColumn("spread", cs_proxy(F.col("hl2"), lag("hl2")))
     df = df.withColumns({"spread6": _mean("spread", 6, 3), "spread48": _mean("spread", 48, 24),
-                         "rng_rank": r_rank_pct("rng24", 168, 48)})
+                         # windows with equal means differ in the last bits only; they are ties
+                         "rng_rank": r_rank_pct(F.floor(F.col("rng24") * 1e9 + 0.5), 168, 48)})
     if "funding_rate" in df.columns:
         df = df.withColumn("funding_d6", F.col("funding_rate") - lag("funding_rate", 6))
     df = df.withColumns({"ret_21_inv": div(lag(C, 21), F.col(C)) - 1.0, "ret_20": _ret(20),

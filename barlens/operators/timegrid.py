@@ -111,7 +111,8 @@ def normalize_ts(x: str | Column) -> Column:
 INTERVAL_MINUTES = {"1m": 1, "3m": 3, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "2h": 120, "4h": 240, "6h": 360,
                     "8h": 480, "12h": 720, "1d": 1440, "3d": 4320, "1w": 10080}
 # fixed values: the context interval of each trading interval
-HIGHER_INTERVAL = {"1m": "5m", "5m": "15m", "15m": "1h", "30m": "4h", "1h": "4h", "4h": "1d", "1d": "1w"}
+HIGHER_INTERVAL = {"1m": "5m", "5m": "15m", "15m": "1h", "30m": "4h", "1h": "4h", "2h": "1d", "4h": "1d", "6h": "1d",
+                   "12h": "3d", "1d": "7d", "3d": "1M", "7d": "1M", "14d": "1M"}
 
 
 def _lookup(table: dict, key: Column) -> Column:

@@ -40,7 +40,9 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 rows_per_slice: int | None = None, out: str = "_slice") -> DataFrame:
     """Add an ordered slice label (array<long>) per row.
 
-    Only keys above ``rows_per_slice`` rows are cut.  Their cut points are
+    The key sizes are checked first (one count per key); with no key above
+    ``rows_per_slice`` every key is one slice.  Otherwise the large keys are
+    cut.  Their cut points are
     quantiles of the first order column; an instant that alone exceeds a slice
     gets a slice of its own, which is cut again by the next order column.  The
     table of cut points has at most ``rows / rows_per_slice`` entries in total,
@@ -48,6 +50,9 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     keys, order = list(keys), list(order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.filter(F.col("_n") > rows_per_slice).isEmpty():
+        return df.withColumn(out, F.array(F.lit(0).cast("long")))
     return _slice_level(df, keys, order, rows_per_slice, out, [])
 
 

@@ -261,12 +261,12 @@ cte("fx3", f"""
 SELECT x.*, CASE WHEN a.n >= 12 THEN a.v END AS ema_24, CASE WHEN b.n >= 24 THEN b.v END AS ema_48,
   {roll('avg({})', 'spread', 6, 3, False)} AS spread6, {roll('avg({})', 'spread', 48, 24, False)} AS spread48,
   funding_rate - lag(funding_rate, 6) OVER (PARTITION BY symbol ORDER BY ts) AS funding_d6,
-  list(rng24) FILTER (WHERE rng24 IS NOT NULL) OVER {win(168)} AS rl,
+  list(floor(rng24 * 1e9 + 0.5)) FILTER (WHERE rng24 IS NOT NULL) OVER {win(168)} AS rl,
   0.5 * CASE WHEN count(ret_1) OVER {win(20)} >= 20 THEN avg(ret_1) OVER {win(20)} END
   - 0.5 * CASE WHEN count(close) OVER {win(20)} >= 20 THEN (close - avg(close) OVER {win(20)}) / nullif(stddev_samp(close) OVER {win(20)}, 0) END AS mom_mr
 FROM fx2 x JOIN ema24_e a USING (symbol, rn) JOIN ema48_e b USING (symbol, rn)""".replace("PARTITION BY symbol", "PARTITION BY x.symbol").replace("ORDER BY ts", "ORDER BY x.ts"))
 cte("fx4", f"""
-SELECT x.*, r.regime, r.br12, CASE WHEN len(rl) >= 48 AND rng24 IS NOT NULL THEN (len(list_filter(rl, lambda q: q < rng24)) + (len(list_filter(rl, lambda q: q = rng24)) + 1) / 2.0) / len(rl) END AS rng_rank,
+SELECT x.*, r.regime, r.br12, CASE WHEN len(rl) >= 48 AND rng24 IS NOT NULL THEN (len(list_filter(rl, lambda q: q < floor(rng24 * 1e9 + 0.5))) + (len(list_filter(rl, lambda q: q = floor(rng24 * 1e9 + 0.5))) + 1) / 2.0) / len(rl) END AS rng_rank,
   (volume - vol_ma) / nullif(vol_sd, 0) AS vz, (close - lo24) / nullif(lo24, 0) AS bd, rng6 / nullif(rng24, 0) AS ex
 FROM fx3 x LEFT JOIN (SELECT ts, CASE WHEN close > ema_48 THEN 1 ELSE -1 END AS regime, ret_12 AS br12 FROM fx3 WHERE symbol = '{BENCH}') r ON r.ts = x.ts""")
 
@@ -406,8 +406,8 @@ def _(spark, d):
 SELECT factor, positive, negative, CASE WHEN positive + negative < 2 THEN NULL WHEN greatest(positive, negative) = positive + negative THEN 'STABLE'
   WHEN greatest(positive, negative) * 3 >= (positive + negative) * 2 THEN 'MILD' ELSE 'FLIP' END AS status FROM (
 SELECT factor, count(CASE WHEN m > 0 THEN 1 END) AS positive, count(CASE WHEN m < 0 THEN 1 END) AS negative FROM (
-SELECT factor, w, avg(rank_ic) * CASE WHEN factor = 'ret_4h_rank' THEN -1 ELSE 1 END AS m FROM ic1 JOIN (
-  SELECT ts, least((row_number() OVER (ORDER BY ts) - 1) // (count(*) OVER () // 3), 2) AS w FROM (SELECT DISTINCT ts FROM ic1)) USING (ts) GROUP BY ALL) GROUP BY factor)""")
+SELECT factor, w, avg(rank_ic * CASE WHEN factor = 'ret_4h_rank' THEN -1 ELSE 1 END) AS m FROM ic1 JOIN (
+  SELECT ts, least((row_number() OVER (ORDER BY ts) - 1) // (count(*) OVER () // 3), 2) AS w FROM (SELECT DISTINCT ts FROM ic1)) USING (ts) GROUP BY factor, w) GROUP BY factor)""")
 def _(spark, d):
     return E.sign_stability(E.rank_ic(_scores(spark, d), "fwd_1"), _DIR)
 
