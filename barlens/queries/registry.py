@@ -160,7 +160,7 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_i
        greatest(o_orderdate + to_hours(l_partkey % 24), l_shipdate + to_hours(l_partkey * 7 % 24)) AS closed_at,
        CASE WHEN l_linestatus = 'O' THEN 60.0 ELSE 240.0 END::DOUBLE AS interval_minutes,
        CAST(1 + l_suppkey % 40 AS DOUBLE) AS expected_candles,
-       round(l_extendedprice / 1000, 4) AS notional_k, l_tax AS fee_r
+       l_extendedprice / 1000 AS notional_k, l_tax AS fee_r
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 cte("preds", """
 SELECT doc_id, CAST(quality AS INTEGER) AS y, (doc_id * 37 % 100) / 100.0::DOUBLE AS p,

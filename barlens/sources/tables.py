@@ -138,7 +138,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         opened.alias("opened_at"), F.greatest(opened, closed).alias("closed_at"),
         F.when(F.col("l_linestatus") == "O", 60.0).otherwise(240.0).alias("interval_minutes"),
         (F.lit(1) + F.col("l_suppkey") % 40).cast("double").alias("expected_candles"),
-        F.round(F.col("l_extendedprice") / 1000, 4).alias("notional_k"),
+        (F.col("l_extendedprice") / 1000).alias("notional_k"),
         F.col("l_tax").alias("fee_r"))
 
 
