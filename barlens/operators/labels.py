@@ -18,65 +18,59 @@ def with_path(df: DataFrame, h: int) -> DataFrame:
     return df.withColumns({k: F.collect_list(s).over(w) for k, s in (("_hi", "high"), ("_lo", "low"), ("_cl", "close"))})
 
 
-def barrier_exit(side: str, entry, stop, target, risk, liquidation=None, mae_mode: str = "adverse",
-                 hi="_hi", lo="_lo", cl="_cl") -> Column:
-    """First barrier hit on the path as a struct.
+def _first_hit(arr: Column, level: Column, at_or_below: bool) -> Column:
+    """1-based position of the first element that reaches the level, NULL without one."""
+    p = F.array_position(F.transform(arr, (lambda x: x <= level) if at_or_below else (lambda x: x >= level)), F.lit(True))
+    return F.when(p > 0, p.cast("int"))
+
+
+def barrier_exit(df: DataFrame, out: str, side: str, entry: str, stop: str, target: str, risk: str, *,
+                 liquidation: str | None = None, mae_mode: str = "adverse", hi="_hi", lo="_lo", cl="_cl") -> DataFrame:
+    """Add struct ``out``: the first barrier hit on the path of each row.
 
     The stop wins when both lie in one bar; without a hit the last close counts.
     Excursions cover the bars before a stop, target or liquidation bar, and the
     whole path for a time exit.  mae_mode 'reference' measures a short's adverse
     move on the low side of the highs; 'adverse' on the side that loses.
+    The array work is done once per column, in steps, so that no expression
+    repeats it.
     """
     long = side == "LONG"
-    entry, stop, target, risk = c(entry), c(stop), c(target), c(risk)
-    hi, lo, cl = c(hi), c(lo), c(cl)
+    e, st, tg, rk = c(entry), c(stop), c(target), c(risk)
+    down, up = (lo, hi) if long else (hi, lo)  # arrays that reach the stop and the target side
+    t = f"_{out}"
     n = F.size(hi)
-
-    def first(arr, cond):
-        p = F.array_position(F.transform(arr, cond), F.lit(True))
-        return F.when(p > 0, p.cast("int"))  # 1-based, NULL without a hit
-
-    i_stop = first(lo if long else hi, (lambda x: x <= stop) if long else (lambda x: x >= stop))
-    i_tgt = first(hi if long else lo, (lambda x: x >= target) if long else (lambda x: x <= target))
-    never = n + 1
-    s, t = F.coalesce(i_stop, never), F.coalesce(i_tgt, never)
-    if liquidation is not None:
-        liq = c(liquidation)
-        q = F.coalesce(first(lo if long else hi, (lambda x: x <= liq) if long else (lambda x: x >= liq)), never)
-        q = F.when(liq.isNotNull(), q).otherwise(never)
-    else:
-        liq, q = F.lit(None).cast("double"), never
+    df = df.withColumns({
+        f"{t}_s": _first_hit(c(down), st, long), f"{t}_t": _first_hit(c(up), tg, not long),
+        f"{t}_q": _first_hit(c(down), c(liquidation), long) if liquidation is not None else F.lit(None).cast("int")})
+    s, g, q = (F.coalesce(f"{t}_{k}", n + 1) for k in "stq")
     is_liq = (q <= n) & (q <= s)
-    is_stop = ~is_liq & (s <= n) & (s <= t)
-    is_tgt = ~is_liq & ~is_stop & (t <= n)
-    reason = (F.when(n == 0, "TIME_EXIT").when(is_liq, "LIQUIDATED").when(is_stop, "STOP_HIT")
-              .when(is_tgt, "TARGET_HIT").otherwise("TIME_EXIT"))
-    price = (F.when(n == 0, entry).when(is_liq, liq).when(is_stop, stop).when(is_tgt, target)
-             .otherwise(F.get(cl, n - 1)))
-    held = F.when(n == 0, 0).when(is_liq, q).when(is_stop, s).when(is_tgt, t).otherwise(n)
-    timed = ~(is_liq | is_stop | is_tgt)
-    seen = F.when(timed, held).otherwise(held - 1)
-    gross = F.coalesce(div((price - entry) if long else (entry - price), F.when(risk > 0, risk)), F.lit(0.0))
-    hs, ls = F.slice(hi, F.lit(1), seen), F.slice(lo, F.lit(1), seen)
-    gains = F.transform(hs, lambda x: x - entry) if long else F.transform(ls, lambda x: entry - x)
-    if long:
-        losses = F.transform(ls, lambda x: x - entry)
-    elif mae_mode == "reference":
-        losses = F.transform(hs, lambda x: x - entry)
-    else:
-        losses = F.transform(hs, lambda x: entry - x)
-    mfe = F.coalesce(F.array_max(gains), F.lit(0.0))
-    worst = F.array_min(losses)
-    mae = F.when(worst < 0, worst).otherwise(0.0)
-    t_mfe = F.when(F.size(gains) > 0, F.array_position(gains, F.array_max(gains)) - 1).otherwise(0)
-    t_mae = F.when(worst < 0, F.array_position(losses, worst) - 1).otherwise(0)
-    r = F.when(risk > 0, risk)
-    return F.struct(
-        reason.alias("exit_reason"), price.alias("exit_price"),
-        F.greatest(held - 1, F.lit(0)).alias("exit_bar_index"), held.alias("hold_bars"), gross.alias("gross_r"),
-        mfe.alias("mfe"), mae.alias("mae"), F.coalesce(div(mfe, r), F.lit(0.0)).alias("mfe_r"),
-        F.coalesce(div(mae, r), F.lit(0.0)).alias("mae_r"), t_mfe.cast("int").alias("time_to_mfe"),
-        t_mae.cast("int").alias("time_to_mae"), ((s == t) & (s <= n)).alias("same_bar"))
+    is_stop = ~is_liq & (s <= n) & (s <= g)
+    is_tgt = ~is_liq & ~is_stop & (g <= n)
+    reason = F.when(is_liq, "LIQUIDATED").when(is_stop, "STOP_HIT").when(is_tgt, "TARGET_HIT").otherwise("TIME_EXIT")
+    liq = c(liquidation) if liquidation is not None else F.lit(None).cast("double")
+    price = (F.when(n == 0, e).when(is_liq, liq).when(is_stop, st).when(is_tgt, tg).otherwise(F.get(c(cl), n - 1)))
+    held = F.when(n == 0, 0).when(is_liq, q).when(is_stop, s).when(is_tgt, g).otherwise(n)
+    df = df.withColumns({f"{t}_r": reason, f"{t}_p": price, f"{t}_h": held, f"{t}_b": (s == g) & (s <= n)})
+    h = F.col(f"{t}_h")
+    seen = F.when(F.col(f"{t}_r") == "TIME_EXIT", h).otherwise(h - 1)
+    hs, ls = F.slice(c(hi), F.lit(1), seen), F.slice(c(lo), F.lit(1), seen)
+    gains = F.transform(hs, lambda x: x - e) if long else F.transform(ls, lambda x: e - x)
+    losses = (F.transform(ls, lambda x: x - e) if long else F.transform(hs, lambda x: x - e) if mae_mode == "reference"
+              else F.transform(hs, lambda x: e - x))
+    df = df.withColumns({f"{t}_g": gains, f"{t}_l": losses})
+    df = df.withColumns({f"{t}_mx": F.array_max(f"{t}_g"), f"{t}_mn": F.array_min(f"{t}_l")})
+    mx, mn, r = F.col(f"{t}_mx"), F.col(f"{t}_mn"), F.when(rk > 0, rk)
+    mfe, mae, zero = F.coalesce(mx, F.lit(0.0)), F.when(mn < 0, mn).otherwise(0.0), F.lit(0.0)
+    p = F.col(f"{t}_p")
+    df = df.withColumn(out, F.struct(
+        F.col(f"{t}_r").alias("exit_reason"), p.alias("exit_price"), F.greatest(h - 1, F.lit(0)).alias("exit_bar_index"),
+        h.alias("hold_bars"), F.coalesce(div((p - e) if long else (e - p), r), zero).alias("gross_r"),
+        mfe.alias("mfe"), mae.alias("mae"), F.coalesce(div(mfe, r), zero).alias("mfe_r"), F.coalesce(div(mae, r), zero).alias("mae_r"),
+        F.coalesce(F.array_position(F.col(f"{t}_g"), mx) - 1, F.lit(0)).cast("int").alias("time_to_mfe"),
+        F.when(mn < 0, F.array_position(F.col(f"{t}_l"), mn) - 1).otherwise(0).cast("int").alias("time_to_mae"),
+        F.col(f"{t}_b").alias("same_bar")))
+    return df.drop(*[f"{t}_{k}" for k in ("s", "t", "q", "r", "p", "h", "b", "g", "l", "mx", "mn")])
 
 
 def trailing_atr(n: int = 15) -> Column:
@@ -101,10 +95,9 @@ def barrier_label(df: DataFrame, profile: dict | None = None, mae_mode: str = "a
     df = df.filter(F.col("core") & F.col("_more").isNotNull()).drop("_more")
     lv = P.stop_target_levels("entry", "atr", p["stop"], p["target"])
     df = df.withColumns({**lv, "risk": P.entry_risk("atr", p["stop"])})
-    df = df.withColumns({
-        "long": barrier_exit("LONG", "entry", "long_stop", "long_target", "risk", mae_mode=mae_mode),
-        "short": barrier_exit("SHORT", "entry", "short_stop", "short_target", "risk", mae_mode=mae_mode),
-        "cost_r": P.total_cost_r("entry", "entry", "atr", p["stop"])}).drop("_hi", "_lo", "_cl")
+    df = barrier_exit(df, "long", "LONG", "entry", "long_stop", "long_target", "risk", mae_mode=mae_mode)
+    df = barrier_exit(df, "short", "SHORT", "entry", "short_stop", "short_target", "risk", mae_mode=mae_mode)
+    df = df.withColumn("cost_r", P.total_cost_r("entry", "entry", "atr", p["stop"])).drop("_hi", "_lo", "_cl")
     for s in ("long", "short"):
         df = df.withColumn(f"{s}_net", F.col(f"{s}.gross_r") - F.col("cost_r"))
         df = df.withColumn(f"{s}_utility", P.action_utility(
@@ -125,10 +118,10 @@ def r_multiple_label(df: DataFrame, stop=2.5, target=2.5, horizon=24, cost=0.000
     lv = P.stop_target_levels("close", "atr", stop, target)
     df = df.withColumns({**lv, "risk": P.entry_risk("atr", stop)})
     ok = (F.col("close") > 0) & (F.col("atr") > 0) & (F.col("atr") <= F.col("close") * 0.5)
-    lo = barrier_exit("LONG", "close", "long_stop", "long_target", "risk")
-    sh = barrier_exit("SHORT", "close", "short_stop", "short_target", "risk")
+    df = barrier_exit(df, "_l", "LONG", "close", "long_stop", "long_target", "risk")
+    df = barrier_exit(df, "_s", "SHORT", "close", "short_stop", "short_target", "risk")
     k = div(F.lit(cost) * (F.col("close") if cost_mode == "fraction" else F.lit(1.0)), F.col("risk"))
-    df = df.withColumns({"_l": lo, "_s": sh, "_k": k, "_ok": ok})
+    df = df.withColumns({"_k": k, "_ok": ok})
     df = df.withColumns({"long_r": F.when(F.col("_ok"), F.col("_l.gross_r") - F.col("_k")).otherwise(0.0),
                          "short_r": F.when(F.col("_ok"), F.col("_s.gross_r") - F.col("_k")).otherwise(0.0)})
     a, b = F.col("long_r"), F.col("short_r")
@@ -175,19 +168,33 @@ def leverage_label(df: DataFrame, horizon=12, stop=2.0, target=2.0, min_edge=0.1
     df = df.withColumn("atr", F.greatest(F.col("high") - F.col("low"), F.lit(10.0)))
     df = df.withColumns({**P.stop_target_levels("close", "atr", stop, target), "risk": P.entry_risk("atr", stop),
                          "cost_r": P.total_cost_r("close", "close", "atr", stop)})
+    # the stop and target bars are shared by all tiers; only the liquidation bar differs
+    mmr, n = maintenance_ratio("close"), F.size("_hi")
+    first, price = {}, {}
+    for side in ("LONG", "SHORT"):
+        k, long = side[0].lower(), side == "LONG"
+        down, up = ("_lo", "_hi") if long else ("_hi", "_lo")
+        first[f"_{k}s"] = _first_hit(F.col(down), F.col(f"{side.lower()}_stop"), long)
+        first[f"_{k}t"] = _first_hit(F.col(up), F.col(f"{side.lower()}_target"), not long)
+        for lev in LEVERAGE_TIERS[1:]:
+            dist = 1.0 / lev - mmr
+            price[(side, lev)] = F.when(dist > 0, F.col("close") * (1.0 - dist if long else 1.0 + dist))
+            first[f"_{k}q{lev}"] = _first_hit(F.col(down), price[(side, lev)], long)
+    df = df.withColumns(first).withColumn("_last", F.get(F.col("_cl"), n - 1))
     rows = []
     for side in ("LONG", "SHORT"):
-        s = side.lower()
+        k, sg = side[0].lower(), 1.0 if side == "LONG" else -1.0
+        s_, t_ = F.coalesce(f"_{k}s", n + 1), F.coalesce(f"_{k}t", n + 1)
         for lev in LEVERAGE_TIERS:
-            dist = 1.0 / lev - maintenance_ratio("close")
-            liq = None if lev == 1 else F.when(dist > 0, F.col("close") * (1.0 - dist if side == "LONG" else 1.0 + dist))
-            x = barrier_exit(side, "close", f"{s}_stop", f"{s}_target", "risk", liquidation=liq)
-            net = x["gross_r"] - F.col("cost_r")
+            liq = F.lit(False) if lev == 1 else F.coalesce((F.col(f"_{k}q{lev}") <= n) & (F.col(f"_{k}q{lev}") <= s_), F.lit(False))
+            out = (F.when(liq, price[(side, lev)]) if lev > 1 else F).when((s_ <= n) & (s_ <= t_), F.col(f"{side.lower()}_stop")) \
+                .when(t_ <= n, F.col(f"{side.lower()}_target")).otherwise(F.col("_last"))
+            net = sg * (out - F.col("close")) / F.col("risk") - F.col("cost_r")
             # result on the posted margin: R * risk * quantity / (notional / leverage), quantity 1
             ret = net if lev == 1 else net * F.col("risk") * lev / F.col("close")
             rows.append(F.struct(F.lit(side).alias("side"), F.lit(lev).alias("leverage"), net.alias("net_r"),
-                                 ret.alias("margin_return"), (x["exit_reason"] == "LIQUIDATED").alias("liquidated")))
-    df = df.withColumn("tiers", F.array(*rows)).drop("_hi", "_lo", "_cl")
+                                 ret.alias("margin_return"), liq.alias("liquidated")))
+    df = df.withColumn("tiers", F.array(*rows)).drop("_hi", "_lo", "_cl", "_last", *first)
     best = F.array_max(F.transform(F.filter("tiers", lambda t: t["net_r"] > 0), lambda t: F.struct(
         t["margin_return"].alias("m"), F.when(t["side"] == "LONG", 1).otherwise(0).alias("first"), (-t["leverage"]).alias("l"), t["side"].alias("side"))))
 
@@ -241,7 +248,7 @@ def noise_robustness(df: DataFrame, n_seeds: int, sigma: float, horizon: int = 1
         return F.transform(F.col(col), lambda x, i: x * (1.0 + F.lit(sigma) * noise(i)))
 
     df = df.withColumns({"_h2": perturbed("_hi"), "_l2": perturbed("_lo"), "_c2": perturbed("_cl")})
-    df = df.withColumn("x", barrier_exit("LONG", "close", "long_stop", "long_target", "risk", hi="_h2", lo="_l2", cl="_c2"))
+    df = barrier_exit(df, "x", "LONG", "close", "long_stop", "long_target", "risk", hi="_h2", lo="_l2", cl="_c2")
     g = df.groupBy("symbol", "ts").agg(
         F.avg("x.gross_r").alias("mean_r"), F.stddev_pop("x.gross_r").alias("std_r"),
         F.avg((F.col("x.exit_reason") == "STOP_HIT").cast("double")).alias("p_stop"),

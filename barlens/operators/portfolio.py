@@ -44,10 +44,18 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out:
 
 
 def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str, slice_col: Column | None = None) -> DataFrame:
-    """Compounded equity from period returns (> -100 %) and its relative drawdown."""
-    g = running(df.withColumn("_g", F.log(1.0 + F.col(ret))), keys, order, {"_l": ("sum", F.col("_g"))}, slice_col=slice_col)
-    g = g.withColumn("equity", F.exp("_l")).drop("_g", "_l")
-    p = running(g, keys, order, {"_p": ("max", F.col("equity"))}, slice_col=slice_col)
+    """Compounded equity from period returns and its relative drawdown.
+
+    The product is carried as logarithm, sign and zero count, so returns at or
+    below -100 % are handled too.
+    """
+    g = 1.0 + F.col(ret)
+    e = running(df, keys, order, {
+        "_l": ("sum", F.when(g != 0, F.log(F.abs(F.when(g != 0, g))))), "_neg": ("count", F.when(g < 0, 1)),
+        "_zero": ("count", F.when(g == 0, 1))}, slice_col=slice_col)
+    sign = F.when(F.col("_zero") > 0, 0.0).when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
+    e = e.withColumn("equity", sign * F.exp("_l")).drop("_l", "_neg", "_zero")
+    p = running(e, keys, order, {"_p": ("max", F.col("equity"))}, slice_col=slice_col)
     peak = F.greatest(F.col("_p"), F.lit(1.0))
     return p.withColumn("drawdown", (F.col("equity") - peak) / peak).drop("_p")
 

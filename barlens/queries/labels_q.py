@@ -281,9 +281,9 @@ def _(spark, d):
 
 @query("L20_return_metrics", "net_return# sharpe# profit_factor# max_drawdown#", """
 SELECT arg_max(e, ts) - 1 AS net_return, avg(ret) / stddev_pop(ret) * sqrt(2190.0::DOUBLE) AS sharpe, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / abs(sum(CASE WHEN ret < 0 THEN ret ELSE 0 END)) AS profit_factor, min((e - greatest(pk, 1)) / greatest(pk, 1)) AS max_drawdown
-FROM (SELECT *, max(e) OVER (ORDER BY ts) AS pk FROM (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY ts)) AS e FROM xsr))""")
+FROM (SELECT *, max(e) OVER (ORDER BY ts) AS pk FROM (SELECT *, product(1 + ret) OVER (ORDER BY ts) AS e FROM (SELECT ts, ret * 0.01::DOUBLE AS ret FROM xsr)))""")
 def _(spark, d):
-    r = PF.portfolio_returns(PF.momentum_positions(_xs_panel(spark, d)))
+    r = PF.portfolio_returns(PF.momentum_positions(_xs_panel(spark, d))).withColumn("ret", F.col("ret") * 0.01)
     return PF.return_metrics(r, [], ["ts"], "ret", 2190, F.date_trunc("month", "ts"))
 
 

@@ -458,8 +458,8 @@ def _(spark, d):
 
 
 @query("A40_learning_effectiveness", "adjustment trades_with! trades_without! avg_r_with# avg_r_without# win_rate_with# win_rate_without# severity_with# severity_without#", """
-SELECT a AS adjustment, count(*) FILTER (WHERE h) AS trades_with, count(*) FILTER (WHERE NOT h) AS trades_without, avg(realized_r) FILTER (WHERE h) AS avg_r_with, avg(realized_r) FILTER (WHERE NOT h) AS avg_r_without, avg(CASE WHEN realized_r > 0 THEN 1.0 ELSE 0 END) FILTER (WHERE h) AS win_rate_with, avg(CASE WHEN realized_r > 0 THEN 1.0 ELSE 0 END) FILTER (WHERE NOT h) AS win_rate_without,
- avg(greatest(-realized_r, 0)) FILTER (WHERE h) AS severity_with, avg(greatest(-realized_r, 0)) FILTER (WHERE NOT h) AS severity_without FROM (SELECT t.*, c.a, list_contains(t.components, c.a) AS h FROM tt t, (SELECT DISTINCT component AS a FROM tc) c) GROUP BY 1""")
+SELECT a AS adjustment, count(*) FILTER (WHERE has_a) AS trades_with, count(*) FILTER (WHERE NOT has_a) AS trades_without, avg(realized_r) FILTER (WHERE has_a) AS avg_r_with, avg(realized_r) FILTER (WHERE NOT has_a) AS avg_r_without, avg(CASE WHEN realized_r > 0 THEN 1.0 ELSE 0 END) FILTER (WHERE has_a) AS win_rate_with, avg(CASE WHEN realized_r > 0 THEN 1.0 ELSE 0 END) FILTER (WHERE NOT has_a) AS win_rate_without,
+ avg(greatest(-realized_r, 0)) FILTER (WHERE has_a) AS severity_with, avg(greatest(-realized_r, 0)) FILTER (WHERE NOT has_a) AS severity_without FROM (SELECT t.*, c.a, list_contains(t.components, c.a) AS has_a FROM tt t, (SELECT DISTINCT component AS a FROM tc) c) GROUP BY 1""")
 def _(spark, d):
     t = TH(spark, d).withColumn("sev", F.greatest(-F.col("realized_r"), F.lit(0.0)))
     return A.learning_effectiveness(t, "components", "sev")
