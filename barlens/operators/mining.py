@@ -45,8 +45,10 @@ def decile(x, cuts: list[float]) -> Column:
 def bucketize(df: DataFrame, cuts: dict[str, list[float]], out: str = "conditions") -> DataFrame:
     """Sorted array of the condition names a row meets: its deciles and domain buckets."""
     names = []
+    # deciles become columns first, so that the names do not repeat them
+    df = df.withColumns({f"_dcl_{f}": decile(f, t) for f, t in cuts.items()})
     for f, t in cuts.items():
-        dcl = decile(f, t)
+        dcl = F.col(f"_dcl_{f}")
         names.append(F.when(dcl.isNotNull(), F.concat(F.lit(f"{f}__d"), F.lpad(dcl.cast("string"), 2, "0"))))
         dom = domain_of(f)
         if dom:
@@ -54,7 +56,7 @@ def bucketize(df: DataFrame, cuts: dict[str, list[float]], out: str = "condition
             for label, (lo, hi) in DOMAINS[dom].items():
                 b = b.when((dcl >= lo) & (dcl <= hi), f"{f}__{label}")
             names.append(b.otherwise(None))
-    return df.withColumn(out, F.array_sort(F.array_compact(F.array(*names))))
+    return df.withColumn(out, F.array_sort(F.array_compact(F.array(*names)))).drop(*[f"_dcl_{f}" for f in cuts])
 
 
 def condition_registry(df: DataFrame, min_support: float = 0.0, conditions: str = "conditions") -> DataFrame:
@@ -66,7 +68,8 @@ def condition_registry(df: DataFrame, min_support: float = 0.0, conditions: str
 def _totals(df: DataFrame, target: str):
     t = df.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), F.count(target).alias("k"),
                F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"))
-    return {x: t.select(x).scalar() for x in ("n", "m", "k", "s", "q")}
+    r = t.first()  # one row of five numbers
+    return {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in ("n", "m", "k", "s", "q")}
 
 
 def _score(g, target: str):
@@ -104,18 +107,23 @@ def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: in
     vx, vy = mx - mx * mx, t["q"] / k - my * my
     g = g.withColumns({"support_frac": F.col("support") / t["n"], "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0)),
                        "ic": F.coalesce(div(cov, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))), F.lit(0.0))})
-    return g.drop("_k", "_s").orderBy(F.desc("mean_r"), "a", "b").limit(top_n)
+    return g.drop("_k", "_s").orderBy(*_best_first("a", "b")).limit(top_n)
+
+
+def _best_first(*names: str):
+    """Best mean first; means that differ by rounding noise only are ordered by name."""
+    return [F.desc(F.round("mean_r", 10)), *names]
 
 
 def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float = 0.01, beam: int = 100, conditions: str = "conditions") -> DataFrame:
     """Third conditions that improve the best pairs.  The beam (at most ``beam`` rows) is broadcast."""
     t = _totals(df, target)
-    best = pairs.orderBy(F.desc("mean_r"), "a", "b").limit(beam).select("a", "b", F.col("mean_r").alias("_base"))
+    best = pairs.orderBy(*_best_first("a", "b")).limit(beam).select("a", "b", F.col("mean_r").alias("_base"))
     x = df.select(target, conditions, F.explode(pairs_of(conditions)).alias("p")).select(target, conditions, "p.a", "p.b")
     x = x.join(F.broadcast(best), ["a", "b"])
     x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
     g = x.groupBy("a", "b", "third").agg(*_score(None, target), F.max("_base").alias("_base"))
-    g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & (F.col("mean_r") > F.col("_base")))
+    g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & (F.col("mean_r") > F.col("_base") + 1e-10))
     return g.withColumns({"improvement": F.col("mean_r") - F.col("_base"), "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}) \
         .drop("_k", "_s", "_base")
 
@@ -147,7 +155,7 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
         rules = current.select("rule", F.col("score").alias("_parent"))
         held = rules.agg(F.collect_list(F.struct("rule", "_parent")).alias("_rules"))
         x = df.select(target, conditions).crossJoin(F.broadcast(held))  # one row of at most ``beam`` rules
-        x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.size(F.array_except(q["rule"], F.col(conditions))) == 0)))
+        x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z)))))
         x = x.withColumn("_add", F.explode(F.array_except(F.col(conditions), F.col("_m.rule"))))
         if bad is not None:
             x = x.filter(~F.exists(F.col("_m.rule"), lambda q: F.array_contains(bad, F.array_sort(F.array(q, F.col("_add"))))))
@@ -156,7 +164,7 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
                                   F.avg(target).alias("score"))
         # a rule is reached from each of its parents in the beam once per row
         g = g.withColumn("support", (F.col("_rows") / F.size("_ps")).cast("long"))
-        g = g.filter((F.col("support") >= need) & (F.col("score") > F.col("_best")))
+        g = g.filter((F.col("support") >= need) & (F.col("score") > F.col("_best") + 1e-10))
         nxt = g.select("rule", "score", "support").orderBy(F.desc("score"), F.desc("support"), F.array_join("rule", "|")).limit(beam)
         current = cut_lineage(nxt)
         if current.isEmpty():
@@ -171,13 +179,14 @@ def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions",
         raise ValueError(f"more than {max_rules} rules; score them in parts")
     held = rules.agg(F.collect_list(F.struct("rule_id", "rule")).alias("_rules"))
     x = df.crossJoin(F.broadcast(held))
-    x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.size(F.array_except(q["rule"], F.col(conditions))) == 0)))
+    x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z)))))
     return x.withColumn("rule_id", F.col("_m.rule_id")).drop("_rules", "_m")
 
 
 def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05, multipliers=(2, 5, 10), conditions: str = "conditions") -> DataFrame:
     """Mean, median, positive rate, lift, profit factor, Sharpe, spread over symbols and regimes, cost stress."""
     m = match_rules(df.select("symbol", "regime", target, conditions), rules, conditions)
+    m = cut_lineage(m.select("rule_id", "symbol", "regime", target))  # scanned by every summary below
     base = df.select(F.avg(target)).scalar()
     x = F.col(target)
     sd = F.stddev_pop(x)
@@ -252,7 +261,7 @@ def rule_similarity(df: DataFrame, rules: DataFrame, target: str, conditions: st
         raise ValueError("similarity is meant for a shortlist of at most 500 rules")
     held = rules.agg(F.collect_list(F.struct("rule_id", "rule")).alias("_rules"))
     x = df.select(target, conditions).crossJoin(F.broadcast(held))
-    x = x.withColumn("hit", F.array_sort(F.transform(F.filter("_rules", lambda q: F.size(F.array_except(q["rule"], F.col(conditions))) == 0),
+    x = x.withColumn("hit", F.array_sort(F.transform(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z))),
                                                      lambda q: q["rule_id"]))).select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), "hit")
     one = x.select("y", F.explode("hit").alias("rule_id")).groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))

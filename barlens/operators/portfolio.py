@@ -7,17 +7,32 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions.core import c, div
-from barlens.plans.ordered import running
 
 
 def equity_curve(df: DataFrame, keys: list[str], order: list[str], r: str, *, rows_per_slice: int | None = None,
                  slice_col: Column | None = None) -> DataFrame:
-    """Running sum of results, its running peak (never below 0) and the drawdown."""
-    e = running(df, keys, order, {"equity": ("sum", F.coalesce(F.col(r), F.lit(0.0)))},
-                rows_per_slice=rows_per_slice, slice_col=slice_col)
-    p = running(e, keys, order, {"_peak": ("max", F.col("equity"))}, rows_per_slice=rows_per_slice, slice_col=slice_col)
-    peak = F.greatest(F.col("_peak"), F.lit(0.0))
-    return p.withColumn("peak", peak).withColumn("drawdown", F.col("peak") - F.col("equity")).drop("_peak")
+    """Running sum of results, its running peak (never below 0) and the drawdown.
+
+    One ordered scan per slice gives the local sum and its local peak; the
+    slices' sums and highest points carry both over.
+    """
+    from barlens.plans.ordered import with_slices
+    keys, order = list(keys), list(order)
+    x = df.withColumn("_r", F.coalesce(F.col(r), F.lit(0.0)))
+    s = x.withColumn("_slice", slice_col) if slice_col is not None else with_slices(x, keys, order, rows_per_slice)
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_e", F.sum("_r").over(w)).withColumn("_m", F.max("_e").over(w))
+    g = s.groupBy(*keys, "_slice").agg(F.sum("_r").alias("_sum"), F.max("_e").alias("_hi"))
+    wk = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_base", F.coalesce(F.sum("_sum").over(wk), F.lit(0.0)))
+    g = g.withColumn("_top", F.greatest(F.coalesce(F.max(F.col("_base") + F.col("_hi")).over(wk), F.lit(0.0)), F.lit(0.0)))
+    g = g.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s"), "_base", "_top")
+    cond = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    j = s.join(g, cond)
+    j = j.withColumns({"equity": F.col("_base") + F.col("_e"), "peak": F.greatest(F.col("_top"), F.col("_base") + F.col("_m"))})
+    return j.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*df.columns, "equity", "peak", "drawdown")
 
 
 def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out: str = "max_drawdown",
@@ -43,27 +58,26 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out:
     return g.groupBy(*keys).agg(F.max(F.greatest(fall, F.lit(0.0))).alias(out))
 
 
-def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str, slice_col: Column | None = None) -> DataFrame:
+def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str) -> DataFrame:
     """Compounded equity from period returns and its relative drawdown.
 
-    The product is carried as logarithm, sign and zero count, so returns at or
-    below -100 % are handled too.
+    There is one row per period, so a key is as long as its calendar.  The
+    product is carried as logarithm, sign and zero count, so returns at or below
+    -100 % are handled too.
     """
     g = 1.0 + F.col(ret)
-    e = running(df, keys, order, {
-        "_l": ("sum", F.when(g != 0, F.log(F.abs(F.when(g != 0, g))))), "_neg": ("count", F.when(g < 0, 1)),
-        "_zero": ("count", F.when(g == 0, 1))}, slice_col=slice_col)
-    sign = F.when(F.col("_zero") > 0, 0.0).when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
-    e = e.withColumn("equity", sign * F.exp("_l")).drop("_l", "_neg", "_zero")
-    p = running(e, keys, order, {"_p": ("max", F.col("equity"))}, slice_col=slice_col)
-    peak = F.greatest(F.col("_p"), F.lit(1.0))
-    return p.withColumn("drawdown", (F.col("equity") - peak) / peak).drop("_p")
-
-
-def return_metrics(df: DataFrame, keys: list[str], order: list[str], ret: str, per_year: float,
-                   slice_col: Column | None = None) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    logs = F.sum(F.when(g != 0, F.log(F.abs(F.when(g != 0, g))))).over(w)
+    neg, zero = F.count(F.when(g < 0, 1)).over(w), F.count(F.when(g == 0, 1)).over(w)
+    sign = F.when(zero > 0, 0.0).when(neg % 2 == 1, -1.0).otherwise(1.0)
+    e = df.withColumn("equity", sign * F.exp(logs))
+    e = e.withColumn("_p", F.greatest(F.max("equity").over(w), F.lit(1.0)))
+    return e.withColumn("drawdown", (F.col("equity") - F.col("_p")) / F.col("_p")).drop("_p")
+
+
+def return_metrics(df: DataFrame, keys: list[str], order: list[str], ret: str, per_year: float) -> DataFrame:
     """Net return, Sharpe, profit factor and maximum drawdown of period returns."""
-    e = compound_curve(df, keys, order, ret, slice_col)
+    e = compound_curve(df, keys, order, ret)
     r = F.col(ret)
     last = F.struct(*order)
     pos, neg = F.sum(F.when(r > 0, r).otherwise(0.0)), F.abs(F.sum(F.when(r < 0, r).otherwise(0.0)))

@@ -284,7 +284,7 @@ SELECT arg_max(e, ts) - 1 AS net_return, avg(ret) / stddev_pop(ret) * sqrt(2190.
 FROM (SELECT *, max(e) OVER (ORDER BY ts) AS pk FROM (SELECT *, product(1 + ret) OVER (ORDER BY ts) AS e FROM (SELECT ts, ret * 0.01::DOUBLE AS ret FROM xsr)))""")
 def _(spark, d):
     r = PF.portfolio_returns(PF.momentum_positions(_xs_panel(spark, d))).withColumn("ret", F.col("ret") * 0.01)
-    return PF.return_metrics(r, [], ["ts"], "ret", 2190, F.date_trunc("month", "ts"))
+    return PF.return_metrics(r, [], ["ts"], "ret", 2190)
 
 
 cte("eqm", """SELECT *, sum(realized_r) OVER (PARTITION BY mode ORDER BY closed_at, order_id ROWS UNBOUNDED PRECEDING) AS equity FROM trades""")

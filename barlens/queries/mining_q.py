@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barlens.operators import mining as M, splits as SP
 from barlens.queries.joins_q import with_hold
 from barlens.queries.registry import cte, query
+from barlens.session import cut_lineage
 from barlens.sources import tables as S
 
 FEATS = ["atr_pct", "momentum_score", "volume_z", "regime_score"]
@@ -20,8 +21,9 @@ def mined(spark, d):
 
 
 def conditioned(spark, d):
-    x = mined(spark, d)
-    return M.bucketize(x, M.fit_deciles(x, FEATS))
+    """The condition table is written once; every scan below reads it."""
+    x = cut_lineage(mined(spark, d))
+    return cut_lineage(M.bucketize(x, M.fit_deciles(x, FEATS)).drop(*FEATS))
 
 
 cte("mx", "SELECT order_id, closed_at, symbol, regime, notional_k AS atr_pct, confidence AS momentum_score, hold_minutes AS volume_z, expected_candles AS regime_score, realized_r + CASE WHEN notional_k > 60 THEN 0.1 ELSE 0 END AS net_r FROM ts_e")
@@ -82,8 +84,8 @@ def _(spark, d):
 
 @query("M6_level3_scan", "a b third support! mean_r# improvement#", f"""
 SELECT a, b, third, count(*) AS support, avg(net_r) AS mean_r, avg(net_r) - max(base) AS improvement FROM (
-SELECT p.a, p.b, e.c AS third, x.net_r, p.mean_r AS base FROM (SELECT * FROM mpair ORDER BY mean_r DESC, a, b LIMIT 20) p JOIN mcond x ON list_contains(x.conds, p.a) AND list_contains(x.conds, p.b) JOIN mex e ON e.order_id = x.order_id AND e.c <> p.a AND e.c <> p.b)
-GROUP BY 1, 2, 3 HAVING count(*) >= ceil(0.01 * {_N}) AND avg(net_r) > max(base)""")
+SELECT p.a, p.b, e.c AS third, x.net_r, p.mean_r AS base FROM (SELECT * FROM mpair ORDER BY round(mean_r, 10) DESC, a, b LIMIT 20) p JOIN mcond x ON list_contains(x.conds, p.a) AND list_contains(x.conds, p.b) JOIN mex e ON e.order_id = x.order_id AND e.c <> p.a AND e.c <> p.b)
+GROUP BY 1, 2, 3 HAVING count(*) >= ceil(0.01 * {_N}) AND avg(net_r) > max(base) + 1e-10""")
 def _(spark, d):
     x = conditioned(spark, d)
     return M.level3_scan(x, M.level2_scan(x, "net_r"), "net_r", beam=20)
@@ -97,7 +99,7 @@ def _(spark, d):
 def rules20(x):
     """The twenty best supported pairs as rules."""
     p = M.level2_scan(x, "net_r")
-    return p.orderBy(F.desc("support"), "a", "b").limit(20).select(F.concat_ws("&", "a", "b").alias("rule_id"), F.array("a", "b").alias("rule"))
+    return cut_lineage(p.orderBy(F.desc("support"), "a", "b").limit(20).select(F.concat_ws("&", "a", "b").alias("rule_id"), F.array("a", "b").alias("rule")))
 
 
 cte("mrules", "SELECT concat_ws('&', a, b) AS rule_id, a, b FROM mpair ORDER BY support DESC, a, b LIMIT 20")
@@ -146,7 +148,7 @@ def _(spark, d):
 def _(spark, d):
     x = conditioned(spark, d)
     r = rules20(x)
-    return M.dedupe_rules(M.score_rules(x, r, "net_r"), M.rule_similarity(x, r, "net_r"), 0.5)
+    return M.dedupe_rules(cut_lineage(M.score_rules(x, r, "net_r")), cut_lineage(M.rule_similarity(x, r, "net_r")), 0.5)
 
 
 @query("M10_validate_rules_oos", "rule_id n_discovery! n_validation! n_holdout! mean_discovery# mean_validation# mean_holdout# oos_is_ratio#4 sign_ok? status", """
