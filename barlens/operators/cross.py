@@ -53,6 +53,55 @@ def cs_rank_center(x) -> Column:
     return F.when(n >= 3, (pos + 0.5) / n).otherwise(c(x))
 
 
+def cs_rank_matrix(df: DataFrame, cols: list[str], min_rows: int = 3) -> DataFrame:
+    """``cs_rank_center`` of many columns at once.
+
+    The wide rows are placed by ts once and ranked in Arrow batches with one
+    vectorised sort per column: a window per column would sort every partition
+    once per column, and unpivoting would multiply the rows.  A cross-section
+    holds one row per symbol and always fits a batch buffer; one that runs over
+    the end of a batch is carried into the next.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def rank(it):
+        rest = None
+        for pdf in it:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf["ts"].iloc[-1]
+            whole = (pdf["ts"] != last).to_numpy()
+            if not whole.any():
+                rest = pdf
+                continue
+            rest = pdf[~whole].reset_index(drop=True)
+            yield ranked(pdf[whole])
+        if rest is not None and len(rest):
+            yield ranked(rest)
+
+    def ranked(pdf):
+        pdf = pdf.reset_index(drop=True)
+        t = pdf["ts"].to_numpy()
+        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        size = np.diff(np.r_[start, len(t)])
+        group = np.repeat(np.arange(len(start)), size)
+        first, n = np.repeat(start, size), np.repeat(size, size).astype(float)
+        x = pdf[cols].to_numpy(float)
+        out = np.empty_like(x)
+        for j in range(x.shape[1]):
+            order = np.lexsort((x[:, j], group))  # rows arrive by (ts, symbol): ties keep symbol order, NaN comes last
+            pos = np.empty(len(t))
+            pos[order] = np.arange(len(t))
+            out[:, j] = np.where(n >= min_rows, (pos - first + 0.5) / n, x[:, j])
+        pdf[cols] = out
+        return pdf
+
+    keep = ["symbol", "ts", *cols]
+    d = df.select("symbol", "ts", *[F.col(k).cast("double").alias(k) for k in cols])
+    fields = ", ".join(["symbol string", "ts timestamp", *[f"`{k}` double" for k in cols]])
+    return d.repartition("ts").sortWithinPartitions("ts", "symbol").select(*keep).mapInPandas(rank, fields)
+
+
 def cs_zscore(x, *by: str) -> Column:
     x = c(x)
     return div(x - F.avg(x).over(_x(*by)), F.stddev_samp(x).over(_x(*by)))

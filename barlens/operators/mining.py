@@ -85,10 +85,36 @@ def level1_scan(df: DataFrame, target: str, min_support: float = 0.01, condition
     return g.withColumns({"support_frac": F.col("support") / t["n"], "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}).drop("_k", "_s")
 
 
-def pairs_of(conditions: str) -> Column:
-    """All pairs of a row's conditions (a few per feature, so bounded by the columns)."""
-    return F.expr(f"flatten(transform({conditions}, (a, i) -> transform(slice({conditions}, i + 2, size({conditions})), "
-                  "b -> named_struct('a', a, 'b', b))))")
+def pairs_of(conditions: str, width: int | None = None) -> Column:
+    """All pairs of a row's conditions (a few per feature, so bounded by the columns).
+
+    With a known ``width`` the pairs are spelled out, which stays inside
+    generated code; otherwise array functions build them.
+    """
+    if width is None or width > 24:
+        return F.expr(f"flatten(transform({conditions}, (a, i) -> transform(slice({conditions}, i + 2, size({conditions})), "
+                      "b -> named_struct('a', a, 'b', b))))")
+    at = [F.get(F.col(conditions), F.lit(i)) for i in range(width)]
+    return F.array_compact(F.array(*[F.when(at[j].isNotNull(), F.struct(at[i].alias("a"), at[j].alias("b")))
+                                     for i in range(width) for j in range(i + 1, width)]))
+
+
+def _width(df: DataFrame, conditions: str) -> int:
+    return df.agg(F.max(F.size(conditions))).first()[0] or 0
+
+
+def _rule_hits(rules: DataFrame, conditions: str, most: int):
+    """Array of the rule ids a row meets, as a Column over a checked, small rule list."""
+    got = rules.select("rule_id", "rule").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rules; pass them in parts")
+    hits = []
+    for r in sorted(got, key=lambda q: q["rule_id"]):
+        ok = F.lit(True)
+        for cond in r["rule"]:
+            ok = ok & F.array_contains(F.col(conditions), F.lit(cond))
+        hits.append(F.when(ok, F.lit(r["rule_id"])))
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: int = 5000, conditions: str = "conditions") -> DataFrame:
@@ -98,7 +124,7 @@ def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: in
     one row per pair and task.  The IC comes from the sums in closed form.
     """
     t = _totals(df, target)
-    x = df.select(target, F.explode(pairs_of(conditions)).alias("p")).select(target, "p.a", "p.b")
+    x = df.select(target, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, "p.a", "p.b")
     g = x.groupBy("a", "b").agg(*_score(None, target))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     k = t["k"].cast("double")
@@ -119,7 +145,7 @@ def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float
     """Third conditions that improve the best pairs.  The beam (at most ``beam`` rows) is broadcast."""
     t = _totals(df, target)
     best = pairs.orderBy(*_best_first("a", "b")).limit(beam).select("a", "b", F.col("mean_r").alias("_base"))
-    x = df.select(target, conditions, F.explode(pairs_of(conditions)).alias("p")).select(target, conditions, "p.a", "p.b")
+    x = df.select(target, conditions, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, conditions, "p.a", "p.b")
     x = x.join(F.broadcast(best), ["a", "b"])
     x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
     g = x.groupBy("a", "b", "third").agg(*_score(None, target), F.max("_base").alias("_base"))
@@ -173,14 +199,9 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
     return found.withColumn("depth", F.size("rule"))
 
 
-def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions", max_rules: int = 2000) -> DataFrame:
-    """One row per (row, rule it meets).  Rules (rule_id, rule) are a checked, small list kept in one broadcast row."""
-    if rules.limit(max_rules + 1).count() > max_rules:
-        raise ValueError(f"more than {max_rules} rules; score them in parts")
-    held = rules.agg(F.collect_list(F.struct("rule_id", "rule")).alias("_rules"))
-    x = df.crossJoin(F.broadcast(held))
-    x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z)))))
-    return x.withColumn("rule_id", F.col("_m.rule_id")).drop("_rules", "_m")
+def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions", max_rules: int = 500) -> DataFrame:
+    """One row per (row, rule it meets); rules are (rule_id, rule), a checked, small list."""
+    return df.withColumn("rule_id", F.explode(_rule_hits(rules, conditions, max_rules)))
 
 
 def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05, multipliers=(2, 5, 10), conditions: str = "conditions") -> DataFrame:
@@ -257,15 +278,11 @@ def rule_similarity(df: DataFrame, rules: DataFrame, target: str, conditions: st
     Sums per rule and per pair are enough for both parts; the pairs are those of
     the rules one row meets, and they are added up map-side.
     """
-    if rules.limit(501).count() > 500:
-        raise ValueError("similarity is meant for a shortlist of at most 500 rules")
-    held = rules.agg(F.collect_list(F.struct("rule_id", "rule")).alias("_rules"))
-    x = df.select(target, conditions).crossJoin(F.broadcast(held))
-    x = x.withColumn("hit", F.array_sort(F.transform(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z))),
-                                                     lambda q: q["rule_id"]))).select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), "hit")
+    hit = _rule_hits(rules, conditions, 500)  # in rule_id order
+    x = cut_lineage(df.select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), hit.alias("hit")))
     one = x.select("y", F.explode("hit").alias("rule_id")).groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
-    two = x.select("y", F.explode(pairs_of("hit")).alias("p")).groupBy("p.a", "p.b").agg(
+    two = x.select("y", F.explode(pairs_of("hit", _width(x, "hit"))).alias("p")).groupBy("p.a", "p.b").agg(
         F.count(F.lit(1)).alias("nab"), F.sum(F.col("y") * F.col("y")).alias("qab"))
     j = two.join(one.select(F.col("rule_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a") \
         .join(one.select(F.col("rule_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b")

@@ -150,7 +150,8 @@ def ks_two_sample(a: DataFrame, b: DataFrame, col: str, rows_per_slice: int | No
         b.select(F.col(col).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).filter(F.col("x").isNotNull())
     g = u.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     r = running(g, [], ["x"], {"ca": ("sum", F.col("a")), "cb": ("sum", F.col("b"))}, rows_per_slice=rows_per_slice)
-    na, nb = g.select(F.sum("a")).scalar().cast("double"), g.select(F.sum("b")).scalar().cast("double")
+    got = u.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()  # two row counts
+    na, nb = F.lit(float(got["a"] or 0)), F.lit(float(got["b"] or 0))
     out = r.agg(F.max(F.abs(F.col("ca") / na - F.col("cb") / nb)).alias("ks"))
     en = F.sqrt(na * nb / (na + nb))
     lam = (en + 0.12 + 0.11 / en) * F.col("ks")

@@ -503,7 +503,8 @@ def baseline_excess(df: DataFrame, dims: list[str], r: str, min_group: int = 10)
 def quartile_bucket(df: DataFrame, value: str, out: str) -> DataFrame:
     """low / mid_low / mid_high / high by the exact quartiles of the whole table."""
     q = exact_quantiles(df, [], value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    q1, q2, q3 = (q.select(x).scalar() for x in ("q1", "q2", "q3"))
+    got = q.first()  # three numbers
+    q1, q2, q3 = (F.lit(got[k]) if got else F.lit(None).cast("double") for k in ("q1", "q2", "q3"))
     x = F.col(value)
     return df.withColumn(out, F.when(x <= q1, "low").when(x <= q2, "mid_low").when(x <= q3, "mid_high").when(x > q3, "high").otherwise("mid"))
 
@@ -620,8 +621,8 @@ def learning_effectiveness(df: DataFrame, components: str, severity: str) -> Dat
         return [F.count(F.lit(1)).alias("n"), F.sum(r).alias("s"), F.count(F.when(r > 0, 1)).alias("w"), F.sum(severity).alias("v")]
 
     g = x.groupBy("adjustment").agg(*sums())
-    t = df.agg(*sums())
-    n, s, w, v = (t.select(k).scalar() for k in ("n", "s", "w", "v"))
+    t = df.agg(*sums()).first()  # one row of four numbers
+    n, s, w, v = (F.lit(t[k]) for k in ("n", "s", "w", "v"))
     return g.select("adjustment", F.col("n").alias("trades_with"), (n - F.col("n")).alias("trades_without"),
                     (F.col("s") / F.col("n")).alias("avg_r_with"), div(s - F.col("s"), n - F.col("n")).alias("avg_r_without"),
                     (F.col("w") / F.col("n")).alias("win_rate_with"), div(w - F.col("w"), n - F.col("n")).alias("win_rate_without"),

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 ROWS_PER_SLICE = 4_000_000
-ROWS_PER_BLOCK = 65_536
+ROWS_PER_BLOCK = 8_192
 MAX_SLICES = 1024
 
 
@@ -194,7 +194,9 @@ def blocked(df: DataFrame, lookback: int, lookahead: int = 0, *, keys: Sequence[
     the one copy of a row that belongs to the block).  Evaluate windows over
     ``(keys, blk)`` ordered by ``rn``, then call :func:`core_rows`.
     """
-    size = max(rows_per_block or ROWS_PER_BLOCK, lookback, lookahead, 1)
+    # copied rows stay below an eighth of a block unless a size is given
+    size = max(rows_per_block, lookback, lookahead, 1) if rows_per_block else \
+        max(ROWS_PER_BLOCK, 8 * (lookback + lookahead))
     p = with_position(df, keys, order, unit=unit)
     home = F.floor(F.col("rn") / F.lit(size))
     inside = F.col("rn") % F.lit(size)

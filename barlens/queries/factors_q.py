@@ -52,6 +52,15 @@ def _(spark, d):
     return S.bars(spark, d).withColumn("r", X.cs_rank_center("close"))
 
 
+def _rc(x):
+    return f"CASE WHEN count(*) OVER (PARTITION BY ts) >= 3 THEN ({_POS.format(x=x)} + 0.5) / count(*) OVER (PARTITION BY ts) ELSE {x} END"
+
+
+@query("X3_cs_rank_matrix", "symbol ts@ close# volume# high#", f"SELECT symbol, ts, {_rc('close')} AS close, {_rc('volume')} AS volume, {_rc('high')} AS high FROM bars_4h")
+def _(spark, d):
+    return X.cs_rank_matrix(S.bars(spark, d), ["close", "volume", "high"])
+
+
 @query("X4_cs_zscore", "symbol ts@ z#", """
 SELECT symbol, ts, (close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0) AS z FROM bars_4h WINDOW w AS (PARTITION BY ts)""")
 def _(spark, d):
