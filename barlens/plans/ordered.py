@@ -33,6 +33,11 @@ def _numeric(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp"))
     if isinstance(t, T.DateType):
         return F.unix_date(F.col(name)).cast("long")
+    if isinstance(t, T.StringType):  # the first seven bytes keep the order
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("long")
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
+        return F.col(name).cast("int").cast("long")
     return F.col(name)
 
 
@@ -59,9 +64,13 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 def _slice_level(df, keys, order, limit, out, parts):
     depth = len(parts)
     col, cuts, tie = f"_num{depth}", f"_cuts{depth}", f"_tie{depth}"
+    # equal prefixes of a text are not equal texts, so they may not be cut by a later column
+    exact = not isinstance(df.schema[order[0]].dataType, T.StringType)
     df = df.withColumn(col, _numeric(df, order[0]))
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    probe = df.select(*keys, col)
+    # below the first column only the rows of a hot instant are cut further
+    inside = df.filter(F.col(f"_tk{depth - 1}").isNotNull()) if depth else df
+    hot = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    probe = inside.select(*keys, col)
     probe = (probe.join(F.broadcast(hot), _null_safe(probe, hot, keys), "inner")
              .select(*[probe[k] for k in keys], col, "_n"))
     grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
@@ -74,7 +83,7 @@ def _slice_level(df, keys, order, limit, out, parts):
     q = q.withColumn(cuts, F.array_distinct(cuts))
     j = df.join(F.broadcast(q.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], cuts, tie)),
                 _key_eq(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
-    is_tie = F.coalesce(F.array_contains(F.col(tie), F.col(col)), F.lit(False))
+    is_tie = F.coalesce(F.array_contains(F.col(tie), F.col(col)), F.lit(False)) if exact else F.lit(False)
     label = (F.coalesce(F.expr(f"size(filter({cuts}, x -> x < {col}))"), F.lit(0)) * 2
              + F.when(is_tie, 1).otherwise(0)).cast("long")
     level = f"_lvl{depth}"

@@ -6,8 +6,8 @@ import __spark_entry__ as entry
 from oracle import compare, duck
 
 SAMPLE = ["TS4_ffill_resample", "DQ3_quality_report", "P27_buckets", "W18_macd", "W28_consecutive", "X8_residual_return", "F11_trend_pullback_ema",
-          "E2_rank_ic", "J1_asof_join", "J4_event_window_sum", "L2_barrier_label", "L9_walk_forward_split", "A5_group_metrics", "A20_profitability",
-          "M5_level2_scan", "C11_ks_two_sample", "K2_top_bottom_k", "IO14_upsert_candles"]
+          "E2_rank_ic", "J1_asof_join", "J4_event_window_sum", "L2_barrier_label", "L12_purged_expanding", "A5_group_metrics", "A20_profitability",
+          "M1_fit_deciles", "C11_ks_two_sample", "K2_top_bottom_k", "IO14_upsert_candles"]
 
 
 def test_contract():
