@@ -167,6 +167,26 @@ def volume_cumulative(df: DataFrame) -> DataFrame:
     return df.withColumns({"vwap_cum": vwap, "vwap_deviation": div(C() - vwap, vwap)}).drop("_sv", "_pv", "_v")
 
 
+def prefix_columns(bars: DataFrame, rows_per_block: int | None = None) -> DataFrame:
+    """Bars with ``rn`` and everything that accumulates from the start of a symbol.
+
+    One prefix scan for VWAP, on-balance volume and the runs of up and down
+    bars; done before the windowed groups, so that their plan is not repeated
+    for the carried totals.
+    """
+    d = C() - lag(C())
+    b = blocked(bars, 1, rows_per_block=rows_per_block).withColumn("_sv", F.when(d > 0, V()).when(d < 0, -V()).otherwise(0.0))
+    rn = F.col("rn")
+    b = running(b.filter("core"), ["symbol"], ["rn"], {
+        "_pv": ("sum", B.typical_price() * V()), "_v": ("sum", V()), "obv_N": ("sum", F.col("_sv")),
+        "_bu": ("max", F.when(~F.coalesce(C() > O(), F.lit(False)) | (rn == 0), rn)),
+        "_bd": ("max", F.when(~F.coalesce(C() < O(), F.lit(False)) | (rn == 0), rn))}, slice_col=F.col("blk"))
+    vwap = div(F.col("_pv"), F.col("_v"))
+    return b.withColumns({"vwap_cum": vwap, "vwap_deviation": div(C() - vwap, vwap),
+                          "consecutive_up_N": (rn - F.col("_bu")).cast("double"), "consecutive_dn_N": (rn - F.col("_bd")).cast("double")}) \
+        .drop("_sv", "_pv", "_v", "_bu", "_bd", "blk", "core")
+
+
 def vwap_rolling(df: DataFrame, n: int = 20) -> DataFrame:
     return df.withColumn("vwap_rolling", div(r_sum(B.typical_price() * V(), n), r_sum(V(), n)))
 

@@ -24,7 +24,8 @@ def runtime_indicators(bars: DataFrame, rows_per_block: int | None = None) -> Da
     Needs open, high, low, close, volume, and uses trade_count, quote_volume and
     taker_buy_volume where present.
     """
-    b = blocked(bars, LOOKBACK, 14, rows_per_block=rows_per_block)
+    src = ft.prefix_columns(bars, rows_per_block).drop("vwap_deviation", "consecutive_up_N", "consecutive_dn_N")
+    b = blocked(src, LOOKBACK, 14, rows_per_block=rows_per_block)
     c, h, lo, v = (F.col(x) for x in ("close", "high", "low", "volume"))
     pc = lag("close")
     tp = B.typical_price()
@@ -95,11 +96,9 @@ def runtime_indicators(bars: DataFrame, rows_per_block: int | None = None) -> Da
         b = b.withColumn("trade_intensity", F.coalesce(div(n, r_mean(n, 20, 3, full=False)), F.lit(1.0)))
         if "quote_volume" in bars.columns:
             b = b.withColumn("avg_trade_notional", F.coalesce(div("quote_volume", n), F.lit(0.0)))
-    b = b.withColumn("_sv", F.when(d > 0, v).when(d < 0, -v).otherwise(0.0))
-    b = b.withColumn("obv_slope", F.coalesce(F.when(RN() >= 5, F.sum("_sv").over(frame(5))), F.lit(0.0)))
-    b = ft.cumulative(b, {"_cpv": F.col("_tp") * v, "_cv": v, "obv": F.col("_sv")})
-    b = b.withColumn("vwap", F.coalesce(div("_cpv", "_cv"), c))
-    b = b.withColumn("price_vs_vwap", F.coalesce(div(c - F.col("vwap"), "vwap") * 100.0, F.lit(0.0)))
+    b = b.withColumnRenamed("obv_N", "obv").withColumn("vwap", F.coalesce("vwap_cum", c)).drop("vwap_cum")
+    b = b.withColumns({"obv_slope": F.coalesce(F.col("obv") - lag("obv", 5), F.lit(0.0)),
+                       "price_vs_vwap": F.coalesce(div(c - F.col("vwap"), "vwap") * 100.0, F.lit(0.0))})
     return core_rows(b.drop(*[x for x in b.columns if x.startswith("_")]))
 
 
@@ -188,12 +187,14 @@ def feature_set(bars: DataFrame, mode: str = "SWING", groups: list[str] | None =
         "candle": lambda x: ft.candle_group(x, p["candle"]), "regime": lambda x: ft.volatility_regime(x, p["vol_regime"]),
         "scalp_momentum": ft.scalp_momentum_group, "taker_flow": ft.taker_flow_group,
         "time": lambda x: x.withColumns(B.calendar(F.col("ts"))),
-        "cumulative": ft.volume_cumulative, "streaks": ft.streaks,
     }
-    pick = groups or list(every)
+    prefix = {"cumulative": ["vwap_cum", "vwap_deviation", "obv_N"], "streaks": ["consecutive_up_N", "consecutive_dn_N"]}
+    pick = groups or [*every, *prefix]
     look = max(302, ft.momentum_lookback(p["rsi"], fast, slow, sig) if "momentum" in pick else 0)
-    df = ft.base(blocked(bars, look, rows_per_block=rows_per_block))
-    for name in every:  # cumulative groups come last: they leave only the core rows
+    unused = [x for g, xs in prefix.items() if g not in pick for x in xs]
+    src = ft.prefix_columns(bars, rows_per_block).drop(*unused) if any(g in pick for g in prefix) else bars
+    df = ft.base(blocked(src, look, rows_per_block=rows_per_block))
+    for name in every:
         if name in pick:
             df = every[name](df)
     return core_rows(df).drop("ret", "tr", "up_vol", "dn_vol", "obi_")

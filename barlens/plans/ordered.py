@@ -206,7 +206,7 @@ def blocked(df: DataFrame, lookback: int, lookahead: int = 0, *, keys: Sequence[
     # copied rows stay below an eighth of a block unless a size is given
     size = max(rows_per_block, lookback, lookahead, 1) if rows_per_block else \
         max(ROWS_PER_BLOCK, 8 * (lookback + lookahead))
-    p = with_position(df, keys, order, unit=unit)
+    p = df if "rn" in df.columns else with_position(df, keys, order, unit=unit)  # a position at hand is reused
     home = F.floor(F.col("rn") / F.lit(size))
     inside = F.col("rn") % F.lit(size)
     targets = [home]
