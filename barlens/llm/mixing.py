@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share: float = 1.0, salt: str = "mix",
-        rows_per_task: int = 200_000) -> DataFrame:
+        rows_per_task: int = 20_000) -> DataFrame:
     """Adds source_size, target, copies and taken to (doc_id, source, size, ...).
 
     Documents of a source stand in a shuffled order (md5 of id and salt).  Copy e of a document finishes at
@@ -75,7 +75,7 @@ def mix(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, share:
 
     tie = ["_finish", "rank", "_key", "doc_id", "size"]
     copies = docs.where("size > 0").select("size", "rank", "_key", "doc_id", "budget", F.explode(F.array(*[finish(e) for e in range(max_epochs)])).alias("_finish"))
-    parts = max(2, -(-n * max_epochs // rows_per_task))
+    parts = max(2, -(-n * max_epochs // (10 * rows_per_task)))
     line = written(copies.repartitionByRange(parts, *tie).withColumn("_part", F.spark_partition_id()), "mix-line")
     before = line.groupBy("_part").agg(F.sum("size").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(
         W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, exact_dedup, mixing
+from barlens.llm import bpe, embed_dedup, exact_dedup, jaccard, mixing, warc
 
 QUERIES = {
+    "op1_embed_near_dedup": embed_dedup.op1_embed_near_dedup,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe": bpe.op8_bpe,
+    "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
 }
 ORACLES = {
