@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barlens.llm.common import byte_slices, table
+from barlens.llm.common import byte_slices, table, text_batches
 
 #: The pre-token pattern of byte-level BPE files, and the characters that Unicode calls white space.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -170,6 +170,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def _encode(docs: DataFrame, tokenizer: str | None, schema: str, row) -> DataFrame:
     spark = docs.sparkSession
+    text_batches(spark)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     names = [c.split()[0] for c in schema.split(", ")]

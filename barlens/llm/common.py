@@ -29,6 +29,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def text_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Texts can be long: Arrow batches of few rows and bytes keep a Python worker's memory bounded.  Stricter settings stay."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,4 +94,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
-__all__ = ["WS", "NOT_WS", "written", "cut", "table", "n_words", "held_out", "byte_slices", "components"]
+__all__ = ["WS", "NOT_WS", "written", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "components"]

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlens.llm.common import byte_slices, components, cut, table, written
+from barlens.llm.common import byte_slices, components, table, text_batches, written
 from barlens.llm.shingles import digest, least, shingle_sets
 
 #: Words per shingle and similarity in percent.
@@ -128,6 +128,7 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
     the whole sequence; repeated rows are linked if not empty; a null doc_id is returned as its own row, unlinked;
     an empty table gives no rows; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = written(docs.mapInArrow(_profile(k, percent), "doc_id long, n long, h1 long, h2 long, n_prefix long, prefix array<long>"), "shingle-sets")
     some = sets.where("n > 0 AND doc_id IS NOT NULL")

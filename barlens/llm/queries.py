@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, embed_dedup, exact_dedup, jaccard, mixing, warc
+from barlens.llm import bpe, embed_dedup, exact_dedup, jaccard, langid, mixing, toxicity, warc
 
 QUERIES = {
     "op1_embed_near_dedup": embed_dedup.op1_embed_near_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language_id": langid.op3_language_id,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_bpe": bpe.op8_bpe,

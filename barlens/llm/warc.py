@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barlens.llm.common import table
+from barlens.llm.common import table, text_batches
 from barlens.session import shared_dir
 
 #: Fixed values of the formats.  ARC: name of the first record, fields of a header line by version.  WARC: line end, revisit profile.
@@ -268,6 +268,7 @@ def archived(pages: DataFrame, smallest: int = 0) -> DataFrame:
     size is that of the payload it refers to; an empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     root = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex[:12]}"
     # the pages have no crawl time: seconds since 1996 by id, as a 14-digit stamp
     stamp = F.date_format(F.timestamp_seconds(F.lit(820454400) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(900_000_000))), "yyyyMMddHHmmss")
