@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barlens.llm.common import WS, table, written
+from barlens.llm.common import WS, table, text_batches, written
 
+#: Characters of a text that a splitter holds.
+HEAD = 64
 _RUNS = ("part int, row long, doc_id long, head long, text_sha256 string, starts boolean, edge string, is_first boolean, is_last boolean")
 
 
@@ -27,7 +27,7 @@ def _runs(batches):
     part, row = TaskContext.get().partitionId(), 0
     last_text = head = digest = held = None
     for batch in batches:
-        texts, ids = batch.column("norm"), batch.column("doc_id").to_pylist()
+        texts, ids, shas = batch.column("norm"), batch.column("doc_id").to_pylist(), batch.column("sha").to_pylist()
         if not ids:
             continue
         same = [False] * len(ids)
@@ -40,7 +40,7 @@ def _runs(batches):
                 out[k].append(held[k])
         for i, doc in enumerate(ids):
             if not same[i]:
-                head, digest = doc, hashlib.sha256(texts[i].as_buffer() or b"").hexdigest()
+                head, digest = doc, shas[i]
             first = row == 0
             values = (part, row, doc, head, digest, not same[i], texts[i].as_py() if first else None, first, False)
             for k, v in zip(out, values):
@@ -64,15 +64,18 @@ def sorted_runs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(doc_id, keep_id, text_sha256) per row of (doc_id, text).
 
     Sampled splitters range-partition the normalised texts together with the id, so equal texts lie next to each other and a
-    text that holds a third of all rows is still spread over many tasks.  Each task sorts externally (Spark's sort spills)
+    text that holds a third of all rows is still spread over many tasks.  A splitter holds the text's first characters, its
+    SHA-256 and the id, as whole texts would not fit the sample that the driver sorts; the sort goes on to the whole text.  Each task sorts externally (Spark's sort spills)
     and compares neighbours in full.  A run that crosses a border is joined by comparing the edge texts of neighbouring
     partitions: one small row per partition.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"))
+    rows = rows.select("doc_id", "norm", F.sha2(F.col("norm"), 256).alias("sha"), F.substring("norm", 1, HEAD).alias("begins"))
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.repartitionByRange(parts, "norm", "doc_id").sortWithinPartitions("norm", "doc_id")
-    runs = written(rows.mapInArrow(_runs, _RUNS), "sorted-runs")
+    rows = rows.repartitionByRange(parts, "begins", "sha", "doc_id").sortWithinPartitions("begins", "sha", "norm", "doc_id")
+    runs = written(rows.select("doc_id", "norm", "sha").mapInArrow(_runs, _RUNS), "sorted-runs")
     # one row per non-empty partition, in order; a partition continues the one before if their edge texts are equal
     first = runs.where("is_first").select("part", F.col("edge").alias("first_text"))
     last = runs.where("is_last").select("part", F.col("edge").alias("last_text"), F.col("head").alias("last_head"))
@@ -81,14 +84,14 @@ def sorted_runs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     order = W.orderBy("part")
     edges = edges.withColumn("goes_on", F.coalesce(F.lag("last_text").over(order) == F.col("first_text"), F.lit(False)))
     # where a border run begins: the last partition before that does not go on as one single run
-    edges = edges.withColumn("start", F.when(~(F.col("goes_on") & (F.col("n_runs") == 1)), F.col("last_head")))
+    edges = edges.withColumn("start", F.when(~(F.col("goes_on") & (F.col("n_runs") == 1)), F.struct(F.col("last_head").alias("id"))))
     edges = edges.withColumn("run_head", F.last("start", True).over(order.rowsBetween(W.unboundedPreceding, -1)))
     fix = edges.where("goes_on").select("part", "run_head")
     runs = runs.join(F.broadcast(fix), "part", "left")  # at most one row per partition
     # rows of the first run of a partition that goes on: their head is that partition's first id and they lie before the next start
     second = runs.where("starts and row > 0").groupBy("part").agg(F.min("row").alias("second"))
     runs = runs.join(F.broadcast(second), "part", "left")
-    keep = F.when(F.col("run_head").isNotNull() & (F.col("second").isNull() | (F.col("row") < F.col("second"))), F.col("run_head")).otherwise(F.col("head"))
+    keep = F.when(F.col("run_head").isNotNull() & (F.col("second").isNull() | (F.col("row") < F.col("second"))), F.col("run_head.id")).otherwise(F.col("head"))
     return runs.select("part", "row", "doc_id", keep.alias("keep_id"), "text_sha256")
 
 
