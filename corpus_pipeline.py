@@ -1,33 +1,49 @@
-"""Documents to token counts: four or five stages, each calling one operator of ``barlens.llm``."""
+"""Documents to token counts in five stages, each calling one operator of ``barlens.llm``.
+
+A stage takes (spark, docs, sf_dir), docs being what the stage before it kept, and returns documents again, the last one token counts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlens.llm import bpe, exact_dedup, mixing
-from barlens.llm.common import written
+from barlens.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from barlens.llm.common import table, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the lexicon is learned from the labelled documents of the folder."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
     return exact_dedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar documents: five words a shingle, a similarity of 0.8 or more."""
+    return jaccard.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: each document as often as it is taken."""
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests per document of the mixture."""
     return bpe.digests(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mix", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix_sources), ("BPE", encode)]
 
-#: Scores of a fitted model cannot be written in SQL; tests compare with a brute-force version.
+#: Scores of a fitted model cannot be written in SQL; the tests compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
