@@ -16,7 +16,7 @@ from barlens.functions.core import clip, div
 from barlens.operators.cross import cs_rank_pct, cs_zscore
 from barlens.operators.windows import lag, r_max, r_mean, r_min, r_rank_pct, r_std
 from barlens.plans.ordered import blocked, core_rows
-from barlens.plans.recurrence import ema, lookback_for
+from barlens.plans.recurrence import Ema, emas, lookback_for
 
 C, O, H, L, V = "close", "open", "high", "low", "volume"
 
@@ -40,8 +40,7 @@ def prepare(df: DataFrame) -> DataFrame:
         "rng": _rng(), "vol_ma": _mean(V, 24, 12), "vol_sd": r_std(V, 24, 12, full=False),
         "hi24": r_max(H, 24, 12, full=False), "lo24": r_min(L, 24, 12, full=False)})
     df = df.withColumns({"rng6": _mean("rng", 6, 3), "rng12": _mean("rng", 12, 6), "rng24": _mean("rng", 24, 12)})
-    for n, mp in ((24, 12), (48, 24)):
-        df = ema(df, C, 2.0 / (n + 1), f"ema_{n}", min_periods=mp, gaps=True)
+    df = emas(df, *[Ema(C, 2.0 / (n + 1), f"ema_{n}", min_periods=mp, gaps=True) for n, mp in ((24, 12), (48, 24))])
     df = df.withColumn("hl2", F.pow(div(_rng(), (F.col(H) + F.col(L)) / 2), 2))
     df = df.withColumn("spread", cs_proxy(F.col("hl2"), lag("hl2")))
     df = df.withColumns({"spread6": _mean("spread", 6, 3), "spread48": _mean("spread", 48, 24),

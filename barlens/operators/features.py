@@ -18,7 +18,7 @@ from barlens.functions.core import clip, div, ln
 from barlens.operators.windows import (RN, lag, order_stat, r_beta, r_corr, r_list, r_max, r_mean, r_median, r_min,
                                        r_slope, r_std, r_sum, r_var, r_zscore, roll)
 from barlens.plans.ordered import blocked, core_rows, frame, running
-from barlens.plans.recurrence import ema, lookback_for
+from barlens.plans.recurrence import Ema, ema, emas, lookback_for
 
 O, H, L, C, V = B.O, B.H, B.L, B.C, B.V
 Group = Callable[[DataFrame], DataFrame]
@@ -105,8 +105,7 @@ def rsi(df: DataFrame, n: int = 14, out: str = "rsi_N") -> DataFrame:
     d = C() - lag(C())
     df = df.withColumns({"_g": F.when(d > 0, d).when(d.isNotNull(), 0.0),
                          "_l": F.when(d < 0, -d).when(d.isNotNull(), 0.0)})
-    df = ema(df, "_g", 1.0 / n, "_ag", seed="sma", n=n)
-    df = ema(df, "_l", 1.0 / n, "_al", seed="sma", n=n)
+    df = emas(df, *[Ema(x, 1.0 / n, out_, seed="sma", n=n) for x, out_ in (("_g", "_ag"), ("_l", "_al"))])
     ag, al = F.col("_ag"), F.col("_al")
     return df.withColumn(out, F.when(al == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + div(ag, al)))) \
         .drop("_g", "_l", "_ag", "_al")
@@ -114,8 +113,7 @@ def rsi(df: DataFrame, n: int = 14, out: str = "rsi_N") -> DataFrame:
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """EMAs seeded by the mean of their first values."""
-    df = ema(df, C(), 2.0 / (fast + 1), "_f", seed="sma", n=fast)
-    df = ema(df, C(), 2.0 / (slow + 1), "_s", seed="sma", n=slow)
+    df = emas(df, Ema(C(), 2.0 / (fast + 1), "_f", seed="sma", n=fast), Ema(C(), 2.0 / (slow + 1), "_s", seed="sma", n=slow))
     df = df.withColumn("macd", F.col("_f") - F.col("_s"))
     df = ema(df, "macd", 2.0 / (signal + 1), "macd_signal", seed="sma", n=signal)
     return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
@@ -184,7 +182,7 @@ def prefix_columns(bars: DataFrame, rows_per_block: int | None = None) -> DataFr
     vwap = div(F.col("_pv"), F.col("_v"))
     return b.withColumns({"vwap_cum": vwap, "vwap_deviation": div(C() - vwap, vwap),
                           "consecutive_up_N": (rn - F.col("_bu")).cast("double"), "consecutive_dn_N": (rn - F.col("_bd")).cast("double")}) \
-        .drop("_sv", "_pv", "_v", "_bu", "_bd", "blk", "core")
+        .drop("_sv", "_pv", "_v", "_bu", "_bd", "blk", "core", "zone")
 
 
 def vwap_rolling(df: DataFrame, n: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from barlens.functions.core import div
 from barlens.operators import features as ft, flow as fl
 from barlens.operators.windows import RN, lag, r_kurt, r_list, r_max, r_mean, r_min, r_skew, r_std, r_sum, w_slope
 from barlens.plans.ordered import blocked, core_rows, frame
-from barlens.plans.recurrence import ema, lookback_for
+from barlens.plans.recurrence import Ema, emas, lookback_for
 
 LOOKBACK = lookback_for(2.0 / 201) + 40
 
@@ -36,20 +36,18 @@ def runtime_indicators(bars: DataFrame, rows_per_block: int | None = None) -> Da
         "log_return": F.coalesce(F.when((c > 0) & (pc > 0), F.log(div(c, pc))), F.lit(0.0))})
     d = F.col("_d")
     b = b.withColumns({"_g": F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))), "_l": F.when(d.isNotNull(), F.greatest(-d, F.lit(0.0)))})
-    for n in (9, 12, 13, 21, 26, 50, 200):
-        b = ema(b, "close", 2.0 / (n + 1), f"ema_{n}")
-    for x, mp in (("_g", 14), ("_l", 14), ("_tr", 14), ("_pdm", 1), ("_mdm", 1)):
-        b = ema(b, x, 1.0 / 14, f"{x}w", min_periods=mp)
+    b = emas(b, *[Ema("close", 2.0 / (n + 1), f"ema_{n}") for n in (9, 12, 13, 21, 26, 50, 200)],
+             *[Ema(x, 1.0 / 14, f"{x}w", min_periods=mp) for x, mp in (("_g", 14), ("_l", 14), ("_tr", 14), ("_pdm", 1), ("_mdm", 1))])
     # the warm-up takes the first known ATR
     first_atr = F.max(F.when(RN() == 13, F.col("_trw"))).over(frame(start=0, end=13))
     b = b.withColumn("atr", F.coalesce("_trw", first_atr))
     b = b.withColumn("rsi", F.coalesce(100.0 - 100.0 / (1.0 + div("_gw", "_lw")), F.lit(50.0)))
     b = b.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    b = ema(b, "macd", 0.2, "macd_signal")
     pdi, mdi = F.coalesce(div(100.0 * F.col("_pdmw"), "atr"), F.lit(0.0)), F.coalesce(div(100.0 * F.col("_mdmw"), "atr"), F.lit(0.0))
-    b = b.withColumns({"dmp": pdi, "dmn": mdi, "macd_hist": F.col("macd") - F.col("macd_signal")})
+    b = b.withColumns({"dmp": pdi, "dmn": mdi})
     b = b.withColumn("_dx", F.coalesce(div(F.abs(F.col("dmp") - F.col("dmn")), F.col("dmp") + F.col("dmn")) * 100.0, F.lit(0.0)))
-    b = ema(b, "_dx", 1.0 / 14, "_adx", min_periods=14)
+    b = emas(b, Ema("macd", 0.2, "macd_signal"), Ema("_dx", 1.0 / 14, "_adx", min_periods=14))
+    b = b.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
     hh, ll = r_max(h, 14, 1, full=False), r_min(lo, 14, 1, full=False)
     rmin, rmax = r_min("rsi", 14, 1, full=False), r_max("rsi", 14, 1, full=False)
     sd20 = F.coalesce(r_std(c, 20, 2, full=False), F.lit(0.0))

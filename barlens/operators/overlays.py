@@ -10,7 +10,7 @@ from barlens.operators import timegrid as T
 from barlens.operators.features import base, cumulative, on_bars, rsi
 from barlens.operators.windows import RN, lag, r_mean, r_std, r_zscore
 from barlens.plans.ordered import blocked, core_rows, frame, running
-from barlens.plans.recurrence import ema, lookback_for
+from barlens.plans.recurrence import Ema, ema, emas, lookback_for
 
 
 def funding_proxy(df: DataFrame) -> DataFrame:
@@ -62,16 +62,11 @@ def context_features(blocks: DataFrame) -> DataFrame:
     look = lookback_for(2.0 / 51) + lookback_for(2.0 / 15)
     x = blocks.select("symbol", "block", F.col("ts").alias("ts"), "open", "high", "low", "close", "volume")
     b = base(blocked(x, look))
-    for n in (5, 20):
-        b = ema(b, "close", 2.0 / (n + 1), f"_e{n}")
-    b = ema(b, "tr", 2.0 / 15, "_atr")
-    b = ema(b, "_atr", 2.0 / 51, "_atrm")
-    b = ema(b, "volume", 2.0 / 21, "_vm")
-    b = rsi(b, 14, "_rsi0")
     d = F.col("close") - lag("close")
     b = b.withColumns({"_g": F.when(d > 0, d).when(d.isNotNull(), 0.0), "_l": F.when(d < 0, -d).when(d.isNotNull(), 0.0)})
-    b = ema(b, "_g", 1.0 / 14, "_ag", seed="sma", n=14)
-    b = ema(b, "_l", 1.0 / 14, "_al", seed="sma", n=14)
+    b = emas(b, *[Ema("close", 2.0 / (n + 1), f"_e{n}") for n in (5, 20)], Ema("tr", 2.0 / 15, "_atr"), Ema("volume", 2.0 / 21, "_vm"),
+             Ema("_g", 1.0 / 14, "_ag", seed="sma", n=14), Ema("_l", 1.0 / 14, "_al", seed="sma", n=14))
+    b = ema(b, "_atr", 2.0 / 51, "_atrm")
     sd = r_std("close", 20, 20)
     width = 4.0 * sd
     vs, vl = r_std("ret", 5, 5), r_std("ret", 20, 20)
@@ -124,7 +119,7 @@ def funding_regime(df: DataFrame, window: int = 168, span: int = 168, as_of: str
         x = x.join(g, "symbol")
     else:
         x = running(b.filter("core"), ["symbol"], ["rn"], {"_s": ("sum", F.col("_m")), "_n": ("count", F.col("_m"))}, slice_col=F.col("blk"))
-        x = x.withColumn("_t", div("_s", "_n")).drop("_s", "_n", "blk", "core", "rn")
+        x = x.withColumn("_t", div("_s", "_n")).drop("_s", "_n", "blk", "core", "zone", "rn")
     m, t = F.col("_m"), F.col("_t")
     return x.withColumns({"funding_direction": F.signum(f),
                           "funding_regime": F.when(t > 0, F.when(m > t * 1.5, 2.0).when(m < t * 0.5, 0.0).when(m.isNotNull(), 1.0))}).drop("_m", "_t")

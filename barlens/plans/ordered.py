@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 ROWS_PER_SLICE = 4_000_000
 ROWS_PER_BLOCK = 8_192
 MAX_SLICES = 1024
+COLD = 40  # rows at the edge of a block that no window ahead of a recurrence exceeds
 
 
 def _numeric(df: DataFrame, name: str) -> Column:
@@ -199,9 +200,12 @@ def blocked(df: DataFrame, lookback: int, lookahead: int = 0, *, keys: Sequence[
             unit: str | None = "month") -> DataFrame:
     """Cut each key into blocks of consecutive rows with overlapping edges.
 
-    Adds ``rn`` (0-based position in the key), ``blk`` and ``core`` (true for
-    the one copy of a row that belongs to the block).  Evaluate windows over
-    ``(keys, blk)`` ordered by ``rn``, then call :func:`core_rows`.
+    Adds ``rn`` (0-based position in the key), ``blk``, ``core`` (true for
+    the one copy of a row that belongs to the block) and ``zone``: -1 and 0 copies
+    from the block before (the first few are -1: windows over them are cut short),
+    1 own rows that come before the next block's zone 0, 2 the other own rows, 3 copies
+    from the block behind.  Evaluate windows over ``(keys, blk)`` ordered by
+    ``rn``, then call :func:`core_rows`.
     """
     # copied rows stay below an eighth of a block unless a size is given
     size = max(rows_per_block, lookback, lookahead, 1) if rows_per_block else \
@@ -214,13 +218,17 @@ def blocked(df: DataFrame, lookback: int, lookahead: int = 0, *, keys: Sequence[
         targets.append(F.when(inside >= size - lookback, home + 1))
     if lookahead > 0:
         targets.append(F.when((inside < lookahead) & (home > 0), home - 1))
+    handed_over = inside < size - lookback + min(COLD, lookback // 8)
+    blk = F.col("blk")
     return (p.withColumn("_home", home)
             .withColumn("blk", F.explode(F.array_compact(F.array(*targets))))
-            .withColumn("core", F.col("blk") == F.col("_home")).drop("_home"))
+            .withColumn("core", blk == F.col("_home"))
+            .withColumn("zone", F.when(blk > F.col("_home"), F.when(handed_over, -1).otherwise(0))
+                        .when(blk < F.col("_home"), 3).otherwise(F.when(handed_over, 1).otherwise(2)).cast("int")).drop("_home"))
 
 
 def core_rows(df: DataFrame, drop: Sequence[str] = ("rn",)) -> DataFrame:
-    return df.filter("core").drop("blk", "core", *drop)
+    return df.filter("core").drop("blk", "core", "zone", *drop)
 
 
 def frame(n: int | None = None, *, keys: Sequence[str] = ("symbol",), start: int | None = None,

@@ -1,23 +1,25 @@
-"""Linear recurrences y[t] = a[t]*y[t-1] + b[t] by windows only.
+"""Exponential means as linear recurrences y[t] = a[t]*y[t-1] + b[t], exact for any cut into blocks.
 
-A block of rows is cut into short sub-blocks.  Inside one the closed form
-``y = A * sum(b / A)`` with ``A = prod(a)`` stays in range; the value carried in
-is folded over the last sub-block ends.  Blocks of the layout start cold with
-``y = 0``: the copied rows must be long enough for the forgotten term to vanish,
-which :func:`lookback_for` computes.
+A block is summed up by one row: how much of the level before it is left at its end, and what it adds itself.  A scan over
+these few rows gives the level each block starts from, however many NULL rows or whole blocks lie in between.  The same scan
+does the rows of a block.
+
+Scan: with l the running sum of log(a), y = exp(l) * sum(b * exp(-l)) over rows whose l lies within the same 300 units; what comes
+from further back is the value at the end of the 300 units before, decayed, and nothing that is older can be seen in a double.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions.core import c
-from barlens.plans.ordered import frame
+from barlens.session import written
 
-SUB = 128
 DECADES = 40.0  # exp(-40) is below double precision
+UNITS = 300.0
 
 
 def lookback_for(k: float) -> int:
@@ -25,67 +27,120 @@ def lookback_for(k: float) -> int:
     return int(math.ceil(DECADES / -math.log1p(-k))) if k < 1 else 1
 
 
-def linear_recurrence(df: DataFrame, out: str, a: Column, b: Column, memory: int) -> DataFrame:
-    """Add ``out`` with y[t] = a*y[t-1] + b; ``a`` in (0, 1], y before the start is 0.
-
-    ``memory`` is the number of rows after which the past no longer matters.
-    Rows to be skipped pass a=1 and b=0.
-    """
-    t = f"_{out}"
-    df = (df.withColumn("_sb", F.floor(F.col("rn") / F.lit(SUB)))
-          .withColumn(f"{t}_la", F.log(a)).withColumn(f"{t}_b", b))
-    sub = Window.partitionBy("symbol", "blk", "_sb").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"{t}_l", F.sum(f"{t}_la").over(sub))
-    df = df.withColumn(f"{t}_y", F.exp(f"{t}_l") * F.sum(F.col(f"{t}_b") * F.exp(-F.col(f"{t}_l"))).over(sub))
-    back = int(math.ceil(memory / SUB)) + 1
-    past = Window.partitionBy("symbol", "blk").orderBy("_sb").rangeBetween(-back, -1)
-    ends = F.collect_list(F.when(F.col("rn") % SUB == SUB - 1, F.struct(
-        F.exp(f"{t}_l").alias("d"), F.col(f"{t}_y").alias("v")))).over(past)
-    df = df.withColumn(f"{t}_e", ends)
-    carry = F.aggregate(f"{t}_e", F.lit(0.0), lambda acc, x: acc * x["d"] + x["v"])
-    return (df.withColumn(out, F.col(f"{t}_y") + F.exp(f"{t}_l") * carry)
-            .drop("_sb", *[f"{t}_{s}" for s in ("la", "b", "l", "y", "e")]))
-
-
-def ema(df: DataFrame, x: str | Column, k: float, out: str, *, seed: str = "first", n: int = 1,
-        min_periods: int = 1, gaps: bool = False) -> DataFrame:
-    """Exponential mean with weight ``k`` on the new value.
+@dataclass
+class Ema:
+    """One mean with weight ``k`` on the new value.
 
     seed='first': starts at the first value, NULL until ``min_periods`` values.
-    seed='sma'  : starts at row n-1 of the non-null run with the mean of the
-                  first ``n`` values, NULL before; later NULLs keep the level.
+    seed='sma'  : starts at the n-th value with the mean of the first ``n``, NULL before; later NULLs keep the level.
     gaps=True   : a NULL still ages the old level (weights by position).
     """
+
+    x: str | Column
+    k: float
+    out: str
+    seed: str = "first"
+    n: int = 1
+    min_periods: int = 1
+    gaps: bool = False
+
+
+def _scan(df: DataFrame, out: str, parts: list[str], order: str, log_a: Column, b: Column) -> DataFrame:
+    """Add ``out`` = a*y[t-1] + b with y = 0 before the first row, and ``out``_l, the running sum of log(a)."""
     t = f"_{out}"
-    upto = frame(start=Window.unboundedPreceding)
-    df = df.withColumn(f"{t}_x", c(x)).withColumn(f"{t}_n", F.count(f"{t}_x").over(upto))
-    v, n_seen = F.col(f"{t}_x"), F.col(f"{t}_n")
-    # a cold block has lost the true count, but its copied rows cover the warm-up
-    warm = F.col("blk") > 0
-    drop = [f"{t}_x", f"{t}_n"]
-    if seed == "first":
-        w = F.lit(1.0 - k)
-        if gaps:
-            prev = F.last(F.when(v.isNotNull(), F.col("rn")), True).over(
-                frame(start=Window.unboundedPreceding, end=-1))
-            df = df.withColumn(f"{t}_g", F.coalesce(F.col("rn") - prev, F.lit(1)))
-            drop.append(f"{t}_g")
-            w = F.pow(F.lit(1.0 - k), F.col(f"{t}_g"))
-        first = v.isNotNull() & (n_seen == 1)
-        a = F.when(v.isNull() | first, 1.0).otherwise(w / (w + k))
-        b = F.when(v.isNull(), 0.0).when(first, v).otherwise(v * (k / (w + k)))
-        ready = (n_seen >= min_periods) | (warm & (n_seen > 0))
-    elif seed == "sma":
-        mean_n = F.avg(f"{t}_x").over(frame(start=Window.unboundedPreceding))
-        df = df.withColumn(f"{t}_m", mean_n)
-        drop.append(f"{t}_m")
-        started = warm | (n_seen > n)
-        at_seed = ~warm & (n_seen == n) & v.isNotNull()
-        a = F.when(started & v.isNotNull(), 1.0 - k).otherwise(1.0)
-        b = F.when(at_seed, F.col(f"{t}_m")).when(started & v.isNotNull(), v * k).otherwise(0.0)
-        ready = warm | (n_seen >= n)
-    else:
-        raise ValueError(f"unknown seed {seed!r}")
-    y = f"{t}_y"
-    df = linear_recurrence(df, y, a, b, lookback_for(k))
-    return df.withColumn(out, F.when(ready, F.col(y))).drop(y, *drop)
+    w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{out}_l", F.sum(log_a).over(w)).withColumn(f"{t}_b", b)
+    df = df.withColumn(f"{t}_d", F.floor(-F.col(f"{out}_l") / UNITS)).withColumn(f"{t}_r", F.col(f"{out}_l") + F.col(f"{t}_d") * UNITS)
+    near = Window.partitionBy(*parts, f"{t}_d").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn(f"{t}_y", F.exp(f"{t}_r") * F.sum(F.col(f"{t}_b") * F.exp(-F.col(f"{t}_r"))).over(near))
+    before = Window.partitionBy(*parts).orderBy(f"{t}_d").rangeBetween(-1, -1)
+    end = F.max(F.struct(F.col(order).alias("o"), F.col(f"{t}_y").alias("y"), F.col(f"{t}_r").alias("r"))).over(before)
+    df = df.withColumn(f"{t}_e", end)
+    carry = F.exp(F.col(f"{t}_r") - UNITS - F.col(f"{t}_e.r")) * F.col(f"{t}_e.y")
+    return df.withColumn(out, F.col(f"{t}_y") + F.coalesce(carry, F.lit(0.0))).drop(*[f"{t}_{s}" for s in "bdrye"])
+
+
+def emas(df: DataFrame, *specs: Ema) -> DataFrame:
+    """Add exponential means to a blocked table; specs that do not depend on each other go together.
+
+    The table is written once, as the rows and the sums of the blocks both come from it.
+    """
+    group = ["symbol", "blk"]
+    w = Window.partitionBy(*group).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*group).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    df = written(df.withColumns({f"_x{i}": F.when(F.col("zone") >= 0, c(s.x).cast("double")) for i, s in enumerate(specs)}), "emas")
+    rows = df
+    for i, s in enumerate(specs):
+        if s.seed not in ("first", "sma"):
+            raise ValueError(f"unknown seed {s.seed!r}")
+        x = F.col(f"_x{i}")
+        rows = rows.withColumn(f"_i{i}", F.count(x).over(w))
+        age = F.lit(1.0)
+        if s.gaps:
+            age = F.col("rn") - F.last(F.when(x.isNotNull(), F.col("rn")), True).over(past)
+        left, new = _weights(s, age)
+        after_first = x.isNotNull() & (F.col(f"_i{i}") > 1)
+        rows = rows.withColumns({f"_a{i}": F.when(after_first, F.log(F.greatest(left, F.lit(1e-300)))).otherwise(0.0), f"_b{i}": F.when(after_first, new * x).otherwise(0.0)})
+        rows = _scan(rows, f"_y{i}", group, "rn", F.col(f"_a{i}"), F.col(f"_b{i}")).drop(f"_a{i}", f"_b{i}")
+    rows = rows.join(_starts(rows, specs), group, "left")
+    for i, s in enumerate(specs):
+        level = F.when(F.col(f"_i{i}") == 0, F.col(f"_s{i}.level")).otherwise(F.col(f"_y{i}") + F.exp(f"_y{i}_l") * F.col(f"_s{i}.z"))
+        seen = F.coalesce(F.col(f"_s{i}.seen"), F.lit(0)) + F.col(f"_i{i}")
+        ready = (F.col("zone") >= 0) & (seen >= (s.n if s.seed == "sma" else max(1, s.min_periods)))
+        rows = rows.withColumn(s.out, F.when(ready, level))
+    return rows.drop(*[f"_{p}{i}" for i in range(len(specs)) for p in "xiys"], *[f"_y{i}_l" for i in range(len(specs))])
+
+
+def _weights(s: Ema, age: Column) -> tuple[Column, Column]:
+    if s.gaps:
+        old = F.pow(F.lit(1.0 - s.k), age)
+        return old / (old + s.k), s.k / (old + s.k)
+    return F.lit(1.0 - s.k), F.lit(s.k)
+
+
+def _starts(rows: DataFrame, specs: tuple[Ema, ...]) -> DataFrame:
+    """Per block and mean: values seen before it, the level before it, and z, the level after its first value.
+
+    One row per block.  A row of the block is then y = scan + exp(l) * z.
+    """
+    own = F.col("zone").isin(0, 1)
+    aggs = []
+    for i, s in enumerate(specs):
+        x = F.when(own, F.col(f"_x{i}"))
+        at = F.when(x.isNotNull(), F.col("rn"))
+        aggs.append(F.struct(
+            F.count(x).alias("n"), F.sum(x).alias("sum"), F.min(at).alias("first"), F.max(at).alias("last"), F.min_by(F.col(f"_x{i}"), F.when(F.col(f"_x{i}").isNotNull(), F.col("rn"))).alias("v1"),
+            F.min(F.when(F.col(f"_x{i}").isNotNull(), F.col("rn"))).alias("rn1"), F.max_by(F.struct(F.col(f"_y{i}").alias("y"), F.col(f"_y{i}_l").alias("l")), F.when(own, F.col("rn"))).alias("end"),
+            (F.array_sort(F.collect_list(F.when(F.col("zone") >= 0, F.when(F.col(f"_x{i}").isNotNull() & (F.col(f"_i{i}") <= s.n), F.struct(F.col("rn"), F.col(f"_x{i}").alias("v"))))))
+             if s.seed == "sma" else F.lit(None).cast("array<struct<rn:bigint,v:double>>")).alias("head")).alias(f"_t{i}"))
+    t = rows.filter("zone >= 0").groupBy("symbol", "blk").agg(*aggs)
+    before = Window.partitionBy("symbol").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    for i, s in enumerate(specs):
+        g = F.col(f"_t{i}")
+        t = t.withColumns({"_seen": F.coalesce(F.sum(g["n"]).over(before), F.lit(0)), "_total": F.coalesce(F.sum(g["sum"]).over(before), F.lit(0.0)),
+                           "_last": F.max(g["last"]).over(before)})
+        if s.seed == "first":
+            begun, seed = F.col("_seen") > 0, g["v1"]
+        else:
+            begun = F.col("_seen") >= s.n
+            j = F.lit(s.n) - F.col("_seen")  # the block's value that completes the seed
+            head = F.transform(F.slice(g["head"], 1, F.greatest(j, F.lit(1)).cast("int")), lambda e: e["v"])
+            mean = (F.col("_total") + F.aggregate(head, F.lit(0.0), lambda a, v: a + v)) / s.n
+            scanned = F.aggregate(F.slice(head, 2, F.greatest(j - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda a, v: a * (1.0 - s.k) + v * s.k)
+            seed = (mean - scanned) / F.pow(F.lit(1.0 - s.k), (j - 1).cast("double"))
+        left, new = _weights(s, (g["rn1"] - F.col("_last")).cast("double"))
+        # a block that holds the seed starts the scan; blocks before it and blocks without values leave the level as it is
+        has = g["n"] > 0
+        whole = has & (begun | (F.col("_seen") + g["n"] >= (1 if s.seed == "first" else s.n)))
+        lg = F.when(whole & begun, g["end"]["l"] + F.log(F.greatest(left, F.lit(1e-300)))).otherwise(0.0)
+        add = F.when(whole & begun, g["end"]["y"] + F.exp(g["end"]["l"]) * new * g["v1"]).when(whole, g["end"]["y"] + F.exp(g["end"]["l"]) * seed).otherwise(0.0)
+        t = _scan(t, "_level", ["symbol"], "blk", lg, add).drop("_level_l")
+        t = t.withColumn("_before", F.coalesce(F.lag("_level").over(Window.partitionBy("symbol").orderBy("blk")), F.lit(0.0)))
+        z = F.when(begun, left * F.col("_before") + new * g["v1"]).otherwise(seed)
+        t = t.withColumn(f"_s{i}", F.struct(F.col("_seen").alias("seen"), F.when(begun, F.col("_before")).alias("level"), z.alias("z"))).drop("_seen", "_total", "_last", "_level", "_before")
+    return t.select("symbol", "blk", *[f"_s{i}" for i in range(len(specs))])
+
+
+def ema(df: DataFrame, x: str | Column, k: float, out: str, **options) -> DataFrame:
+    """One exponential mean; see :class:`Ema` for the options."""
+    return emas(df, Ema(x, k, out, **options))
