@@ -1,13 +1,16 @@
-"""Stateful regime detectors: CUSUM with reset and the two-state volatility filter (W52, W53).
+"""Stateful regime detectors: CUSUM with restart and the two-state volatility filter (W52, W53).
 
-Both keep a state that is not linear, so they run as one ordered pass over
-chunks with exact state hand-over (``plans.ordered_pass``).
+Both are ordered passes over chunks with exact state hand-over (``plans.ordered_pass``).  Inside a chunk nothing runs row by row:
+
+* Between two hits a one-sided CUSUM is the running sum less its running minimum, so a scan gives a stretch of rows at
+  once and the first value above the limit ends it.
+* While the filter stays on one side, only that side's level moves, and it is an exponential mean of squares in closed form.
+  The odds then follow a chain of 2 x 2 matrices (transition times likelihoods), whose products come from a prefix scan by doubling.
+  The first row that changes sides ends the stretch.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +20,9 @@ from barlens.operators.windows import lag
 from barlens.plans.ordered import blocked, core_rows
 from barlens.plans.ordered_pass import ROWS_PER_CHUNK, ordered_pass
 
+STRETCH = (32, 1024)  # rows tried at once, at least and at most
+TINY = 1e-150  # a level of zero
+
 
 def with_returns(bars: DataFrame) -> DataFrame:
     b = blocked(bars, 1)
@@ -24,63 +30,108 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return core_rows(b.withColumn("pos", F.col("rn")))
 
 
-def cusum_scan(x: np.ndarray, start: int, state, threshold: float, drift: float):
-    """Two-sided sum that restarts after a hit; ``start`` is the position of the first row in its series."""
-    up, dn = (0.0, 0.0) if state is None else (state[0], state[1])
-    pos, neg, sig = (np.full(len(x), np.nan) for _ in range(3))
-    for i, r in enumerate(x):
-        if start + i == 0:
-            continue
-        r = 0.0 if r != r else r
-        up, dn, hit = max(0.0, up + r - drift), min(0.0, dn + r - drift), 0.0
-        if up > threshold:
-            hit, up = 1.0, 0.0
-        elif dn < -threshold:
-            hit, dn = 1.0, 0.0
-        pos[i], neg[i], sig[i] = up, abs(dn), hit
-    return pos, neg, sig, [up, dn]
+def restarting_sum(steps: np.ndarray, level: float, limit: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sums, hits, last level): a sum that never falls below 0 and starts again at 0 once it exceeds ``limit``."""
+    sums, hits = np.zeros(len(steps)), np.zeros(len(steps), dtype=bool)
+    at, span = 0, STRETCH[0]
+    while at < len(steps):
+        s = level + np.cumsum(steps[at:at + span])
+        s -= np.minimum(np.minimum.accumulate(s), 0.0)
+        over = np.flatnonzero(s > limit)
+        n = int(over[0]) + 1 if len(over) else len(s)
+        sums[at:at + n] = s[:n]
+        if len(over):
+            hits[at + n - 1], sums[at + n - 1] = True, 0.0
+        level, at, span = float(sums[at + n - 1]), at + n, STRETCH[0] if len(over) else min(2 * span, STRETCH[1])
+    return sums, hits, level
+
+
+def two_sided(returns: np.ndarray, levels: tuple[float, float], threshold: float, drift: float):
+    """Sums above and below of some returns (missing ones count as 0), hits, and the levels after them.
+
+    One step moves both sides in one direction, so the sides never hit together and each can be scanned alone.
+    """
+    steps = np.nan_to_num(returns, nan=0.0) - drift
+    up, hit_up, a = restarting_sum(steps, levels[0], threshold)
+    down, hit_down, b = restarting_sum(-steps, levels[1], threshold)
+    return up, down, (hit_up | hit_down).astype(float), (a, b)
+
+
+def _aligned(n: int, **columns) -> pd.DataFrame:
+    """Columns that begin ``n - len`` rows later, with None where a row has no value."""
+    out = {k: np.concatenate([np.full(n - len(v), np.nan), v]) for k, v in columns.items()}
+    return pd.DataFrame(out).astype(object).where(lambda q: q.notna(), None)
 
 
 def cusum(bars: DataFrame, threshold: float = 5.0, drift: float = 0.0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """The first bar of a symbol has no return and no value."""
     def step(pdf: pd.DataFrame, state):
-        pos, neg, sig, end = cusum_scan(pdf["log_ret"].to_numpy(float), int(pdf["pos"].iloc[0]), state, threshold, drift)
-        return pd.DataFrame({"cusum_positive": pos, "cusum_negative": neg, "cusum_signal": sig}).astype(object).where(lambda q: q.notna(), None), end
+        x = pdf["log_ret"].to_numpy(float)[int(pdf["pos"].iloc[0] == 0):]
+        up, down, hit, end = two_sided(x, tuple(state or (0.0, 0.0)), threshold, drift)
+        return _aligned(len(pdf), cusum_positive=up, cusum_negative=down, cusum_signal=hit), list(end)
 
     r = ordered_pass(with_returns(bars), step, "cusum_positive double, cusum_negative double, cusum_signal double", rows_per_chunk=rows_per_chunk)
     return r.drop("pos")
 
 
-def _density(x: float, sigma: float) -> float:
-    if sigma <= 1e-12:
-        return 1.0 if abs(x) <= 1e-12 else 0.0
-    z = x / sigma
-    return 0.0 if abs(z) > 30.0 else math.exp(-0.5 * z * z) / sigma
-
-
-def vol_scan(x: np.ndarray, start: int, first: int, state, low0: float, high0: float, stay: float, factor: float):
-    """Filtered probability of the high-volatility state from row ``first`` on."""
-    n = len(x)
-    st, pr = np.full(n, np.nan), np.full(n, np.nan)
-    p, lo, hi = (None, low0, high0) if state is None else state
-    learn = 1.0 - stay
-    for i in range(n):
-        if start + i < first:
-            continue
-        r = x[i]
-        if p is None or p != p:  # the first filtered row sets the prior by its own likelihood
-            a, b = _density(r, hi), _density(r, lo)
-            p = a / (a + b) if a + b > 0 else 0.5
-        a = _density(r, hi) * (p * stay + (1.0 - p) * (1.0 - stay))
-        b = _density(r, lo) * ((1.0 - p) * stay + p * (1.0 - stay))
-        p = a / (a + b) if a + b > 0 else 0.5
-        pr[i], st[i] = p, 1.0 if p > 0.5 else 0.0
-        if p > 0.5:
-            hi = math.sqrt((1.0 - learn) * hi * hi + learn * r * r)
-        else:
-            lo = math.sqrt((1.0 - learn) * lo * lo + learn * r * r)
-        if hi <= lo:
-            hi = lo * factor
-    return st, pr, [float("nan") if p is None else p, lo, hi]
+def _log_odds(start: float, ratio: np.ndarray, stay: float) -> np.ndarray:
+    """Log odds after each row: odds -> ratio * (stay * odds + leave) / (leave * odds + stay), as products of matrices."""
+    leave = 1.0 - stay
+    gain = np.exp(np.clip(ratio, -700, 700) / 2)  # spread over both rows of the matrix, so neither overflows
+    m = np.empty((len(ratio), 2, 2))
+    m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1] = stay * gain, leave * gain, leave / gain, stay / gain
+    m /= m.max(axis=(1, 2), keepdims=True)
+    reach = 1
+    while reach < len(m):
+        m[reach:] = m[reach:] @ m[:-reach]
+        m /= m.max(axis=(1, 2), keepdims=True)
+        reach *= 2
+    p = 1.0 / (1.0 + np.exp(-np.clip(start, -700, 700)))
+    v = m @ np.array([p, 1.0 - p])
+    with np.errstate(divide="ignore"):
+        return np.log(v[:, 0]) - np.log(v[:, 1])
+
+
+def _mean_squares(x: np.ndarray, level: float, stay: float) -> np.ndarray:
+    """Root of the exponential mean of squares before each row and after the last."""
+    age = stay ** np.arange(len(x) + 1)
+    return np.sqrt(age * (level * level + np.concatenate([[0.0], np.cumsum((1.0 - stay) * x * x / age[1:])])))
+
+
+def filtered(returns: np.ndarray, odds: float | None, low: float, high: float, stay: float, factor: float):
+    """(probability of the high side per row, log odds, low, high after the last row).
+
+    ``odds`` are log odds before the first row; None takes them from the likelihoods of that row.
+    """
+    def ratio(x, lo, hi):
+        lo, hi = np.maximum(lo, TINY), np.maximum(hi, TINY)
+        return np.log(lo) - np.log(hi) + 0.5 * (x / lo) ** 2 - 0.5 * (x / hi) ** 2
+
+    out, at, span = np.empty(len(returns)), 0, STRETCH[0]
+    side = None if odds is None else odds > 0
+    while at < len(returns):
+        x = returns[at:at + span]
+        if odds is None:
+            odds = float(ratio(x[0], low, high))
+            side = odds > 0
+        moving = _mean_squares(x, high if side else low, stay)
+        lo, hi = (np.full(len(x), low), moving[:-1]) if side else (moving[:-1], np.full(len(x), high))
+        path = _log_odds(odds, ratio(x, lo, hi), stay)
+        # the stretch ends with the row that changes sides, or that would bring the levels together
+        ends = np.flatnonzero(((path > 0) != side) | ((low if side else moving[1:]) >= (moving[1:] if side else high)))
+        n = int(ends[0]) + 1 if len(ends) else len(x)
+        out[at:at + n], odds = path[:n], float(path[n - 1])
+        if (odds > 0) == side:
+            low, high = (low, float(moving[n])) if side else (float(moving[n]), high)
+        else:  # the last row's return went to the other side's level
+            low, high = (low, float(moving[n - 1])) if side else (float(moving[n - 1]), high)
+            new = float(_mean_squares(x[n - 1:n], low if side else high, stay)[1])
+            low, high = (new, high) if side else (low, new)
+            side = not side
+        if high <= low:
+            high = low * factor
+        at, span = at + n, STRETCH[0] if len(ends) else min(2 * span, STRETCH[1])
+    return 1.0 / (1.0 + np.exp(-np.clip(out, -700, 700))), odds, low, high
 
 
 def vol_state(bars: DataFrame, window: int = 20, stay: float = 0.85, factor: float = 2.0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
@@ -93,14 +144,15 @@ def vol_state(bars: DataFrame, window: int = 20, stay: float = 0.85, factor: flo
     x = x.join(init, "symbol", "left")
 
     def step(pdf: pd.DataFrame, state):
-        first = window + 1 if pdf["low0"].notna().iloc[0] else 1 << 60
-        low0, high0 = (float(pdf[k].iloc[0]) for k in ("low0", "high0")) if first < 1 << 60 else (0.0, 0.0)
-        if high0 <= low0:
-            high0 = low0 * factor
-        st, pr, end = vol_scan(pdf["log_ret"].to_numpy(float), int(pdf["pos"].iloc[0]), first, state, low0, high0, stay, factor)
-        return pd.DataFrame({"hmm_vol_state": st, "hmm_vol_probability": pr}).astype(object).where(lambda q: q.notna(), None), end
+        begin = max(0, window + 1 - int(pdf["pos"].iloc[0]))
+        if pdf["low0"].isna().iloc[0] or begin >= len(pdf):
+            return _aligned(len(pdf), hmm_vol_state=np.zeros(0), hmm_vol_probability=np.zeros(0)), list(state or [])
+        low0, high0 = (float(pdf[k].iloc[0]) for k in ("low0", "high0"))
+        odds, low, high = state if state else (None, low0, high0 if high0 > low0 else low0 * factor)
+        p, *end = filtered(pdf["log_ret"].to_numpy(float)[begin:], odds, low, high, stay, factor)
+        return _aligned(len(pdf), hmm_vol_state=(p > 0.5).astype(float), hmm_vol_probability=p), end
 
     return ordered_pass(x, step, "hmm_vol_state double, hmm_vol_probability double", rows_per_chunk=rows_per_chunk).drop("pos", "low0", "high0")
 
 
-__all__ = ["with_returns", "cusum", "cusum_scan", "vol_state", "vol_scan"]
+__all__ = ["with_returns", "restarting_sum", "two_sided", "cusum", "filtered", "vol_state"]

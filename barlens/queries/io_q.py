@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from barlens.operators import labels as LB
@@ -176,11 +178,29 @@ def _(spark, d):
 
 # ---- streaming -------------------------------------------------------------------------
 
+def _in_files(df, name, cuts):
+    """A folder with one file per span of time, the spans given by their first instants."""
+    path = scratch_path(df.sparkSession, name)
+    for lo, hi in zip(cuts, [*cuts[1:], "2100-01-01"]):
+        df.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+_THIRDS = ["1970-01-01", "2024-01-11", "2024-01-21"]
+
+
 @query("ST1_online_regime", "symbol ts@ cusum_positive# cusum_signal#1 hmm_vol_state#1 hmm_vol_probability#4 volatility_regime#1")
 def _(spark, d):
-    path = scratch_path(spark, "bars")
-    S.bars(spark, d).select("symbol", "ts", "close").write.parquet(path)
-    return ST.run_to_table(ST.online_regime(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000)), "regime")
+    x = S.bars(spark, d).select("symbol", "ts", "close")
+    return ST.run_to_table(ST.online_regime(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), delay="1 day"), "regime")
+
+
+@query("ST1_online_cusum", "symbol ts@ cusum_positive# cusum_negative# cusum_signal#1", """
+SELECT r.symbol, r.ts, CASE WHEN r.rn > 0 THEN e.up END AS cusum_positive, CASE WHEN r.rn > 0 THEN abs(e.dn) END AS cusum_negative, e.sig AS cusum_signal
+FROM r4 r JOIN cu_e e ON e.symbol = r.symbol AND e.rn = r.rn WHERE date_trunc('day', r.ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM r4) - INTERVAL '1 day'""")
+def _(spark, d):
+    x = S.bars(spark, d).select("symbol", "ts", "close")
+    return ST.run_to_table(ST.online_regime(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), delay="1 day", threshold=2.0), "cusum")
 
 
 @query("ST2_stream_bars", "symbol ts@ open#2 high#2 low#2 close#2 volume#2 trade_count!", """
@@ -189,6 +209,18 @@ def _(spark, d):
     return ST.run_to_table(ST.stream_bars(ST.tick_stream(spark, d), "4 hours", "1 hour"), "bars")
 
 
+# Spark counts late rows after the partial aggregation: one per symbol and window of a batch
+@query("ST2_late_windows", "kind n!", "SELECT 'late' AS kind, count(*) AS n FROM bars_4h WHERE ts < TIMESTAMP '2024-01-11'")
+def _(spark, d):
+    t, late = S.ticks(spark, d), []
+    path = scratch_path(spark, "ticks")
+    for part in (F.col("ts") >= "2024-01-21", (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-21"), F.col("ts") < "2024-01-11"):
+        t.filter(part).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read by age
+    ST.run_to_table(ST.stream_bars(ST.folder_stream(spark, path, t.schema, 1), "4 hours", "10 days"), "late", late=late)
+    return spark.createDataFrame([("late", late[0])], "kind string, n long")
+
+
 @query("ST3_sliding_tick_features", "symbol ts@ n! volume#2 imbalance# vwap#", """
 SELECT symbol, s AS ts, count(*) AS n, sum(size) AS volume, sum(CASE WHEN side = 'buy' THEN size ELSE -size END) / sum(size) AS imbalance, sum(price * size) / sum(size) AS vwap FROM (
 SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour', date_trunc('hour', ts) - INTERVAL '2 hours', date_trunc('hour', ts) - INTERVAL '3 hours']) AS s FROM ticks) WHERE s + INTERVAL '4 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM ticks) GROUP BY 1, 2""")
@@ -214,12 +246,15 @@ def _(spark, d):
     return ST.staleness_flag(S.bars(spark, d, "1 hour"), "2024-01-31", "3 hours")
 
 
-@query("ST7_rolling_circuit_state", "mode order_id failure_rate#4 analyzed!", f"""
-SELECT mode, order_id, avg(CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END) OVER w AS failure_rate, count(*) OVER w AS analyzed FROM trades WINDOW w AS {win(20).replace('symbol', 'mode').replace('ORDER BY ts', 'ORDER BY closed_at, order_id')}""")
+@query("ST7_rolling_circuit_state", "mode order_id failure_rate#4 loss_streak! analyzed!", f"""
+SELECT mode, order_id, failure_rate, least(rn - coalesce(max(CASE WHEN realized_r > 0 THEN rn END) OVER (PARTITION BY mode ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), analyzed) AS loss_streak, analyzed
+FROM (SELECT mode, order_id, closed_at, realized_r, row_number() OVER (PARTITION BY mode ORDER BY closed_at, order_id) AS rn,
+ avg(CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END) OVER w AS failure_rate, count(*) OVER w AS analyzed FROM trades WINDOW w AS {win(20).replace('symbol', 'mode').replace('ORDER BY ts', 'ORDER BY closed_at, order_id')})
+QUALIFY time_bucket(INTERVAL '180 days', closed_at, TIMESTAMP '1970-01-01') + INTERVAL '180 days' <= (SELECT max(closed_at) FROM trades) - INTERVAL '1 day'""")
 def _(spark, d):
     path = scratch_path(spark, "trades")
-    S.trades(spark, d).select("mode", "closed_at", "order_id", "realized_r").write.parquet(path)
-    return ST.run_to_table(ST.rolling_circuit_state(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000)), "circuit")
+    S.trades(spark, d).select("mode", "closed_at", "order_id", "realized_r").repartitionByRange(3, "closed_at").write.parquet(path)
+    return ST.run_to_table(ST.rolling_circuit_state(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000), delay="1 day"), "circuit")
 
 
 @query("ST8_dedup_stream", "symbol ts@", "SELECT DISTINCT symbol, ts FROM coarse")
@@ -228,9 +263,10 @@ def _(spark, d):
     return ST.run_to_table(ST.dedup_stream(t, ["symbol", "ts"], "60 days"), "dedup")
 
 
-@query("ST9_stream_asof", "symbol event_id! rate#9", "SELECT t.symbol, t.event_id, f.rate FROM ticks t ASOF LEFT JOIN funding f ON t.symbol = f.symbol AND t.ts >= f.ts")
+@query("ST9_stream_asof", "symbol event_id! rate#9", """
+SELECT t.symbol, t.event_id, f.rate FROM ticks t ASOF LEFT JOIN funding f ON t.symbol = f.symbol AND t.ts >= f.ts
+WHERE date_trunc('day', t.ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM funding) - INTERVAL '1 day'""")
 def _(spark, d):
-    path = scratch_path(spark, "funding")
-    S.funding(spark, d).write.parquet(path)
-    f = ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000)
-    return ST.run_to_table(ST.stream_asof(ST.tick_stream(spark, d), f, "rate"), "asof")
+    x = S.funding(spark, d)  # the overlay comes in three files, one per batch, after all ticks
+    f = ST.folder_stream(spark, _in_files(x, "funding", _THIRDS), x.schema, 1)
+    return ST.run_to_table(ST.stream_asof(ST.tick_stream(spark, d), f, "rate", delay="1 day"), "asof")

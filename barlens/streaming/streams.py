@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barlens.functions.core import div
-from barlens.operators.regime import _density, cusum_scan
+from barlens.operators.regime import filtered, two_sided
 from barlens.session import configure, scratch_path
 from barlens.sources.tables import ticks_from
 
@@ -49,13 +50,18 @@ def folder_stream(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its output table."""
+def run_to_table(df: DataFrame, name: str, mode: str = "append", late: list[int] | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its output table.
+
+    ``late`` gets the number of rows that came behind the watermark and were dropped.
+    """
     spark = df.sparkSession
     out, chk = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-chk")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).outputMode(mode)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if late is not None:
+        late.append(sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]))
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -112,144 +118,171 @@ def staleness_flag(bars: DataFrame, as_of, limit: str) -> DataFrame:
 
 # ---- arbitrary state ------------------------------------------------------------
 
-def _stateful(df: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def _in_order(df: DataFrame, keys: list[str], step: Callable, order: list[str], schema: str, bucket: str = "1 day") -> DataFrame:
     use_rocksdb(df.sparkSession)
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "None")
+    return df.groupBy(*keys).transformWithStateInPandas(_InOrder(step, order, int(pd.Timedelta(bucket).value // 1_000_000)), schema, "append", "EventTime")
+
 
+class _InOrder(StatefulProcessor):
+    """The rows of a key in event time through ``step(rows, state) -> (frame, state)``; the state is a list of doubles.
 
-class _KeyedScan(StatefulProcessor):
-    """Rows of a key in time order through ``step(rows, state) -> (frame, state)``; the state is a list of doubles."""
+    Rows wait in buckets of event time, one entry per bucket and batch, until the watermark has passed the bucket: then no
+    row of it can come any more, and a timer hands the bucket on, sorted.  So neither the cut into micro-batches nor the
+    order of arrival changes the result, and one bucket of a key is in memory at a time.  Rows behind the watermark are
+    dropped and counted by Spark.
+    """
 
-    def __init__(self, step: Callable, order: list[str]):
-        self.step, self.order = step, order
+    def __init__(self, step: Callable, order: list[str], bucket_ms: int):
+        self.step, self.order, self.bucket = step, order, bucket_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "v array<double>")
+        self.parts = handle.getValueState("parts", "n long")
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(self.order).reset_index(drop=True)
+        held = self.parts.get()
+        part = held[0] if held is not None else 0
+        pdf = pd.concat(list(rows))
+        bucket = pdf[self.order[0]].to_numpy("datetime64[us]").astype("int64") // 1000 // self.bucket
+        for b, some in pdf.groupby(bucket):
+            table = pa.Table.from_pandas(some, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as w:
+                w.write_table(table)
+            self.waiting.updateValue((int(b), part), (sink.getvalue().to_pybytes(),))
+            part += 1
+        self.handle.registerTimer((int(bucket.min()) + 1) * self.bucket)
+        self.parts.update((part,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        found = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
         held = self.state.get()
-        out, state = self.step(pdf, list(held[0]) if held is not None else None)
-        self.state.update((state,))
-        if len(out):
-            yield out
+        state, after = (list(held[0]) if held is not None else None), None
+        for b in sorted({b for b, _ in found}):
+            if (b + 1) * self.bucket > passed:
+                after = b
+                break
+            mine = [k for k in found if k[0] == b]
+            pdf = pd.concat([pa.ipc.open_stream(self.waiting.getValue(k)[0]).read_pandas() for k in mine])
+            for k in mine:
+                self.waiting.removeKey(k)
+            out, state = self.step(pdf.sort_values(self.order).reset_index(drop=True), state)
+            if len(out):
+                yield out
+        if state is not None:
+            self.state.update((state,))
+        if after is not None:
+            self.handle.registerTimer((after + 1) * self.bucket)
 
     def close(self) -> None:
         pass
 
 
 class OnlineRegime:
-    """Bar-by-bar CUSUM, volatility state and percentile regime.
+    """CUSUM, volatility state and percentile regime of bars as they come, on the scans of ``operators.regime``.
 
-    The percentile thresholds are linear percentiles of the latest returns; on
-    the first bar after the warm-up they come from the first returns.
-    State: bars seen, last close, cusum up and down, initialised, probability,
-    low and high level, number of returns kept, the first returns, the latest
-    returns.
+    The volatility levels start from the first returns, on the first bar after the warm-up; the thresholds of the
+    percentile regime are linear percentiles of the latest returns, on that bar of the first.
+    State: bars seen, last close, sums above and below, whether levels exist, log odds, levels, and the first and the latest sizes
+    of returns with their counts.
     """
 
     SCHEMA = ("symbol string, ts timestamp, cusum_positive double, cusum_negative double, cusum_signal double, "
               "hmm_vol_state double, hmm_vol_probability double, volatility_regime double")
 
     def __init__(self, threshold=5.0, drift=0.0, window=20, stay=0.85, factor=2.0, regime_window=20, lo=33.0, hi=67.0):
-        self.p = (threshold, drift, window, stay, factor, regime_window, lo, hi)
+        self.cusum, self.filter = (threshold, drift), (stay, factor)
+        self.window, self.regime_window, self.cuts = window, regime_window, (lo, hi)
+        self.size = max(window, regime_window)
 
     def __call__(self, pdf: pd.DataFrame, state):
-        threshold, drift, window, stay, factor, rw, lo_p, hi_p = self.p
-        size, warm = max(window, rw), max(window, rw) + 2
-        if state is None:
-            n, prev, up, dn, init, prob, low, high, first, last = 0, float("nan"), 0.0, 0.0, 0.0, 0.5, 1.0, 2.0, [], []
-        else:
-            n, prev, up, dn, init, prob, low, high, k1, k2 = state[:10]
-            first, last = state[10:10 + int(k1)], state[10 + int(k1):10 + int(k1) + int(k2)]
-        n, rows = int(n), []
-        for c in pdf["close"].to_numpy(float):
-            out = [None] * 6
-            r = np.log(c / prev) if prev == prev and prev > 0 else None
-            prev, n = c, n + 1
-            if r is not None:
-                a = abs(float(r))
-                last = (last + [a])[-size:]
-                if len(first) < size:
-                    first = first + [a]
-                pos, neg, sig, (up, dn) = cusum_scan(np.array([r]), 1, [up, dn], threshold, drift)
-                out[:3] = [float(pos[0]), float(neg[0]), float(sig[0])]
-                if n >= warm:
-                    fresh = init == 0.0
-                    if fresh:
-                        q1, q3 = np.percentile(first[:window], [25.0, 75.0])
-                        low, high, init = float(q1), max(float(q3) * 1.5, float(q1) * factor), 1.0
-                        if high <= low:
-                            high = low * factor
-                    x = _density(r, high) * (prob * stay + (1 - prob) * (1 - stay))
-                    y = _density(r, low) * ((1 - prob) * stay + prob * (1 - stay))
-                    prob = x / (x + y) if x + y > 0 else 0.5
-                    out[3:5] = [1.0 if prob > 0.5 else 0.0, prob]
-                    g = 1.0 - stay
-                    if prob > 0.5:
-                        high = float(np.sqrt((1 - g) * high * high + g * r * r))
-                    else:
-                        low = float(np.sqrt((1 - g) * low * low + g * r * r))
-                    if high <= low:
-                        high = low * factor
-                    t1, t2 = np.percentile(first[:rw] if fresh else last[-rw:], [lo_p, hi_p])
-                    out[5] = 0.0 if a <= t1 else 2.0 if a >= t2 else 1.0
-            rows.append(out)
-        made = pd.DataFrame(rows, columns=["cusum_positive", "cusum_negative", "cusum_signal", "hmm_vol_state", "hmm_vol_probability", "volatility_regime"])
-        frame = pd.concat([pdf[["symbol", "ts"]], made.astype(float)], axis=1)
-        return frame, [float(v) for v in (n, prev, up, dn, init, prob, low, high, len(first), len(last))] + first + last
-
-
-def online_regime(bars: DataFrame, **params) -> DataFrame:
-    return _stateful(bars, ["symbol"], _KeyedScan(OnlineRegime(**params), ["ts"]), OnlineRegime.SCHEMA)
+        seen, close, up, down, begun, odds, low, high, n_first, n_last, *kept = state or [0, np.nan, 0, 0, 0, 0, 0, 0, 0, 0]
+        first, last = np.array(kept[:int(n_first)]), np.array(kept[int(n_first):])
+        price = pdf["close"].to_numpy(float)
+        before = np.concatenate([[close], price[:-1]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(before > 0, np.log(price / before), np.nan)
+        rows = np.flatnonzero(before > 0)
+        r, bars = r[rows], seen + rows + 1
+        out = pd.DataFrame(np.nan, index=range(len(pdf)), columns=[c.split()[0] for c in self.SCHEMA.split(", ")[2:]])
+        above, below, hit, (up, down) = two_sided(r, (up, down), *self.cusum)
+        out.iloc[rows, 0:3] = np.column_stack([above, below, hit])
+        sizes = np.concatenate([last, np.abs(r)])
+        warm = np.flatnonzero(bars >= self.size + 2)
+        if len(warm):
+            first = np.concatenate([first, np.abs(r)])[:self.size] if len(first) < self.size else first
+            if not begun:
+                low, q3 = np.percentile(first[:self.window], [25.0, 75.0])
+                high = max(q3 * 1.5, low * self.filter[1])
+                high = high if high > low else low * self.filter[1]
+            p, odds, low, high = filtered(r[warm], float(odds), float(low), float(high), *self.filter)
+            out.iloc[rows[warm], 3:5] = np.column_stack([(p > 0.5).astype(float), p])
+            ends = len(last) + warm + 1
+            cuts = np.array([np.percentile(sizes[max(0, e - self.regime_window):e], self.cuts) for e in ends[:self.regime_window]])
+            if len(ends) > self.regime_window:
+                view = np.lib.stride_tricks.sliding_window_view(sizes, self.regime_window)
+                cuts = np.concatenate([cuts, np.percentile(view[ends[self.regime_window:] - self.regime_window], self.cuts, axis=1).T])
+            if not begun:
+                cuts[0] = np.percentile(first[:self.regime_window], self.cuts)
+            a = np.abs(r[warm])
+            out.iloc[rows[warm], 5] = np.where(a <= cuts[:, 0], 0.0, np.where(a >= cuts[:, 1], 2.0, 1.0))
+            begun = 1
+        elif len(first) < self.size:
+            first = np.concatenate([first, np.abs(r)])[:self.size]
+        last = sizes[-self.size:]
+        state = [seen + len(price), price[-1], up, down, begun, odds, low, high, len(first), len(last), *first, *last]
+        return pd.concat([pdf[["symbol", "ts"]], out], axis=1), [float(v) for v in state]
+
+
+def online_regime(bars: DataFrame, delay: str = "0 seconds", **params) -> DataFrame:
+    return _in_order(bars.withWatermark("ts", delay), ["symbol"], OnlineRegime(**params), ["ts"], OnlineRegime.SCHEMA)
 
 
 class _RollingCircuit:
-    """Failure share of the last n closed trades of a key after each trade."""
+    """Failure share and trailing losses among the last n closed trades of a key after each trade."""
 
     def __init__(self, n: int):
         self.n = n
 
     def __call__(self, pdf: pd.DataFrame, state):
-        last, rows = list(state or []), []
-        for r in pdf["realized_r"].to_numpy(float):
-            last = (last + [1.0 if r <= 0 else 0.0])[-self.n:]
-            streak = 0
-            for v in reversed(last):
-                if v == 0.0:
-                    break
-                streak += 1
-            rows.append((100.0 * sum(last) / len(last), streak, len(last)))
-        made = pd.DataFrame(rows, columns=["failure_rate", "loss_streak", "analyzed"])
-        return pd.concat([pdf[["mode", "closed_at", "order_id"]], made], axis=1), last
-
-
-def rolling_circuit_state(trades: DataFrame, n: int = 20) -> DataFrame:
+        old = len(state or [])
+        lost = np.concatenate([np.array(state or [], dtype=float), (pdf["realized_r"].to_numpy(float) <= 0).astype(float)])
+        at = np.arange(len(lost))
+        total = np.concatenate([[0.0], np.cumsum(lost)])
+        seen = np.minimum(at + 1, self.n)
+        streak = np.minimum(at - np.maximum.accumulate(np.where(lost == 0, at, -1)), seen)
+        made = pd.DataFrame({"failure_rate": 100.0 * (total[1:] - total[at + 1 - seen]) / seen, "loss_streak": streak, "analyzed": seen})[old:].reset_index(drop=True)
+        return pd.concat([pdf[["mode", "closed_at", "order_id"]], made], axis=1), lost[-self.n:].tolist()
+
+
+def rolling_circuit_state(trades: DataFrame, n: int = 20, delay: str = "0 seconds", bucket: str = "180 days") -> DataFrame:
     schema = "mode string, closed_at timestamp, order_id string, failure_rate double, loss_streak long, analyzed long"
-    return _stateful(trades, ["mode"], _KeyedScan(_RollingCircuit(n), ["closed_at", "order_id"]), schema)
+    return _in_order(trades.withWatermark("closed_at", delay), ["mode"], _RollingCircuit(n), ["closed_at", "order_id"], schema, bucket)
 
 
 class _LastKnown:
-    """Carry the newest overlay value of a key over its base rows (side 0 overlay, side 1 base)."""
+    """The overlay value at or before each base row of a key (side 0 overlay, side 1 base)."""
 
     def __call__(self, pdf: pd.DataFrame, state):
-        v = pdf["value"].astype(float).to_numpy()
-        t = pdf["ts"].astype("int64").to_numpy().astype(float)
-        s0 = state or [float("nan"), float("nan")]
-        is_o = (pdf["side"] == 0).to_numpy()
-        val = pd.Series(np.where(is_o, v, np.nan)).ffill().fillna(s0[0])
-        when = pd.Series(np.where(is_o, t, np.nan)).ffill().fillna(s0[1])
-        out = pdf.loc[~is_o, ["symbol", "ts", "event_id"]].copy()
-        out["rate"] = val[~is_o].to_numpy()
-        return out, [float(val.iloc[-1]), float(when.iloc[-1])]
-
-
-def stream_asof(base: DataFrame, overlay: DataFrame, value: str) -> DataFrame:
-    """As-of join on a stream by state: both sides merged, the last overlay value held per key."""
-    b = base.select("symbol", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side"))
-    o = overlay.select("symbol", "ts", F.lit(-1).cast("long").alias("event_id"), F.col(value).alias("value"), F.lit(0).alias("side"))
-    return _stateful(b.unionByName(o), ["symbol"], _KeyedScan(_LastKnown(), ["ts", "side", "event_id"]),
-                     "symbol string, ts timestamp, event_id long, rate double")
-
-
-__all__ = [k for k in list(globals()) if not k.startswith("_")]
+        base = (pdf["side"] == 1).to_numpy()
+        held = pdf["value"].astype(float).where(~base).ffill().fillna(state[0] if state else np.nan)
+        out = pdf.loc[base, ["symbol", "ts", "event_id"]].assign(rate=held[base].to_numpy())
+        return out, [float(held.iloc[-1])]
+
+
+def stream_asof(base: DataFrame, overlay: DataFrame, value: str, delay: str = "0 seconds") -> DataFrame:
+    """As-of join on a stream by state: both sides merged in event time, the last overlay value held per key.
+
+    Each side has a watermark of its own and the lesser one counts, so base rows wait for an overlay that lags behind.
+    """
+    b = base.withWatermark("ts", delay).select("symbol", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side"))
+    o = overlay.withWatermark("ts", delay).select("symbol", "ts", F.lit(-1).cast("long").alias("event_id"), F.col(value).alias("value"), F.lit(0).alias("side"))
+    return _in_order(b.unionByName(o), ["symbol"], _LastKnown(), ["ts", "side", "event_id"], "symbol string, ts timestamp, event_id long, rate double")
+
+
+__all__ = ["use_rocksdb", "tick_stream", "folder_stream", "run_to_table", "stream_bars", "sliding_tick_features", "activity_sessions", "dedup_stream", "stream_upsert",
+           "staleness_flag", "OnlineRegime", "online_regime", "rolling_circuit_state", "stream_asof"]

@@ -9,19 +9,64 @@ from barlens.sources import tables as S
 from barlens.streaming import streams as ST
 
 
-def test_online_regime_over_batches_equals_one_pass(spark, bars):
-    path = scratch_path(spark, "bars")
-    x = bars.select("symbol", "ts", "close")
-    for lo, hi in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")):
+def sequential(close, threshold, stay=0.85, factor=2.0, size=20):
+    """The rules of the online detectors, bar by bar."""
+    up = down = odds = 0.0
+    low = high = None
+    sizes, out = [], []
+    for i, (a, b) in enumerate(zip([None, *close], close)):
+        row = [np.nan] * 6
+        if a is not None:
+            r = np.log(b / a)
+            sizes.append(abs(r))
+            up, down = max(0.0, up + r), max(0.0, down - r)
+            row[2] = float(up > threshold or down > threshold)
+            up, down = (0.0 if up > threshold else up), (0.0 if down > threshold else down)
+            row[:2] = [up, down]
+            if i + 1 >= size + 2:
+                fresh = low is None
+                if fresh:
+                    low, q3 = np.percentile(sizes[:size], [25, 75])
+                    high = max(1.5 * q3, factor * low)
+                lr = np.log(low / high) + r * r / 2 * (1 / low ** 2 - 1 / high ** 2)
+                p = 1 / (1 + np.exp(-odds))
+                odds = lr + np.log(stay * p + (1 - stay) * (1 - p)) - np.log((1 - stay) * p + stay * (1 - p))
+                if odds > 0:
+                    high = np.sqrt(stay * high ** 2 + (1 - stay) * r * r)
+                else:
+                    low = np.sqrt(stay * low ** 2 + (1 - stay) * r * r)
+                high = high if high > low else low * factor
+                t = np.percentile(sizes[:size] if fresh else sizes[-size:], [33, 67])
+                row[3:] = [float(odds > 0), 1 / (1 + np.exp(-odds)), 0.0 if abs(r) <= t[0] else 2.0 if abs(r) >= t[1] else 1.0]
+        out.append(row)
+    return np.array(out)
+
+
+def test_online_regime_by_pieces():
+    rng = np.random.default_rng(3)
+    close = np.exp(np.cumsum(rng.normal(size=2500) * np.repeat(rng.choice([0.01, 0.05], 50), 50)))
+    want = sequential(close, 0.15)
+    for piece in (2500, 7, 211):
+        scan, state, got = ST.OnlineRegime(threshold=0.15), None, []
+        for i in range(0, len(close), piece):
+            part = pd.DataFrame({"symbol": "s", "ts": 0, "close": close[i:i + piece]})
+            out, state = scan(part, state)
+            got.append(out.iloc[:, 2:].to_numpy(float))
+        assert np.allclose(np.concatenate(got), want, rtol=1e-8, atol=1e-9, equal_nan=True), piece
+
+
+def test_online_regime_over_batches(spark, bars):
+    path, x = scratch_path(spark, "bars"), bars.select("symbol", "ts", "close")
+    # the middle comes last: within the delay, order of arrival does not matter
+    for lo, hi in (("2024-01-01", "2024-01-11"), ("2024-01-14", "2024-02-01"), ("2024-01-11", "2024-01-14")):
         x.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(path)
-    got = ST.run_to_table(ST.online_regime(ST.folder_stream(spark, path, x.schema, 1), threshold=1.5), "regime").toPandas()
-    scan, want = ST.OnlineRegime(threshold=1.5), []
-    for _, g in x.toPandas().sort_values("ts").groupby("symbol"):
-        want.append(scan(g.reset_index(drop=True), None)[0])
-    want = pd.concat(want)
-    a, b = (q.sort_values(["symbol", "ts"]).reset_index(drop=True) for q in (got, want))
-    for c in ("cusum_positive", "hmm_vol_probability", "volatility_regime"):
-        assert np.allclose(a[c].astype(float).fillna(-1), b[c].astype(float).fillna(-1))
+    got = ST.run_to_table(ST.online_regime(ST.folder_stream(spark, path, x.schema, 1), delay="20 days", threshold=1.5), "regime").toPandas()
+    rows = x.toPandas().sort_values("ts")
+    rows = rows[rows.ts < rows.ts.max() - pd.Timedelta("21 days")]
+    assert len(got) >= len(rows) > 0
+    for s, g in rows.groupby("symbol"):
+        mine = got[got.symbol == s].sort_values("ts").iloc[:len(g), 2:].to_numpy(float)
+        assert np.allclose(mine, sequential(g.close.to_numpy(), 1.5), rtol=1e-8, atol=1e-9, equal_nan=True)
 
 
 def test_stream_bars_equal_batch(spark, sf):
