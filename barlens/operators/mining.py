@@ -103,22 +103,8 @@ def _width(df: DataFrame, conditions: str) -> int:
     return df.agg(F.max(F.size(conditions))).first()[0] or 0
 
 
-def _rule_hits(rules: DataFrame, conditions: str, most: int):
-    """Array of the rule ids a row meets, as a Column over a checked, small rule list."""
-    got = rules.select("rule_id", "rule").limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} rules; pass them in parts")
-    hits = []
-    for r in sorted(got, key=lambda q: q["rule_id"]):
-        ok = F.lit(True)
-        for cond in r["rule"]:
-            ok = ok & F.array_contains(F.col(conditions), F.lit(cond))
-        hits.append(F.when(ok, F.lit(r["rule_id"])))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-
-
-def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: int = 5000, conditions: str = "conditions") -> DataFrame:
-    """Support, mean, win rate, lift and IC of every pair.
+def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: int | None = None, conditions: str = "conditions") -> DataFrame:
+    """Support, mean, win rate, lift and IC of every pair; ``top_n`` asks for the best only.
 
     Pairs are formed inside a row and summed map-side, so what is shuffled is
     one row per pair and task.  The IC comes from the sums in closed form.
@@ -133,7 +119,8 @@ def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: in
     vx, vy = mx - mx * mx, t["q"] / k - my * my
     g = g.withColumns({"support_frac": F.col("support") / t["n"], "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0)),
                        "ic": F.coalesce(div(cov, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))), F.lit(0.0))})
-    return g.drop("_k", "_s").orderBy(*_best_first("a", "b")).limit(top_n)
+    g = g.drop("_k", "_s")
+    return g if top_n is None else g.orderBy(*_best_first("a", "b")).limit(top_n)
 
 
 def _best_first(*names: str):
@@ -141,12 +128,13 @@ def _best_first(*names: str):
     return [F.desc(F.round("mean_r", 10)), *names]
 
 
-def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float = 0.01, beam: int = 100, conditions: str = "conditions") -> DataFrame:
-    """Third conditions that improve the best pairs.  The beam (at most ``beam`` rows) is broadcast."""
+def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float = 0.01, beam: int | None = None, conditions: str = "conditions") -> DataFrame:
+    """Third conditions that improve a pair; ``beam`` asks for the best pairs only."""
     t = _totals(df, target)
-    best = pairs.orderBy(*_best_first("a", "b")).limit(beam).select("a", "b", F.col("mean_r").alias("_base"))
+    best = pairs if beam is None else pairs.orderBy(*_best_first("a", "b")).limit(beam)
+    best = best.select("a", "b", F.col("mean_r").alias("_base"))
     x = df.select(target, conditions, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, conditions, "p.a", "p.b")
-    x = x.join(F.broadcast(best), ["a", "b"])
+    x = x.join(best, ["a", "b"])
     x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
     g = x.groupBy("a", "b", "third").agg(*_score(None, target), F.max("_base").alias("_base"))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & (F.col("mean_r") > F.col("_base") + 1e-10))
@@ -199,9 +187,18 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
     return found.withColumn("depth", F.size("rule"))
 
 
-def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions", max_rules: int = 500) -> DataFrame:
-    """One row per (row, rule it meets); rules are (rule_id, rule), a checked, small list."""
-    return df.withColumn("rule_id", F.explode(_rule_hits(rules, conditions, max_rules)))
+def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions") -> DataFrame:
+    """One row per (row, rule it meets); rules are (rule_id, rule), any number of them.
+
+    A rule is looked up by its rarest condition, so a row meets only the rules it can satisfy; the others of the rule are then
+    checked inside the row.  A rule without conditions meets no row.
+    """
+    rarity = condition_registry(df, 0.0, conditions)
+    each = rules.select("rule_id", "rule", F.explode("rule").alias("condition")).join(rarity, "condition", "left")
+    rarest = F.min(F.struct(F.coalesce("support", F.lit(0)).alias("n"), "condition"))["condition"]
+    keyed = each.groupBy("rule_id").agg(F.first("rule").alias("_rule"), rarest.alias("_c"))
+    hit = df.withColumn("_c", F.explode(conditions)).join(keyed, "_c")
+    return hit.filter(F.forall("_rule", lambda z: F.array_contains(F.col(conditions), z))).drop("_c", "_rule")
 
 
 def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05, multipliers=(2, 5, 10), conditions: str = "conditions") -> DataFrame:
@@ -278,8 +275,9 @@ def rule_similarity(df: DataFrame, rules: DataFrame, target: str, conditions: st
     Sums per rule and per pair are enough for both parts; the pairs are those of
     the rules one row meets, and they are added up map-side.
     """
-    hit = _rule_hits(rules, conditions, 500)  # in rule_id order
-    x = cut_lineage(df.select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), hit.alias("hit")))
+    rows = cut_lineage(df.select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), conditions)).withColumn("_row", F.monotonically_increasing_id())
+    x = match_rules(rows, rules, conditions).groupBy("_row").agg(F.first("y").alias("y"), F.array_sort(F.collect_list("rule_id")).alias("hit"))
+    x = cut_lineage(x.select("y", "hit"))
     one = x.select("y", F.explode("hit").alias("rule_id")).groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
     two = x.select("y", F.explode(pairs_of("hit", _width(x, "hit"))).alias("p")).groupBy("p.a", "p.b").agg(

@@ -84,11 +84,11 @@ def _(spark, d):
 
 @query("M6_level3_scan", "a b third support! mean_r# improvement#", f"""
 SELECT a, b, third, count(*) AS support, avg(net_r) AS mean_r, avg(net_r) - max(base) AS improvement FROM (
-SELECT p.a, p.b, e.c AS third, x.net_r, p.mean_r AS base FROM (SELECT * FROM mpair ORDER BY round(mean_r, 10) DESC, a, b LIMIT 20) p JOIN mcond x ON list_contains(x.conds, p.a) AND list_contains(x.conds, p.b) JOIN mex e ON e.order_id = x.order_id AND e.c <> p.a AND e.c <> p.b)
+SELECT p.a, p.b, e.c AS third, x.net_r, p.mean_r AS base FROM mpair p JOIN mcond x ON list_contains(x.conds, p.a) AND list_contains(x.conds, p.b) JOIN mex e ON e.order_id = x.order_id AND e.c <> p.a AND e.c <> p.b)
 GROUP BY 1, 2, 3 HAVING count(*) >= ceil(0.01 * {_N}) AND avg(net_r) > max(base) + 1e-10""")
 def _(spark, d):
     x = conditioned(spark, d)
-    return M.level3_scan(x, M.level2_scan(x, "net_r"), "net_r", beam=20)
+    return M.level3_scan(x, M.level2_scan(x, "net_r"), "net_r")
 
 
 @query("M6_beam_search", "rule score# support! depth!")
@@ -96,13 +96,12 @@ def _(spark, d):
     return M.beam_search(conditioned(spark, d), "net_r", beam=20).withColumn("rule", F.array_join("rule", ","))
 
 
-def rules20(x):
-    """The twenty best supported pairs as rules."""
-    p = M.level2_scan(x, "net_r")
-    return cut_lineage(p.orderBy(F.desc("support"), "a", "b").limit(20).select(F.concat_ws("&", "a", "b").alias("rule_id"), F.array("a", "b").alias("rule")))
+def pair_rules(x):
+    """Every supported pair as a rule."""
+    return cut_lineage(M.level2_scan(x, "net_r").select(F.concat_ws("&", "a", "b").alias("rule_id"), F.array("a", "b").alias("rule")))
 
 
-cte("mrules", "SELECT concat_ws('&', a, b) AS rule_id, a, b FROM mpair ORDER BY support DESC, a, b LIMIT 20")
+cte("mrules", "SELECT concat_ws('&', a, b) AS rule_id, a, b FROM mpair")
 cte("mhit", "SELECT r.rule_id, x.* FROM mrules r JOIN mcond x ON list_contains(x.conds, r.a) AND list_contains(x.conds, r.b)")
 cte("mscore", f"""
 SELECT g.*, s.symbol_cv, z.regime_cv, mean_r / {_TM} AS lift, mean_r - 0.05 AS fee_2x, mean_r - 0.2 AS fee_5x FROM (SELECT rule_id, count(*) AS n, avg(net_r) AS mean_r, median(net_r) AS median_r, stddev_pop(net_r) AS std_r, avg(CASE WHEN net_r > 0 THEN 1.0 ELSE 0 END) AS positive_rate,
@@ -113,7 +112,7 @@ JOIN (SELECT rule_id, stddev_pop(m) / abs(avg(m)) AS symbol_cv FROM (SELECT rule
 @query("M7_score_rules", "rule_id n! mean_r# median_r# positive_rate# profit_factor# sharpe#4 symbol_cv#4 regime_cv#4 lift#4 fee_2x# fee_5x#", "SELECT * FROM mscore")
 def _(spark, d):
     x = conditioned(spark, d)
-    return M.score_rules(x, rules20(x), "net_r")
+    return M.score_rules(x, pair_rules(x), "net_r")
 
 
 # the error-function approximation as SQL
@@ -131,7 +130,7 @@ SELECT *, p_value <= 0.05 / m AS bonferroni, coalesce(rank <= max(CASE WHEN p_va
 SELECT *, row_number() OVER (ORDER BY p_value, rule_id) AS rank, count(*) OVER ()::DOUBLE AS m FROM (SELECT rule_id, n::DOUBLE AS n, sharpe, 2 * (1 - {cdf_sql('zz')}) AS p_value FROM (SELECT *, abs(mean_r * sqrt(n::DOUBLE) / std_r) AS zz FROM mscore)))""")
 def _(spark, d):
     x = conditioned(spark, d)
-    r = M.correct(M.p_values(M.score_rules(x, rules20(x), "net_r")))
+    r = M.correct(M.p_values(M.score_rules(x, pair_rules(x), "net_r")))
     return r.withColumn("deflated_sharpe", M.deflated_sharpe("sharpe", "n", 20))
 
 
@@ -141,13 +140,13 @@ SELECT p.a, p.b, p.nab::DOUBLE AS nab, p.qab, (x.n + y.n - p.nab)::DOUBLE AS u,
 JOIN (SELECT rule_id, count(*) AS n, sum(net_r) AS s, sum(net_r * net_r) AS q FROM mhit GROUP BY 1) x ON x.rule_id = p.a JOIN (SELECT rule_id, count(*) AS n, sum(net_r) AS s, sum(net_r * net_r) AS q FROM mhit GROUP BY 1) y ON y.rule_id = p.b))""")
 def _(spark, d):
     x = conditioned(spark, d)
-    return M.rule_similarity(x, rules20(x), "net_r")
+    return M.rule_similarity(x, pair_rules(x), "net_r")
 
 
 @query("M9_dedupe_rules", "rule_id family mean_r# is_representative?")
 def _(spark, d):
     x = conditioned(spark, d)
-    r = rules20(x)
+    r = pair_rules(x)
     return M.dedupe_rules(cut_lineage(M.score_rules(x, r, "net_r")), cut_lineage(M.rule_similarity(x, r, "net_r")), 0.5)
 
 
@@ -157,4 +156,4 @@ SELECT rule_id, count(*) FILTER (WHERE split = 'discovery') AS n_discovery, coun
 FROM (SELECT h.*, CASE WHEN i < floor(n * 0.6) THEN 'discovery' WHEN i < floor(n * 0.6) + floor(n * 0.2) THEN 'validation' ELSE 'holdout' END AS split FROM mhit h JOIN (SELECT order_id, row_number() OVER (ORDER BY closed_at, order_id) - 1 AS i, count(*) OVER () AS n FROM mcond) USING (order_id)) GROUP BY 1)""")
 def _(spark, d):
     x = conditioned(spark, d)
-    return M.validate_rules_oos(SP.temporal_split(x, ["closed_at", "order_id"]), rules20(x), "net_r")
+    return M.validate_rules_oos(SP.temporal_split(x, ["closed_at", "order_id"]), pair_rules(x), "net_r")

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,7 @@ def build_session(app: str = "barlens", master: str | None = None, **conf: str)
     for k, v in {**DEFAULTS, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    configure(spark)
-    return spark
+    return ship(configure(spark))
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -36,6 +36,28 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application: nothing has to be installed on the cluster."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        home = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="barlens-ship-")  # the driver serves the file to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, "barlens.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for top, _, names in os.walk(home):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(top, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(home)))
+        sc.addPyFile(path)
+        _SHIPPED.add(sc.applicationId)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach.
 
