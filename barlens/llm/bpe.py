@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_NONE = 1 << 60
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file.
 
@@ -39,7 +43,7 @@ class Bpe:
     to ``memo`` of them, and concatenated.
     """
 
-    def __init__(self, file_text: str, memo: int = 300_000):
+    def __init__(self, file_text: str, memo: int = 400_000):
         import regex
         spec = json.loads(file_text)
         byte_of = _alphabet()
@@ -47,89 +51,86 @@ class Bpe:
         vocab = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.first = [vocab[bytes([b])] for b in range(256)]
-        self.merges = {}
+        self.rank, self.merged = {}, []
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             a, b = as_bytes(a), as_bytes(b)
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rank[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
         pieces = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
         self.pieces = np.array([pieces.get(i, b"") for i in range(max(pieces) + 1)], dtype=object)
-        inside = np.zeros((256, 256), dtype=bool)
-        for t in vocab:
-            for a, b in zip(t, t[1:]):
-                inside[a, b] = True
-        self.inside = inside
+        inside = {pair for t in vocab for pair in zip(t, t[1:])}
+        self.forced = {(a, b) for a in range(256) for b in range(256)} - inside
         self.pre_token = regex.compile(PRE_TOKEN)
         self.fragment = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo, self.most = {}, memo
+        self.memo, self.older, self.most = {}, {}, memo
 
     def _merge(self, piece: bytes) -> list[int]:
-        """Merge by rank, the leftmost first: a heap over a linked list, n log n for a run of n bytes."""
+        """Merge by rank, the leftmost first."""
         ids = [self.first[b] for b in piece]
-        n = len(ids)
-        if n == 1:
-            return ids
-        merges = self.merges
-        if n < 24:
-            while len(ids) > 1:
-                best = min(((merges.get(p, (1 << 60, 0)), i) for i, p in enumerate(zip(ids, ids[1:]))), key=lambda x: (x[0][0], x[1]))
-                if best[0][0] == 1 << 60:
-                    break
-                ids[best[1]:best[1] + 2] = [best[0][1]]
-            return ids
+        if len(ids) > 200:
+            return self._merge_long(ids)
+        rank, merged = self.rank.get, self.merged
+        ranks = [rank(p, _NONE) for p in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) < _NONE:
+            i = ranks.index(r)
+            ids[i] = merged[r]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), _NONE)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap over a linked list: n log n for n bytes."""
+        rank, merged, n = self.rank, self.merged, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = merged[r], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                if (r := rank.get((ids[i], ids[k]))) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (h := before[i]) >= 0 and (r := rank.get((ids[h], ids[i]))) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
     def _fragment(self, text: str) -> bytes:
-        out = []
-        for m in self.pre_token.findall(text):
-            piece = m.encode()
-            if len(piece) > 1:
-                raw = np.frombuffer(piece, dtype=np.uint8)
-                cuts = np.flatnonzero(~self.inside[raw[:-1], raw[1:]]) + 1 if len(piece) > 24 else [
-                    i for i in range(1, len(piece)) if not self.inside[piece[i - 1], piece[i]]]
-                at = 0
-                for c in [*cuts, len(piece)]:
-                    out += self._merge(piece[at:c])
-                    at = c
-            else:
-                out += self._merge(piece)
-        return np.array(out, dtype="<u4").tobytes()
+        out, forced = [], self.forced
+        word = text[1:] if text[0] == " " else text
+        for m in (text,) if word.isalpha() else self.pre_token.findall(text):  # letters after at most one blank are one pre-token
+            piece, at = m.encode(), 0
+            for i in [i for i, pair in enumerate(zip(piece, piece[1:]), 1) if pair in forced]:
+                out += self._merge(piece[at:i])
+                at = i
+            out += self._merge(piece[at:])
+        return struct.pack(f"<{len(out)}I", *out)
 
     def fragments(self, text: str) -> list[str]:
         return self.fragment.findall(text)
 
     def fragment_ids(self, fragment: str) -> bytes:
-        """Ids of one fragment, little-endian unsigned 32-bit."""
-        if (ids := self.memo.get(fragment)) is None:
+        """Ids of one fragment, little-endian unsigned 32-bit.  Two generations of remembered fragments: what is used again stays."""
+        ids = self.older.get(fragment)
+        if ids is None:
             ids = self._fragment(fragment)
-            if len(fragment) < 256:
-                if len(self.memo) >= self.most:
-                    self.memo.clear()
-                self.memo[fragment] = ids
+        if len(fragment) < 64:
+            if len(self.memo) >= self.most:
+                self.older, self.memo = self.memo, {}
+            self.memo[fragment] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        found = self.fragments(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, found))
-        except KeyError:
-            return b"".join(map(self.fragment_ids, found))
+        new = self.fragment_ids
+        return b"".join([self.memo.get(f) or new(f) for f in self.fragments(text)])
 
     def encode(self, text: str) -> bytes:
         if self.special is None or not any(t in text for t in self.added):
