@@ -16,17 +16,37 @@ WS = r"[\x20\x09-\x0D]+"
 NOT_WS = r"[^\x20\x09-\x0D]+"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder all executors share and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the folder all executors share and read again: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are given back when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a narrow table."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a narrow table."""
+    return written(df, "cut")
 
 
 def text_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
@@ -83,7 +103,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: u and its neighbours below go to the least of them
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                                                  F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(small.select("x.*").where("u <> v").distinct())
+        old, e = e, cut(small.select("x.*").where("u <> v").distinct())
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
@@ -94,4 +115,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
-__all__ = ["WS", "NOT_WS", "written", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "components"]
+__all__ = ["WS", "NOT_WS", "written", "discard", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "components"]

@@ -8,27 +8,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from barlens.llm.common import byte_slices, components, table, text_batches, written
+from barlens.llm.common import byte_slices, components, discard, table, text_batches, written
 from barlens.llm.shingles import digest, least, shingle_sets
 
 #: Words per shingle and similarity in percent.
 K, PERCENT = 5, 80
 #: Random orders that pick leaders; tokens held by a group of the matrix; most ids that are sent to every executor.
 LEADERS, GROUP_TOKENS, SENT_IDS = 3, 1 << 17, 1 << 20
+#: Prefixes are longer than needed by a share of 1 / LESS, so that as many common tokens can be asked of them.
+LESS = 10
 
 
 def _common(n: int) -> int:
     """Common tokens to ask of two prefixes, for the smaller of two sets of n tokens."""
-    return max(1, n // 20)
+    return max(1, n // LESS)
 
 
 def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + _common(n)
 
 
-def _asked(n: int, percent: int) -> int:
-    """Common tokens any partner of a set of n tokens must have in its prefix: a partner has at least percent of n."""
-    return _common(-(-percent * n // 100))
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    off = np.zeros(len(sets) + 1, np.int32)
+    off[1:] = np.cumsum([len(x) for x in sets])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))
+
+
+def _set(x) -> np.ndarray:
+    """A list of tokens as the sorted array it was made from."""
+    return x.values.to_numpy().view(np.uint64)
 
 
 def _profile(k: int, percent: int):
@@ -38,14 +46,10 @@ def _profile(k: int, percent: int):
             for part in byte_slices(batch, 1):
                 sets = list(shingle_sets(part.column(1), k))
                 d = [digest(s) for s in sets]
-                heads = [s[:_prefix_size(len(s), percent)].view(np.int64) for s in sets]
-                off = np.zeros(len(sets) + 1, np.int32)
-                off[1:] = np.cumsum([len(h) for h in heads])
+                heads = [s[:_prefix_size(len(s), percent)] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()),
-                     pa.array([x for _, x in d], pa.int64()), pa.array([len(h) for h in heads], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(heads)))],
-                    names=["doc_id", "n", "h1", "h2", "n_prefix", "prefix"])
+                     pa.array([x for _, x in d], pa.int64()), _lists(heads)], names=["doc_id", "n", "h1", "h2", "prefix"])
     return profile
 
 
@@ -54,10 +58,11 @@ def _full(k: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, 1):
-                out = [(doc, s.tobytes(), *digest(s), least(s, LEADERS) if len(s) else [0] * LEADERS)
-                       for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k))]
-                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["node", "tokens", "h1", "h2", "keys"])
+                sets = list(shingle_sets(part.column(1), k))
+                out = [(*digest(s), least(s, LEADERS) if len(s) else [0] * LEADERS) for s in sets]
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets), *[pa.array(list(c), t) for c, t in zip(zip(*out), kinds)]],
+                                                 names=["node", "tokens", "h1", "h2", "keys"])
     return full
 
 
@@ -77,8 +82,8 @@ def _verified(percent: int):
             hits = []
             for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b")], batch.column("x"), batch.column("y")):
                 if b != last:  # rows come sorted by b
-                    last, set_b = b, np.frombuffer(y.as_py(), np.uint64)
-                if _similar(np.frombuffer(x.as_py(), np.uint64), set_b, percent):
+                    last, set_b = b, _set(y)
+                if _similar(_set(x), set_b, percent):
                     hits.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return verified
@@ -93,10 +98,10 @@ def _opened(percent: int):
             for i in range(batch.num_rows):
                 group = batch.column("g")[i].as_py()
                 if group != last:  # rows come sorted by group
-                    last, found = group, batch.column("members")[i].as_py()
-                    members, sets = [m["node"] for m in found], [np.frombuffer(m["tokens"], np.uint64) for m in found]
+                    last, found = group, batch.column("members")[i].values
+                    members, sets = found.field("node").to_pylist(), [_set(t) for t in found.field("tokens")]
                     union = np.unique(np.concatenate(sets))
-                query, node = np.frombuffer(batch.column("x")[i].as_py(), np.uint64), batch.column("q")[i].as_py()
+                query, node = _set(batch.column("x")[i]), batch.column("q")[i].as_py()
                 if 100 * len(np.intersect1d(query, union, assume_unique=True)) < percent * len(query):
                     continue
                 hits += [(node, m) for m, s in zip(members, sets) if _similar(query, s, percent)]
@@ -110,18 +115,19 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
 
     1. Every text gives the size and digest of its set and a prefix in hash order, long enough that two similar sets have
        ``m`` common tokens within both prefixes.  Equal sets are one class.
-    2. Tokens are counted over all prefixes.  A class goes on if at least m of its prefix tokens occur twice; its probes are
-       the rarest of these, all but m - 1, so two similar classes share a probe, and a passage that many documents have
-       is a probe only where hardly anything else is left.
-    3. Similar classes are partitioned into groups: classes that have the same smallest token under one of a few random
+    2. Tokens are counted over all prefixes.  A class goes on if at least m of its prefix tokens occur twice.
+    3. The whole sets of those classes are counted in the same way.  A class goes on if at least ``percent`` of its tokens occur
+       twice; its probes are the rarest of them, so many that two similar classes share a probe.  A passage that many
+       documents have is a probe only where hardly anything else is left.
+    4. Similar classes are partitioned into groups: classes that have the same smallest token under one of a few random
        orders are compared with the first of them, and verified links make the groups.  A group of copies of any size costs one
        comparison per member here and is never compared within itself.
-    4. The token-group matrix holds the probes of each group.  A probe that only one group has is dropped, so is a pair within one
+    5. The token-group matrix holds the probes of each group.  A probe that only one group has is dropped, so is a pair within one
        group.  A query is compared with the token union of a part of a group (parts have bounded size) and opens it
        only if the overlap reaches ``percent`` of the query.
-    5. All verified links go through ``components``.
+    6. All verified links go through ``components``.
 
-    No step loses a link between components: steps 1, 2 and 4 are bounds, exact for every pair; links inside a group that step 3
+    No step loses a link between components: steps 2, 3 and 5 are bounds, exact for every pair; links inside a group that step 4
     has already connected are not listed, as they change no component.  Shingles are compared as 64-bit values.
 
     Null, empty and blank texts have empty sets and are linked with nothing; texts with fewer than k words have one token,
@@ -130,32 +136,40 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
     """
     text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(docs.mapInArrow(_profile(k, percent), "doc_id long, n long, h1 long, h2 long, n_prefix long, prefix array<long>"), "shingle-sets")
+    sets = written(docs.mapInArrow(_profile(k, percent), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "shingle-sets")
     some = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("n_prefix").alias("n_prefix"))
-    classes = written(classes, "shingle-classes")
+    classes = written(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "shingle-classes")
+
+    def repeated(tokens: DataFrame) -> DataFrame:
+        often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        return tokens.join(often.hint("shuffle_hash"), "token")
 
     tokens = some.select("h1", "h2", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    mine = tokens.join(often, "token").groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("seen"))
-    asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100.0) / 20)).cast("int")
-    probes = mine.join(classes, ["h1", "h2"]).withColumn("m", asked).where(F.size("seen") >= F.col("m"))
-    probes = written(probes.select("node", "n", "h1", "h2", F.expr("slice(seen, 1, size(seen) - m + 1).token").alias("probes")), "probes")
-
-    wanted = probes.select(F.col("node").alias("doc_id"))
-    if probes.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    full = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full(k), "node long, tokens binary, h1 long, h2 long, keys array<long>")
-    full = written(full, "full-sets")
-    nodes = probes.select("node", "h1", "h2", "n", "probes")
-    whole = full.join(nodes.select("node", "h1", "h2"), ["node", "h1", "h2"], "left_semi").select("node", "tokens")
-    if full.count() > nodes.count():  # an id has several rows
-        whole = written(whole.groupBy("node").agg(F.first("tokens").alias("tokens")), "whole-sets")
+    mine = repeated(tokens).select("h1", "h2", "token").groupBy("h1", "h2").agg(F.collect_set("token").alias("seen")).select("h1", "h2", F.size("seen").alias("r"))
+    least_n = F.ceil(F.col("n") * percent / 100.0)
+    asked = F.greatest(F.lit(1), F.floor(least_n / LESS))  # a partner has at least percent of n tokens
+    wanted = written(mine.join(classes, ["h1", "h2"]).where(F.col("r") >= asked).select("node", "h1", "h2", "n"), "candidates")
+    ids = wanted.select(F.col("node").alias("doc_id"))
+    n_wanted = wanted.count()
+    ids = F.broadcast(ids) if n_wanted <= SENT_IDS else ids
+    full = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_full(k), "node long, tokens array<long>, h1 long, h2 long, keys array<long>"), "full-sets")
+    if full.count() > n_wanted:  # an id has several rows
+        once = full.join(wanted.select("node", "h1", "h2"), ["node", "h1", "h2"], "left_semi").groupBy("node", "h1", "h2").agg(
+            F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
+        full = written(once.select("node", "tokens", "h1", "h2", "keys"), "full-sets-once")
+
+    tokens = full.select("node", F.explode("tokens").alias("token"))
+    mine = repeated(tokens).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("seen"))
+    mine = mine.join(wanted.select("node", "n"), "node").withColumn("m", least_n.cast("int")).where(F.size("seen") >= F.col("m"))
+    nodes = written(mine.select("node", "n", F.expr("slice(seen, 1, size(seen) - m + 1).token").alias("probes")), "probes")
+    whole = written(full.select("node", "tokens", "keys").join(nodes.select("node"), "node", "left_semi"), "whole-sets")
+    discard(full, wanted)
 
     # groups: each class against the first of those that share a key with it
-    keys = full.select("node", F.posexplode("keys").alias("order", "key"))
+    keys = whole.select("node", F.posexplode("keys").alias("order", "key"))
     first = keys.groupBy("order", "key").agg(F.min("node").alias("b"), F.count("*").alias("size")).where("size > 1")
     pairs = keys.join(first, ["order", "key"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    whole = whole.select("node", "tokens")
     both = pairs.join(whole.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(whole.withColumnsRenamed({"node": "b", "tokens": "y"}), "b")
     near = written(both.mapInArrow(_verified(percent), "a long, b long"), "leader-links")
     comps = components(near)
