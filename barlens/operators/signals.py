@@ -29,21 +29,16 @@ def shuffle_null_test(df: DataFrame, key: str, direction: str, r: str, n: int, s
     order.  Both positions are prefix counts over slices, one join per pass.
     """
     it = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("iteration")
-    a = running(df.select(key, r, it), ["iteration"], [key], {"_k": ("count", F.lit(1))}, slice_col=_hash_slice(F.col(key), None))
+    a = running(df.select(key, r, it), ["iteration"], [key], {"_k": ("count", F.lit(1))})
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col("iteration").cast("string"), F.col(key)))
     b = df.select(key, direction, it).withColumn("_h", h)
-    b = running(b, ["iteration"], ["_h", key], {"_k": ("count", F.lit(1))}, slice_col=F.substring("_h", 1, 2))
+    b = running(b, ["iteration"], ["_h", key], {"_k": ("count", F.lit(1))})
     j = a.select("iteration", "_k", r).join(b.select("iteration", "_k", direction), ["iteration", "_k"])
     v = F.when(F.col(direction) == "LONG", F.col(r)).otherwise(-F.col(r))
     real = df.select(F.avg(v)).scalar()
     return j.groupBy("iteration").agg(F.avg(v).alias("mean_r")).withColumn("beats_real", F.col("mean_r") >= real)
 
 
-def _hash_slice(key: Column, _):
-    """Order-preserving slice of text keys: their first characters."""
-    return F.substring(key.cast("string"), 1, 2)
-
-
 def block_bootstrap_ci(df: DataFrame, order: list[str], r: str, block: int, resamples: int, seed: int = 42) -> DataFrame:
     """2.5 / 97.5 % of resampled means; blocks of consecutive rows are drawn with replacement.
 

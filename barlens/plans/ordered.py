@@ -18,99 +18,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from barlens.session import written
 
 ROWS_PER_SLICE = 4_000_000
 ROWS_PER_BLOCK = 8_192
-MAX_SLICES = 1024
 COLD = 40  # rows at the edge of a block that no window ahead of a recurrence exceeds
 
 
-def _numeric(df: DataFrame, name: str) -> Column:
-    t = df.schema[name].dataType
-    if isinstance(t, T.TimestampType):
-        return F.unix_micros(F.col(name))
-    if isinstance(t, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(name)).cast("long")
-    if isinstance(t, T.StringType):  # the first seven bytes keep the order
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 7)), 14, "0")
-        return F.conv(head, 16, 10).cast("long")
-    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
-        return F.col(name).cast("int").cast("long")
-    return F.col(name)
-
-
 def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 rows_per_slice: int | None = None, out: str = "_slice") -> DataFrame:
     """Add an ordered slice label (array<long>) per row.
 
-    The key sizes are checked first (one count per key); with no key above
-    ``rows_per_slice`` every key is one slice.  Otherwise the large keys are
-    cut.  Their cut points are
-    quantiles of the first order column; an instant that alone exceeds a slice
-    gets a slice of its own, which is cut again by the next order column.  The
-    table of cut points has at most ``rows / rows_per_slice`` entries in total,
-    which is why it may be broadcast.
+    The table is range-partitioned by keys and order, whatever their types, and the partition number is the label: inside a
+    key it grows with the order, a slice holds about ``rows_per_slice`` rows, and no key, instant or common
+    beginning of a text is one slice unless the whole order is tied.  The labelled table is written once, so that
+    totals and scan see the same cuts and the input is not read again.
     """
-    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
-    keys, order = list(keys), list(order)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if sizes.filter(F.col("_n") > rows_per_slice).isEmpty():
+    n = -(-df.count() // (rows_per_slice or ROWS_PER_SLICE))
+    if n <= 1:
         return df.withColumn(out, F.array(F.lit(0).cast("long")))
-    return _slice_level(df, keys, order, rows_per_slice, out, [])
-
-
-def _slice_level(df, keys, order, limit, out, parts):
-    depth = len(parts)
-    col, cuts, tie = f"_num{depth}", f"_cuts{depth}", f"_tie{depth}"
-    # equal prefixes of a text are not equal texts, so they may not be cut by a later column
-    exact = not isinstance(df.schema[order[0]].dataType, T.StringType)
-    df = df.withColumn(col, _numeric(df, order[0]))
-    # below the first column only the rows of a hot instant are cut further
-    inside = df.filter(F.col(f"_tk{depth - 1}").isNotNull()) if depth else df
-    hot = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    probe = inside.select(*keys, col)
-    probe = (probe.join(F.broadcast(hot), _null_safe(probe, hot, keys), "inner")
-             .select(*[probe[k] for k in keys], col, "_n"))
-    grid = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    q = probe.groupBy(*keys).agg(
-        F.percentile_approx(col, grid, MAX_SLICES * 8).alias("_q"), F.max("_n").alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(MAX_SLICES) / F.ceil(F.col("_n") / F.lit(limit)))).cast("int")
-    q = q.withColumn("_step", step).withColumn(
-        cuts, F.expr("filter(_q, (x, i) -> (i + 1) % _step = 0)")).select(*keys, cuts)
-    q = q.withColumn(tie, F.expr(f"array_distinct(filter({cuts}, (x, i) -> i > 0 and {cuts}[i - 1] = x))"))
-    q = q.withColumn(cuts, F.array_distinct(cuts))
-    j = df.join(F.broadcast(q.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], cuts, tie)),
-                _key_eq(keys), "left").drop(*[f"_k{i}" for i in range(len(keys))])
-    is_tie = F.coalesce(F.array_contains(F.col(tie), F.col(col)), F.lit(False)) if exact else F.lit(False)
-    label = (F.coalesce(F.expr(f"size(filter({cuts}, x -> x < {col}))"), F.lit(0)) * 2
-             + F.when(is_tie, 1).otherwise(0)).cast("long")
-    level = f"_lvl{depth}"
-    j = j.withColumn(level, label).withColumn(f"_istie{depth}", is_tie).drop(cuts, tie, col)
-    parts = parts + [level]
-    if len(order) > 1:
-        nxt = f"_tk{depth}"
-        j = j.withColumn(nxt, F.when(F.col(f"_istie{depth}"), F.col(level)))
-        j = _slice_level(j, keys + [nxt], order[1:], limit, out, parts).drop(nxt)
-    else:
-        j = j.withColumn(out, F.array(*parts)).drop(*parts)
-    return j.drop(f"_istie{depth}")
-
-
-def _key_eq(keys):
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return cond
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+    cut = df.repartitionByRange(int(n), *keys, *order)
+    return written(cut.withColumn(out, F.array(F.spark_partition_id().cast("long"))), "slices")
 
 
 _TOTAL = {

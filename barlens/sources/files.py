@@ -33,7 +33,7 @@ def read_bars(spark: SparkSession, path: str, interval: str, start, end, symbols
 
 def write_funding(df: DataFrame, path: str, mode: str = "append") -> None:
     d = df.withColumns({"year": F.year("ts"), "month": F.month("ts")})
-    d.repartition("year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
+    d.hint("rebalance", F.col("year"), F.col("month")).write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
 def read_funding_partitions(spark: SparkSession, path: str, start, end) -> DataFrame:
@@ -107,9 +107,8 @@ def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
 # ---- outcome cache -----------------------------------------------------------------
 
 def outcome_cache_write(df: DataFrame, path: str) -> None:
-    """Append by symbol; large symbols are spread over several files by a hash of the row."""
-    spread = F.pmod(F.xxhash64("alpha_id", "ts"), F.lit(8))
-    df.repartition("symbol", spread).write.mode("append").partitionBy("symbol").parquet(path)
+    """Append by symbol; the adaptive planner splits a large symbol over as many tasks as its size asks for."""
+    df.hint("rebalance", F.col("symbol")).write.mode("append").partitionBy("symbol").parquet(path)
 
 
 def outcome_cache_query(spark: SparkSession, path: str, alpha_id: str | None = None, symbol: str | None = None, where: str | None = None) -> DataFrame:

@@ -108,3 +108,11 @@ def test_thinning_by_chunks_equals_greedy(bars):
                 want.add((sym, ts.to_pydatetime()))
                 last = ts
     assert got == want
+
+
+def test_slices_of_texts_with_a_common_beginning(spark):
+    t = spark.range(10_000).select(F.lit("k").alias("key"), F.format_string("order-%016d", "id").alias("order_id"))
+    s = with_slices(t, ["key"], ["order_id"], 100).groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), F.min("order_id").alias("a"), F.max("order_id").alias("b"))
+    rows = s.orderBy("a").collect()
+    assert len(rows) > 80 and max(r.n for r in rows) < 300
+    assert all(x.b < y.a and x._slice < y._slice for x, y in zip(rows, rows[1:]))
