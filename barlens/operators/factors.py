@@ -7,7 +7,7 @@ Factors are computed on an aligned panel (every symbol at every timestamp, see
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,36 +33,62 @@ def _rng() -> Column:
     return F.col(H) - F.col(L)
 
 
-def prepare(df: DataFrame) -> DataFrame:
-    """Per-symbol columns the factors share; runs once on the blocked panel."""
-    df = df.withColumns({f"ret_{n}": _ret(n) for n in (1, 4, 6, 12, 24)})
-    df = df.withColumns({
-        "rng": _rng(), "vol_ma": _mean(V, 24, 12), "vol_sd": r_std(V, 24, 12, full=False),
-        "hi24": r_max(H, 24, 12, full=False), "lo24": r_min(L, 24, 12, full=False)})
-    df = df.withColumns({"rng6": _mean("rng", 6, 3), "rng12": _mean("rng", 12, 6), "rng24": _mean("rng", 24, 12)})
-    df = emas(df, *[Ema(C, 2.0 / (n + 1), f"ema_{n}", min_periods=mp, gaps=True) for n, mp in ((24, 12), (48, 24))])
-    df = df.withColumn("hl2", F.pow(div(_rng(), (F.col(H) + F.col(L)) / 2), 2))
-    df = df.withColumn("spread", cs_proxy(F.col("hl2"), lag("hl2")))
-    df = df.withColumns({"spread6": _mean("spread", 6, 3), "spread48": _mean("spread", 48, 24),
-                         # windows with equal means differ in the last bits only; they are ties
-                         "rng_rank": r_rank_pct(F.floor(F.col("rng24") * 1e9 + 0.5), 168, 48)})
-    if "funding_rate" in df.columns:
-        df = df.withColumn("funding_d6", F.col("funding_rate") - lag("funding_rate", 6))
-    df = df.withColumns({"ret_21_inv": div(lag(C, 21), F.col(C)) - 1.0, "ret_20": _ret(20),
-                         "mom_mr": 0.5 * r_mean("ret_1", 20, 20)
-                         - 0.5 * div(F.col(C) - r_mean(C, 20, 20), r_std(C, 20, 20))})
+# Inputs that factors share: what each is made from (other inputs), and its column on a blocked panel.  An Ema is added by a pass of its own.
+INPUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column] | Ema]] = {
+    **{f"ret_{n}": ((), lambda n=n: _ret(n)) for n in (1, 4, 6, 12, 20, 24)},
+    "rng": ((), _rng), "vol_ma": ((), lambda: _mean(V, 24, 12)), "vol_sd": ((), lambda: r_std(V, 24, 12, full=False)),
+    "hi24": ((), lambda: r_max(H, 24, 12, full=False)), "lo24": ((), lambda: r_min(L, 24, 12, full=False)),
+    "rng6": (("rng",), lambda: _mean("rng", 6, 3)), "rng12": (("rng",), lambda: _mean("rng", 12, 6)), "rng24": (("rng",), lambda: _mean("rng", 24, 12)),
+    "ema_24": ((), Ema(C, 2.0 / 25, "ema_24", min_periods=12, gaps=True)), "ema_48": ((), Ema(C, 2.0 / 49, "ema_48", min_periods=24, gaps=True)),
+    "hl2": ((), lambda: F.pow(div(_rng(), (F.col(H) + F.col(L)) / 2), 2)),
+    "spread": (("hl2",), lambda: cs_proxy(F.col("hl2"), lag("hl2"))),
+    "spread6": (("spread",), lambda: _mean("spread", 6, 3)), "spread48": (("spread",), lambda: _mean("spread", 48, 24)),
+    # windows with equal means differ in the last bits only; they are ties, at any price level
+    "rng_rank": (("rng24",), lambda: r_rank_pct(_digits(F.col("rng24"), 10), 168, 48)),
+    "funding_d6": ((), lambda: F.col("funding_rate") - lag("funding_rate", 6)),
+    "ret_21_inv": ((), lambda: div(lag(C, 21), F.col(C)) - 1.0),
+    "mom_mr": (("ret_1",), lambda: 0.5 * r_mean("ret_1", 20, 20) - 0.5 * div(F.col(C) - r_mean(C, 20, 20), r_std(C, 20, 20))),
+}
+# read from the benchmark's rows after the blocks are closed
+BENCHMARK = {"regime": ("ema_48",), "bench_ret_12": ("ret_12",)}
+
+
+def _digits(x: Column, n: int) -> Column:
+    """x to n significant digits."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.when(x != 0, F.abs(x)))) - (n - 1))
+    return F.when(x == 0, 0.0).otherwise(F.floor(x / unit + 0.5) * unit)
+
+
+def needed(names: list[str]) -> list[str]:
+    """Inputs that some inputs are made from, themselves included, each after what it needs."""
+    out: list[str] = []
+    for n in names:
+        if n in INPUTS and n not in out:
+            out += [x for x in needed(list(INPUTS[n][0])) if x not in out] + [n]
+    return out
+
+
+def prepare(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add the inputs ``names`` ask for to a blocked panel, in as few steps as their order allows."""
+    todo, have = [n for n in needed(names)], set(df.columns)
+    while todo:
+        ready = [n for n in todo if set(INPUTS[n][0]) <= have]
+        means = [INPUTS[n][1] for n in ready if isinstance(INPUTS[n][1], Ema)]
+        df = df.withColumns({n: INPUTS[n][1]() for n in ready if not isinstance(INPUTS[n][1], Ema)})
+        if means:
+            df = emas(df, *means)
+        have |= set(ready)
+        todo = [n for n in todo if n not in have]
     return df
 
 
 LOOKBACK = max(lookback_for(2.0 / 49), 168 + 24) + 2
 
 
-def with_regime(df: DataFrame, bench: str) -> DataFrame:
-    """Benchmark regime (+1 above its EMA48, else -1) and 12-bar return on every row."""
-    b = df.filter(F.col("symbol") == bench).select(
-        "ts", F.when(F.coalesce(F.col(C) > F.col("ema_48"), F.lit(False)), 1.0).otherwise(-1.0).alias("regime"),
-        F.col("ret_12").alias("bench_ret_12"))
-    return df.join(b, "ts", "left")
+def with_benchmark_inputs(df: DataFrame, bench: str, names: list[str]) -> DataFrame:
+    """Benchmark regime (+1 above its EMA48, else -1) and 12-bar return on every row, as asked for."""
+    cols = {"regime": lambda: F.when(F.coalesce(F.col(C) > F.col("ema_48"), F.lit(False)), 1.0).otherwise(-1.0), "bench_ret_12": lambda: F.col("ret_12")}
+    return df.join(df.filter(F.col("symbol") == bench).select("ts", *[cols[n]().alias(n) for n in names]), "ts", "left")
 
 
 def _expand():
@@ -93,8 +119,9 @@ class Factor:
     """``raw`` is a per-row score; ``score`` puts it into the cross-section."""
     direction: str
     raw: Callable[[], Column]
-    kind: str = "z"      # z: z-score, rank: percentile rank, raw: as is
+    kind: str = "z"      # z: z-score, rank: percentile rank, raw: as is, fade: z-score with the sign of the last 6 bars
     sign: float = 1.0
+    inputs: tuple[str, ...] = ()  # of INPUTS and BENCHMARK
 
 
 FACTORS: dict[str, Factor] = {
@@ -130,14 +157,69 @@ FACTORS: dict[str, Factor] = {
     "momentum_mean_reversion": Factor("long", lambda: F.col("mom_mr"), "raw"),
 }
 
+_INPUTS_OF = {
+    "ret_1h_rank": "ret_1",
+    "ret_4h_rank": "ret_4",
+    "ret_12h_rank": "ret_12",
+    "ret_24h_rank": "ret_24",
+    "reversal_1h_zscore": "ret_1",
+    "reversal_4h_zscore": "ret_4",
+    "volume_zscore": "vol_ma",
+    "range_zscore": "rng12",
+    "breakout_n_high": "hi24",
+    "breakdown_n_low": "lo24",
+    "trend_pullback_ema": "ema_48 rng12",
+    "compression_expansion": "rng6 rng24",
+    "funding_momentum_fade": "funding_d6 ret_6",
+    "volume_climax_reversal_short": "rng vol_ma vol_sd",
+    "volume_climax_reversal_long": "rng vol_ma vol_sd",
+    "btc_downtrend_breakdown_short": "lo24 regime",
+    "btc_uptrend_pullback_long": "ema_24 regime",
+    "btc_lead_lag_alt_long": "ret_12 bench_ret_12",
+    "btc_lead_lag_alt_short": "ret_12 bench_ret_12",
+    "compression_breakout_regime": "rng6 rng24 regime",
+    "corwin_schultz_spread_proxy": "spread",
+    "spread_contraction_signal": "spread48 spread6",
+    "session_volatility_regime": "rng_rank",
+    "alpha_momentum_21": "ret_21_inv",
+    "momentum_20": "ret_20",
+    "momentum_mean_reversion": "mom_mr",
+}
+FACTORS = {n: replace(f, inputs=tuple(_INPUTS_OF.get(n, "").split())) for n, f in FACTORS.items()}
+
+
+def register_input(name: str, needs: tuple[str, ...], build: Callable[[], Column] | Ema) -> None:
+    """Add a column that factors may ask for: a window expression over the blocked panel, or an exponential mean."""
+    missing = [n for n in needs if n not in INPUTS]
+    if name in INPUTS or missing:
+        raise ValueError(f"input {name}: " + (f"unknown inputs {missing}" if missing else "exists already"))
+    INPUTS[name] = (tuple(needs), build)
+
+
+def register_factor(name: str, direction: str, inputs: tuple[str, ...], raw: Callable[[], Column], kind: str = "z", sign: float = 1.0) -> Factor:
+    """Add a factor of one's own; every function that takes factor names then takes this one.
+
+    ``inputs`` names what ``raw`` reads besides the panel's own columns.  ``kind`` is z, rank, raw or fade.
+    """
+    if name in FACTORS:
+        raise ValueError(f"factor {name} exists already")
+    if kind not in ("z", "rank", "raw", "fade"):
+        raise ValueError(f"unknown kind {kind!r}")
+    unknown = [n for n in inputs if n not in INPUTS and n not in BENCHMARK]
+    if unknown:
+        raise ValueError(f"factor {name}: unknown inputs {unknown}")
+    FACTORS[name] = Factor(direction, raw, kind, sign, tuple(inputs))
+    return FACTORS[name]
+
 
 def compute_factors(panel: DataFrame, names: list[str], bench: str, extra: list[str] | None = None,
                     rows_per_block: int | None = None) -> DataFrame:
     """(symbol, ts, close, one column per factor) from an aligned panel."""
-    df = prepare(blocked(panel, LOOKBACK, rows_per_block=rows_per_block))
-    df = core_rows(df)
-    if any(n.startswith(("btc_", "compression_breakout")) for n in names):
-        df = with_regime(df, bench)
+    asked = [i for n in names for i in (*FACTORS[n].inputs, *(("ret_6",) if FACTORS[n].kind == "fade" else ()))]
+    of_bench = [i for i in BENCHMARK if i in asked]
+    df = core_rows(prepare(blocked(panel, LOOKBACK, rows_per_block=rows_per_block), [*asked, *[x for i in of_bench for x in BENCHMARK[i]]]))
+    if of_bench:
+        df = with_benchmark_inputs(df, bench, of_bench)
     df = df.withColumns({f"_raw_{n}": FACTORS[n].raw() for n in names})
     out = {}
     for n in names:

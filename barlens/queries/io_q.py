@@ -91,14 +91,27 @@ def _(spark, d):
     return IO.read_signal_events_csv(spark, path)
 
 
-@query("IO9_read_panel_files", "ts@ symbol close#2 volume#2", "SELECT ts, symbol, close, volume FROM bars_4h WHERE symbol IN ('S00', 'S01', 'S02')")
+@query("IO9_read_panel_files", "ts@ symbol open#2 high#2 low#2 close#2 volume#2", "SELECT ts, symbol, open, high, low, close, volume FROM bars_4h")
 def _(spark, d):
-    syms, paths = ["S00", "S01", "S02"], {}
-    b = S.bars(spark, d).filter(F.col("symbol").isin(syms))
-    for f in ("close", "volume"):
+    b, paths = S.bars(spark, d), {}
+    syms = [f"S{i:02d}" for i in range(20)]
+    for f in ("open", "high", "low", "close", "volume"):
         paths[f] = scratch_path(spark, f"panel-{f}")
-        b.groupBy("ts").pivot("symbol", syms).agg(F.first(f)).write.parquet(paths[f])
-    return IO.read_panel_files(spark, paths, syms)
+        if f in ("open", "volume"):  # long files
+            b.select("ts", "symbol", F.col(f).alias(f if f == "open" else "value")).write.parquet(paths[f])
+        else:
+            b.groupBy("ts").pivot("symbol", syms).agg(F.first(f)).write.parquet(paths[f])
+    return IO.read_panel_files(spark, paths)
+
+
+@query("IO4_checksums", "state", "SELECT unnest(['ok', 'new']) AS state")
+def _(spark, d):
+    path = scratch_path(spark, "bars")
+    b = S.bars(spark, d).withColumn("interval", F.lit("4h"))
+    for lo, hi in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-11")):
+        IO.write_bars(b.filter((F.col("ts") >= lo) & (F.col("ts") < hi)), path, checksums=True)
+    IO.write_bars(b.filter(F.day("ts") == 2), path)
+    return IO.verify_checksums(spark, path).select("state").distinct()
 
 
 cte("oc", "SELECT symbol, closed_at AS ts, concat(mode, '_', source) AS alpha_id, order_id, realized_r AS net_r FROM trades")

@@ -13,10 +13,30 @@ BAR_COLUMNS = ["symbol", "interval", "ts", "open", "high", "low", "close", "volu
 
 # ---- bars and overlays -------------------------------------------------------
 
-def write_bars(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_bars(df: DataFrame, path: str, mode: str = "append", checksums: bool = False) -> None:
     """Parquet by interval and month; a month of one interval is split by symbol hash into even files."""
     d = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
     d.repartition("interval", "month", "symbol").write.mode(mode).partitionBy("interval", "month").parquet(path)
+    if checksums:
+        write_checksums(df.sparkSession, path)
+
+
+def write_checksums(spark: SparkSession, path: str) -> None:
+    """SHA-256 and size of every data file under ``path``, in a hidden folder beside them."""
+    _digests(spark, path).write.mode("overwrite").json(f"{path.rstrip('/')}/_checksums")
+
+
+def verify_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, state) with state ok, changed, missing or new."""
+    want = spark.read.schema("file string, sha256 string, bytes long").json(f"{path.rstrip('/')}/_checksums").withColumnsRenamed({"sha256": "_w", "bytes": "_n"})
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("_w").isNull(), "new").when((F.col("sha256") == F.col("_w")) & (F.col("bytes") == F.col("_n")), "ok").otherwise("changed")
+    return want.join(_digests(spark, path), "file", "full").select("file", state.alias("state"))
+
+
+def _digests(spark: SparkSession, path: str) -> DataFrame:
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*.parquet").load(path)
+    return d.select(
+        F.element_at(F.split("path", F.lit(path.rstrip("/").split("/")[-1] + "/")), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
 def read_bars(spark: SparkSession, path: str, interval: str, start, end, symbols: list[str] | None = None,
@@ -51,13 +71,20 @@ def read_funding(spark: SparkSession, path: str, start, end, value: str = "fundi
     return ffill_resample(dedup_last(d.select("symbol", "ts", value), ["symbol", "ts"], ["ts", value]), freq)
 
 
-def read_panel_files(spark: SparkSession, paths: dict[str, str], symbols: list[str]) -> DataFrame:
-    """One wide file (ts, one column per symbol) per field to a long table."""
+def read_panel_files(spark: SparkSession, paths: dict[str, str], symbols: list[str] | None = None) -> DataFrame:
+    """One file per field to a long table, of ``symbols`` or of all.
+
+    A file is wide (ts and one column per symbol) or long (ts, symbol and the field, or a column ``value``).
+    """
     out = None
     for field, path in paths.items():
         d = spark.read.parquet(path)
-        present = [s for s in symbols if s in d.columns]
-        lg = d.unpivot("ts", present, "symbol", field).filter(F.col(field).isNotNull())
+        if "symbol" in d.columns:
+            lg = d.select("ts", "symbol", F.col(field if field in d.columns else "value").alias(field))
+            lg = lg.filter(F.col("symbol").isin(symbols)) if symbols else lg
+        else:
+            lg = d.unpivot("ts", [s for s in d.columns if s != "ts" and (not symbols or s in symbols)], "symbol", field)
+        lg = lg.filter(F.col(field).isNotNull())
         out = lg if out is None else out.join(lg, ["ts", "symbol"], "full")
     return out
 

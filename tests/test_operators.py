@@ -175,3 +175,25 @@ def test_feature_groups_add_no_shuffle(bars):
     def shuffles(*groups):
         return ft.on_bars(bars, 60, *groups)._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     assert shuffles(ft.returns_group) == shuffles(ft.returns_group, ft.atr_group, ft.bollinger, ft.range_breakout, ft.candle_group)
+
+
+def test_registered_factor_is_evaluated(spark, bars):
+    from barlens.operators import evaluation as E, factors as FA
+    assert {"ts", "symbol", "close"} <= set(bars.columns)
+    FA.register_input("range_share", ("rng",), lambda: F.col("rng") / F.col("close"))
+    FA.register_factor("quiet_bars", "long", ("range_share", "ret_4"), lambda: F.col("ret_4") - F.col("range_share"), kind="rank")
+    try:
+        got = FA.compute_factors(bars, ["quiet_bars", "momentum_20"], "S01")
+        assert {"quiet_bars", "momentum_20"} <= set(got.columns)
+        w = E.forward_returns(got, [1], keep=["quiet_bars"])
+        r = E.evaluate(E.long_scores(w, ["quiet_bars"], ["fwd_1"]), [1], {"quiet_bars": "long"}, 20).collect()
+        assert [x["factor"] for x in r] == ["quiet_bars"]
+        with pytest.raises(ValueError):
+            FA.register_factor("quiet_bars", "long", (), lambda: F.lit(1.0))
+        with pytest.raises(ValueError):
+            FA.register_factor("other", "long", ("no_such_input",), lambda: F.lit(1.0))
+        # only what is asked for is built
+        assert FA.needed(["range_share", "ret_4"]) == ["rng", "range_share", "ret_4"]
+    finally:
+        FA.FACTORS.pop("quiet_bars", None)
+        FA.INPUTS.pop("range_share", None)
