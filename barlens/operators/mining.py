@@ -72,7 +72,7 @@ def _totals(df: DataFrame, target: str):
     return {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in ("n", "m", "k", "s", "q")}
 
 
-def _score(g, target: str):
+def _score(target: str):
     x = F.col(target)
     return [F.count(F.lit(1)).alias("support"), F.avg(x).alias("mean_r"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"),
             F.count(x).alias("_k"), F.sum(x).alias("_s")]
@@ -80,7 +80,7 @@ def _score(g, target: str):
 
 def level1_scan(df: DataFrame, target: str, min_support: float = 0.01, conditions: str = "conditions") -> DataFrame:
     t = _totals(df, target)
-    g = df.select(target, F.explode(conditions).alias("condition")).groupBy("condition").agg(*_score(None, target))
+    g = df.select(target, F.explode(conditions).alias("condition")).groupBy("condition").agg(*_score(target))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     return g.withColumns({"support_frac": F.col("support") / t["n"], "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}).drop("_k", "_s")
 
@@ -111,7 +111,7 @@ def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: in
     """
     t = _totals(df, target)
     x = df.select(target, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, "p.a", "p.b")
-    g = x.groupBy("a", "b").agg(*_score(None, target))
+    g = x.groupBy("a", "b").agg(*_score(target))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     k = t["k"].cast("double")
     mx, my = F.col("_k") / k, t["s"] / k
@@ -136,7 +136,7 @@ def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float
     x = df.select(target, conditions, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, conditions, "p.a", "p.b")
     x = x.join(best, ["a", "b"])
     x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
-    g = x.groupBy("a", "b", "third").agg(*_score(None, target), F.max("_base").alias("_base"))
+    g = x.groupBy("a", "b", "third").agg(*_score(target), F.max("_base").alias("_base"))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & (F.col("mean_r") > F.col("_base") + 1e-10))
     return g.withColumns({"improvement": F.col("mean_r") - F.col("_base"), "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}) \
         .drop("_k", "_s", "_base")

@@ -275,7 +275,7 @@ def recent_error(df: DataFrame, keys: list[str], order: list[str], err: str, n:
     return core_rows(b.withColumn("recent_error", F.avg(F.abs(err)).over(w)))
 
 
-def symbol_specialists(df: DataFrame, features: list[str], label: str, min_rows: int = 20, salts: int = 8, ridge: float = 1.0) -> DataFrame:
+def symbol_specialists(df: DataFrame, features: list[str], label: str, min_rows: int = 20, ridge: float = 1.0) -> DataFrame:
     """One linear model per symbol, fitted from per-symbol sums.
 
     The normal equations need only sums of products: rows are added up

@@ -454,7 +454,13 @@ def _(spark, d):
     return lg.groupBy("feature", "fold").agg(corr_agg("x", "y").alias("ic"))
 
 
-@query("E9_greedy_select", "feature pick!")
+@query("E9_greedy_select", "feature pick!", """
+SELECT unnest(chosen) AS feature, 1 AS pick FROM gpick ORDER BY i DESC LIMIT (SELECT len(chosen) FROM gpick ORDER BY i DESC LIMIT 1)""",
+       gpairs=" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS corr FROM fi" for i, a in enumerate(_FI) for b in _FI[i + 1:]),
+       gorder="""SELECT f.feature, row_number() OVER (ORDER BY abs_ic DESC, f.feature) AS i,
+ list_transform(list_filter((SELECT list({'a': p.a, 'b': p.b, 'c': p.corr}) FROM gpairs p), lambda q: abs(q.c) > 0.5 AND (q.a = f.feature OR q.b = f.feature)), lambda q: CASE WHEN q.a = f.feature THEN q.b ELSE q.a END) AS bad FROM fic f WHERE abs_ic >= 0.005""",
+       gpick="""SELECT 0 AS i, CAST([] AS VARCHAR[]) AS chosen UNION ALL
+SELECT g.i, CASE WHEN len(p.chosen) < 20 AND len(list_intersect(p.chosen, coalesce(g.bad, []))) = 0 THEN list_append(p.chosen, g.feature) ELSE p.chosen END FROM gpick p JOIN gorder g ON g.i = p.i + 1""")
 def _(spark, d):
     x = _fi(spark, d)
     ic = E.per_feature_ic(x, _FI, "y")

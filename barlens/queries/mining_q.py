@@ -134,16 +134,24 @@ def _(spark, d):
     return r.withColumn("deflated_sharpe", M.deflated_sharpe("sharpe", "n", 20))
 
 
-@query("M9_rule_similarity", "a b jaccard# corr#5 similarity#5", """
+cte("mreach", """
+SELECT rule_id AS a, rule_id AS b FROM mrules UNION
+SELECT r.a, e.b FROM mreach r JOIN (SELECT a, b FROM msim WHERE similarity >= 0.5 UNION ALL SELECT b, a FROM msim WHERE similarity >= 0.5) e ON r.b = e.a""")
+cte("msim", """
 SELECT a, b, nab / u AS jaccard, c AS corr, 0.6 * nab / u + 0.4 * abs(c) AS similarity FROM (SELECT *, (qab / u - sa / u * sb / u) / (sqrt(qa / u - pow(sa / u, 2)) * sqrt(qb / u - pow(sb / u, 2))) AS c FROM (
 SELECT p.a, p.b, p.nab::DOUBLE AS nab, p.qab, (x.n + y.n - p.nab)::DOUBLE AS u, x.s AS sa, x.q AS qa, y.s AS sb, y.q AS qb FROM (SELECT g.rule_id AS a, h.rule_id AS b, count(*) AS nab, sum(g.net_r * g.net_r) AS qab FROM mhit g JOIN mhit h ON g.order_id = h.order_id AND g.rule_id < h.rule_id GROUP BY 1, 2) p
 JOIN (SELECT rule_id, count(*) AS n, sum(net_r) AS s, sum(net_r * net_r) AS q FROM mhit GROUP BY 1) x ON x.rule_id = p.a JOIN (SELECT rule_id, count(*) AS n, sum(net_r) AS s, sum(net_r * net_r) AS q FROM mhit GROUP BY 1) y ON y.rule_id = p.b))""")
+
+
+@query("M9_rule_similarity", "a b jaccard# corr#5 similarity#5", "SELECT * FROM msim")
 def _(spark, d):
     x = conditioned(spark, d)
     return M.rule_similarity(x, pair_rules(x), "net_r")
 
 
-@query("M9_dedupe_rules", "rule_id family mean_r# is_representative?")
+@query("M9_dedupe_rules", "rule_id family mean_r# is_representative?", """
+SELECT rule_id, family, mean_r, row_number() OVER (PARTITION BY family ORDER BY round(mean_r, 10) DESC, rule_id) = 1 AS is_representative
+FROM mscore JOIN (SELECT a AS rule_id, min(b) AS family FROM mreach GROUP BY 1) USING (rule_id)""")
 def _(spark, d):
     x = conditioned(spark, d)
     r = pair_rules(x)
