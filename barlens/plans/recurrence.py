@@ -1,25 +1,23 @@
 """Exponential means as linear recurrences y[t] = a[t]*y[t-1] + b[t], exact for any cut into blocks.
 
-A block is summed up by one row: how much of the level before it is left at its end, and what it adds itself.  A scan over
-these few rows gives the level each block starts from, however many NULL rows or whole blocks lie in between.  The same scan
-does the rows of a block.
-
-Scan: with l the running sum of log(a), y = exp(l) * sum(b * exp(-l)) over rows whose l lies within the same 300 units; what comes
-from further back is the value at the end of the 300 units before, decayed, and nothing that is older can be seen in a double.
+The rows of a block are scanned from zero, with the share that is left of the start.  A block is summed up by one row; a fold
+over these few rows gives the level each block starts from, however many NULL rows or whole blocks lie in between.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barlens.functions.core import c
 from barlens.session import written
 
 DECADES = 40.0  # exp(-40) is below double precision
-UNITS = 300.0
 
 
 def lookback_for(k: float) -> int:
@@ -45,100 +43,127 @@ class Ema:
     gaps: bool = False
 
 
-def _scan(df: DataFrame, out: str, parts: list[str], order: str, log_a: Column, b: Column) -> DataFrame:
-    """Add ``out`` = a*y[t-1] + b with y = 0 before the first row, and ``out``_l, the running sum of log(a)."""
-    t = f"_{out}"
-    w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"{out}_l", F.sum(log_a).over(w)).withColumn(f"{t}_b", b)
-    df = df.withColumn(f"{t}_d", F.floor(-F.col(f"{out}_l") / UNITS)).withColumn(f"{t}_r", F.col(f"{out}_l") + F.col(f"{t}_d") * UNITS)
-    near = Window.partitionBy(*parts, f"{t}_d").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"{t}_y", F.exp(f"{t}_r") * F.sum(F.col(f"{t}_b") * F.exp(-F.col(f"{t}_r"))).over(near))
-    before = Window.partitionBy(*parts).orderBy(f"{t}_d").rangeBetween(-1, -1)
-    end = F.max(F.struct(F.col(order).alias("o"), F.col(f"{t}_y").alias("y"), F.col(f"{t}_r").alias("r"))).over(before)
-    df = df.withColumn(f"{t}_e", end)
-    carry = F.exp(F.col(f"{t}_r") - UNITS - F.col(f"{t}_e.r")) * F.col(f"{t}_e.y")
-    return df.withColumn(out, F.col(f"{t}_y") + F.coalesce(carry, F.lit(0.0))).drop(*[f"{t}_{s}" for s in "bdrye"])
+def _scan(x: np.ndarray, s: Ema) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values so far, y, l) per row of a block: the mean that starts with 0 at the first value, and the log of what is left of that start."""
+    valid = ~np.isnan(x)
+    seen = np.cumsum(valid)
+    at = np.flatnonzero(valid)
+    y, l = np.zeros(len(x)), np.zeros(len(x))
+    if len(at):
+        first = at[0]
+        from_zero = x[first:].copy()
+        from_zero[0] = 0.0
+        y[first:] = pd.Series(from_zero).ewm(alpha=s.k, adjust=False, ignore_na=not s.gaps).mean().to_numpy()
+        step = np.zeros(len(x))
+        step[at[1:]] = np.log(np.maximum(_weights(s, np.diff(at).astype(float))[0], 1e-300))
+        l = np.cumsum(step)
+    return seen, y, l
+
+
+def _weights(s: Ema, age):
+    """Weights of the level and of a new value that comes ``age`` rows after the last."""
+    old = (1.0 - s.k) ** age if s.gaps else (1.0 - s.k) * np.ones_like(age)
+    return (old / (old + s.k), s.k / (old + s.k)) if s.gaps else (old, s.k * np.ones_like(age))
+
+
+def _rows(specs: tuple[Ema, ...]):
+    """Rows of a block in order, with the scan of each mean."""
+    def rows(block: pa.Table) -> pa.Table:
+        block = block.sort_by("rn")
+        cold = block.column("zone").to_numpy() < 0
+        for i, s in enumerate(specs):
+            x = block.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float)
+            x[cold] = np.nan
+            for name, values in zip(("_i", "_y", "_l"), _scan(x, s)):
+                block = block.append_column(f"{name}{i}", pa.array(values.astype(float)))
+        return block
+    return rows
+
+
+def _summary(specs: tuple[Ema, ...]):
+    """One row per block: for each mean the number and sum of its own values that are not handed over again, the first value and
+    its row, the last row with a value, y and l where the next block begins, and the first n values."""
+    def summary(block: pa.Table) -> pa.Table:
+        block = block.sort_by("rn")
+        zone, rn = block.column("zone").to_numpy(), block.column("rn").to_numpy().astype(float)
+        own, out = (zone == 0) | (zone == 1), []
+        for i, s in enumerate(specs):
+            x = block.column(f"_x{i}").to_numpy(zero_copy_only=False).astype(float)
+            x[zone < 0] = np.nan
+            valid = np.flatnonzero(~np.isnan(x))
+            mine = valid[own[valid]]
+            end = np.flatnonzero(own)[-1:]
+            y, l = (float(block.column(f"{c}{i}")[int(end[0])].as_py()) if len(end) else 0.0 for c in ("_y", "_l"))
+            head = x[valid[:s.n]] if s.seed == "sma" else x[:0]
+            out.append([len(mine), x[mine].sum(), *((x[valid[0]], rn[valid[0]]) if len(valid) else (np.nan, np.nan)), rn[mine[-1]] if len(mine) else np.nan, y, l, *head])
+        return pa.table({"symbol": block.column("symbol")[:1], "blk": block.column("blk")[:1], "sums": pa.array([out], pa.list_(pa.list_(pa.float64())))})
+    return summary
+
+
+def _starts(specs: tuple[Ema, ...]):
+    """Blocks of a symbol in order: values seen before each, the level before it, and z, the level after its first value.
+
+    A row of the block is then y + exp(l) * z.  The fold takes one small row per block.
+    """
+    def starts(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by("blk")
+        sums = blocks.column("sums").to_pylist()
+        out = {f"_s{i}": [] for i in range(len(specs))}
+        for i, s in enumerate(specs):
+            need = s.n if s.seed == "sma" else 1
+            seen, total, last, level = 0, 0.0, None, None
+            for block in sums:
+                n, add, first, at, end, y, l, *head = block[i]
+                z = None
+                if at == at:  # the block has a value
+                    if seen >= need:
+                        left, new = (float(w[0]) for w in _weights(s, np.array([at - last])))
+                        z = left * level + new * first
+                    elif s.seed == "first":
+                        z = first
+                    elif len(head) >= need - seen:  # the value that completes the seed is in here
+                        head = head[:need - seen]
+                        mean = (total + sum(head)) / s.n
+                        scanned = 0.0
+                        for v in head[1:]:
+                            scanned = (1.0 - s.k) * scanned + s.k * v
+                        z = (mean - scanned) / (1.0 - s.k) ** (len(head) - 1)
+                out[f"_s{i}"].append({"seen": float(seen), "level": level, "z": z})
+                if n:
+                    seen, total, last = seen + int(n), total + add, end
+                    level = y + float(np.exp(l)) * z if seen >= need else None
+        kind = pa.struct([("seen", pa.float64()), ("level", pa.float64()), ("z", pa.float64())])
+        return pa.table({"symbol": blocks.column("symbol"), "blk": blocks.column("blk"), **{k: pa.array(v, kind) for k, v in out.items()}})
+    return starts
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields], more])
 
 
 def emas(df: DataFrame, *specs: Ema) -> DataFrame:
     """Add exponential means to a blocked table; specs that do not depend on each other go together.
 
-    The table is written once, as the rows and the sums of the blocks both come from it.
+    The rows of a block, which has a bounded size, are scanned in one pass and written, as sums and rows both come from them.
     """
-    group = ["symbol", "blk"]
-    w = Window.partitionBy(*group).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    past = Window.partitionBy(*group).orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    df = written(df.withColumns({f"_x{i}": F.when(F.col("zone") >= 0, c(s.x).cast("double")) for i, s in enumerate(specs)}), "emas")
-    rows = df
-    for i, s in enumerate(specs):
+    for s in specs:
         if s.seed not in ("first", "sma"):
             raise ValueError(f"unknown seed {s.seed!r}")
-        x = F.col(f"_x{i}")
-        rows = rows.withColumn(f"_i{i}", F.count(x).over(w))
-        age = F.lit(1.0)
-        if s.gaps:
-            age = F.col("rn") - F.last(F.when(x.isNotNull(), F.col("rn")), True).over(past)
-        left, new = _weights(s, age)
-        after_first = x.isNotNull() & (F.col(f"_i{i}") > 1)
-        rows = rows.withColumns({f"_a{i}": F.when(after_first, F.log(F.greatest(left, F.lit(1e-300)))).otherwise(0.0), f"_b{i}": F.when(after_first, new * x).otherwise(0.0)})
-        rows = _scan(rows, f"_y{i}", group, "rn", F.col(f"_a{i}"), F.col(f"_b{i}")).drop(f"_a{i}", f"_b{i}")
-    rows = rows.join(_starts(rows, specs), group, "left")
-    for i, s in enumerate(specs):
-        level = F.when(F.col(f"_i{i}") == 0, F.col(f"_s{i}.level")).otherwise(F.col(f"_y{i}") + F.exp(f"_y{i}_l") * F.col(f"_s{i}.z"))
-        seen = F.coalesce(F.col(f"_s{i}.seen"), F.lit(0)) + F.col(f"_i{i}")
-        ready = (F.col("zone") >= 0) & (seen >= (s.n if s.seed == "sma" else max(1, s.min_periods)))
-        rows = rows.withColumn(s.out, F.when(ready, level))
-    return rows.drop(*[f"_{p}{i}" for i in range(len(specs)) for p in "xiys"], *[f"_y{i}_l" for i in range(len(specs))])
-
-
-def _weights(s: Ema, age: Column) -> tuple[Column, Column]:
-    if s.gaps:
-        old = F.pow(F.lit(1.0 - s.k), age)
-        return old / (old + s.k), s.k / (old + s.k)
-    return F.lit(1.0 - s.k), F.lit(s.k)
-
-
-def _starts(rows: DataFrame, specs: tuple[Ema, ...]) -> DataFrame:
-    """Per block and mean: values seen before it, the level before it, and z, the level after its first value.
-
-    One row per block.  A row of the block is then y = scan + exp(l) * z.
-    """
-    own = F.col("zone").isin(0, 1)
-    aggs = []
-    for i, s in enumerate(specs):
-        x = F.when(own, F.col(f"_x{i}"))
-        at = F.when(x.isNotNull(), F.col("rn"))
-        aggs.append(F.struct(
-            F.count(x).alias("n"), F.sum(x).alias("sum"), F.min(at).alias("first"), F.max(at).alias("last"), F.min_by(F.col(f"_x{i}"), F.when(F.col(f"_x{i}").isNotNull(), F.col("rn"))).alias("v1"),
-            F.min(F.when(F.col(f"_x{i}").isNotNull(), F.col("rn"))).alias("rn1"), F.max_by(F.struct(F.col(f"_y{i}").alias("y"), F.col(f"_y{i}_l").alias("l")), F.when(own, F.col("rn"))).alias("end"),
-            (F.array_sort(F.collect_list(F.when(F.col("zone") >= 0, F.when(F.col(f"_x{i}").isNotNull() & (F.col(f"_i{i}") <= s.n), F.struct(F.col("rn"), F.col(f"_x{i}").alias("v"))))))
-             if s.seed == "sma" else F.lit(None).cast("array<struct<rn:bigint,v:double>>")).alias("head")).alias(f"_t{i}"))
-    t = rows.filter("zone >= 0").groupBy("symbol", "blk").agg(*aggs)
-    before = Window.partitionBy("symbol").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    group, ids = ["symbol", "blk"], range(len(specs))
+    df = df.withColumns({f"_x{i}": c(s.x).cast("double") for i, s in enumerate(specs)})
+    specs = tuple(replace(s, x=f"_x{i}") for i, s in enumerate(specs))  # columns do not travel to the workers
+    made = ", ".join(f"_i{i} double, _y{i} double, _l{i} double" for i in ids)
+    rows = written(df.groupBy(*group).applyInArrow(_rows(specs), _schema(df, made)), "emas")
+    key = f"symbol {df.schema['symbol'].dataType.simpleString()}, blk {df.schema['blk'].dataType.simpleString()}"
+    sums = rows.select(*group, "rn", "zone", *[f"_{p}{i}" for i in ids for p in "xyl"]).groupBy(*group).applyInArrow(_summary(specs), f"{key}, sums array<array<double>>")
+    starts = sums.groupBy("symbol").applyInArrow(_starts(specs), f"{key}, " + ", ".join(f"_s{i} struct<seen: double, level: double, z: double>" for i in ids))
+    rows = rows.join(starts, group, "left")
+    out = {}
     for i, s in enumerate(specs):
-        g = F.col(f"_t{i}")
-        t = t.withColumns({"_seen": F.coalesce(F.sum(g["n"]).over(before), F.lit(0)), "_total": F.coalesce(F.sum(g["sum"]).over(before), F.lit(0.0)),
-                           "_last": F.max(g["last"]).over(before)})
-        if s.seed == "first":
-            begun, seed = F.col("_seen") > 0, g["v1"]
-        else:
-            begun = F.col("_seen") >= s.n
-            j = F.lit(s.n) - F.col("_seen")  # the block's value that completes the seed
-            head = F.transform(F.slice(g["head"], 1, F.greatest(j, F.lit(1)).cast("int")), lambda e: e["v"])
-            mean = (F.col("_total") + F.aggregate(head, F.lit(0.0), lambda a, v: a + v)) / s.n
-            scanned = F.aggregate(F.slice(head, 2, F.greatest(j - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda a, v: a * (1.0 - s.k) + v * s.k)
-            seed = (mean - scanned) / F.pow(F.lit(1.0 - s.k), (j - 1).cast("double"))
-        left, new = _weights(s, (g["rn1"] - F.col("_last")).cast("double"))
-        # a block that holds the seed starts the scan; blocks before it and blocks without values leave the level as it is
-        has = g["n"] > 0
-        whole = has & (begun | (F.col("_seen") + g["n"] >= (1 if s.seed == "first" else s.n)))
-        lg = F.when(whole & begun, g["end"]["l"] + F.log(F.greatest(left, F.lit(1e-300)))).otherwise(0.0)
-        add = F.when(whole & begun, g["end"]["y"] + F.exp(g["end"]["l"]) * new * g["v1"]).when(whole, g["end"]["y"] + F.exp(g["end"]["l"]) * seed).otherwise(0.0)
-        t = _scan(t, "_level", ["symbol"], "blk", lg, add).drop("_level_l")
-        t = t.withColumn("_before", F.coalesce(F.lag("_level").over(Window.partitionBy("symbol").orderBy("blk")), F.lit(0.0)))
-        z = F.when(begun, left * F.col("_before") + new * g["v1"]).otherwise(seed)
-        t = t.withColumn(f"_s{i}", F.struct(F.col("_seen").alias("seen"), F.when(begun, F.col("_before")).alias("level"), z.alias("z"))).drop("_seen", "_total", "_last", "_level", "_before")
-    return t.select("symbol", "blk", *[f"_s{i}" for i in range(len(specs))])
+        level = F.when(F.col(f"_i{i}") == 0, F.col(f"_s{i}.level")).otherwise(F.col(f"_y{i}") + F.exp(f"_l{i}") * F.col(f"_s{i}.z"))
+        ready = (F.col("zone") >= 0) & (F.col(f"_s{i}.seen") + F.col(f"_i{i}") >= (s.n if s.seed == "sma" else max(1, s.min_periods)))
+        out[s.out] = F.when(ready, level)
+    return rows.withColumns(out).drop(*[f"_{p}{i}" for i in ids for p in "xiyls"])
 
 
 def ema(df: DataFrame, x: str | Column, k: float, out: str, **options) -> DataFrame:
