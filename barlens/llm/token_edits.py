@@ -16,59 +16,71 @@ LEAF = 32
 TREES = "doc_id long, text string, n_tokens long, chars array<int>, tokens array<int>"
 
 
+def counted(bpe: Bpe, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of each fragment of a text."""
+    found = bpe.fragments(text)
+    ids = bpe.encode if any(t in text for t in bpe.added) else bpe.fragment_ids
+    memo = bpe.memo.get
+    if ids is bpe.encode:
+        sizes = [len(ids(f)) for f in found]
+    else:
+        sizes = [len(memo(f) or ids(f)) for f in found]
+    return np.fromiter(map(len, found), np.int32, len(found)), np.array(sizes, dtype=np.int32) // 4
+
+
 class CountTree:
     """Sums of characters and tokens over the fragments of a text.
 
     A fragment is white space with the pre-tokens up to the next: no merge and no pre-token crosses its ends, so its count does not
-    depend on what stands around it.  Leaves hold some fragments each; the nodes above, in a heap-ordered array, hold the sums of
-    their two children.  An edit replaces the fragments of a few neighbouring leaves and renews the sums on their paths.
+    depend on what stands around it.  Leaves hold some fragments each; the nodes above, in heap order, hold the sums of
+    their two children.  An edit replaces the fragments of a few neighbouring leaves and renews the sums on their paths; the text
+    and the counts of all other leaves stay where they were.
     """
 
-    def __init__(self, bpe: Bpe, text: str, chars: list[int] | None = None, tokens: list[int] | None = None):
-        self.bpe, self.encoded = bpe, 0
+    def __init__(self, bpe: Bpe, text: str, chars: np.ndarray | None = None, tokens: np.ndarray | None = None):
+        self.bpe, self.encoded, self.base = bpe, 0, text
         if chars is None:
-            chars, tokens = self._counted(text)
-        # the text is kept by leaf, so an edit does not copy all of it
-        self.chars = [list(chars[i:i + LEAF]) for i in range(0, len(chars), LEAF)] or [[]]
-        self.tokens = [list(tokens[i:i + LEAF]) for i in range(0, len(tokens), LEAF)] or [[]]
-        self.texts, at = [], 0
-        for c in self.chars:
-            n = sum(c)
-            self.texts.append(text[at:at + n])
-            at += n
-        self.size = 1 << max(0, len(self.chars) - 1).bit_length()
-        self.sums = [(0, 0)] * self.size + [(sum(c), sum(t)) for c, t in zip(self.chars, self.tokens)] + [(0, 0)] * (self.size - len(self.chars))
-        for i in range(self.size - 1, 0, -1):
-            self._renew(i)
-
-    def _renew(self, i: int) -> None:
-        (a, b), (c, d) = self.sums[2 * i], self.sums[2 * i + 1]
-        self.sums[i] = (a + c, b + d)
-
-    def _counted(self, text: str) -> tuple[list[int], list[int]]:
-        self.encoded += len(text)
-        found = self.bpe.fragments(text)
-        ids = self.bpe.encode if any(t in text for t in self.bpe.added) else self.bpe.fragment_ids
-        return [len(f) for f in found], [len(ids(f)) // 4 for f in found]
+            chars, tokens = counted(bpe, text)
+            self.encoded = len(text)
+        self.base_chars, self.base_tokens = chars, tokens
+        self.n_leaves = max(1, -(-len(chars) // LEAF))
+        self.size = 1 << max(0, self.n_leaves - 1).bit_length()
+        self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)
+        if len(chars):
+            at = np.arange(0, len(chars), LEAF)
+            self.sums[self.size:self.size + len(at)] = np.column_stack([np.add.reduceat(chars, at), np.add.reduceat(tokens, at)])
+        self.begins = np.concatenate([[0], np.cumsum(self.sums[self.size:self.size + self.n_leaves, 0])])  # in the text as it was
+        lo = self.size
+        while lo > 1:
+            self.sums[lo // 2:lo] = self.sums[lo:2 * lo].reshape(-1, 2, 2).sum(axis=1)
+            lo //= 2
+        self.edited: dict[int, tuple[str, np.ndarray, np.ndarray]] = {}
 
     @property
     def n_chars(self) -> int:
-        return self.sums[1][0]
+        return int(self.sums[1, 0])
 
     @property
     def n_tokens(self) -> int:
-        return self.sums[1][1]
+        return int(self.sums[1, 1])
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """Leaf that holds a character, and where the leaf begins: down from the root by sums."""
         i, begin = 1, 0
         while i < self.size:
             i *= 2
-            if at - begin >= self.sums[i][0] and (self.sums[i + 1][0] > 0):
-                begin += self.sums[i][0]
+            if at - begin >= self.sums[i, 0] and self.sums[i + 1, 0] > 0:
+                begin += int(self.sums[i, 0])
                 i += 1
         return i - self.size, begin
 
+    def _held(self, leaf: int) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, characters and tokens of a leaf."""
+        if leaf in self.edited:
+            return self.edited[leaf]
+        i = leaf * LEAF
+        return self.base[self.begins[leaf]:self.begins[leaf + 1]], self.base_chars[i:i + LEAF], self.base_tokens[i:i + LEAF]
+
     def replace(self, start: int, end: int, new: str) -> None:
         """Replace characters start to end (clamped to the text) by ``new``."""
         start = max(0, min(start, self.n_chars))
@@ -76,50 +88,63 @@ class CountTree:
         # boundary context: the fragment of the character before, and that of the character after
         first, begin = self._leaf(max(0, start - 1))
         last, _ = self._leaf(min(end, max(0, self.n_chars - 1)))
-        chars = [c for leaf in self.chars[first:last + 1] for c in leaf]
-        tokens = [t for leaf in self.tokens[first:last + 1] for t in leaf]
-        text = "".join(self.texts[first:last + 1])
+        held = [self._held(leaf) for leaf in range(first, last + 1)]
+        text, chars, tokens = "".join(h[0] for h in held), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
         a, b = start - begin, end - begin
-        i = pos = 0
-        while i < len(chars) and pos + chars[i] <= a - 1:
-            pos += chars[i]
-            i += 1
-        j, stop = i, pos
-        while j < len(chars) and stop <= b:
-            stop += chars[j]
-            j += 1
+        ends = np.cumsum(chars)
+        i = int(np.searchsorted(ends, a - 1, "right"))  # the first fragment that reaches beyond the character before
+        j = min(len(chars), int(np.searchsorted(ends, b, "right")) + 1)
+        pos, stop = int(ends[i - 1]) if i else 0, int(ends[j - 1]) if j else 0
         middle = text[pos:a] + new + text[b:stop]
-        new_chars, new_tokens = self._counted(middle)
-        chars[i:j], tokens[i:j] = new_chars, new_tokens
+        self.encoded += len(middle)
+        new_chars, new_tokens = counted(self.bpe, middle)
+        chars, tokens = (np.concatenate([old[:i], put, old[j:]]) for old, put in ((chars, new_chars), (tokens, new_tokens)))
         text = text[:pos] + middle + text[stop:]
         # the touched leaves share what they hold now; only their paths are renewed
         share, at, done = -(-len(chars) // (last - first + 1)), 0, 0
         for leaf in range(first, last + 1):
             c, t = chars[done:done + share], tokens[done:done + share]
-            n = sum(c)
-            self.chars[leaf], self.tokens[leaf], self.texts[leaf] = c, t, text[at:at + n]
-            self.sums[self.size + leaf] = (n, sum(t))
+            n = int(c.sum())
+            self.edited[leaf] = (text[at:at + n], c, t)
+            self.sums[self.size + leaf] = (n, t.sum())
             at, done = at + n, done + share
         i, j = (self.size + first) >> 1, (self.size + last) >> 1
         while i:
-            for k in range(i, j + 1):
-                self._renew(k)
+            self.sums[i:j + 1] = self.sums[2 * i:2 * j + 2].reshape(-1, 2, 2).sum(axis=1)
             i, j = i >> 1, j >> 1
 
+    def state(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """Text, characters and tokens of all fragments."""
+        if not self.edited:
+            return self.base, self.base_chars, self.base_tokens
+        parts, done = [], 0
+        for leaf in sorted(self.edited):
+            if leaf > done:
+                parts.append((self.base[self.begins[done]:self.begins[leaf]], self.base_chars[done * LEAF:leaf * LEAF], self.base_tokens[done * LEAF:leaf * LEAF]))
+            parts.append(self.edited[leaf])
+            done = leaf + 1
+        parts.append((self.base[self.begins[done]:] if done < self.n_leaves else "", self.base_chars[done * LEAF:], self.base_tokens[done * LEAF:]))
+        return "".join(p[0] for p in parts), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
     def text(self) -> str:
-        return "".join(self.texts)
+        return self.state()[0]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    off = np.zeros(len(arrays) + 1, np.int32)
+    off[1:] = np.cumsum([len(x) for x in arrays])
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(arrays).astype(np.int32)))
 
 
 def _trees(bpe_text, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = loaded(bpe_text.value)
     for batch in batches:
         for part in byte_slices(batch, 1):
-            out = []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                chars, tokens = CountTree(bpe, "", [], [])._counted(text or "")
-                out.append((doc, text or "", sum(tokens), chars, tokens))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "text", "n_tokens", "chars", "tokens"])
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            found = [counted(bpe, t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(texts, pa.string()), pa.array([int(t.sum()) for _, t in found], pa.int64()), _lists([c for c, _ in found]), _lists([t for _, t in found])],
+                names=["doc_id", "text", "n_tokens", "chars", "tokens"])
 
 
 def count_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -134,31 +159,36 @@ def count_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         lambda b: _trees(sent, b), TREES)
 
 
-def edited(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def edited(trees: DataFrame, tokenizer: str | None = None, state: bool = True) -> DataFrame:
     """Apply edits to trees: rows of count_trees with a column ``edits``, an array of (start, stop, new) in characters, in order.
 
     Each edit speaks of the text as the edits before have left it; positions are clamped to the text, null ``new`` deletes.
-    Returns the new state and what it took: doc_id, text, n_tokens, chars, tokens, n_before, reencoded (characters encoded again).
-    Null edits leave a text as it is.
+    Returns what it took, doc_id, n_before, n_after, chars_after, reencoded (characters encoded again), and with ``state`` the new
+    state: text, n_tokens, chars, tokens.  Null edits leave a text as it is.
     """
     text_batches(trees.sparkSession)
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         sent = trees.sparkSession.sparkContext.broadcast(f.read())
     names = ["doc_id", "text", "n_tokens", "chars", "tokens", "edits"]
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(sent.value)
         for batch in batches:
             for part in byte_slices(batch, 1):
-                out = []
-                for doc, text, n, chars, tokens, edits in zip(*[c.to_pylist() for c in part.columns]):
-                    tree = CountTree(bpe, text, chars, tokens)
+                done = []
+                for text, chars, tokens, edits in zip(part.column(1).to_pylist(), part.column(3), part.column(4), part.column(5).to_pylist()):
+                    tree = CountTree(bpe, text, chars.values.to_numpy(), tokens.values.to_numpy())
                     for e in edits or []:
                         tree.replace(e["start"], e["stop"], e["new"] or "")
-                    out.append((doc, tree.text(), tree.n_tokens, [c for x in tree.chars for c in x], [t for x in tree.tokens for t in x], n, tree.encoded))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=[*names[:5], "n_before", "reencoded"])
-    return trees.select(*names).mapInArrow(apply, TREES + ", n_before long, reencoded long")
+                    done.append(tree)
+                out = {"doc_id": part.column(0), "n_before": part.column(2)}
+                out |= {n: pa.array(v, pa.int64()) for n, v in (("n_after", [t.n_tokens for t in done]), ("chars_after", [t.n_chars for t in done]), ("reencoded", [t.encoded for t in done]))}
+                if state:
+                    new = [t.state() for t in done]
+                    out |= {"text": pa.array([x for x, _, _ in new], pa.string()), "n_tokens": out["n_after"], "chars": _lists([c for _, c, _ in new]), "tokens": _lists([t for _, _, t in new])}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+    schema = "doc_id long, n_before long, n_after long, chars_after long, reencoded long" + (", text string, n_tokens long, chars array<int>, tokens array<int>" if state else "")
+    return trees.select(*names).mapInArrow(apply, schema)
 
 
 def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
@@ -179,5 +209,4 @@ def derived_edits(text):
 def op5_token_edits(spark, sf_dir: str) -> DataFrame:
     """Counts of every document before and after three edits that are derived from its text."""
     trees = count_trees(table(spark, sf_dir, "documents"))
-    out = edited(trees.withColumn("edits", derived_edits(F.col("text"))))
-    return out.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.length("text").cast("long").alias("chars_after"), "reencoded")
+    return edited(trees.withColumn("edits", derived_edits(F.col("text"))), state=False)
