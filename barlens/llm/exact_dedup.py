@@ -110,10 +110,10 @@ def exact_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one per text, all columns."""
+    """The rows of ``docs`` that stay, all columns: one per text, or all rows that repeat it with the id that stays."""
     kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    named = docs.withColumn("_text_sha", F.sha2(normalised(F.col("text")), 256))
-    return named.join(kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text_sha"] == kept["_sha"]), "left_semi").drop("_text_sha")
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.sha2(normalised(docs["text"]), 256) == kept["_sha"])
+    return docs.join(kept, same, "left_semi")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
