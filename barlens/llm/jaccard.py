@@ -123,7 +123,8 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
        orders are compared with the first of them, and verified links make the groups.  A group of copies of any size costs one
        comparison per member here and is never compared within itself.
     5. The token-group matrix holds the probes of each group.  A probe that only one group has is dropped, so is a pair within one
-       group.  A query is compared with the token union of a part of a group (parts have bounded size) and opens it
+       group; the smaller of two groups asks, the larger answers.  Sizes, and the places of the probe in the order of both
+       sides, bound the overlap before a pair is made.  A query is compared with the token union of a part of a group (parts have bounded size) and opens it
        only if the overlap reaches ``percent`` of the query.
     6. All verified links go through ``components``.
 
@@ -161,9 +162,11 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
     tokens = full.select("node", F.explode("tokens").alias("token"))
     mine = repeated(tokens).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("seen"))
     mine = mine.join(wanted.select("node", "n"), "node").withColumn("m", least_n.cast("int")).where(F.size("seen") >= F.col("m"))
-    nodes = written(mine.select("node", "n", F.expr("slice(seen, 1, size(seen) - m + 1).token").alias("probes")), "probes")
+    nodes = written(mine.select("node", "n", F.expr(
+        "transform(slice(seen, 1, size(seen) - m + 1), (s, i) -> named_struct('token', s.token, 'rest', size(seen) - i))").alias("probes")), "probes")
     whole = written(full.select("node", "tokens", "keys").join(nodes.select("node"), "node", "left_semi"), "whole-sets")
     discard(full, wanted)
+    done = [nodes, whole]
 
     # groups: each class against the first of those that share a key with it
     keys = whole.select("node", F.posexplode("keys").alias("order", "key"))
@@ -181,21 +184,26 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
         "parts", F.ceil(F.col("members") / F.greatest(F.lit(1), F.floor(F.lit(GROUP_TOKENS) / F.pow(F.lit(2.0), "part")))))
     placed = nodes.withColumn("part", part).join(counts, ["component", "part"]).withColumn(
         "g", F.struct("component", "part", F.pmod(F.xxhash64("node"), "parts").alias("nr")))
-    matrix = placed.select("component", "g", "node", F.explode("probes").alias("token"))
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("size"))
+    matrix = placed.join(sizes, "component").select("component", "size", "g", "node", "n", F.explode("probes").alias("_p"))
+    matrix = matrix.select("component", "size", "g", "node", "n", "_p.token", "_p.rest")
     open_tokens = matrix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     matrix = written(matrix.join(open_tokens, "token"), "token-groups")
-    groups = matrix.select("token", "component", "g").distinct()
-    asks = matrix.select("token", F.col("component").alias("mine"), F.col("node").alias("q"))
-    sized = nodes.select(F.col("node").alias("q"), F.col("n").alias("nq"))
-    # a group's part holds sets of 2^part to 2^(part+1) - 1 tokens: size bound of the query
-    found = asks.join(groups, "token").where("component < mine").select("q", "g").distinct().join(sized, "q").where(
-        (F.pow(F.lit(2.0), F.col("g.part") + 1) * 100 > F.col("nq") * percent) & (F.pow(F.lit(2.0), F.col("g.part")) * percent <= F.col("nq") * 100)).select("q", "g")
+    groups = matrix.groupBy("token", F.struct("size", "component").alias("theirs"), "g").agg(F.max("rest").alias("rest_g"), F.min("n").alias("least_n"))
+    asks = matrix.select("token", F.struct("size", "component").alias("mine"), F.col("node").alias("q"), F.col("n").alias("nq"), "rest")
+    # the first token in order that two sets share bounds their overlap by what comes from there on; a group's part holds
+    # sets of 2^part to 2^(part+1) - 1 tokens
+    reach = F.least("rest", "rest_g") * (100 + percent) >= (F.col("nq") + F.col("least_n")) * percent
+    fits = (F.pow(F.lit(2.0), F.col("g.part") + 1) * 100 > F.col("nq") * percent) & (F.pow(F.lit(2.0), F.col("g.part")) * percent <= F.col("nq") * 100)
+    found = asks.join(groups, "token").where(F.expr("mine < theirs") & reach & fits).select("q", "g").distinct()
     found = written(found, "queries")
     bodies = placed.select("node", "g").join(whole, "node")
     bodies = bodies.join(found.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
     asked_sets = found.join(whole.withColumnsRenamed({"node": "q", "tokens": "x"}), "q")
     more = asked_sets.join(bodies, "g").select("q", "x", F.to_json("g").alias("g"), "members").mapInArrow(_opened(percent), "a long, b long")
-    comps = components(near.unionByName(written(more, "group-links")))
+    more = written(more, "group-links")
+    comps = components(near.unionByName(more))
+    discard(*done, near, nodes, matrix, found, more)
 
     named = sets.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comps, "node", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
@@ -203,9 +211,9 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    kept = similar_documents(docs, **options).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose id is the smallest of its component, all columns; rows without an id stay."""
+    kept = similar_documents(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    return docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_id"), "left_semi").unionAll(docs.where("doc_id IS NULL"))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
