@@ -74,7 +74,9 @@ def _blocks(data: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _sums(words: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(max(0, len(words) - k + 1), U)
+    if len(words) < k:
+        return np.zeros(0, U)
+    out = np.zeros(len(words) - k + 1, U)
     for i in range(k):
         out += words[i:len(words) - k + 1 + i] * _PLACE[i]
     return mixed(out)

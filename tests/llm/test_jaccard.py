@@ -98,3 +98,17 @@ def test_empty(spark):
 def test_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in jaccard.op4_jaccard_join(spark, sf).collect()), key=repr) == brute(rows)
+
+
+def test_few_words_in_all():
+    for k in range(1, 8):
+        for n in range(8):
+            text = " ".join("w%d" % i for i in range(n))
+            for texts in ([text], [text, "", None], [None, *text.split()]):
+                assert [len(x) for x in shingles.shingle_sets(pa.array(texts, pa.string()), k)] == [len(sets_of(t, k)) for t in texts], (k, n)
+
+
+@pytest.mark.parametrize("n", range(6))
+def test_table_of_few_words(spark, n):
+    rows = [(1, " ".join("w%d" % i for i in range(n))), (2, ""), (3, None)]
+    assert result(frame(spark, rows).coalesce(1)) == brute(rows)
