@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,6 +57,22 @@ def text_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = 512, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of few rows and bytes for what is written inside the block; the session's own settings come back after it."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    if int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= rows:
+        wanted = {}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in wanted:
+            spark.conf.set(k, before[k])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -115,4 +132,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
-__all__ = ["WS", "NOT_WS", "written", "discard", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "components"]
+__all__ = ["WS", "NOT_WS", "written", "discard", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "batches_of", "components"]

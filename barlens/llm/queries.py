@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, embed_dedup, exact_dedup, jaccard, langid, licenses, mixing, token_edits, toxicity, warc
+from barlens.llm import bpe, embed_dedup, exact_dedup, fim, jaccard, langid, licenses, mixing, token_edits, toxicity, warc
 
 QUERIES = {
     "op1_embed_near_dedup": embed_dedup.op1_embed_near_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
+    "op11_fim": fim.op11_fim,
 }
 ORACLES = {
     "op6_licences": licenses.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_mix": mixing.OP10_SQL,
+    "op11_fim": fim.OP11_SQL,
 }
