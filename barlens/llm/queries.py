@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barlens.llm import bpe, embed_dedup, exact_dedup, fim, jaccard, langid, licenses, mixing, token_edits, toxicity, warc
+from barlens.llm import bpe, context_tree, embed_dedup, exact_dedup, fim, jaccard, langid, licenses, mixing, token_edits, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_embed_near_dedup": embed_dedup.op1_embed_near_dedup,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mix": mixing.op10_mix,
     "op11_fim": fim.op11_fim,
+    "op12_tree_scores": context_tree.op12_tree_scores,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {
     "op6_licences": licenses.OP6_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op10_mix": mixing.OP10_SQL,
     "op11_fim": fim.OP11_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
