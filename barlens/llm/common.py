@@ -20,8 +20,8 @@ NOT_WS = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder all executors share and read again: cuts lineage, survives lost executors.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write to the folder all executors share and read again: cuts lineage, survives lost executors.  ``options`` are the writer's.
 
     The shuffle files of the write are given back when it ends, as nothing reads them again.
     """
@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -41,8 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t._written)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -132,4 +137,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
 
 
-__all__ = ["WS", "NOT_WS", "written", "discard", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "batches_of", "components"]
+__all__ = ["WS", "NOT_WS", "written", "discard", "remove", "cut", "table", "n_words", "held_out", "byte_slices", "text_batches", "batches_of", "components"]

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 
+import pyarrow as pa
 import pytest
 
 from barlens.llm import warc
@@ -12,12 +13,16 @@ SCHEMA = "record_type string, page_id long, url string, html string, payload str
 
 
 def brute(rows):
-    payloads = [(p, (h or "").encode()) for p, h in rows]
-    best = {}
-    for p, b in payloads:
-        best[b] = max(best.get(b, p), p)
-    return sorted((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if best[b] == p else "revisit",
-                   None if best[b] == p else best[b]) for p, b in payloads)
+    """Of equal payloads one record of the largest page id is the response, a null id comes last; all others revisit it."""
+    groups = {}
+    for p, h in rows:
+        groups.setdefault((h or "").encode(), []).append(p)
+    out = []
+    for b, ids in groups.items():
+        ids.sort(key=lambda p: (p is None, -(p or 0)))
+        digest = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        out += [(p, len(b), digest, "revisit" if i else "response", ids[0] if i else None) for i, p in enumerate(ids)]
+    return sorted(out, key=repr)
 
 
 def test_round_trip(spark):
@@ -25,14 +30,45 @@ def test_round_trip(spark):
     urls = ["http://a/b", None, "", "http://a/ b\tc", "http://é.x/漢", "-"]
     rows = [("clash", i * 3 - 2, urls[i % len(urls)], t, "p") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(tuple(r) for r in warc.archived(df).collect()) == brute([(r[1], r[3]) for r in rows])
+    assert sorted((tuple(r) for r in warc.archived(df).collect()), key=repr) == brute([(r[1], r[3]) for r in rows])
     assert warc.archived(df.limit(0)).collect() == []
 
 
-def test_repeated_rows(spark):
-    df = spark.createDataFrame([("x", 5, "u", "same", "")] * 3 + [("x", None, "u", "other", "")], SCHEMA)
-    out = sorted((tuple(r) for r in warc.archived(df).collect()), key=repr)
-    assert len(out) == 4 and [r[3] for r in out] == ["response"] * 4
+def test_repeated_rows_and_null_ids(spark):
+    rows = [("x", 5, "u", "same", "")] * 3 + [("x", 4, "u", "same", ""), ("x", None, "u", "same", ""), ("x", None, "u", "other", ""), ("x", None, "v", "other", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((tuple(r) for r in warc.archived(df).collect()), key=repr) == brute([(r[1], r[3]) for r in rows])
+
+
+def test_identifiers_are_unique_and_referred_to(spark, tmp_path):
+    rows = [(p, "u", "1.2.3.4", "19990101000000", "text/html", b) for p, b in [(5, b"same")] * 40 + [(6, b"one"), (6, b"one"), (7, b"two"), (None, b"two")]]
+    warc.write_arc(spark.createDataFrame(rows, warc.RECORD).repartition(5), str(tmp_path / "a"))
+    out = warc.to_warc(warc.read_arc(spark, str(tmp_path / "a"))).collect()
+    assert len({r.record_id for r in out}) == len(rows) == len(out)
+    first = {r.record_id: r for r in out if r.record_type == "response"}
+    assert len(first) == 3 and all(r.payload_digest == first[r.refers_to_id].payload_digest for r in out if r.record_type == "revisit")
+    assert {bytes(r.payload) for r in first.values()} == {b"same", b"one", b"two"}
+    kept = warc.to_warc(warc.read_arc(spark, str(tmp_path / "a")), smallest=4).collect()
+    assert sorted(bytes(r.payload) for r in kept if r.record_type == "response") == [b"one"] * 2 + [b"same"] + [b"two"] * 2
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 100_000)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 50)
+    rows = [(i, "u", "1.2.3.4", "19990101000000", "text/html", bytes([65 + i % 20]) * (1500 if i % 7 else 40_000)) for i in range(300)] + [
+        (999, "u", None, "1999", None, b"z" * 250_000)]
+    warc.write_arc(spark.createDataFrame(rows, warc.RECORD).coalesce(1), str(tmp_path / "a"), records_per_file=50)
+    sizes = [[len(r["payload"]) for r in warc.parse_arc(open(f, "rb").read())] for f in (tmp_path / "a").rglob("part-*")]
+    assert sum(map(len, sizes)) == 301 and max(map(len, sizes)) <= 50
+    assert all(sum(s) <= 100_000 or len(s) == 1 for s in sizes)
+    got = sorted((r.page_id, bytes(r.payload)) for r in warc.read_arc(spark, str(tmp_path / "a")).collect())
+    assert got == sorted((r[0], r[5]) for r in rows)
+
+
+def test_a_damaged_payload_is_found():
+    raw = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    with pytest.raises(ValueError):
+        list(warc._warc_records(True)([pa.RecordBatch.from_arrays([pa.array([raw])], ["content"])]))
 
 
 def test_parse_versions():
@@ -64,4 +100,4 @@ def test_interfaces(spark, version, tmp_path):
 
 def test_table(spark, sf):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
-    assert sorted(tuple(r) for r in warc.op9_warc(spark, sf).collect()) == brute(rows)
+    assert sorted((tuple(r) for r in warc.op9_warc(spark, sf).collect()), key=repr) == brute(rows)
