@@ -25,7 +25,7 @@ DEPTH = 5
 #: Levels that one ordered pass climbs: the nodes under one node so many levels up are at most 256 ** LEVELS contexts of 255 decisions.
 LEVELS = 2
 #: Bytes of text whose grams and words are looked up together: a vocabulary grows far slower than its text.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Longer texts are cut at white space into pieces of about this size; a worker makes the grams of so many bytes at once.
 PIECE = 2 << 20
 END = 0xFF
@@ -299,7 +299,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         for a, b in zip(cuts := np.concatenate([[0], np.flatnonzero(blocks[1:] != blocks[:-1]) + 1]), [*cuts[1:], len(blocks)]):
             if a == b:
                 continue
-            if held and (blocks[a] != now or size > 32 << 20):
+            if held and (blocks[a] != now or size > 64 << 20):
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
             now = blocks[a]
@@ -346,8 +346,8 @@ def _scoring(depth: int, total: int, distinct: int):
         is_gram = pc.is_valid(known.column("g"))
         g, w = known.filter(is_gram), known.filter(pc.invert(is_gram))
         order = np.argsort(_np(g, "g"))
-        keys, values = _np(g, "g")[order], _np(g, "log10_p")[order]
-        vocabulary, c = w.column("w").combine_chunks(), _np(w, "c")
+        keys, values = _np(g, "g")[order], _np(g, "v")[order]
+        vocabulary, c = w.column("w").combine_chunks(), _np(w, "v")
         c_end = c[pc.index_in(pa.array([b"\xff"]), vocabulary)[0].as_py()]
         out = []
         for part in _slices(pieces):
@@ -383,7 +383,7 @@ def tree_scores(docs: DataFrame, held: Column, depth: int = DEPTH, levels: int =
     bits_per_byte, the code length.  score is the log10 probability of the lower-cased bytes and the end; base_score that of words and end
     under counts plus one.  Learning counts are frozen: a text does not change the tree while it is scored.
 
-    Texts are written once as pieces in blocks of about 16 MB.  A block sends each gram and word it has once, with
+    Texts are written once as pieces in blocks of about 32 MB.  A block sends each gram and word it has once, with
     the count; counts are summed over blocks, the tree answers per distinct gram, and a join by gram and by block brings the
     answers to the texts, so what moves is blocks' vocabularies and the texts once.  No table is held by the driver or broadcast.
 
@@ -395,14 +395,14 @@ def tree_scores(docs: DataFrame, held: Column, depth: int = DEPTH, levels: int =
     given = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"),
                         F.col("text").cast("string").cast("binary").alias("text"))
     with batches_of(spark):
-        pieces = written(given.mapInArrow(_pieces(depth, block_bytes, piece_bytes), _PIECES.format(id=kind)), "tree-pieces")
-        seen = written(pieces.mapInArrow(_seeing(depth), _SEEN), "tree-seen")
+        pieces = written(given.mapInArrow(_pieces(depth, block_bytes, piece_bytes), _PIECES.format(id=kind)), "tree-pieces", compression="zstd")
+        seen = written(pieces.mapInArrow(_seeing(depth), _SEEN), "tree-seen", compression="zstd")
     words = written(seen.where("w is not null").groupBy("w").agg(F.sum("n").alias("c")), "tree-words")
     size = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     grams = written(seen.where("g is not null").groupBy("g").agg(F.sum("n").alias("n")), "tree-grams")
     answers = written(probabilities(grams, depth, levels), "tree-answers")
-    known = (seen.where("g is not null").select("block", "g").join(answers, "g").select("block", "g", F.lit(None).cast("binary").alias("w"), F.lit(None).cast("long").alias("c"), "log10_p")
-             .unionByName(seen.where("w is not null").select("block", "w").join(words, "w").select("block", F.lit(None).cast("long").alias("g"), "w", "c", F.lit(None).cast("double").alias("log10_p"))))
+    known = (seen.where("g is not null").select("block", "g").join(answers, "g").select("block", "g", F.lit(None).cast("binary").alias("w"), F.col("log10_p").alias("v"))
+             .unionByName(seen.where("w is not null").select("block", "w").join(words, "w").select("block", F.lit(None).cast("long").alias("g"), "w", F.col("c").cast("double").alias("v"))))
     scored = pieces.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scoring(depth, size["n"], size["v"]), _SCORED.format(id=kind))
     per = scored.groupBy("uid", "doc_id", "held_out").agg(
         *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known")],

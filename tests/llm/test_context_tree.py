@@ -147,6 +147,8 @@ def test_query_on_given_documents(spark, sf):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert len(rows) == len(docs) and all(r.held_out == is_held(r.doc_id) for r in rows)
     held = [r for r in rows if r.held_out]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    shallow = ct.tree_scores(spark.read.parquet(f"{sf}/documents.parquet"), held_out(F.col("doc_id"), 7, 2), depth=1).where("held_out").collect()
+    assert held and sum(r.score for r in held) > 1.2 * sum(r.score for r in shallow)
+    assert sum(r.score for r in held) / sum(r.n_bytes for r in held) > -2.7 * math.log10(2)
     again = {r.doc_id: r.score for r in ct.op12_tree_scores(spark, sf).collect()}
     assert again == {r.doc_id: r.score for r in rows}
