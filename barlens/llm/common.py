@@ -64,17 +64,16 @@ def text_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None
 
 @contextmanager
 def batches_of(spark: SparkSession, rows: int = 512, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of few rows and bytes for what is written inside the block; the session's own settings come back after it."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {k: spark.conf.get(k) for k in wanted}
-    if int(before["spark.sql.execution.arrow.maxRecordsPerBatch"]) <= rows:
-        wanted = {}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
+    """Arrow batches of at most so many rows and bytes for what is written inside the block; stricter settings stay, and the session's own come back after it."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in names}
+    asked = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    spark.conf.set(names[0], str(min(int(before[names[0]]), rows)))
+    spark.conf.set(names[1], str(min(int(asked(before[names[1]])), int(asked(size)))))
     try:
         yield
     finally:
-        for k in wanted:
+        for k in names:
             spark.conf.set(k, before[k])
 
 

@@ -27,7 +27,7 @@ LEVELS = 2
 #: Bytes of text whose grams and words are looked up together: a vocabulary grows far slower than its text.
 BLOCK = 32 << 20
 #: Longer texts are cut at white space into pieces of about this size; a worker makes the grams of so many bytes at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 END = 0xFF
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -309,10 +309,22 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _slices(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Parts of a table whose bodies have about PIECE bytes."""
+def _slices(t: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a table whose bodies have about PIECE bytes, and no more rows than a gram leaves bits for in 64."""
+    most = 1 << min(56 - 8 * depth, 30)
     for batch in t.combine_chunks().to_batches():
-        yield from byte_slices(batch, batch.schema.get_field_index("body"), PIECE)
+        for part in byte_slices(batch, batch.schema.get_field_index("body"), PIECE):
+            for a in range(0, part.num_rows, most):
+                yield part.slice(a, most)
+
+
+def _runs(grams: np.ndarray, tag: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted grams with a tag of so many bits each: distinct grams, where each begins, and the tags in that order."""
+    packed = (grams.view(np.uint64) << np.uint64(bits)) | tag.astype(np.uint64)
+    packed.sort()
+    key = packed >> np.uint64(bits)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[starts].view(np.int64), starts, (packed & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def _seeing(depth: int):
@@ -320,16 +332,19 @@ def _seeing(depth: int):
     def seen(batches):
         for t in _by_block(batches):
             block, keys, times, words, counts = t.column("block")[0].as_py(), [], [], [], []
-            for part in _slices(t):
+            for part in _slices(t, depth):
                 data, starts = _bytes(part.column("body"))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-                coded = pa.array(_grams(data, starts, depth)).dictionary_encode()
-                keys.append(coded.dictionary.to_numpy())
-                times.append(np.bincount(coded.indices.to_numpy(), np.repeat(train, np.diff(starts) - depth), len(keys[-1])))
+                key, at, flag = _runs(_grams(data, starts, depth), np.repeat(train, np.diff(starts) - depth), 1)
+                keys.append(key)
+                times.append(np.add.reduceat(flag, at) if len(at) else flag)
+                if sum(map(len, keys)) > 1 << 20:
+                    g, _, (n,) = _grouped(np.concatenate(keys), np.concatenate(times))
+                    keys, times = [g], [n]
                 coded, per = _words(data, starts, depth)
                 words += [coded.dictionary.cast(pa.binary()), pa.array([b"\xff"])]
                 counts += [np.bincount(coded.indices.to_numpy(), np.repeat(train, per), len(coded.dictionary)), [(_ends(data, starts, depth) * train).sum()]]
-            g, _, (n,) = _grouped(np.concatenate(keys), np.concatenate(times).astype(np.int64))
+            g, _, (n,) = _grouped(np.concatenate(keys), np.concatenate(times))
             for a in range(0, len(n), 1 << 18):
                 m = len(n[a:a + (1 << 18)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(g[a:a + m]), pa.nulls(m, pa.binary()), pa.array(n[a:a + m])], ["block", "g", "w", "n"])
@@ -350,10 +365,12 @@ def _scoring(depth: int, total: int, distinct: int):
         vocabulary, c = w.column("w").combine_chunks(), _np(w, "v")
         c_end = c[pc.index_in(pa.array([b"\xff"]), vocabulary)[0].as_py()]
         out = []
-        for part in _slices(pieces):
+        for part in _slices(pieces, depth):
             data, starts = _bytes(part.column("body"))
-            coded, sizes = pa.array(_grams(data, starts, depth)).dictionary_encode(), np.diff(starts) - depth
-            score = _sums(values[np.searchsorted(keys, coded.dictionary.to_numpy())][coded.indices.to_numpy()], sizes)
+            sizes = np.diff(starts) - depth
+            distinct_g, at, row = _runs(_grams(data, starts, depth), np.repeat(np.arange(len(sizes)), sizes), min(56 - 8 * depth, 30))
+            each = np.repeat(values[np.searchsorted(keys, distinct_g)], np.diff(np.append(at, len(row))))
+            score = np.bincount(row, weights=each, minlength=len(sizes))  # a text's grams are added in their order, so reruns agree
             words, per = _words(data, starts, depth)
             ends = _ends(data, starts, depth)
             of = c[pc.index_in(words.dictionary.cast(pa.binary()), vocabulary).to_numpy(zero_copy_only=False)]
@@ -411,7 +428,8 @@ def tree_scores(docs: DataFrame, held: Column, depth: int = DEPTH, levels: int =
         return F.aggregate("parts", F.lit(0.0), lambda s, x: s + x[name])
     out = per.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"),
                      added("base").alias("base_score"), added("score").alias("score"), (F.col("n_bytes") + 1).alias("n_bytes"))
-    out = written(out.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")), "tree-scores")
+    with batches_of(spark, 20_000, "8m"):
+        out = written(out.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")), "tree-scores")
     discard(pieces, seen, words, grams, answers)
     return out
 
