@@ -312,7 +312,7 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _slices(t: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
     """Parts of a table whose bodies have about PIECE bytes, and no more rows than a gram leaves bits for in 64."""
     most = 1 << min(56 - 8 * depth, 30)
-    for batch in t.combine_chunks().to_batches():
+    for batch in t.to_batches():
         for part in byte_slices(batch, batch.schema.get_field_index("body"), PIECE):
             for a in range(0, part.num_rows, most):
                 yield part.slice(a, most)
@@ -351,6 +351,7 @@ def _seeing(depth: int):
             coded = pa.concat_arrays(words).dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(), np.concatenate(counts), len(coded.dictionary)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), pa.nulls(len(n), pa.int64()), coded.dictionary, pa.array(n)], ["block", "g", "w", "n"])
+            pa.default_memory_pool().release_unused()
     return seen
 
 
@@ -363,8 +364,9 @@ def _scoring(depth: int, total: int, distinct: int):
         order = np.argsort(_np(g, "g"))
         keys, values = _np(g, "g")[order], _np(g, "v")[order]
         vocabulary, c = w.column("w").combine_chunks(), _np(w, "v")
+        del g, w, order
         c_end = c[pc.index_in(pa.array([b"\xff"]), vocabulary)[0].as_py()]
-        out = []
+        parts, seen = [], []
         for part in _slices(pieces, depth):
             data, starts = _bytes(part.column("body"))
             sizes = np.diff(starts) - depth
@@ -372,13 +374,18 @@ def _scoring(depth: int, total: int, distinct: int):
             each = np.repeat(values[np.searchsorted(keys, distinct_g)], np.diff(np.append(at, len(row))))
             score = np.bincount(row, weights=each, minlength=len(sizes))  # a text's grams are added in their order, so reruns agree
             words, per = _words(data, starts, depth)
-            ends = _ends(data, starts, depth)
-            of = c[pc.index_in(words.dictionary.cast(pa.binary()), vocabulary).to_numpy(zero_copy_only=False)]
-            n = of[words.indices.to_numpy()]
+            seen.append(words.dictionary)
+            parts.append(([part.column(x) for x in names[:4]], sizes, score, words.indices.to_numpy(), per, _ends(data, starts, depth)))
+        # the words of all slices are looked up at once
+        found = pc.index_in(pa.concat_arrays([x.cast(pa.binary()) for x in seen]), vocabulary).to_numpy(zero_copy_only=False)
+        out, at = [], 0
+        for (columns, sizes, score, words, per, ends), distinct_w in zip(parts, seen):
+            n = c[found[at:at + len(distinct_w)]][words]
+            at += len(distinct_w)
             base = _sums(np.log10((n + 1) / (total + distinct + 1)), per) + ends * np.log10((c_end + 1) / (total + distinct + 1))
             n_known = _sums((n > 0).astype(np.int64), per) + ends * (c_end > 0)
-            columns = [*[part.column(x) for x in names[:4]], *[pa.array(x) for x in (sizes - ends, per + ends, n_known, base, score)]]
-            out.append(pa.RecordBatch.from_arrays(columns, names))
+            out.append(pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in (sizes - ends, per + ends, n_known, base, score)]], names))
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out)
     return scored
 
@@ -420,6 +427,8 @@ def tree_scores(docs: DataFrame, held: Column, depth: int = DEPTH, levels: int =
     answers = written(probabilities(grams, depth, levels), "tree-answers")
     known = (seen.where("g is not null").select("block", "g").join(answers, "g").select("block", "g", F.lit(None).cast("binary").alias("w"), F.col("log10_p").alias("v"))
              .unionByName(seen.where("w is not null").select("block", "w").join(words, "w").select("block", F.lit(None).cast("long").alias("g"), "w", F.col("c").cast("double").alias("v"))))
+    known = written(known, "tree-known", compression="zstd")  # equal grams lie together: a few bytes a row, and the shuffles of the join are given back
+    discard(seen, words, grams, answers)
     scored = pieces.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_scoring(depth, size["n"], size["v"]), _SCORED.format(id=kind))
     per = scored.groupBy("uid", "doc_id", "held_out").agg(
         *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known")],
@@ -430,7 +439,7 @@ def tree_scores(docs: DataFrame, held: Column, depth: int = DEPTH, levels: int =
                      added("base").alias("base_score"), added("score").alias("score"), (F.col("n_bytes") + 1).alias("n_bytes"))
     with batches_of(spark, 20_000, "8m"):
         out = written(out.withColumn("bits_per_byte", -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")), "tree-scores")
-    discard(pieces, seen, words, grams, answers)
+    discard(pieces, known)
     return out
 
 
