@@ -58,7 +58,7 @@ def _pack(d: int, axes: np.ndarray):
             x, sizes = _matrix(t.column("e").chunk(0), d)
             y = x @ axes
             order = np.argsort(-y[:, 0], kind="stable")
-            row = (strip, tile, len(x), t.column("node").to_numpy()[order].tobytes(), t.column("n").to_numpy()[order].tobytes(),
+            row = (strip, tile, len(x), t.column("at").to_numpy()[order].tobytes(), t.column("n").to_numpy()[order].tobytes(),
                    sizes[order].tobytes(), x[order].tobytes(), y.min(axis=0).tolist(), y.max(axis=0).tolist())
             tile += 1
             kinds = (pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2)
@@ -152,7 +152,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, strip: int =
     A task returns link counts and a spanning forest of its links, never all pairs.
 
     A vector that is null, empty, zero or has a null or non-finite component links with nothing; vectors of different length
-    do not link.  Rows sharing a vec_id are one node of the graph, each with its own link count; a null vec_id is not linked.
+    do not link.  Rows that share a vec_id with different vectors are vectors of their own, each with its links and component; a null vec_id is not linked.
     An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
@@ -161,7 +161,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, strip: int =
             & F.exists("e", lambda x: x != 0))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     keys = [F.xxhash64(F.lit(s), "e").alias(f"k{s}") for s in (1, 2)]
-    nodes = written(rows.where("fine").groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("e").alias("e")), "vectors")
+    nodes = written(rows.where("fine").groupBy(*keys).agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("e").alias("e"))
+                    .withColumn("at", F.monotonically_increasing_id()), "vectors")
     n, d = nodes.agg(F.count("*"), F.max(F.size("e"))).first()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -177,7 +178,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, strip: int =
     along = F.aggregate(F.zip_with("e", F.array(*[F.lit(v) for v in first]), lambda x, v: F.coalesce(x, F.lit(0.0)) * v), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     n_strips = -(-n // strip)
-    ordered = nodes.select("node", "n", "e", (along / size).alias("along")).repartitionByRange(n_strips, "along", "node").select("node", "n", "e")
+    ordered = nodes.select("at", "n", "e", (along / size).alias("along")).repartitionByRange(n_strips, "along", "at").select("at", "n", "e")
     tiles = written(ordered.mapInArrow(_pack(d, axes), "strip int, tile int, m int, ids binary, ns binary, sizes binary, x binary, lo array<double>, hi array<double>"), "tiles")
 
     # pairs of strips whose boxes can reach the threshold; one small row per strip
@@ -196,13 +197,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, strip: int =
     found = sent.select("a", "b", "right", "tile", "ids", "ns", "sizes", "x", "lo", "hi").groupBy("a", "b").applyInArrow(
         _compare(d, axes, stops, threshold), "node long, root long, links long")
     found = written(found, "vector-links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-
+    links = found.groupBy(F.col("node").alias("at")).agg(F.sum("links").alias("links"))
+    comps = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "at", "component": "_c"})
+    # components are found over vectors; the least id of their vectors names them
+    of = nodes.select("at", "node").join(comps, "at")
+    named = of.join(of.groupBy("_c").agg(F.min("node").alias("component")), "_c").select("at", "component")
     members = rows.select("vec_id", "fine", *keys).join(
-        nodes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "node", "n"),
+        nodes.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "node", "n", "at"),
         F.col("fine") & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
-    out = members.join(links, "node", "left").join(comps, "node", "left")
+    out = members.join(links, "at", "left").join(named, "at", "left")
     component = F.coalesce("component", "node", "vec_id")
     return out.select("vec_id", F.when(F.col("fine"), F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(0).cast("long").alias("n_links"),
                       component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

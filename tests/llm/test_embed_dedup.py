@@ -66,6 +66,12 @@ def test_empty_and_unlinked(spark):
     assert result(df.limit(0)) == []
 
 
+def test_different_vectors_under_one_id(spark):
+    rows = [("x", i, v, 0, 0) for i, v in [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.05]), (7, [1.0, 0.06]), (3, [0.0, 2.0]), (3, [-1.0, 0.0]), (7, [1.0, 0.06])]]
+    got = result(spark.createDataFrame(rows, SCHEMA))
+    assert got == brute(rows) and [r for r in got if r[0] == 5] == [(5, 1, 3, False), (5, 3, 5, True)]
+
+
 def test_table(spark, sf):
     rows = [("", r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted((tuple(r) for r in embed_dedup.op1_embed_near_dedup(spark, sf).collect()), key=repr) == brute(rows)
