@@ -18,7 +18,7 @@ LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 3, 0.015, 12
 #: A kind of hit (entry and edits) counts if it is abuse in this share of the training texts that have it.
 LEAST_PRECISION = 0.6
 #: A stem has from 4 to 8 letters and so many different words; a lexicon has at most so many entries.
-STEM, STEM_WORDS, MOST_ENTRIES = (4, 8), 3, 4000
+STEM, STEM_WORDS = (4, 8), 3
 THRESHOLD = 0.3
 #: Words on each side of a hit that are its context.
 WINDOW = 8
@@ -27,8 +27,8 @@ REPORTS = {"said", "says", "wrote", "quote", "quoted", "quotes", "called", "repo
            "sagte", "schrieb", "zitat", "wort", "dit", "écrit", "citation", "mot", "dijo", "escribió", "cita", "palabra"}
 ADDRESS = {"you", "your", "youre", "ur", "du", "dein", "deine", "ihr", "tu", "toi", "vous", "ton", "usted", "tú", "eres"}
 QUOTES = "\"“”„«»‘’"
-#: What a hit counts by its context.
-CONTEXT = {"quoted": 0.25, "reported": 0.6, "plain": 1.0, "direct": 1.1}
+#: What a hit is taken to count by its context before labelled texts are seen, and how many hits this belief weighs.
+CONTEXT, CONTEXT_BELIEF = {"quoted": 0.25, "reported": 0.6, "plain": 1.0, "direct": 1.1}, 20.0
 #: Precision that a hit with so many edits is taken to have before counts are seen, and the weight of that belief.
 PRIOR, BELIEF = (0.9, 0.35, 0.2), 4.0
 TOKEN = re.compile(r"[^\W_]+|[" + QUOTES + r"]")
@@ -169,11 +169,11 @@ class Matcher:
         return out
 
 
-def _score(hits, weight, base: float) -> float:
+def _score(hits, weight, base: float, contexts: dict | None = None) -> float:
     """Chance that at least one hit is abuse; the strongest context of an entry counts once."""
-    best = {}
+    best, contexts = {}, contexts or CONTEXT
     for entry, edits, context in hits:
-        w = min(0.995, weight.get((entry, edits), PRIOR[edits]) * CONTEXT[context])
+        w = min(0.995, weight.get((entry, edits), PRIOR[edits]) * contexts[context])
         key = (entry, context == "quoted")
         best[key] = max(best.get(key, 0.0), w)
     clean = 1.0 - base
@@ -193,25 +193,29 @@ def _matcher(entries: tuple) -> Matcher:
 
 
 def _training_hits(entries: tuple):
-    """Per training text, each (entry, edits) it has outside quotations, and one row (-1, 0) if it has none."""
+    """Per training text, each (entry, edits, context) it has, context '' for any outside quotations, and (-1, 0, '') if it has none there."""
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(entries)
         for batch in batches:
             rows = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {(e, d) for e, d, c in m.hits(text or "") if c != "quoted"}
-                rows += [(e, d, toxic) for e, d in found] or [(-1, 0, toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32()) for i in range(3)], names=["entry", "edits", "toxic"])
+                found = set(m.hits(text or ""))
+                outside = {(e, d, "") for e, d, c in found if c != "quoted"} or {(-1, 0, "")}
+                rows += [(*h, toxic) for h in sorted(found | outside)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 2 else pa.int32()) for i in range(4)],
+                                             names=["entry", "edits", "context", "toxic"])
     return hits
 
 
-def _scored(entries: tuple, weight: dict, base: float, threshold: float):
+def _scored(model: dict, threshold: float):
+    entries = model["entries"]
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(entries)
         for batch in batches:
             for part in byte_slices(batch, 1):
                 found = [m.hits(t) if t else [] for t in part.column(1).to_pylist()]
-                scores = [_score(h, weight, base) for h in found]
+                scores = [_score(h, model["weight"], model["base"], model["context"]) for h in found]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()),
                      pa.array([len(h) for h in found], pa.int32())], names=["doc_id", "score", "predicted", "n_hits"])
@@ -224,14 +228,17 @@ def for_training(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Lexicon and weights from labelled texts: {"entries", "weight", "base"}.
+    """Lexicon and weights from labelled texts: {"entries", "weight", "base", "context"}.
+
+    A label other than 0 and 1 is no label; a document with both is toxic.
 
     Words are counted by families of toxic texts and by other texts that have them; stems are prefixes shared by several such
     words.  An entry has more support than chance gives to any word, and a minimum precision.  The matcher then runs over the same texts, so a misspelling that mostly occurs in other texts gets a
-    small weight.  Without toxic labels the lexicon is empty.
+    small weight.  What a context is worth is learned likewise: how many hits in it lie in toxic texts, against how many their entries'
+    precision makes one expect.  Without toxic labels the lexicon is empty.  It grows with the words of the bounded sample.
     """
     text_batches(docs.sparkSession)
-    known = labels.where(for_training(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    known = labels.where(for_training(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # the bounded sample is small enough to send: two numbers a row
@@ -245,7 +252,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     n = {r.toxic: r for r in n}
     pos, neg = (n[1].families if 1 in n else 0), (n[0].n if 0 in n else 0)
     if not pos:
-        return {"entries": (), "weight": {}, "base": 1.0 / (neg + 20.0)}
+        return {"entries": (), "weight": {}, "base": 1.0 / (neg + 20.0), "context": dict(CONTEXT)}
     words = train.select("toxic", "family", F.explode(F.array_distinct("words")).alias("word"))
     words = words.groupBy("word").agg(F.collect_set(F.when(F.col("toxic") == 1, F.col("family"))).alias("families"), F.sum(1 - F.col("toxic")).alias("neg"))
     words = written(words.withColumn("pos", F.size("families")), "toxic-words")
@@ -263,23 +270,35 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
         F.count_distinct("family").alias("pos_all"), F.count_distinct("word").alias("n"), F.max("pos").alias("top")).withColumnRenamed("pos_all", "pos")
     stems = stems.join(longer.groupBy("stem").agg(F.sum("neg").alias("neg")), "stem")
     stems = fit(stems, n_words).where((F.col("n") >= STEM_WORDS) & (F.col("top") < 0.8 * F.col("pos")))
-    top_words = [r.word for r in fit(words.where(F.length("word") >= 3), n_words).orderBy(F.desc("pos"), "word").limit(MOST_ENTRIES).collect()]
-    top_stems = {r.stem: r.pos for r in stems.orderBy(F.desc("pos"), "stem").limit(MOST_ENTRIES).collect()}
+    top_words = [r.word for r in fit(words.where(F.length("word") >= 3), n_words).select("word").collect()]
+    top_stems = {r.stem: r.pos for r in stems.select("stem", "pos").collect()}
+
+    def shorter(s: str) -> list[str]:
+        return [s[:n] for n in range(STEM[0], len(s))]
     # of nested stems the longest that keeps nearly all texts of the shorter
-    chosen = {s for s in top_stems if not any(t != s and t.startswith(s) and top_stems[t] >= 0.95 * top_stems[s] for t in top_stems)}
-    chosen = {s for s in chosen if not any(t != s and s.startswith(t) for t in chosen)}
-    entries = tuple([s + "*" for s in sorted(chosen)] + [w for w in sorted(top_words) if not any(w.startswith(s) for s in chosen)])
-    seen = train.select("text", "toxic").mapInArrow(_training_hits(entries), "entry int, edits int, toxic int").groupBy("entry", "edits", "toxic").count().collect()
+    beaten = {t for s, n in top_stems.items() for t in shorter(s) if t in top_stems and n >= 0.95 * top_stems[t]}
+    chosen = set(top_stems) - beaten
+    chosen = {s for s in chosen if not any(t in chosen for t in shorter(s))}
+    entries = tuple([s + "*" for s in sorted(chosen)] + [w for w in sorted(top_words) if w not in chosen and not any(t in chosen for t in shorter(w))])
+    seen = train.select("text", "toxic").mapInArrow(_training_hits(entries), "entry int, edits int, context string, toxic int") \
+        .groupBy("entry", "edits", "context", "toxic").count().collect()
     counts = {}
     for r in seen:
-        counts.setdefault((r.entry, r.edits), [0, 0])[r.toxic] += r["count"]
+        if r.context == "":
+            counts.setdefault((r.entry, r.edits), [0, 0])[r.toxic] += r["count"]
     weight = {}
     for (e, d), (no, yes) in counts.items():
         if e >= 0:
             w = (yes + BELIEF * PRIOR[d]) / (yes + no + BELIEF)
             weight[e, d] = w if w >= LEAST_PRECISION else 0.0
     none = counts.get((-1, 0), [0, 0])
-    return {"entries": entries, "weight": weight, "base": min(0.2, (none[1] + 0.5) / (sum(none) + 20.0))}
+    context = {}
+    for name, before in CONTEXT.items():
+        hits = [(weight.get((r.entry, r.edits), 0.0), r["count"], r.toxic) for r in seen if r.context == name]
+        toxic = sum(n for w, n, t in hits if t and w > 0)
+        expected = sum(w * n for w, n, _ in hits)
+        context[name] = min(1.2, (toxic + CONTEXT_BELIEF * before) / (expected + CONTEXT_BELIEF))
+    return {"entries": entries, "weight": weight, "base": min(0.2, (none[1] + 0.5) / (sum(none) + 20.0)), "context": context}
 
 
 def scores(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -289,7 +308,7 @@ def scores(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFr
     empty table gives no rows; other columns are not read, in particular labels, lang and source are no inputs.
     """
     text_batches(docs.sparkSession)
-    fn = _scored(model["entries"], model["weight"], model["base"], threshold)
+    fn = _scored(model, threshold)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         fn, "doc_id long, score double, predicted int, n_hits int")
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted", "n_hits")
@@ -304,7 +323,7 @@ def without_toxic(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, thr
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(model["entries"])
         for batch in batches:
-            keep = [_score(m.hits(t) if t else [], model["weight"], model["base"]) < threshold for t in batch.column(at).to_pylist()]
+            keep = [_score(m.hits(t) if t else [], model["weight"], model["base"], model["context"]) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
     return docs.mapInArrow(clean, docs.schema)
 

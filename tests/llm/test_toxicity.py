@@ -96,3 +96,40 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in tx.scores(df, tx.learn(df, none)).collect()] == [0]
     assert tx.scores(df.limit(0), tx.learn(df.limit(0), none)).collect() == []
+
+
+def test_other_labels_and_both(spark):
+    """Labels other than 0 and 1 are none; a document with both is toxic; repeated labels count once."""
+    docs, labels, _ = planted()
+    df = spark.createDataFrame(docs, SCHEMA)
+    schema = "doc_id long, toxic int"
+    toxic = [d for d, t in labels if t][:40]
+    plain = tx.learn(df, spark.createDataFrame(labels, schema))
+    odd = tx.learn(df, spark.createDataFrame(labels + [(d, 0) for d in toxic] + labels[:50] + [(d, 2) for d, _ in labels] + [(d, -1) for d, _ in labels[:9]] + [(5, None)], schema))
+    assert odd == plain
+
+
+def test_contexts_are_learned(spark):
+    """Where labelled texts quote a term without abuse, a quoted hit counts little; where they do not, it counts what is believed before."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    def text(hit):
+        words = [word() for _ in range(40)]
+        return " ".join(words[:20] + [hit] + words[20:])
+    abuse = [(i, text("zzvillain"), 1) for i in range(300)]
+    quoting = [(1000 + i, text('"zzvillain"'), 0) for i in range(80)]
+    clean = [(2000 + i, text(word()), 0) for i in range(2000)]
+    def learned(rows):
+        df = spark.createDataFrame([("s", d, t, "t", "x") for d, t, _ in rows], SCHEMA)
+        return tx.learn(df, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    with_quotes, without = learned(abuse + quoting + clean), learned(abuse + clean)
+    assert with_quotes["context"]["quoted"] < 0.1 < without["context"]["quoted"] == tx.CONTEXT["quoted"]
+    assert with_quotes["context"]["plain"] > 0.8 and with_quotes["entries"] == without["entries"] == ("zzvillain",)
+
+
+def test_long_text(spark):
+    docs, labels, _ = planted()
+    model = tx.learn(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    long = "calm words of no harm " * 150_000
+    df = spark.createDataFrame([("s", 1, long, "t", "x"), ("s", 2, long + "you zzvillain", "t", "x")], SCHEMA)
+    assert {r.doc_id: r.predicted for r in tx.scores(df, model).collect()} == {1: 0, 2: 1}
