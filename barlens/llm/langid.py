@@ -40,10 +40,11 @@ _LETTER: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Code point -> is it a letter (or a mark on one)."""
+    """Code point -> 2 for a letter, 1 for a mark on one, else 0."""
     if not _LETTER:
         import unicodedata
-        _LETTER.append(np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+        kind = {"L": 2, "M": 1}
+        _LETTER.append(np.fromiter((kind.get(unicodedata.category(chr(i))[0], 0) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1))
     return _LETTER[0]
 
 
@@ -61,8 +62,8 @@ def features(text: str | None) -> np.ndarray | None:
     for at in range(0, len(text), BLOCK):
         c = np.frombuffer(text[at:at + BLOCK].lower().encode("utf-32-le", "replace"), "<u4")
         letter = _letters()[c]
-        some = some or bool(letter.any())
-        c = np.concatenate([tail, np.where(letter, c, 32).astype(np.uint32)])
+        some = some or bool((letter == 2).any())
+        c = np.concatenate([tail, np.where(letter > 0, c, 32).astype(np.uint32)])
         gap = (c[1:] == 32) & (c[:-1] == 32)
         c = c[np.concatenate([[True], ~gap])]
         counts += _counted(c, len(tail))

@@ -12,7 +12,7 @@ def test_features(monkeypatch):
     whole = langid.features(text)
     monkeypatch.setattr(langid, "BLOCK", 37)
     assert np.allclose(whole, langid.features(text)) and abs((whole ** 2).sum() - 1) < 1e-9
-    assert langid.features(None) is None and langid.features("") is None and langid.features("12 ,.") is None and langid.features("x") is not None
+    assert langid.features(None) is None and langid.features("") is None and langid.features("12 ,.") is None and langid.features("\u0301\u0302 \u0300") is None and langid.features("x") is not None
 
 
 def test_families():
@@ -36,6 +36,31 @@ def test_edges(spark):
     assert {r.lang_pred for r in langid.predictions(df, langid.learn(df.limit(0))).collect()} == {"und"}
 
 
+def test_decisions_against_a_plain_reading(spark, sf):
+    """Family by votes of its machines, then the language by votes within it, read off the fitted weights one text at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs)
+    got = {r.doc_id: r.lang_pred for r in langid.predictions(docs, model).collect()}
+    assert set(got.values()) <= {r.lang for r in docs.select("lang").distinct().collect()} | {"und"}
+    for r in docs.limit(60).collect():
+        assert got[r.doc_id] == plain_decision(model, r.text)
+
+
+def plain_decision(model, text):
+    x = langid.features(text)
+    if x is None:
+        return "und"
+    speaks = {}  # (a, b) -> how far the machine speaks for a
+    for k, (_, a, b) in enumerate(model["machines"]):
+        d = sum(float(v) * float(w) for v, w in zip(x, model["weights"][:, k]) if v) + float(model["bias"][k])
+        speaks[a, b], speaks[b, a] = d, -d
+
+    def winner(names):
+        won = {a: (sum(speaks[a, b] > 0 for b in names if b != a), sum(speaks[a, b] for b in names if b != a)) for a in names}
+        return max(names, key=won.get)
+    return winner(model["families"][winner(list(model["families"]))])
+
+
 def test_held_out(spark, sf):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     rows = langid.op3_language_id(spark, sf).collect()
