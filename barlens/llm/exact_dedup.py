@@ -110,10 +110,24 @@ def exact_duplicates(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one per text, or all rows that repeat it with the id that stays."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (F.sha2(normalised(docs["text"]), 256) == kept["_sha"])
-    return docs.join(kept, same, "left_semi")
+    """The rows of ``docs`` that stay, all columns: one per text.
+
+    Where rows repeat the id that stays with the same text (a shard read twice), the least of them by its columns stays; such
+    rows are merged before they are shuffled, so any number of them is one row per task.
+    """
+    runs = sorted_runs(docs)
+    first = runs.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = written(first.groupBy(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.count("*").alias("_times")), "kept-texts")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(some["_id"]) & (F.sha2(normalised(docs["text"]), 256) == some["_sha"])
+        return docs.join(some, same, "left_semi")
+
+    twice = kept.where("_times > 1")
+    if twice.isEmpty():
+        return rows_of(kept)
+    one = rows_of(twice).groupBy("doc_id", F.sha2(normalised(F.col("text")), 256).alias("_sha")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return rows_of(kept.where("_times = 1")).unionByName(one.select("_row.*"))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

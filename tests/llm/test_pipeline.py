@@ -57,3 +57,19 @@ def test_mixture_and_tokens(spark, sf, stages):
 def test_run_is_the_stages(spark, sf, stages):
     got = sorted(tuple(r) for r in entry.queries()["pipeline"](spark, sf).collect())
     assert got == sorted(tuple(r) for r in stages[-1])
+
+
+def test_odd_documents_through_the_whole_run(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, extra columns with names used inside; then an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, norm string, component string, taken long"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "plain words of a first document here", "en", "a", 1, "x", "y", 9), (1, "plain words of a first document here", "en", "a", 1, "x", "y", 9), (2, None, None, None, None, None, None, None),
+            (3, "", "en", "b", 0, "x", "y", 9), (None, "no id but some words in it", "en", None, 1, "x", "y", 9), (4, long, "en", "b", 1, "x", "y", 9), (5, long + " more", "en", "a", 1, None, "y", 9),
+            (6, " \t\n", "de", "b", 3, "x", "y", 9), (7, "short", "de", "c", 5, "x", "y", 9), (7, "another text under one id", "de", "c", 5, "x", "y", 9)]
+    for name, some in (("odd", rows), ("none", [])):
+        path = tmp_path / name
+        spark.createDataFrame(some, schema).write.parquet(str(path / "documents.parquet"))
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(path / "labels.parquet"))
+        got = corpus_pipeline.run(spark, str(path)).collect()
+        ids = {r.doc_id for r in got}
+        assert (ids & {1, 4, 7, None} == {1, 4, 7, None} and 5 not in ids) if some else got == []
