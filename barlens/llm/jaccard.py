@@ -15,6 +15,8 @@ from barlens.llm.shingles import digest, least, shingle_sets
 K, PERCENT = 5, 80
 #: Random orders that pick leaders; tokens held by a group of the matrix; most ids that are sent to every executor.
 LEADERS, GROUP_TOKENS, SENT_IDS = 3, 1 << 17, 1 << 20
+#: Queries that one task compares with a part of a group.
+PORTION = 2048
 #: Prefixes are longer than needed by a share of 1 / LESS, so that as many common tokens can be asked of them.
 LESS = 10
 
@@ -90,22 +92,13 @@ def _verified(percent: int):
 
 
 def _opened(percent: int):
-    """A query against a group: bound by the overlap with the group's token union, then the members of a group that qualifies."""
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = members = sets = union = None
-        for batch in batches:
-            hits = []
-            for i in range(batch.num_rows):
-                group = batch.column("g")[i].as_py()
-                if group != last:  # rows come sorted by group
-                    last, found = group, batch.column("members")[i].values
-                    members, sets = found.field("node").to_pylist(), [_set(t) for t in found.field("tokens")]
-                    union = np.unique(np.concatenate(sets))
-                query, node = _set(batch.column("x")[i]), batch.column("q")[i].as_py()
-                if 100 * len(np.intersect1d(query, union, assume_unique=True)) < percent * len(query):
-                    continue
-                hits += [(node, m) for m, s in zip(members, sets) if _similar(query, s, percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    """Queries of one group part against its members, which come once; both sides are of bounded size."""
+    def opened(queries: pa.Table, members: pa.Table) -> pa.Table:
+        nodes, sets, hits = members.column("node").to_pylist(), [_set(t) for t in members.column("tokens").combine_chunks()] if len(members) else [], []
+        for q, x in zip(queries.column("q").to_pylist(), queries.column("x")):
+            query = _set(x)
+            hits += [(q, m) for m, s in zip(nodes, sets) if _similar(query, s, percent)]
+        return pa.table({k: pa.array([h[i] for h in hits], pa.int64()) for i, k in enumerate("ab")})
     return opened
 
 
@@ -124,8 +117,9 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
        comparison per member here and is never compared within itself.
     5. The token-group matrix holds the probes of each group.  A probe that only one group has is dropped, so is a pair within one
        group; the smaller of two groups asks, the larger answers.  Sizes, and the places of the probe in the order of both
-       sides, bound the overlap before a pair is made.  A query is compared with the token union of a part of a group (parts have bounded size) and opens it
-       only if the overlap reaches ``percent`` of the query.
+       sides, bound the overlap before a pair is made.  The token union of every part of a group that is asked (parts have bounded size) is
+       stored once; a query's tokens are counted in it, and only where the count reaches ``percent`` of the query are the
+       members of the part fetched, once for all queries that open it (many queries are dealt in portions).
     6. All verified links go through ``components``.
 
     No step loses a link between components: steps 2, 3 and 5 are bounds, exact for every pair; links inside a group that step 4
@@ -197,13 +191,21 @@ def similar_documents(docs: DataFrame, k: int = K, percent: int = PERCENT) -> Da
     fits = (F.pow(F.lit(2.0), F.col("g.part") + 1) * 100 > F.col("nq") * percent) & (F.pow(F.lit(2.0), F.col("g.part")) * percent <= F.col("nq") * 100)
     found = asks.join(groups, "token").where(F.expr("mine < theirs") & reach & fits).select("q", "g").distinct()
     found = written(found, "queries")
-    bodies = placed.select("node", "g").join(whole, "node")
-    bodies = bodies.join(found.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.collect_list(F.struct("node", "tokens")).alias("members"))
-    asked_sets = found.join(whole.withColumnsRenamed({"node": "q", "tokens": "x"}), "q")
-    more = asked_sets.join(bodies, "g").select("q", "x", F.to_json("g").alias("g"), "members").mapInArrow(_opened(percent), "a long, b long")
+    members = placed.select("node", "g").join(found.select("g").distinct(), "g", "left_semi")
+    unions = written(members.join(whole, "node").select("g", F.explode("tokens").alias("token")).distinct(), "unions")
+    query_sets = whole.withColumnsRenamed({"node": "q", "tokens": "x"})
+    bound = found.join(query_sets, "q").select("q", "g", F.size("x").alias("nq"), F.explode("x").alias("token")).join(unions, ["g", "token"])
+    bound = bound.groupBy("q", "g", "nq").agg(F.count("*").alias("_in")).where(F.col("_in") * 100 >= F.col("nq") * percent).select("q", "g")
+    bound = written(bound, "qualified")
+    portions = bound.groupBy("g").agg(F.ceil(F.count("*") / F.lit(PORTION)).alias("_portions"))
+    asked_sets = bound.join(portions, "g").select("q", "g", F.pmod(F.xxhash64("q"), "_portions").alias("portion")).join(query_sets, "q")
+    bodies = members.join(portions, "g").withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_portions") - 1))).join(whole, "node")
+    at = [F.col("g.component").alias("component"), F.col("g.part").alias("part"), F.col("g.nr").alias("nr"), "portion"]
+    by = ["component", "part", "nr", "portion"]
+    more = asked_sets.select(*at, "q", "x").groupBy(*by).cogroup(bodies.select(*at, "node", "tokens").groupBy(*by)).applyInArrow(_opened(percent), "a long, b long")
     more = written(more, "group-links")
     comps = components(near.unionByName(more))
-    discard(*done, near, nodes, matrix, found, more)
+    discard(*done, near, nodes, matrix, found, unions, bound, more)
 
     named = sets.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comps, "node", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
