@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barlens.functions.bars import cs_proxy
 from barlens.functions.core import clip, div
 from barlens.operators.cross import cs_rank_pct, cs_zscore
-from barlens.operators.windows import lag, r_max, r_mean, r_min, r_rank_pct, r_std
+from barlens.operators.windows import lag, r_max, r_mean, r_min, r_std
+from barlens.plans.order_stats import Moving, moving
 from barlens.plans.ordered import blocked, core_rows
 from barlens.plans.recurrence import Ema, emas, lookback_for
 
@@ -33,8 +34,8 @@ def _rng() -> Column:
     return F.col(H) - F.col(L)
 
 
-# Inputs that factors share: what each is made from (other inputs), and its column on a blocked panel.  An Ema is added by a pass of its own.
-INPUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column] | Ema]] = {
+# Inputs that factors share: what each is made from (other inputs), and its column on a blocked panel.  An Ema or a Moving is added by a pass of its own.
+INPUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column] | Ema | Moving]] = {
     **{f"ret_{n}": ((), lambda n=n: _ret(n)) for n in (1, 4, 6, 12, 20, 24)},
     "rng": ((), _rng), "vol_ma": ((), lambda: _mean(V, 24, 12)), "vol_sd": ((), lambda: r_std(V, 24, 12, full=False)),
     "hi24": ((), lambda: r_max(H, 24, 12, full=False)), "lo24": ((), lambda: r_min(L, 24, 12, full=False)),
@@ -44,7 +45,7 @@ INPUTS: dict[str, tuple[tuple[str, ...], Callable[[], Column] | Ema]] = {
     "spread": (("hl2",), lambda: cs_proxy(F.col("hl2"), lag("hl2"))),
     "spread6": (("spread",), lambda: _mean("spread", 6, 3)), "spread48": (("spread",), lambda: _mean("spread", 48, 24)),
     # windows with equal means differ in the last bits only; they are ties, at any price level
-    "rng_rank": (("rng24",), lambda: r_rank_pct(_digits(F.col("rng24"), 10), 168, 48)),
+    "rng24_10": (("rng24",), lambda: _digits(F.col("rng24"), 10)), "rng_rank": (("rng24_10",), Moving("rng_rank", "rng24_10", "rank", 168, mp=48, full=False)),
     "funding_d6": ((), lambda: F.col("funding_rate") - lag("funding_rate", 6)),
     "ret_21_inv": ((), lambda: div(lag(C, 21), F.col(C)) - 1.0),
     "mom_mr": (("ret_1",), lambda: 0.5 * r_mean("ret_1", 20, 20) - 0.5 * div(F.col(C) - r_mean(C, 20, 20), r_std(C, 20, 20))),
@@ -73,10 +74,13 @@ def prepare(df: DataFrame, names: list[str]) -> DataFrame:
     todo, have = [n for n in needed(names)], set(df.columns)
     while todo:
         ready = [n for n in todo if set(INPUTS[n][0]) <= have]
-        means = [INPUTS[n][1] for n in ready if isinstance(INPUTS[n][1], Ema)]
-        df = df.withColumns({n: INPUTS[n][1]() for n in ready if not isinstance(INPUTS[n][1], Ema)})
+        made = {n: INPUTS[n][1] for n in ready}
+        means, ranks = ([x for x in made.values() if isinstance(x, kind)] for kind in (Ema, Moving))
+        df = df.withColumns({n: x() for n, x in made.items() if not isinstance(x, (Ema, Moving))})
         if means:
             df = emas(df, *means)
+        if ranks:
+            df = moving(df, *ranks)
         have |= set(ready)
         todo = [n for n in todo if n not in have]
     return df
@@ -188,8 +192,8 @@ _INPUTS_OF = {
 FACTORS = {n: replace(f, inputs=tuple(_INPUTS_OF.get(n, "").split())) for n, f in FACTORS.items()}
 
 
-def register_input(name: str, needs: tuple[str, ...], build: Callable[[], Column] | Ema) -> None:
-    """Add a column that factors may ask for: a window expression over the blocked panel, or an exponential mean."""
+def register_input(name: str, needs: tuple[str, ...], build: Callable[[], Column] | Ema | Moving) -> None:
+    """Add a column that factors may ask for: a window expression over the blocked panel, an exponential mean or a moving order statistic."""
     missing = [n for n in needs if n not in INPUTS]
     if name in INPUTS or missing:
         raise ValueError(f"input {name}: " + (f"unknown inputs {missing}" if missing else "exists already"))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions import bars as B
 from barlens.functions.core import clip, div, ln
-from barlens.operators.windows import (RN, lag, order_stat, r_beta, r_corr, r_list, r_max, r_mean, r_median, r_min,
+from barlens.operators.windows import (RN, lag, r_beta, r_corr, r_list, r_max, r_mean, r_median, r_min,
                                        r_slope, r_std, r_sum, r_var, r_zscore, roll)
+from barlens.plans.order_stats import Moving, moving
 from barlens.plans.ordered import blocked, core_rows, frame, running
 from barlens.plans.recurrence import Ema, ema, emas, lookback_for
 
@@ -331,11 +332,12 @@ def classify_regime(df: DataFrame, sma: int = 50, atr: int = 14, slope: int = 10
 def volatility_regime(df: DataFrame, window: int = 20, lo: float = 33.0, hi: float = 67.0) -> DataFrame:
     """0 quiet, 1 normal, 2 wild: |return| against order statistics of its window."""
     df = base(df)
-    a = F.abs("ret")
-    enough = F.count("ret").over(frame(window)) >= 5
-    low, high = F.when(enough, order_stat(a, window, lo)), F.when(enough, order_stat(a, window, hi))
+    df = df.withColumns({"_size": F.coalesce(F.abs("ret"), F.lit(0.0)), "_enough": F.count("ret").over(frame(window)) >= 5})
+    places = {k: max(0, min(window - 1, math.ceil(p / 100.0 * window) - 1)) for k, p in (("_low", lo), ("_high", hi))}
+    df = moving(df, *[Moving(k, "_size", "place", window, p, full=False) for k, p in places.items()])
+    a, low, high = F.abs("ret"), *(F.when(F.col("_enough"), F.col(k)) for k in places)
     v = F.when(a <= low, 0.0).when(a >= high, 2.0).otherwise(1.0)
-    return df.withColumn("volatility_regime", F.when(RN() >= window, v))
+    return df.withColumn("volatility_regime", F.when(RN() >= window, v)).drop("_size", "_enough", *places)
 
 
 # ---- cross-check helpers used by queries -------------------------------------------

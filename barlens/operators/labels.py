@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlens.functions import trading as P
 from barlens.functions.core import c, div
 from barlens.operators.windows import lag, lead, r_mean
+from barlens.plans.first_touch import Excursion, Touch, ahead
 from barlens.plans.ordered import blocked, core_rows, frame
 
 
@@ -44,14 +46,7 @@ def barrier_exit(df: DataFrame, out: str, side: str, entry: str, stop: str, targ
         f"{t}_s": _first_hit(c(down), st, long), f"{t}_t": _first_hit(c(up), tg, not long),
         f"{t}_q": _first_hit(c(down), c(liquidation), long) if liquidation is not None else F.lit(None).cast("int")})
     s, g, q = (F.coalesce(f"{t}_{k}", n + 1) for k in "stq")
-    is_liq = (q <= n) & (q <= s)
-    is_stop = ~is_liq & (s <= n) & (s <= g)
-    is_tgt = ~is_liq & ~is_stop & (g <= n)
-    reason = F.when(is_liq, "LIQUIDATED").when(is_stop, "STOP_HIT").when(is_tgt, "TARGET_HIT").otherwise("TIME_EXIT")
-    liq = c(liquidation) if liquidation is not None else F.lit(None).cast("double")
-    price = (F.when(n == 0, e).when(is_liq, liq).when(is_stop, st).when(is_tgt, tg).otherwise(F.get(c(cl), n - 1)))
-    held = F.when(n == 0, 0).when(is_liq, q).when(is_stop, s).when(is_tgt, g).otherwise(n)
-    df = df.withColumns({f"{t}_r": reason, f"{t}_p": price, f"{t}_h": held, f"{t}_b": (s == g) & (s <= n)})
+    df = df.withColumns(_exit(t, long, e, st, tg, c(liquidation) if liquidation is not None else None, n, s, g, q, F.get(c(cl), n - 1)))
     h = F.col(f"{t}_h")
     seen = F.when(F.col(f"{t}_r") == "TIME_EXIT", h).otherwise(h - 1)
     hs, ls = F.slice(c(hi), F.lit(1), seen), F.slice(c(lo), F.lit(1), seen)
@@ -60,17 +55,70 @@ def barrier_exit(df: DataFrame, out: str, side: str, entry: str, stop: str, targ
               else F.transform(hs, lambda x: e - x))
     df = df.withColumns({f"{t}_g": gains, f"{t}_l": losses})
     df = df.withColumns({f"{t}_mx": F.array_max(f"{t}_g"), f"{t}_mn": F.array_min(f"{t}_l")})
-    mx, mn, r = F.col(f"{t}_mx"), F.col(f"{t}_mn"), F.when(rk > 0, rk)
-    mfe, mae, zero = F.coalesce(mx, F.lit(0.0)), F.when(mn < 0, mn).otherwise(0.0), F.lit(0.0)
-    p = F.col(f"{t}_p")
-    df = df.withColumn(out, F.struct(
+    mx, mn = F.col(f"{t}_mx"), F.col(f"{t}_mn")
+    df = df.withColumn(out, _outcome(t, long, e, rk, mx, F.array_position(F.col(f"{t}_g"), mx) - 1, mn, F.array_position(F.col(f"{t}_l"), mn) - 1))
+    return df.drop(*[f"{t}_{k}" for k in ("s", "t", "q", "r", "p", "h", "b", "g", "l", "mx", "mn")])
+
+
+def _exit(t: str, long: bool, e: Column, st: Column, tg: Column, liq: Column | None, n: Column, s: Column, g: Column, q: Column, last: Column) -> dict[str, Column]:
+    """Reason, price, bars held and whether both barriers lie in one bar, from the bars to each barrier (n + 1: not reached)."""
+    is_liq = (q <= n) & (q <= s)
+    is_stop = ~is_liq & (s <= n) & (s <= g)
+    is_tgt = ~is_liq & ~is_stop & (g <= n)
+    reason = F.when(is_liq, "LIQUIDATED").when(is_stop, "STOP_HIT").when(is_tgt, "TARGET_HIT").otherwise("TIME_EXIT")
+    price = F.when(n == 0, e).when(is_liq, F.lit(None).cast("double") if liq is None else liq).when(is_stop, st).when(is_tgt, tg).otherwise(last)
+    held = F.when(n == 0, 0).when(is_liq, q).when(is_stop, s).when(is_tgt, g).otherwise(n)
+    return {f"{t}_r": reason, f"{t}_p": price, f"{t}_h": held, f"{t}_b": (s == g) & (s <= n)}
+
+
+def _outcome(t: str, long: bool, e: Column, rk: Column, best: Column, best_at: Column, worst: Column, worst_at: Column) -> Column:
+    r, h, p, zero = F.when(rk > 0, rk), F.col(f"{t}_h"), F.col(f"{t}_p"), F.lit(0.0)
+    mfe, mae = F.coalesce(best, zero), F.when(worst < 0, worst).otherwise(0.0)
+    return F.struct(
         F.col(f"{t}_r").alias("exit_reason"), p.alias("exit_price"), F.greatest(h - 1, F.lit(0)).alias("exit_bar_index"),
         h.alias("hold_bars"), F.coalesce(div((p - e) if long else (e - p), r), zero).alias("gross_r"),
         mfe.alias("mfe"), mae.alias("mae"), F.coalesce(div(mfe, r), zero).alias("mfe_r"), F.coalesce(div(mae, r), zero).alias("mae_r"),
-        F.coalesce(F.array_position(F.col(f"{t}_g"), mx) - 1, F.lit(0)).cast("int").alias("time_to_mfe"),
-        F.when(mn < 0, F.array_position(F.col(f"{t}_l"), mn) - 1).otherwise(0).cast("int").alias("time_to_mae"),
-        F.col(f"{t}_b").alias("same_bar")))
-    return df.drop(*[f"{t}_{k}" for k in ("s", "t", "q", "r", "p", "h", "b", "g", "l", "mx", "mn")])
+        F.coalesce(best_at, F.lit(0)).cast("int").alias("time_to_mfe"), F.when(worst < 0, worst_at).otherwise(0).cast("int").alias("time_to_mae"),
+        F.col(f"{t}_b").alias("same_bar"))
+
+
+@dataclass(frozen=True)
+class Barrier:
+    """One side of a trade: columns of its stop and target (and liquidation) levels."""
+
+    out: str
+    side: str
+    stop: str
+    target: str
+    liquidation: str | None = None
+
+
+def barrier_exits(df: DataFrame, h: int, barriers: list[Barrier], entry: str, risk: str, mae_mode: str = "adverse") -> DataFrame:
+    """:func:`barrier_exit` for the core rows of a blocked table (lookahead >= h), the next ``h`` bars read from sparse tables.
+
+    No row carries its path, so a long horizon costs little more than a short one.
+    """
+    touches, excursions = [], []
+    for b in barriers:
+        t, long = f"_{b.out}", b.side == "LONG"
+        down, up = ("low", "high") if long else ("high", "low")
+        mine = [Touch(f"{t}_s", b.stop, down, not long), Touch(f"{t}_t", b.target, up, long)]
+        if b.liquidation:
+            mine.append(Touch(f"{t}_q", b.liquidation, down, not long))
+        worst = (down, not long) if long or mae_mode == "adverse" else ("high", False)
+        touches += mine
+        excursions.append(Excursion(t, tuple(x.out for x in mine), (up, long), worst))
+    df = ahead(df, h, touches, excursions).withColumn("_n", F.col("_n").cast("int"))
+    e, rk, n = c(entry), c(risk), F.col("_n")
+    for b in barriers:
+        t, long = f"_{b.out}", b.side == "LONG"
+        s, g, q = (F.coalesce(F.col(f"{t}_{k}").cast("int"), n + 1) if k != "q" or b.liquidation else n + 1 for k in "stq")
+        df = df.withColumns(_exit(t, long, e, c(b.stop), c(b.target), c(b.liquidation) if b.liquidation else None, n, s, g, q, F.col("_last")))
+        best, worst = F.col(f"{t}_best"), F.col(f"{t}_worst")
+        df = df.withColumn(b.out, _outcome(t, long, e, rk, best - e if long else e - best, F.col(f"{t}_best_at"),
+                                           worst - e if long or mae_mode == "reference" else e - worst, F.col(f"{t}_worst_at")))
+    made = [f"_{b.out}_{k}" for b in barriers for k in ("r", "p", "h", "b", "best", "best_at", "worst", "worst_at")]
+    return df.drop("_n", "_last", *made, *[x.out for x in touches])
 
 
 def trailing_atr(n: int = 15) -> Column:
@@ -90,14 +138,11 @@ def barrier_label(df: DataFrame, profile: dict | None = None, mae_mode: str = "a
     """
     p = {**PROFILE, **(profile or {})}
     h = p["horizon"]
-    df = with_path(df, h).withColumns({"entry": F.col("close"), "atr": trailing_atr(15),
-                                       "_more": F.lead("rn", h + 1).over(frame())})
-    df = df.filter(F.col("core") & F.col("_more").isNotNull()).drop("_more")
+    df = df.withColumns({"entry": F.col("close"), "atr": trailing_atr(15), "_more": F.lead("rn", h + 1).over(frame())})
     lv = P.stop_target_levels("entry", "atr", p["stop"], p["target"])
     df = df.withColumns({**lv, "risk": P.entry_risk("atr", p["stop"])})
-    df = barrier_exit(df, "long", "LONG", "entry", "long_stop", "long_target", "risk", mae_mode=mae_mode)
-    df = barrier_exit(df, "short", "SHORT", "entry", "short_stop", "short_target", "risk", mae_mode=mae_mode)
-    df = df.withColumn("cost_r", P.total_cost_r("entry", "entry", "atr", p["stop"])).drop("_hi", "_lo", "_cl")
+    df = barrier_exits(df, h, [Barrier("long", "LONG", "long_stop", "long_target"), Barrier("short", "SHORT", "short_stop", "short_target")], "entry", "risk", mae_mode)
+    df = df.filter(F.col("_more").isNotNull()).drop("_more").withColumn("cost_r", P.total_cost_r("entry", "entry", "atr", p["stop"]))
     for s in ("long", "short"):
         df = df.withColumn(f"{s}_net", F.col(f"{s}.gross_r") - F.col("cost_r"))
         df = df.withColumn(f"{s}_utility", P.action_utility(
@@ -113,13 +158,12 @@ def r_multiple_label(df: DataFrame, stop=2.5, target=2.5, horizon=24, cost=0.000
 
     ``cost_mode`` 'fraction' charges cost*entry/risk; 'reference' cost/risk.
     """
-    df = with_path(df, horizon).withColumns({"atr": trailing_atr(15), "_more": F.lead("rn", horizon + 1).over(frame())})
-    df = df.filter(F.col("core") & F.col("_more").isNotNull()).drop("_more")
+    df = df.withColumns({"atr": trailing_atr(15), "_more": F.lead("rn", horizon + 1).over(frame())})
     lv = P.stop_target_levels("close", "atr", stop, target)
     df = df.withColumns({**lv, "risk": P.entry_risk("atr", stop)})
     ok = (F.col("close") > 0) & (F.col("atr") > 0) & (F.col("atr") <= F.col("close") * 0.5)
-    df = barrier_exit(df, "_l", "LONG", "close", "long_stop", "long_target", "risk")
-    df = barrier_exit(df, "_s", "SHORT", "close", "short_stop", "short_target", "risk")
+    df = barrier_exits(df, horizon, [Barrier("_l", "LONG", "long_stop", "long_target"), Barrier("_s", "SHORT", "short_stop", "short_target")], "close", "risk")
+    df = df.filter(F.col("_more").isNotNull()).drop("_more")
     k = div(F.lit(cost) * (F.col("close") if cost_mode == "fraction" else F.lit(1.0)), F.col("risk"))
     df = df.withColumns({"_k": k, "_ok": ok})
     df = df.withColumns({"long_r": F.when(F.col("_ok"), F.col("_l.gross_r") - F.col("_k")).otherwise(0.0),
@@ -129,7 +173,7 @@ def r_multiple_label(df: DataFrame, stop=2.5, target=2.5, horizon=24, cost=0.000
     label = F.when(unsure, 2).when((a > b) & (a > min_edge), 0).when((b > a) & (b > min_edge), 1).otherwise(2)
     df = df.withColumn("label", label)
     return df.withColumn("net_r", F.when(label == 0, a).when(label == 1, b).otherwise(0.0)) \
-        .drop("_hi", "_lo", "_cl", "_l", "_s", "_k", "_ok")
+        .drop("_l", "_s", "_k", "_ok")
 
 
 def forward_return_label(df: DataFrame, horizon=12, threshold=0.003, cost=0.001) -> DataFrame:
@@ -163,24 +207,23 @@ def leverage_label(df: DataFrame, horizon=12, stop=2.0, target=2.0, min_edge=0.1
 
     The tiers are an array literal on each row: no join.
     """
-    df = with_path(df, horizon).withColumn("_more", F.lead("rn", horizon).over(frame()))
-    df = df.filter(F.col("core") & F.col("_more").isNotNull()).drop("_more")
+    df = df.withColumn("_more", F.lead("rn", horizon).over(frame()))
     df = df.withColumn("atr", F.greatest(F.col("high") - F.col("low"), F.lit(10.0)))
     df = df.withColumns({**P.stop_target_levels("close", "atr", stop, target), "risk": P.entry_risk("atr", stop),
                          "cost_r": P.total_cost_r("close", "close", "atr", stop)})
     # the stop and target bars are shared by all tiers; only the liquidation bar differs
-    mmr, n = maintenance_ratio("close"), F.size("_hi")
-    first, price = {}, {}
+    mmr, n = maintenance_ratio("close"), F.col("_n")
+    touches, price = [], {}
     for side in ("LONG", "SHORT"):
         k, long = side[0].lower(), side == "LONG"
-        down, up = ("_lo", "_hi") if long else ("_hi", "_lo")
-        first[f"_{k}s"] = _first_hit(F.col(down), F.col(f"{side.lower()}_stop"), long)
-        first[f"_{k}t"] = _first_hit(F.col(up), F.col(f"{side.lower()}_target"), not long)
+        down, up = ("low", "high") if long else ("high", "low")
+        touches += [Touch(f"_{k}s", f"{side.lower()}_stop", down, not long), Touch(f"_{k}t", f"{side.lower()}_target", up, long)]
         for lev in LEVERAGE_TIERS[1:]:
             dist = 1.0 / lev - mmr
-            price[(side, lev)] = F.when(dist > 0, F.col("close") * (1.0 - dist if long else 1.0 + dist))
-            first[f"_{k}q{lev}"] = _first_hit(F.col(down), price[(side, lev)], long)
-    df = df.withColumns(first).withColumn("_last", F.get(F.col("_cl"), n - 1))
+            price[(side, lev)] = F.col(f"_{k}p{lev}")
+            df = df.withColumn(f"_{k}p{lev}", F.when(dist > 0, F.col("close") * (1.0 - dist if long else 1.0 + dist)))
+            touches.append(Touch(f"_{k}q{lev}", f"_{k}p{lev}", down, not long))
+    df = ahead(df, horizon, touches).filter(F.col("_more").isNotNull()).drop("_more")
     rows = []
     for side in ("LONG", "SHORT"):
         k, sg = side[0].lower(), 1.0 if side == "LONG" else -1.0
@@ -194,7 +237,7 @@ def leverage_label(df: DataFrame, horizon=12, stop=2.0, target=2.0, min_edge=0.1
             ret = net if lev == 1 else net * F.col("risk") * lev / F.col("close")
             rows.append(F.struct(F.lit(side).alias("side"), F.lit(lev).alias("leverage"), net.alias("net_r"),
                                  ret.alias("margin_return"), liq.alias("liquidated")))
-    df = df.withColumn("tiers", F.array(*rows)).drop("_hi", "_lo", "_cl", "_last", *first)
+    df = df.withColumn("tiers", F.array(*rows)).drop("_n", "_last", *[x.out for x in touches], *[f"_{k}p{lev}" for k in "ls" for lev in LEVERAGE_TIERS[1:]])
     best = F.array_max(F.transform(F.filter("tiers", lambda t: t["net_r"] > 0), lambda t: F.struct(
         t["margin_return"].alias("m"), F.when(t["side"] == "LONG", 1).otherwise(0).alias("first"), (-t["leverage"]).alias("l"), t["side"].alias("side"))))
 

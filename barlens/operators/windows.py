@@ -52,7 +52,7 @@ def r_var(x, n, mp=2, full=True, ddof=1):
 
 
 def r_median(x, n, mp=1, full=True):
-    """median() takes no frame; percentile does."""
+    """For the short windows of the feature groups; ``plans.order_stats.moving`` serves windows of any length."""
     return roll(lambda v: F.percentile(v, F.lit(0.5)), x, n, mp, full)
 
 
@@ -140,17 +140,6 @@ def r_fraction(cond: Column, n: int) -> Column:
     return F.when(RN() >= n - 1, F.avg(F.when(cond, 1.0).otherwise(0.0)).over(w))
 
 
-def r_rank_pct(x, n, mp=1, full=False):
-    """Average-tie percentile rank of the last value among the values of its window."""
-    x = c(x)
-    w = frame(n)
-    vals = F.collect_list(x).over(w)
-    below = F.size(F.filter(vals, lambda v: v < x))
-    same = F.size(F.filter(vals, lambda v: v == x))
-    r = (below + (same + 1) / 2.0) / F.size(vals)
-    return F.when(x.isNotNull(), when_ready(r, x, n, mp, full, w))
-
-
 def r_list(x, n=None, *, start=None, end=0) -> Column:
     """Non-NULL values of the frame, oldest first."""
     return F.collect_list(c(x)).over(frame(n, start=start, end=end))
@@ -170,11 +159,4 @@ def lead(x, n: int = 1) -> Column:
     return F.lead(c(x), n).over(frame())
 
 
-def order_stat(x, n: int, pct: float) -> Column:
-    """Order statistic ceil(pct*n)-1 of the window, NULL counted as 0."""
-    import math
-    k = max(0, min(n - 1, math.ceil(pct / 100.0 * n) - 1))
-    return F.get(F.array_sort(F.collect_list(F.coalesce(c(x), F.lit(0.0))).over(frame(n))), F.lit(k))
-
-
-__all__ = [n for n in dir() if n.startswith(("r_", "w_", "when_ready", "RN", "roll", "lag", "lead", "order_stat", "pair", "sqrt0"))]
+__all__ = [n for n in dir() if n.startswith(("r_", "w_", "when_ready", "RN", "roll", "lag", "lead", "pair", "sqrt0"))]

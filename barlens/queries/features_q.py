@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from barlens.operators import features as ft, flow as fl
-from barlens.operators.windows import (r_corr, r_cov, r_fraction, r_kurt, r_median, r_rank_pct, r_skew, r_slope,
+from barlens.operators.windows import (r_corr, r_cov, r_fraction, r_kurt, r_skew, r_slope,
                                        r_zscore, r_beta, lag, rolling_apply, RN)
 from barlens.functions.core import div, ln
+from barlens.plans.order_stats import Moving, moving, windows_through
 from barlens.plans.ordered import frame
 from barlens.plans.recurrence import ema, lookback_for
 from barlens.queries.registry import cte, query
@@ -51,14 +53,18 @@ FROM (SELECT symbol, ts, list(close) OVER {win(10)} AS v FROM b4)""",
          F.transform(v, lambda q: F.abs(q - F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v))),
          F.lit(0.0), lambda a, b: a + b) / F.size(v))), lookback=10)
 
+both("UD3_rolling_function", "symbol ts@ trimmed#", f"""
+SELECT symbol, ts, CASE WHEN rn >= 9 THEN list_avg(list_sort(v)[3:8]) END AS trimmed FROM (SELECT symbol, ts, rn, list(close) OVER {win(10)} AS v FROM b4)""",
+     lambda x: windows_through(x, "trimmed", "close", 10, lambda v: np.sort(v, axis=1)[:, 2:8].mean(axis=1)), lookback=10)
+
 both("W3_rolling_median", "symbol ts@ med#", f"""
 SELECT symbol, ts, CASE WHEN rn >= 11 THEN median(high - low) OVER {win(12)} END AS med FROM b4""",
-     lambda x: x.withColumn("med", r_median(F.col("high") - F.col("low"), 12)), lookback=12)
+     lambda x: moving(x.withColumn("_rng", F.col("high") - F.col("low")), Moving("med", "_rng", "quantile", 12)), lookback=12)
 
 both("W4_rolling_rank_pct", "symbol ts@ rank_pct#", f"""
 SELECT symbol, ts, (len(list_filter(v, lambda x: x < close)) + (len(list_filter(v, lambda x: x = close)) + 1) / 2.0) / len(v) AS rank_pct
 FROM (SELECT symbol, ts, close, list(close) OVER {win(30)} AS v FROM b4)""",
-     lambda x: x.withColumn("rank_pct", r_rank_pct("close", 30)), lookback=30)
+     lambda x: moving(x, Moving("rank_pct", "close", "rank", 30, full=False)), lookback=30)
 
 both("W5_rolling_zscore", "symbol ts@ z1# z0#", f"""
 SELECT symbol, ts, CASE WHEN s1 < 1e-14 THEN 0 ELSE (close - m) / s1 END AS z1,
