@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barlens.functions.core import c
+from barlens.plans.hops import thinned
 from barlens.plans.intervals import points_in_ranges
 from barlens.plans.ordered import frame, running
-from barlens.plans.ordered_pass import ordered_pass
 
 
 def asof_join(base: DataFrame, overlay: DataFrame, by: list[str], values: dict[str, str], *,
@@ -44,13 +42,11 @@ def asof_fill(base: DataFrame, overlay: DataFrame, by: list[str], values: dict[s
     return j.fillna(0.0, subset=list(values.values()))
 
 
-def range_join_lookback(events: DataFrame, features: DataFrame, by: list[str], lookback: str, seconds: int,
-                        salts: int = 1) -> DataFrame:
+def range_join_lookback(events: DataFrame, features: DataFrame, by: list[str], lookback: str, seconds: int) -> DataFrame:
     """Feature rows in (t - lookback, t] of each event; events without any are kept."""
     ev = events.withColumn("_from", F.col("ts") - F.expr(f"interval {lookback}")).withColumnRenamed("ts", "event_ts")
     ft = features.withColumnRenamed("ts", "feature_ts")
-    return points_in_ranges(ev, ft, by, "_from", "event_ts", "feature_ts", bucket_seconds=seconds,
-                            salts=salts).drop("_from").withColumnRenamed("event_ts", "ts")
+    return points_in_ranges(ev, ft, by, "_from", "event_ts", "feature_ts", bucket_seconds=seconds).drop("_from").withColumnRenamed("event_ts", "ts")
 
 
 def event_window_sum(positions: DataFrame, events: DataFrame, by: list[str], pos_id: str, entry: str, exit_: str,
@@ -109,28 +105,9 @@ def thin_by_min_gap(signals: DataFrame, by: list[str], gap: float, *, order: str
                     rows_per_chunk: int = 200_000) -> DataFrame:
     """Greedy thinning: keep a signal if it is at least ``gap`` after the last kept one.
 
-    ``gap`` is in seconds for timestamps, else in units of ``order``.
+    ``gap`` is in seconds for timestamps, else in units of ``order``.  See ``plans.hops``: chains of kept rows are followed by doubling.
     """
-    def step(pdf: pd.DataFrame, state):
-        x = pdf[order]
-        x = x.astype("int64").to_numpy() / _per_second(x) if np.issubdtype(x.dtype, np.datetime64) else x.to_numpy(float)
-        keep = np.zeros(len(x), dtype=bool)
-        last = state[0] if state is not None else -np.inf
-        i = int(np.searchsorted(x, last + gap, side="left")) if np.isfinite(last) else 0
-        while i < len(x):
-            keep[i] = True
-            last = x[i]
-            i = max(i + 1, int(np.searchsorted(x, last + gap, side="left")))
-        return pd.DataFrame({"_keep": keep}), [float(last)]
-
-    unit = "month" if dict(signals.dtypes)[order] == "timestamp" else None
-    r = ordered_pass(signals, step, "_keep boolean", keys=by, order=[order], unit=unit, rows_per_chunk=rows_per_chunk)
-    return r.filter("_keep").drop("_keep")
-
-
-def _per_second(x: pd.Series) -> float:
-    unit = np.datetime_data(x.dtype)[0]
-    return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[unit]
+    return thinned(signals, by, order, gap, rows_per_chunk=rows_per_chunk)[0]
 
 
 def forward_path(df: DataFrame, h: int, cols: tuple[str, ...] = ("high", "low", "close"), out: str = "path") -> DataFrame:

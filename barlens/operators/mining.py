@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions.core import c, div
 from barlens.plans.quantiles import exact_quantiles
-from barlens.session import cut_lineage
+from barlens.plans.vertical import ROWS_PER_SLICE, extended, vertical
+from barlens.session import cut_lineage, written
 
 # fixed values: decile ranges of the domain buckets, and the name parts that select a domain
 DOMAINS = {
@@ -65,11 +65,13 @@ def condition_registry(df: DataFrame, min_support: float = 0.0, conditions: str
     return g.filter(F.col("support") / n >= min_support)
 
 
-def _totals(df: DataFrame, target: str):
+def _totals(df: DataFrame, target: str, conditions: str | None = None):
+    """Numbers of the whole table in one pass; with ``conditions`` also the most of them that a row has."""
     t = df.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), F.count(target).alias("k"),
-               F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"))
-    r = t.first()  # one row of five numbers
-    return {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in ("n", "m", "k", "s", "q")}
+               F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"),
+               (F.max(F.size(conditions)) if conditions else F.lit(0)).alias("width"))
+    r = t.first()  # one row of six numbers
+    return {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in ("n", "m", "k", "s", "q")} | {"width": max(r["width"] or 0, 0)}
 
 
 def _score(target: str):
@@ -109,8 +111,8 @@ def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: in
     Pairs are formed inside a row and summed map-side, so what is shuffled is
     one row per pair and task.  The IC comes from the sums in closed form.
     """
-    t = _totals(df, target)
-    x = df.select(target, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, "p.a", "p.b")
+    t = _totals(df, target, conditions)
+    x = df.select(target, F.explode(pairs_of(conditions, t["width"])).alias("p")).select(target, "p.a", "p.b")
     g = x.groupBy("a", "b").agg(*_score(target))
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     k = t["k"].cast("double")
@@ -130,10 +132,10 @@ def _best_first(*names: str):
 
 def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float = 0.01, beam: int | None = None, conditions: str = "conditions") -> DataFrame:
     """Third conditions that improve a pair; ``beam`` asks for the best pairs only."""
-    t = _totals(df, target)
+    t = _totals(df, target, conditions)
     best = pairs if beam is None else pairs.orderBy(*_best_first("a", "b")).limit(beam)
     best = best.select("a", "b", F.col("mean_r").alias("_base"))
-    x = df.select(target, conditions, F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).select(target, conditions, "p.a", "p.b")
+    x = df.select(target, conditions, F.explode(pairs_of(conditions, t["width"])).alias("p")).select(target, conditions, "p.a", "p.b")
     x = x.join(best, ["a", "b"])
     x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
     g = x.groupBy("a", "b", "third").agg(*_score(target), F.max("_base").alias("_base"))
@@ -142,45 +144,49 @@ def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float
         .drop("_k", "_s", "_base")
 
 
+def redundant_pairs(df: DataFrame, limit: float, conditions: str = "conditions") -> DataFrame:
+    """(a, b) of conditions whose correlation over the rows exceeds ``limit``, both ways round."""
+    n = F.lit(float(df.count()))
+    pc = df.select(F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("_ab"))
+    reg = condition_registry(df, 0.0, conditions)
+    pc = pc.join(reg.select(F.col("condition").alias("a"), F.col("support").alias("_na")), "a") \
+        .join(reg.select(F.col("condition").alias("b"), F.col("support").alias("_nb")), "b")
+    phi = div(F.col("_ab") * n - F.col("_na") * F.col("_nb"),
+              F.sqrt(F.col("_na").cast("double") * (n - F.col("_na"))) * F.sqrt(F.col("_nb").cast("double") * (n - F.col("_nb"))))
+    near = pc.filter(phi > limit)
+    return near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_support: float = 0.01,
-                conditions: str = "conditions", redundancy: float = 0.95) -> DataFrame:
+                conditions: str = "conditions", redundancy: float = 0.95, rows_per_slice: int | None = None) -> DataFrame:
     """Grow rules one condition per round, keeping the best ``beam`` of each round.
 
     A condition that correlates above ``redundancy`` with one already in the
     rule is skipped, and a rule must beat its best parent.  At most ``depth``
-    rounds; the beam of a round is cut off from its lineage.
+    rounds; each reads the rows as sets per condition (``plans.vertical``) and gets the beam with it, which is all that the driver sees.
+    Equal means and supports are ordered by name.
     """
     t = _totals(df, target)
     need = F.ceil(t["n"] * F.lit(min_support))
+    slices = vertical(df, target, conditions, rows_per_slice or ROWS_PER_SLICE)
+    near = written(redundant_pairs(df, redundancy, conditions), "redundant")
     one = level1_scan(df, target, min_support, conditions).select(F.array("condition").alias("rule"), F.col("mean_r").alias("score"), "support")
-    pc = df.select(F.explode(pairs_of(conditions)).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("_ab"))
-    reg = condition_registry(df, 0.0, conditions)
-    n = t["n"].cast("double")
-    pc = pc.join(reg.select(F.col("condition").alias("a"), F.col("support").alias("_na")), "a") \
-        .join(reg.select(F.col("condition").alias("b"), F.col("support").alias("_nb")), "b")
-    phi = div(F.col("_ab") * n - F.col("_na") * F.col("_nb"),
-              F.sqrt(F.col("_na").cast("double") * (n - F.col("_na"))) * F.sqrt(F.col("_nb").cast("double") * (n - F.col("_nb"))))
-    near = pc.filter(phi > redundancy).select(F.array("a", "b").alias("_pair")).agg(F.collect_list("_pair").alias("_near"))
-    current = cut_lineage(one.orderBy(F.desc("score"), F.desc("support"), F.array_join("rule", "|")).limit(beam))
-    found = current
-    redundant = [tuple(p) for r in near.collect() for p in r["_near"]]  # pairs of condition names only
-    bad = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in redundant]) if redundant else None
+
+    def best(of: DataFrame) -> DataFrame:
+        return written(of.orderBy(F.desc(F.round("score", 10)), F.desc("support"), F.array_join("rule", "|")).limit(beam), "beam")
+
+    current = found = best(one)
     for _ in range(depth - 1):
-        rules = current.select("rule", F.col("score").alias("_parent"))
-        held = rules.agg(F.collect_list(F.struct("rule", "_parent")).alias("_rules"))
-        x = df.select(target, conditions).crossJoin(F.broadcast(held))  # one row of at most ``beam`` rules
-        x = x.withColumn("_m", F.explode(F.filter("_rules", lambda q: F.forall(q["rule"], lambda z: F.array_contains(F.col(conditions), z)))))
-        x = x.withColumn("_add", F.explode(F.array_except(F.col(conditions), F.col("_m.rule"))))
-        if bad is not None:
-            x = x.filter(~F.exists(F.col("_m.rule"), lambda q: F.array_contains(bad, F.array_sort(F.array(q, F.col("_add"))))))
-        x = x.withColumn("rule", F.array_sort(F.array_append(F.col("_m.rule"), F.col("_add"))))
-        g = x.groupBy("rule").agg(F.max("_m._parent").alias("_best"), F.collect_set("_m.rule").alias("_ps"), F.count(F.lit(1)).alias("_rows"),
-                                  F.avg(target).alias("score"))
-        # a rule is reached from each of its parents in the beam once per row
-        g = g.withColumn("support", (F.col("_rows") / F.size("_ps")).cast("long"))
+        rules = current.select("rule", "score").collect()  # ``beam`` rules at most
+        grown = extended(slices, [r["rule"] for r in rules])
+        parents = df.sparkSession.createDataFrame([(i, r["rule"], r["score"]) for i, r in enumerate(rules)], "rule int, _rule array<string>, _parent double")
+        close = parents.select("rule", F.explode("_rule").alias("a")).join(near, "a").select("rule", F.col("b").alias("condition"))
+        x = grown.join(close, ["rule", "condition"], "left_anti").join(parents, "rule")
+        x = x.select(F.array_sort(F.array_append("_rule", F.col("condition"))).alias("rule"), F.col("n").alias("support"), div("s", F.col("k").cast("double")).alias("score"), "_parent")
+        # a rule that several parents lead to has the same rows from each
+        g = x.groupBy("rule").agg(F.max("support").alias("support"), F.max_by("score", "_parent").alias("score"), F.max("_parent").alias("_best"))
         g = g.filter((F.col("support") >= need) & (F.col("score") > F.col("_best") + 1e-10))
-        nxt = g.select("rule", "score", "support").orderBy(F.desc("score"), F.desc("support"), F.array_join("rule", "|")).limit(beam)
-        current = cut_lineage(nxt)
+        current = best(g.select("rule", "score", "support"))
         if current.isEmpty():
             break
         found = found.unionByName(current)
@@ -190,32 +196,47 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
 def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions") -> DataFrame:
     """One row per (row, rule it meets); rules are (rule_id, rule), any number of them.
 
-    A rule is looked up by its rarest condition, so a row meets only the rules it can satisfy; the others of the rule are then
-    checked inside the row.  A rule without conditions meets no row.
+    A rule is looked up by its two rarest conditions together (a rule of one condition by that), so a row meets hardly any rule
+    that it does not satisfy; further conditions are then checked inside the row.  A rule without conditions meets no row.
     """
     rarity = condition_registry(df, 0.0, conditions)
     each = rules.select("rule_id", "rule", F.explode("rule").alias("condition")).join(rarity, "condition", "left")
-    rarest = F.min(F.struct(F.coalesce("support", F.lit(0)).alias("n"), "condition"))["condition"]
-    keyed = each.groupBy("rule_id").agg(F.first("rule").alias("_rule"), rarest.alias("_c"))
-    hit = df.withColumn("_c", F.explode(conditions)).join(keyed, "_c")
-    return hit.filter(F.forall("_rule", lambda z: F.array_contains(F.col(conditions), z))).drop("_c", "_rule")
+    rarest = F.array_sort(F.collect_set(F.struct(F.coalesce("support", F.lit(0)).alias("n"), "condition")))
+    keyed = written(each.groupBy("rule_id").agg(F.first("rule").alias("_rule"), F.transform(F.slice(rarest, 1, 2), lambda z: z["condition"]).alias("_c")), "keyed")
+    first, second = F.get("_c", F.lit(0)), F.get("_c", F.lit(1))
+    ones = keyed.where(F.size("_c") == 1).select("rule_id", first.alias("_a"))
+    twos = keyed.where(F.size("_c") == 2).select("rule_id", "_rule", F.least(first, second).alias("_a"), F.greatest(first, second).alias("_b"))
+    rows = df.withColumn("_sorted", F.array_sort(F.array_distinct(conditions)))
+    by_one = rows.withColumn("_a", F.explode(conditions)).join(ones, "_a").drop("_a", "_sorted")
+    by_two = rows.withColumn("_p", F.explode(pairs_of("_sorted", _width(df, conditions)))).withColumns({"_a": F.col("_p.a"), "_b": F.col("_p.b")}).join(twos, ["_a", "_b"])
+    more = (F.size("_rule") <= 2) | F.forall("_rule", lambda z: F.array_contains(F.col(conditions), z))
+    return by_two.filter(more).drop("_p", "_a", "_b", "_rule", "_sorted").unionByName(by_one)
 
 
 def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05, multipliers=(2, 5, 10), conditions: str = "conditions") -> DataFrame:
-    """Mean, median, positive rate, lift, profit factor, Sharpe, spread over symbols and regimes, cost stress."""
+    """Mean, median, positive rate, lift, profit factor, Sharpe, spread over symbols and regimes, cost stress.
+
+    The matches are counted once by rule, symbol, regime and result, with partial counts before the shuffle; every figure, the
+    median too, is rolled up from these counts.
+    """
     m = match_rules(df.select("symbol", "regime", target, conditions), rules, conditions)
-    m = cut_lineage(m.select("rule_id", "symbol", "regime", target))  # scanned by every summary below
+    m = written(m.groupBy("rule_id", "symbol", "regime", F.col(target).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "rule-counts")
     base = df.select(F.avg(target)).scalar()
-    x = F.col(target)
-    sd = F.stddev_pop(x)
-    gains, losses = F.sum(F.when(x > 0, x).otherwise(0.0)), F.abs(F.sum(F.when(x < 0, x).otherwise(0.0)))
-    g = m.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_r"), sd.alias("std_r"), F.avg(F.when(x > 0, 1.0).otherwise(0.0)).alias("positive_rate"),
-        div(gains, losses).alias("profit_factor"), F.when(sd > 0, F.avg(x) / F.when(sd > 0, sd) * F.sqrt(F.count(F.lit(1)).cast("double"))).otherwise(0.0).alias("sharpe"))
-    med = exact_quantiles(m, ["rule_id"], target, {"median_r": 0.5}).drop("n")
+    x, w = F.col("_x"), F.col("_c")
+    known = F.when(x.isNotNull(), w)
+    mean = div(F.sum(x * w), F.sum(known).cast("double"))
+    means = m.groupBy("rule_id").agg(
+        F.sum(w).alias("n"), mean.alias("mean_r"), (F.sum(F.when(x > 0, w).otherwise(0)) / F.sum(w)).alias("positive_rate"),
+        div(F.sum(F.when(x > 0, x * w).otherwise(0.0)), F.abs(F.sum(F.when(x < 0, x * w).otherwise(0.0)))).alias("profit_factor"))
+    spread = m.join(means.select("rule_id", "mean_r"), "rule_id").groupBy("rule_id").agg(
+        F.sqrt(div(F.sum(w * (x - F.col("mean_r")) * (x - F.col("mean_r"))), F.sum(known).cast("double"))).alias("std_r"))
+    g = means.join(spread, "rule_id")
+    sd = F.col("std_r")
+    g = g.withColumn("sharpe", F.when(sd > 0, F.col("mean_r") / F.when(sd > 0, sd) * F.sqrt(F.col("n").cast("double"))).otherwise(0.0))
+    med = exact_quantiles(m, ["rule_id"], "_x", {"median_r": 0.5}, times="_c").drop("n")
     g = g.join(med, "rule_id")
     for key in ("symbol", "regime"):
-        per = m.groupBy("rule_id", key).agg(F.avg(x).alias("_m"))
+        per = m.groupBy("rule_id", key).agg(mean.alias("_m"))
         cv = per.groupBy("rule_id").agg(div(F.stddev_pop("_m"), F.abs(F.avg("_m"))).alias(f"{key}_cv"))
         g = g.join(cv, "rule_id")
     g = g.withColumn("lift", F.coalesce(div(F.col("mean_r"), base), F.lit(0.0)))
@@ -241,8 +262,28 @@ def norm_cdf(z) -> Column:
     return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
 
 
-def norm_ppf(p: float) -> float:
-    return NormalDist().inv_cdf(p)
+# fixed values: coefficients of Acklam's approximation to the normal quantile, numerators and denominators of the middle and the tails
+_PPF_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_PPF_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01, -1.328068155288572e+01, 1.0)
+_PPF_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_PPF_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00, 1.0)
+_PPF_TAIL = 0.02425
+
+
+def norm_ppf(p) -> Column:
+    """Normal quantile by a rational approximation (relative error below 1.2e-9)."""
+    p = F.lit(p) if isinstance(p, float) else c(p)
+
+    def poly(coef, x):
+        out = F.lit(coef[0])
+        for a in coef[1:]:
+            out = out * x + a
+        return out
+
+    low, q = F.least(p, 1.0 - p), p - 0.5
+    t = F.sqrt(-2.0 * F.log(F.when(low > 0, low)))
+    tail = poly(_PPF_C, t) / poly(_PPF_D, t)
+    return F.when(low >= _PPF_TAIL, poly(_PPF_A, q * q) * q / poly(_PPF_B, q * q)).when(q < 0, tail).otherwise(-tail)
 
 
 def p_values(rules: DataFrame) -> DataFrame:
@@ -262,8 +303,10 @@ def correct(rules: DataFrame, alpha: float = 0.05, q: float = 0.05) -> DataFrame
                           "adjusted_p": F.least(F.lit(1.0), F.col("p_value") * F.col("m") / F.col("rank"))})
 
 
-def deflated_sharpe(sharpe, n, trials: int) -> Column:
+def deflated_sharpe(sharpe, n, trials) -> Column:
+    """Sharpe less what the best of ``trials`` rules without merit would show; ``trials`` is a column or a number."""
     n = c(n).cast("double")
+    trials = c(trials) if isinstance(trials, (str, Column)) else F.lit(trials)
     return c(sharpe) * F.sqrt((n - 1) / n) - norm_ppf(1.0 - 0.5 / trials) / F.sqrt(n)
 
 

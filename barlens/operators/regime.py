@@ -1,6 +1,6 @@
 """Stateful regime detectors: CUSUM with restart and the two-state volatility filter (W52, W53).
 
-Both are ordered passes over chunks with exact state hand-over (``plans.ordered_pass``).  Inside a chunk nothing runs row by row:
+Both are ordered passes over chunks with exact state hand-over (``plans.ordered_pass``); what a chunk does to the CUSUM is summed up, so its states are folded.  Inside a chunk nothing runs row by row:
 
 * Between two hits a one-sided CUSUM is the running sum less its running minimum, so a scan gives a stretch of rows at
   once and the first value above the limit ends it.
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from barlens.functions.core import div, ln
 from barlens.operators.windows import lag
+from barlens.plans.first_touch import Extremes
 from barlens.plans.ordered import blocked, core_rows
-from barlens.plans.ordered_pass import ROWS_PER_CHUNK, ordered_pass
+from barlens.plans.ordered_pass import ROWS_PER_CHUNK, folded_pass, ordered_pass
 
 STRETCH = (32, 1024)  # rows tried at once, at least and at most
 TINY = 1e-150  # a level of zero
@@ -63,14 +64,67 @@ def _aligned(n: int, **columns) -> pd.DataFrame:
     return pd.DataFrame(out).astype(object).where(lambda q: q.notna(), None)
 
 
+def sum_map(steps: np.ndarray, limit: float) -> list[float]:
+    """What some steps make of any level that a restarting sum has before them.
+
+    A level s first falls to 0 where the plain sum of the steps reaches -s, or starts again at 0 where it exceeds limit - s,
+    whichever is first; the records of the plain sum downwards and upwards tell both.  From 0 on, what follows depends on
+    the place only, and the next place at 0 is again a first reach, so the end level of every place comes from doubling.
+    Without either the sum is added.  Returned: the plain sum, then for both kinds the number of records and their level, place and end level.
+    """
+    n, s = len(steps), np.cumsum(steps)
+    if not n:
+        return [0.0, 0.0, 0.0]
+    at = np.arange(n)
+    nxt = np.minimum(Extremes(s, False, n).first(at + 1, np.full(n, n), s), Extremes(s, True, n).first(at + 1, np.full(n, n), np.nextafter(s + limit, np.inf)))
+    jump, last = np.append(nxt, n), at.copy()
+    jumps = [jump]
+    while (jumps[-1][:n] < n).any():
+        jumps.append(jumps[-1][jumps[-1]])
+    for jump in reversed(jumps):
+        to = jump[last]
+        last = np.where(to < n, to, last)
+    ends = s[-1] - s[last]
+    out = [float(s[-1])]
+    for record in (-s, s):
+        best = np.maximum.accumulate(record)
+        # levels lie between 0 and the limit, so the first record beyond the limit is the last one needed
+        new = np.flatnonzero((best >= 0) & (np.append(-np.inf, best[:-1]) < best) & (np.append(-np.inf, best[:-1]) <= limit))
+        out += [float(len(new)), *best[new], *new.astype(float), *ends[new]]
+    return out
+
+
+def sum_through(summed: list[float], level: float, limit: float) -> tuple[float, list[float]]:
+    """The level after the steps that ``summed`` (from :func:`sum_map`) stands for, and what is left of the list."""
+    total, rest, found = summed[0], summed[1:], []
+    for falls in (True, False):
+        n = int(rest[0])
+        best, place, end = (np.array(rest[1 + i * n:1 + (i + 1) * n]) for i in range(3))
+        rest = rest[1 + 3 * n:]
+        i = int(np.searchsorted(best, level, side="left")) if falls else int(np.searchsorted(best, limit - level, side="right"))
+        if i < n:
+            found.append((place[i], float(end[i])))
+    return (min(found)[1] if found else level + total), rest
+
+
 def cusum(bars: DataFrame, threshold: float = 5.0, drift: float = 0.0, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """The first bar of a symbol has no return and no value."""
+    """The first bar of a symbol has no return and no value.  Chunks are summed up by :func:`sum_map`, so two passes do."""
+    def returns(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf["log_ret"].to_numpy(float)[int(pdf["pos"].iloc[0] == 0):]
+
     def step(pdf: pd.DataFrame, state):
-        x = pdf["log_ret"].to_numpy(float)[int(pdf["pos"].iloc[0] == 0):]
-        up, down, hit, end = two_sided(x, tuple(state or (0.0, 0.0)), threshold, drift)
+        up, down, hit, end = two_sided(returns(pdf), tuple(state or (0.0, 0.0)), threshold, drift)
         return _aligned(len(pdf), cusum_positive=up, cusum_negative=down, cusum_signal=hit), list(end)
 
-    r = ordered_pass(with_returns(bars), step, "cusum_positive double, cusum_negative double, cusum_signal double", rows_per_chunk=rows_per_chunk)
+    def summary(pdf: pd.DataFrame) -> list[float]:
+        steps = np.nan_to_num(returns(pdf), nan=0.0) - drift
+        return sum_map(steps, threshold) + sum_map(-steps, threshold)
+
+    def advance(summed: list[float], state) -> list[float]:
+        up, rest = sum_through(summed, (state or (0.0, 0.0))[0], threshold)
+        return [up, sum_through(rest, (state or (0.0, 0.0))[1], threshold)[0]]
+
+    r = folded_pass(with_returns(bars), step, summary, advance, "cusum_positive double, cusum_negative double, cusum_signal double", rows_per_chunk=rows_per_chunk)
     return r.drop("pos")
 
 
@@ -155,4 +209,4 @@ def vol_state(bars: DataFrame, window: int = 20, stay: float = 0.85, factor: flo
     return ordered_pass(x, step, "hmm_vol_state double, hmm_vol_probability double", rows_per_chunk=rows_per_chunk).drop("pos", "low0", "high0")
 
 
-__all__ = ["with_returns", "restarting_sum", "two_sided", "cusum", "filtered", "vol_state"]
+__all__ = ["with_returns", "restarting_sum", "two_sided", "sum_map", "sum_through", "cusum", "filtered", "vol_state"]

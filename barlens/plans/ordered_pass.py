@@ -72,6 +72,50 @@ def ordered_pass(df: DataFrame, step: Step, out_fields: str, *, keys: Sequence[s
     return base.join(fixed, on).groupBy(*on).applyInPandas(emit, out_schema)
 
 
+# summary(rows) -> numbers that tell how a chunk turns any start state into its end state
+Summary = Callable[[pd.DataFrame], "list[float]"]
+# advance(summary, state) -> end state
+Advance = Callable[["list[float]", "list[float] | None"], "list[float]"]
+
+
+def folded_pass(df: DataFrame, step: Step, summary: Summary, advance: Advance, out_fields: str, *, keys: Sequence[str] = ("symbol",),
+                order: Sequence[str] = ("ts",), rows_per_chunk: int = ROWS_PER_CHUNK, unit: str | None = "month") -> DataFrame:
+    """:func:`ordered_pass` for rules whose effect on the state can be summed up per chunk: two passes, however many chunks.
+
+    The first pass sums up every chunk; one row per chunk is folded over each key, which gives the state every chunk
+    starts from; the second pass emits the rows.
+    """
+    keys, order = list(keys), list(order)
+    base = with_position(df, keys, order, out="_rn", unit=unit)
+    base = base.withColumn("_chunk", F.floor(F.col("_rn") / F.lit(rows_per_chunk)))
+    cols, on = df.columns, [*keys, "_chunk"]
+    key_fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {out_fields}"
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn").reset_index(drop=True)
+        made, _ = step(pdf, _state_of(pdf))
+        return pd.concat([pdf[cols], made], axis=1)
+
+    def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn").reset_index(drop=True)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in on}, "_sum": [float(v) for v in summary(pdf)]}])
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_chunk").reset_index(drop=True)
+        state, starts = None, []
+        for summed in pdf["_sum"]:
+            starts.append(state)
+            state = [float(v) for v in advance(list(summed), state)]
+        return pd.DataFrame({**{k: pdf[k] for k in on}, "_state": starts})
+
+    if base.filter("_chunk > 0").isEmpty():
+        return base.withColumn("_state", F.lit(None).cast("array<double>")).groupBy(*on).applyInPandas(emit, out_schema)
+    sums = cut_lineage(base.groupBy(*on).applyInPandas(sum_up, f"{key_fields}, _chunk bigint, _sum array<double>"))
+    starts = sums.groupBy(*keys).applyInPandas(states, f"{key_fields}, _chunk bigint, _state array<double>")
+    return base.join(starts, on).groupBy(*on).applyInPandas(emit, out_schema)
+
+
 def _state_of(pdf: pd.DataFrame):
     s = pdf["_state"].iloc[0]
     return None if s is None else list(s)

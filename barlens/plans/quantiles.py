@@ -15,14 +15,14 @@ from barlens.plans.ordered import running
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    rows_per_slice: int | None = None) -> DataFrame:
-    """One row per key: linear-interpolation quantile ``probs[name]`` as ``name``, and ``n``."""
+                    rows_per_slice: int | None = None, times: str | None = None) -> DataFrame:
+    """One row per key: linear-interpolation quantile ``probs[name]`` as ``name``, and ``n``; ``times`` names how often a row counts."""
     keys = list(keys)
     const = not keys
     if const:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
+              .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c")))
     cum = running(counts, keys, ["_v"], {"_cum": ("sum", F.col("_c"))}, rows_per_slice=rows_per_slice)
     total = counts.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).agg(F.sum("_c").alias("n"))
     cond = F.lit(True)

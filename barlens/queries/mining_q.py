@@ -91,7 +91,28 @@ def _(spark, d):
     return M.level3_scan(x, M.level2_scan(x, "net_r"), "net_r")
 
 
-@query("M6_beam_search", "rule score# support! depth!")
+def _beam_sql(k):
+    """The best twenty rules of k conditions: each of the best of k - 1 with one more, or single conditions."""
+    if k == 1:
+        rules = f"SELECT [c] AS rule, avg(net_r) AS score, count(*) AS support FROM mex GROUP BY c HAVING count(*) >= ceil(0.01 * {_N})"
+    else:
+        rules = f"""SELECT rule, max(support) AS support, arg_max(score, parent) AS score FROM (
+SELECT list_sort(list_append(p.rule, e.c)) AS rule, p.score AS parent, count(*) AS support, avg(x.net_r) AS score FROM mbeam{k - 1} p JOIN mcond x ON list_has_all(x.conds, p.rule) JOIN mex e USING (order_id)
+WHERE NOT list_contains(p.rule, e.c) AND NOT EXISTS (SELECT 1 FROM mnear z WHERE z.a = e.c AND list_contains(p.rule, z.b)) GROUP BY p.rule, p.score, e.c)
+GROUP BY rule HAVING max(support) >= ceil(0.01 * {_N}) AND arg_max(score, parent) > max(parent) + 1e-10"""
+    return f"SELECT * FROM ({rules}) ORDER BY round(score, 10) DESC, support DESC, array_to_string(rule, '|') LIMIT 20"
+
+
+cte("mnear", f"""
+SELECT a, b FROM (SELECT x.c AS a, y.c AS b, count(*) AS n FROM mex x JOIN mex y ON x.order_id = y.order_id AND x.c <> y.c GROUP BY 1, 2) p
+JOIN (SELECT c AS a, count(*)::DOUBLE AS na FROM mex GROUP BY 1) USING (a) JOIN (SELECT c AS b, count(*)::DOUBLE AS nb FROM mex GROUP BY 1) USING (b)
+WHERE (n * {_N} - na * nb) / nullif(sqrt(na * ({_N} - na)) * sqrt(nb * ({_N} - nb)), 0) > 0.95""")
+for _k in (1, 2, 3):
+    cte(f"mbeam{_k}", _beam_sql(_k))
+
+
+@query("M6_beam_search", "rule score# support! depth!", "SELECT array_to_string(rule, ',') AS rule, score, support, len(rule) AS depth FROM (" + " UNION ALL ".join(
+    f"SELECT rule, score, support FROM mbeam{k}" for k in (1, 2, 3)) + ")")
 def _(spark, d):
     return M.beam_search(conditioned(spark, d), "net_r", beam=20).withColumn("rule", F.array_join("rule", ","))
 
@@ -125,13 +146,25 @@ def cdf_sql(z):
     return f"(CASE WHEN {z} >= 0 THEN 0.5 * (1 + 1 - ({poly}) * exp(-pow({z}, 2) / 2)) ELSE 0.5 * (1 - (1 - ({poly}) * exp(-pow({z}, 2) / 2))) END)"
 
 
+def ppf_sql(p):
+    def poly(coef, x):
+        out = f"({coef[0]})::DOUBLE"
+        for a in coef[1:]:
+            out = f"({out} * {x} + ({a}))"
+        return out
+    low, q = f"least({p}, 1 - ({p}))", f"(({p}) - 0.5)"
+    t = f"sqrt(-2 * ln({low}))"
+    tail = f"({poly(M._PPF_C, t)} / {poly(M._PPF_D, t)})"
+    return f"(CASE WHEN {low} >= {M._PPF_TAIL} THEN {poly(M._PPF_A, f'({q} * {q})')} * {q} / {poly(M._PPF_B, f'({q} * {q})')} WHEN {q} < 0 THEN {tail} ELSE -{tail} END)"
+
+
 @query("M8_multiple_testing", "rule_id p_value#5 bonferroni? bh? adjusted_p#5 deflated_sharpe#4", f"""
-SELECT *, p_value <= 0.05 / m AS bonferroni, coalesce(rank <= max(CASE WHEN p_value <= rank / m * 0.05 THEN rank END) OVER (), false) AS bh, least(1, p_value * m / rank) AS adjusted_p, sharpe * sqrt((n - 1) / n) - {M.norm_ppf(1 - 0.5 / 20)!r}::DOUBLE / sqrt(n) AS deflated_sharpe FROM (
+SELECT *, p_value <= 0.05 / m AS bonferroni, coalesce(rank <= max(CASE WHEN p_value <= rank / m * 0.05 THEN rank END) OVER (), false) AS bh, least(1, p_value * m / rank) AS adjusted_p, sharpe * sqrt((n - 1) / n) - {ppf_sql('1 - 0.5 / m')} / sqrt(n) AS deflated_sharpe FROM (
 SELECT *, row_number() OVER (ORDER BY p_value, rule_id) AS rank, count(*) OVER ()::DOUBLE AS m FROM (SELECT rule_id, n::DOUBLE AS n, sharpe, 2 * (1 - {cdf_sql('zz')}) AS p_value FROM (SELECT *, abs(mean_r * sqrt(n::DOUBLE) / std_r) AS zz FROM mscore)))""")
 def _(spark, d):
     x = conditioned(spark, d)
     r = M.correct(M.p_values(M.score_rules(x, pair_rules(x), "net_r")))
-    return r.withColumn("deflated_sharpe", M.deflated_sharpe("sharpe", "n", 20))
+    return r.withColumn("deflated_sharpe", M.deflated_sharpe("sharpe", "n", "m"))
 
 
 cte("mreach", """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlens.operators import features as ft, modeleval as C, splits as SP, trades as A
+from barlens.plans import draws as DR
 from barlens.queries.features_q import win
 from barlens.queries.joins_q import bar_labels
 from barlens.queries.labels_q import blocked_bars
@@ -233,16 +234,39 @@ def _(spark, d):
     return factor_signal_events(b, "v", 0.9, "short", 12 * 3600.0)
 
 
+def mix_sql(*parts):
+    """``plans.draws.mixed`` as SQL: a fold over the parts."""
+    t = f"(((xor(h, v & 4294967295::UBIGINT)) * {DR.MIX_1}::UBIGINT) & 4294967295::UBIGINT)"
+    t = f"((xor({t}, {t} >> 15) * {DR.MIX_2}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"list_reduce([0, {', '.join(parts)}]::UBIGINT[], lambda h, v: xor({t}, {t} >> 13))"
+
+
+_NET = (f"list_reduce([x, {', '.join(map(str, range(DR.ROUNDS)))}]::UBIGINT[], lambda z, r: ((z & m) << b) | xor(z >> b, "
+        f"{mix_sql('42', 'i', 'r', 'z & m')} & m))")
+_BINOMIAL = ("least(n, len(list_filter(range(0, n + 1), lambda x: list_sum(list_transform(range(0, x + 1), lambda y: "
+             "exp(lgamma(n + 1) - lgamma(y + 1) - lgamma(n - y + 1) + y * ln(p) + (n - y) * ln(1 - p)))) < u)))")
+
+
 @query("E13_shuffle_null_test", "iteration! mean_r# beats_real?", """
-SELECT i AS iteration, avg(CASE WHEN s.direction = 'LONG' THEN r.realized_r ELSE -r.realized_r END) AS mean_r, avg(CASE WHEN s.direction = 'LONG' THEN r.realized_r ELSE -r.realized_r END) >= (SELECT avg(CASE WHEN direction = 'LONG' THEN realized_r ELSE -realized_r END) FROM trades) AS beats_real
-FROM (SELECT i, realized_r, row_number() OVER (PARTITION BY i ORDER BY order_id) AS k FROM trades, (SELECT unnest(range(0, 5)) AS i)) r
-JOIN (SELECT i AS j, direction, row_number() OVER (PARTITION BY i ORDER BY md5(concat_ws('|', '42', i, order_id)), order_id) AS k FROM trades, (SELECT unnest(range(0, 5)) AS i)) s ON r.i = s.j AND r.k = s.k GROUP BY 1""")
+SELECT i AS iteration, avg(CASE WHEN x < longs THEN realized_r ELSE -realized_r END) AS mean_r,
+ avg(CASE WHEN x < longs THEN realized_r ELSE -realized_r END) >= (SELECT avg(CASE WHEN direction = 'LONG' THEN realized_r ELSE -realized_r END) FROM trades) AS beats_real
+FROM e13w WHERE x < n AND step > 0 GROUP BY 1""",
+       e13n="SELECT count(*)::UBIGINT AS n, count(CASE WHEN direction = 'LONG' THEN 1 END) AS longs, (CAST(floor(log2(greatest(count(*) - 1, 1))) AS INT) + 2) // 2 AS b FROM trades",
+       e13w=f"""SELECT i, realized_r, n, longs, b, ((1::UBIGINT << b) - 1)::UBIGINT AS m, k AS x, 0 AS step FROM (SELECT realized_r, (row_number() OVER (ORDER BY order_id, realized_r) - 1)::UBIGINT AS k FROM trades), e13n, (SELECT unnest(range(0, 5)) AS i)
+UNION ALL SELECT i, realized_r, n, longs, b, m, {_NET}, step + 1 FROM e13w WHERE step = 0 OR x >= n""")
 def _(spark, d):
     from barlens.operators.signals import shuffle_null_test
     return shuffle_null_test(S.trades(spark, d), "order_id", "direction", "realized_r", 5)
 
 
-@query("E14_block_bootstrap", "ci_lower# ci_upper# mean_r# n_blocks!")
+@query("E14_block_bootstrap", "ci_lower# ci_upper# mean_r# n_blocks!", """
+SELECT quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper, (SELECT avg(realized_r) FROM trades) AS mean_r, (SELECT count(*) FROM e14b) AS n_blocks
+FROM (SELECT i, sum(n * s) / sum(n * c) AS m FROM e14t JOIN e14b ON lo = e14b.b WHERE hi - lo = 1 GROUP BY i)""",
+       e14b="SELECT (k // 500)::BIGINT AS b, sum(realized_r) AS s, count(*) AS c FROM (SELECT realized_r, row_number() OVER (ORDER BY closed_at, order_id) - 1 AS k FROM trades) GROUP BY 1",
+       e14t=f"""SELECT i, 0::BIGINT AS lo, nb AS hi, nb AS n FROM (SELECT count(*) AS nb FROM e14b), (SELECT unnest(range(0, 1000)) AS i)
+UNION ALL SELECT i, CASE side WHEN 0 THEN lo ELSE mid END, CASE side WHEN 0 THEN mid ELSE hi END, CASE side WHEN 0 THEN l ELSE n - l END FROM (
+ SELECT *, {_BINOMIAL}::BIGINT AS l FROM (SELECT *, (lo + hi) // 2 AS mid, ((lo + hi) // 2 - lo) / (hi - lo)::DOUBLE AS p, ({mix_sql('42', 'i', 'lo', 'hi')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM e14t WHERE hi - lo > 1)),
+ (SELECT unnest([0, 1]) AS side)""")
 def _(spark, d):
     from barlens.operators.signals import block_bootstrap_ci
     return block_bootstrap_ci(S.trades(spark, d), ["closed_at", "order_id"], "realized_r", 500, 1000)
