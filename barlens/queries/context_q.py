@@ -192,10 +192,15 @@ query("W48_funding_regime_full", _FRC, _fr_sql("avg(e.m) OVER (PARTITION BY b.sy
 
 # ---- stateful regimes ------------------------------------------------------------------
 
-cte("cu_e", """
+def cusum_sql(limit, name):
+    """Two sums that start again at 0 once they pass a limit, as a recursion under its own name."""
+    return f"""
 SELECT symbol, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, NULL::DOUBLE AS sig FROM r4 WHERE rn = 0
-UNION ALL SELECT symbol, rn, CASE WHEN u > 2 THEN 0 ELSE u END, CASE WHEN u <= 2 AND d < -2 THEN 0 ELSE d END, CASE WHEN u > 2 OR d < -2 THEN 1 ELSE 0 END FROM (
-SELECT s.symbol, s.rn, greatest(0, e.up + s.ret) AS u, least(0, e.dn + s.ret) AS d FROM cu_e e JOIN r4 s ON s.symbol = e.symbol AND s.rn = e.rn + 1)""")
+UNION ALL SELECT symbol, rn, CASE WHEN u > {limit} THEN 0 ELSE u END, CASE WHEN u <= {limit} AND d < -{limit} THEN 0 ELSE d END, CASE WHEN u > {limit} OR d < -{limit} THEN 1 ELSE 0 END FROM (
+SELECT s.symbol, s.rn, greatest(0, e.up + s.ret) AS u, least(0, e.dn + s.ret) AS d FROM {name} e JOIN r4 s ON s.symbol = e.symbol AND s.rn = e.rn + 1)"""
+
+
+cte("cu_e", cusum_sql(2, "cu_e"))
 
 
 @query("W52_cusum", "symbol ts@ cusum_positive# cusum_negative# cusum_signal#1", """
@@ -222,6 +227,11 @@ cte("hm_e", _hm_step("p", "lo", "hi", f"SELECT s.symbol, s.rn, s.ret AS r, h.lo,
     + " UNION ALL " + _hm_step("p", "lo", "hi", "SELECT s.symbol, s.rn, s.ret AS r, e.lo, e.hi, e.p FROM hm_e e JOIN r4 s ON s.symbol = e.symbol AND s.rn = e.rn + 1"))
 
 
+# the stream has no first estimate: it begins with even odds
+cte("hmo_e", _hm_step("p", "lo", "hi", "SELECT s.symbol, s.rn, s.ret AS r, h.lo, h.hi, 0.5::DOUBLE AS p FROM r4 s JOIN hm0 h USING (symbol) WHERE s.rn = 21")
+    + " UNION ALL " + _hm_step("p", "lo", "hi", "SELECT s.symbol, s.rn, s.ret AS r, e.lo, e.hi, e.p FROM hmo_e e JOIN r4 s ON s.symbol = e.symbol AND s.rn = e.rn + 1"))
+
+
 @query("W53_vol_state", "symbol ts@ hmm_vol_state#1 hmm_vol_probability#5", """
 SELECT r.symbol, r.ts, CASE WHEN p > 0.5 THEN 1 WHEN p IS NOT NULL THEN 0 END AS hmm_vol_state, p AS hmm_vol_probability FROM r4 r LEFT JOIN hm_e h ON h.symbol = r.symbol AND h.rn = r.rn""")
 def _(spark, d):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from barlens.operators import quality as Q, timegrid as T
 from barlens.queries.registry import cte, query
-from barlens.sources import tables as S
+from barlens.session import scratch_path
+from barlens.sources import files as IO, footers as FT, tables as S
 
 BAR = "symbol ts@ open#2 high#2 low#2 close#2 volume#2"
 
@@ -176,6 +177,15 @@ def _(spark, d):
     return Q.file_integrity(_coarse(spark, d), 10)
 
 
+@query("DQ6_footer_integrity", "symbol rows! expected_rows! first_ts@ last_ts@ state", """
+SELECT *, CASE WHEN rows > expected_rows THEN 'more' WHEN rows < expected_rows THEN 'fewer' ELSE 'full' END AS state FROM (
+SELECT symbol, count(*) AS rows, (epoch(max(ts)) - epoch(min(ts))) // 14400 + 1 AS expected_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM bars_4h GROUP BY symbol, date_trunc('month', ts))""")
+def _(spark, d):
+    path = scratch_path(spark, "by-symbol")
+    IO.write_by_symbol(S.bars(spark, d), path)
+    return FT.footer_integrity(FT.footers(spark, path), 240).withColumn("symbol", F.col("partition")["symbol"])
+
+
 @query("DQ7_content_fingerprint", "symbol first_ts@ last_ts@ rows! content_hash")
 def _(spark, d):
     return Q.content_fingerprint(S.bars(spark, d), ["symbol"], ["ts", "open", "high", "low", "close", "volume"])
@@ -208,6 +218,13 @@ def _(spark, d):
     return Q.catalog(S.bars_1d_orders(spark, d).withColumn("month", F.date_format("ts", "yyyy-MM")), ["symbol", "month"])
 
 
+@query("DQ10_footer_catalog", "symbol month start_ts@ end_ts@ rows!", "SELECT * FROM cat4")
+def _(spark, d):
+    path = scratch_path(spark, "by-symbol")
+    IO.write_by_symbol(S.bars_1d_orders(spark, d), path)
+    return FT.footer_catalog(FT.footers(spark, path), ["symbol", "month"])
+
+
 @query("DQ10_catalog_query", "symbol month start_ts@ end_ts@ rows!", """
 SELECT * FROM cat4 WHERE start_ts <= TIMESTAMP '1997-03-15' AND end_ts >= TIMESTAMP '1996-11-10'""")
 def _(spark, d):

@@ -7,11 +7,13 @@ import time
 from pyspark.sql import functions as F
 
 from barlens.operators import labels as LB
+from barlens.queries.context_q import cusum_sql
 from barlens.queries.features_q import win
 from barlens.queries.labels_q import blocked_bars
 from barlens.queries.registry import cte, query
 from barlens.session import scratch_path
 from barlens.sources import files as IO, tables as S
+from barlens.sources.keyed import KeyedTable
 from barlens.streaming import streams as ST
 
 
@@ -154,6 +156,16 @@ def _(spark, d):
     return IO.upsert_candles(b.filter((F.day("ts") < 25) | (F.col("symbol") == "S03")), new, ["symbol", "ts"])
 
 
+@query("IO14_upsert_in_place", "symbol ts@ close#2", "SELECT symbol, ts, CASE WHEN day(ts) >= 20 AND symbol <> 'S03' THEN close * 2 ELSE close END AS close FROM bars_4h")
+def _(spark, d):
+    b = S.bars(spark, d).select("symbol", "ts", "close")
+    t = KeyedTable(spark, scratch_path(spark, "candles"), ["symbol", "ts"], [], lambda: F.date_format("ts", "yyyy-MM-dd"))
+    new = b.filter((F.day("ts") >= 20) & (F.col("symbol") != "S03")).withColumn("close", F.col("close") * 2)
+    for batch, rows in (("day-1", b.filter((F.day("ts") < 25) | (F.col("symbol") == "S03"))), ("day-2", new), ("day-2", new)):
+        t.upsert(rows, batch)
+    return t.read()
+
+
 @query("IO15_leaderboard_csv", "mode source n! avg_r#4", "SELECT mode, source, count(*) AS n, round(avg(realized_r), 6) AS avg_r FROM trades GROUP BY 1, 2")
 def _(spark, d):
     path = scratch_path(spark, "board")
@@ -202,24 +214,39 @@ def _in_files(df, name, cuts):
 _THIRDS = ["1970-01-01", "2024-01-11", "2024-01-21"]
 
 
-@query("ST1_online_regime", "symbol ts@ cusum_positive# cusum_signal#1 hmm_vol_state#1 hmm_vol_probability#4 volatility_regime#1")
+def _closed(stream, build, name, time="ts"):
+    """A stream run to the end of its input, so that the newest rows come out too."""
+    b = ST.Bounded(stream, time)
+    return ST.run_to_table(build(b.rows), name, closing=[b])
+
+
+cte("cu5_e", cusum_sql(5, "cu5_e"))
+cte("lv4", f"""
+SELECT *, quantile_cont(abs(ret), 0.33) OVER w AS lo, quantile_cont(abs(ret), 0.67) OVER w AS hi FROM r4 WINDOW w AS {win(20)}""")
+
+
+@query("ST1_online_regime", "symbol ts@ cusum_positive# cusum_signal#1 hmm_vol_state#1 hmm_vol_probability#4 volatility_regime#1", """
+SELECT r.symbol, r.ts, CASE WHEN r.rn > 0 THEN e.up END AS cusum_positive, e.sig AS cusum_signal, CASE WHEN h.p > 0.5 THEN 1 WHEN h.p IS NOT NULL THEN 0 END AS hmm_vol_state,
+ h.p AS hmm_vol_probability, CASE WHEN r.rn >= 21 THEN CASE WHEN abs(r.ret) <= v.lo THEN 0 WHEN abs(r.ret) >= v.hi THEN 2 ELSE 1 END END AS volatility_regime
+FROM r4 r JOIN cu5_e e ON e.symbol = r.symbol AND e.rn = r.rn LEFT JOIN hmo_e h ON h.symbol = r.symbol AND h.rn = r.rn
+LEFT JOIN lv4 v ON v.symbol = r.symbol AND v.rn = CASE WHEN r.rn = 21 THEN 20 ELSE r.rn END""")
 def _(spark, d):
     x = S.bars(spark, d).select("symbol", "ts", "close")
-    return ST.run_to_table(ST.online_regime(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), delay="1 day"), "regime")
+    return _closed(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), lambda b: ST.online_regime(b, delay="1 day"), "regime")
 
 
 @query("ST1_online_cusum", "symbol ts@ cusum_positive# cusum_negative# cusum_signal#1", """
 SELECT r.symbol, r.ts, CASE WHEN r.rn > 0 THEN e.up END AS cusum_positive, CASE WHEN r.rn > 0 THEN abs(e.dn) END AS cusum_negative, e.sig AS cusum_signal
-FROM r4 r JOIN cu_e e ON e.symbol = r.symbol AND e.rn = r.rn WHERE date_trunc('day', r.ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM r4) - INTERVAL '1 day'""")
+FROM r4 r JOIN cu_e e ON e.symbol = r.symbol AND e.rn = r.rn""")
 def _(spark, d):
     x = S.bars(spark, d).select("symbol", "ts", "close")
-    return ST.run_to_table(ST.online_regime(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), delay="1 day", threshold=2.0), "cusum")
+    return _closed(ST.folder_stream(spark, _in_files(x, "bars", _THIRDS), x.schema, 1), lambda b: ST.online_regime(b, delay="1 day", threshold=2.0), "cusum")
 
 
 @query("ST2_stream_bars", "symbol ts@ open#2 high#2 low#2 close#2 volume#2 trade_count!", """
-SELECT symbol, ts, open, high, low, close, volume, trade_count FROM bars_4h WHERE ts + INTERVAL '4 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM ticks)""")
+SELECT symbol, ts, open, high, low, close, volume, trade_count FROM bars_4h""")
 def _(spark, d):
-    return ST.run_to_table(ST.stream_bars(ST.tick_stream(spark, d), "4 hours", "1 hour"), "bars")
+    return _closed(ST.tick_stream(spark, d), lambda t: ST.stream_bars(t, "4 hours", "1 hour"), "bars")
 
 
 # Spark counts late rows after the partial aggregation: one per symbol and window of a batch
@@ -236,16 +263,16 @@ def _(spark, d):
 
 @query("ST3_sliding_tick_features", "symbol ts@ n! volume#2 imbalance# vwap#", """
 SELECT symbol, s AS ts, count(*) AS n, sum(size) AS volume, sum(CASE WHEN side = 'buy' THEN size ELSE -size END) / sum(size) AS imbalance, sum(price * size) / sum(size) AS vwap FROM (
-SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour', date_trunc('hour', ts) - INTERVAL '2 hours', date_trunc('hour', ts) - INTERVAL '3 hours']) AS s FROM ticks) WHERE s + INTERVAL '4 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM ticks) GROUP BY 1, 2""")
+SELECT *, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL '1 hour', date_trunc('hour', ts) - INTERVAL '2 hours', date_trunc('hour', ts) - INTERVAL '3 hours']) AS s FROM ticks) GROUP BY 1, 2""")
 def _(spark, d):
-    return ST.run_to_table(ST.sliding_tick_features(ST.tick_stream(spark, d), "4 hours", "1 hour", "1 hour"), "slide")
+    return _closed(ST.tick_stream(spark, d), lambda t: ST.sliding_tick_features(t, "4 hours", "1 hour", "1 hour"), "slide")
 
 
 @query("ST4_activity_sessions", "symbol start_ts@ end_ts@ n!", """
-SELECT symbol, start_ts, end_ts, n FROM (SELECT symbol, min(ts) AS start_ts, max(ts) + INTERVAL '2 hours' AS end_ts, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS g FROM (
-SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS nw FROM ticks)) GROUP BY symbol, g) WHERE end_ts <= (SELECT max(ts) - INTERVAL '1 hour' FROM ticks)""")
+SELECT symbol, min(ts) AS start_ts, max(ts) + INTERVAL '2 hours' AS end_ts, count(*) AS n FROM (SELECT *, sum(nw) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS g FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts, event_id) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS nw FROM ticks)) GROUP BY symbol, g""")
 def _(spark, d):
-    return ST.run_to_table(ST.activity_sessions(ST.tick_stream(spark, d), "2 hours", "1 hour"), "sessions")
+    return _closed(ST.tick_stream(spark, d), lambda t: ST.activity_sessions(t, "2 hours", "1 hour"), "sessions")
 
 
 @query("ST5_stream_upsert", "symbol ts@ price#2 event_id!", "SELECT symbol, max(ts) AS ts, arg_max(price, (ts, event_id)) AS price, arg_max(event_id, (ts, event_id)) AS event_id FROM ticks GROUP BY 1")
@@ -259,15 +286,23 @@ def _(spark, d):
     return ST.staleness_flag(S.bars(spark, d, "1 hour"), "2024-01-31", "3 hours")
 
 
+@query("ST6_staleness_events", "symbol ts@ status last_ts@", """
+SELECT symbol, ts + INTERVAL '3 hours' AS ts, 'STALE' AS status, ts AS last_ts FROM st6 WHERE nx IS NULL OR nx - ts > INTERVAL '3 hours'
+UNION ALL SELECT symbol, ts, 'FRESH', ts FROM st6 WHERE pv IS NULL OR ts - pv > INTERVAL '3 hours'""",
+       st6="SELECT symbol, ts, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS pv FROM bars_1h")
+def _(spark, d):
+    x = S.bars(spark, d, "1 hour").select("symbol", "ts")
+    return _closed(ST.folder_stream(spark, _in_files(x, "hours", _THIRDS), x.schema, 1), lambda b: ST.staleness_events(b, "3 hours", delay="1 hour", bucket="1 hour"), "stale")
+
+
 @query("ST7_rolling_circuit_state", "mode order_id failure_rate#4 loss_streak! analyzed!", f"""
 SELECT mode, order_id, failure_rate, least(rn - coalesce(max(CASE WHEN realized_r > 0 THEN rn END) OVER (PARTITION BY mode ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), analyzed) AS loss_streak, analyzed
 FROM (SELECT mode, order_id, closed_at, realized_r, row_number() OVER (PARTITION BY mode ORDER BY closed_at, order_id) AS rn,
- avg(CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END) OVER w AS failure_rate, count(*) OVER w AS analyzed FROM trades WINDOW w AS {win(20).replace('symbol', 'mode').replace('ORDER BY ts', 'ORDER BY closed_at, order_id')})
-QUALIFY time_bucket(INTERVAL '180 days', closed_at, TIMESTAMP '1970-01-01') + INTERVAL '180 days' <= (SELECT max(closed_at) FROM trades) - INTERVAL '1 day'""")
+ avg(CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END) OVER w AS failure_rate, count(*) OVER w AS analyzed FROM trades WINDOW w AS {win(20).replace('symbol', 'mode').replace('ORDER BY ts', 'ORDER BY closed_at, order_id')})""")
 def _(spark, d):
     path = scratch_path(spark, "trades")
     S.trades(spark, d).select("mode", "closed_at", "order_id", "realized_r").repartitionByRange(3, "closed_at").write.parquet(path)
-    return ST.run_to_table(ST.rolling_circuit_state(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000), delay="1 day"), "circuit")
+    return _closed(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000), lambda t: ST.rolling_circuit_state(t, delay="1 day"), "circuit", "closed_at")
 
 
 @query("ST8_dedup_stream", "symbol ts@", "SELECT DISTINCT symbol, ts FROM coarse")
@@ -277,9 +312,8 @@ def _(spark, d):
 
 
 @query("ST9_stream_asof", "symbol event_id! rate#9", """
-SELECT t.symbol, t.event_id, f.rate FROM ticks t ASOF LEFT JOIN funding f ON t.symbol = f.symbol AND t.ts >= f.ts
-WHERE date_trunc('day', t.ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM funding) - INTERVAL '1 day'""")
+SELECT t.symbol, t.event_id, f.rate FROM ticks t ASOF LEFT JOIN funding f ON t.symbol = f.symbol AND t.ts >= f.ts""")
 def _(spark, d):
     x = S.funding(spark, d)  # the overlay comes in three files, one per batch, after all ticks
-    f = ST.folder_stream(spark, _in_files(x, "funding", _THIRDS), x.schema, 1)
-    return ST.run_to_table(ST.stream_asof(ST.tick_stream(spark, d), f, "rate", delay="1 day"), "asof")
+    both = ST.Bounded(ST.tick_stream(spark, d)), ST.Bounded(ST.folder_stream(spark, _in_files(x, "funding", _THIRDS), x.schema, 1))
+    return ST.run_to_table(ST.stream_asof(both[0].rows, both[1].rows, "rate", delay="1 day"), "asof", closing=both)

@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barlens.functions.core import c
 from barlens.operators.quality import dedup_last
 from barlens.operators.timegrid import ffill_resample
+from barlens.session import settings
 
+#: Times are stored as 64-bit numbers, so that footers hold their range.
+WITH_RANGES = {"spark__sql__parquet__outputTimestampType": "TIMESTAMP_MICROS"}
 BAR_COLUMNS = ["symbol", "interval", "ts", "open", "high", "low", "close", "volume"]
 
 
@@ -16,7 +19,8 @@ BAR_COLUMNS = ["symbol", "interval", "ts", "open", "high", "low", "close", "volu
 def write_bars(df: DataFrame, path: str, mode: str = "append", checksums: bool = False) -> None:
     """Parquet by interval and month; a month of one interval is split by symbol hash into even files."""
     d = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    d.repartition("interval", "month", "symbol").write.mode(mode).partitionBy("interval", "month").parquet(path)
+    with settings(df.sparkSession, **WITH_RANGES):
+        d.repartition("interval", "month", "symbol").write.mode(mode).partitionBy("interval", "month").parquet(path)
     if checksums:
         write_checksums(df.sparkSession, path)
 
@@ -133,9 +137,16 @@ def write_csv(df: DataFrame, path: str, order: list | None = None) -> None:
 
 # ---- outcome cache -----------------------------------------------------------------
 
-def outcome_cache_write(df: DataFrame, path: str) -> None:
-    """Append by symbol; the adaptive planner splits a large symbol over as many tasks as its size asks for."""
-    df.hint("rebalance", F.col("symbol")).write.mode("append").partitionBy("symbol").parquet(path)
+def outcome_cache_write(df: DataFrame, path: str, keys: int = 1_000_000, group_bytes: int = 16 << 20) -> None:
+    """Append by symbol, for point lookups: files are sorted by alpha and time and carry Bloom filters of the alphas.
+
+    The adaptive planner splits a large symbol over as many tasks as its size asks for.  Row groups are small, so a lookup opens the
+    one whose filter and time range fit; ``keys`` is the number of alphas a filter is made for.
+    """
+    d = df.hint("rebalance", F.col("symbol")).sortWithinPartitions("symbol", "alpha_id", "ts")
+    with settings(df.sparkSession, **WITH_RANGES):
+        (d.write.mode("append").partitionBy("symbol").option("parquet.bloom.filter.enabled#alpha_id", "true")
+         .option("parquet.bloom.filter.expected.ndv#alpha_id", str(keys)).option("parquet.block.size", str(group_bytes)).parquet(path))
 
 
 def outcome_cache_query(spark: SparkSession, path: str, alpha_id: str | None = None, symbol: str | None = None, where: str | None = None) -> DataFrame:
@@ -166,8 +177,15 @@ def latest_candles(df: DataFrame, symbol: str, n: int) -> DataFrame:
     return df.filter(F.col("symbol") == symbol).orderBy(F.desc("ts")).limit(n)
 
 
+def write_by_symbol(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Parquet by symbol and month, in order of time: what the footers' catalogue is made for."""
+    d = df.withColumn("month", F.date_format("ts", "yyyy-MM")).repartition("symbol", "month").sortWithinPartitions("symbol", "month", "ts")
+    with settings(df.sparkSession, **WITH_RANGES):
+        d.write.mode(mode).partitionBy("symbol", "month").parquet(path)
+
+
 def upsert_candles(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones with the same key."""
+    """New rows replace old ones with the same key, as a view of two tables; ``sources.keyed.KeyedTable`` upserts a stored one."""
     u = existing.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
     return dedup_last(u, keys, ["_v"]).drop("_v")
 

@@ -7,7 +7,8 @@ checkpoint there; nothing is gathered on the driver.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from barlens.functions.core import div
 from barlens.operators.regime import filtered, two_sided
 from barlens.session import configure, scratch_path
+from barlens.sources.keyed import KeyedTable
 from barlens.sources.tables import ticks_from
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,25 +52,63 @@ def folder_stream(spark: SparkSession, path: str, schema: T.StructType, files_pe
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", late: list[int] | None = None) -> DataFrame:
+#: Event time of end markers.  Rows of this time or later are markers, not data.
+END_OF_INPUT = "2200-01-01"
+
+
+class Bounded:
+    """A stream that can be told that its input is over.
+
+    ``rows`` is the stream together with a folder of end markers, empty at first.  :meth:`close` puts one marker row there,
+    dated far ahead, with NULL in all other columns.  It reaches the watermark of its source like any row, so when the query goes
+    on, every window, bucket and timer before it is due; the operators leave markers out behind the watermark.
+    The folder is a source of its own, so neither a read-only input nor the order of its files matters.
+    """
+
+    def __init__(self, stream: DataFrame, time: str = "ts"):
+        self.spark, self.time, self.schema = stream.sparkSession, time, stream.schema
+        self.path = scratch_path(self.spark, "end-of-input")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+        self.rows = stream.unionByName(self.spark.readStream.schema(self.schema).parquet(self.path))
+
+    def close(self) -> None:
+        at = F.to_timestamp(F.lit(END_OF_INPUT))
+        marker = [at.alias(f.name) if f.name == self.time else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        self.spark.range(1).select(*marker).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def watched(df: DataFrame, time: str, delay: str) -> DataFrame:
+    """Rows behind a watermark, end markers left out.  The condition reads the event time, so it stays behind the watermark."""
+    return df.withWatermark(time, delay).filter(F.col(time) < F.lit(END_OF_INPUT).cast("timestamp"))
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", late: list[int] | None = None, closing: Sequence[Bounded] = ()) -> DataFrame:
     """Run a stream over what is there now and return its output table.
 
+    ``closing``: bounded inputs of the stream.  When what is there has been read, they are closed and the query goes on from its
+    checkpoint, so what waited for the watermark comes out as well and nothing is left in state.
     ``late`` gets the number of rows that came behind the watermark and were dropped.
     """
     spark = df.sparkSession
     out, chk = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-chk")
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).outputMode(mode)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    dropped = 0
+    for ending in ([False, True] if closing else [False]):
+        if ending:
+            for b in closing:
+                b.close()
+        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).outputMode(mode)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        dropped += sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     if late is not None:
-        late.append(sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"]))
+        late.append(dropped)
     return spark.read.schema(df.schema).parquet(out)
 
 
 def stream_bars(ticks: DataFrame, freq: str, delay: str) -> DataFrame:
     """Bars of closed windows; ticks later than ``delay`` behind the newest are dropped."""
     at = F.struct("ts", "event_id")
-    g = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", freq)).agg(
+    g = watched(ticks, "ts", delay).groupBy("symbol", F.window("ts", freq)).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trade_count"))
     return g.select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume", "trade_count")
@@ -77,13 +117,13 @@ def stream_bars(ticks: DataFrame, freq: str, delay: str) -> DataFrame:
 def sliding_tick_features(ticks: DataFrame, size: str, slide: str, delay: str) -> DataFrame:
     """Overlapping windows: volume imbalance and VWAP."""
     s, buy = F.col("size"), F.col("side") == "buy"
-    g = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", size, slide)).agg(
+    g = watched(ticks, "ts", delay).groupBy("symbol", F.window("ts", size, slide)).agg(
         F.count(F.lit(1)).alias("n"), F.sum(s).alias("volume"), F.sum(F.when(buy, s).otherwise(-s)).alias("_d"), F.sum(F.col("price") * s).alias("_pv"))
     return g.select("symbol", F.col("window.start").alias("ts"), "n", "volume", div("_d", "volume").alias("imbalance"), div("_pv", "volume").alias("vwap"))
 
 
 def activity_sessions(ticks: DataFrame, gap: str, delay: str) -> DataFrame:
-    g = ticks.withWatermark("ts", delay).groupBy("symbol", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
+    g = watched(ticks, "ts", delay).groupBy("symbol", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
     return g.select("symbol", F.col("session_window.start").alias("start_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
@@ -92,24 +132,20 @@ def dedup_stream(ticks: DataFrame, keys: list[str], delay: str) -> DataFrame:
 
 
 def stream_upsert(stream: DataFrame, name: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key: every micro-batch writes its latest rows as a version; readers take the newest.
+    """Latest row per key: every micro-batch is merged into the parts of a keyed table that it touches.
 
-    A batch that is retried writes the same version folder again, so the result
-    does not change.
+    A batch that is retried is found in the table's log and changes nothing.
     """
-    from barlens.operators.quality import dedup_last
     spark = stream.sparkSession
-    out, chk = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-chk")
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        dedup_last(batch, keys, order).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/v={epoch:08d}")
-
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", chk).trigger(availableNow=True).start().awaitTermination()
-    return dedup_last(spark.read.parquet(out).drop("epoch", "v"), keys, order)
+    table = KeyedTable(spark, scratch_path(spark, f"{name}-out"), keys, order)
+    chk = scratch_path(spark, f"{name}-chk")
+    stream.writeStream.foreachBatch(lambda batch, epoch: table.upsert(batch, f"{epoch:08d}") and None) \
+        .option("checkpointLocation", chk).trigger(availableNow=True).start().awaitTermination()
+    return table.read()
 
 
 def staleness_flag(bars: DataFrame, as_of, limit: str) -> DataFrame:
-    """Last bar per symbol and whether it is older than ``limit`` (also fits a streaming aggregate)."""
+    """Last bar per symbol and whether it is older than ``limit``, for a table; :func:`staleness_events` is the stream's."""
     now = F.lit(as_of).cast("timestamp")
     g = bars.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
     return g.withColumns({"age_minutes": (F.unix_seconds(now) - F.unix_seconds("last_ts")) / 60.0,
@@ -128,10 +164,13 @@ class _InOrder(StatefulProcessor):
 
     Rows wait in buckets of event time, one entry per bucket and batch, until the watermark has passed the bucket: then no
     row of it can come any more, and a timer hands the bucket on, sorted.  So neither the cut into micro-batches nor the
-    order of arrival changes the result, and one bucket of a key is in memory at a time.  Rows behind the watermark are
-    dropped and counted by Spark.
+    order of arrival changes the result.  Buckets that are due together go through ``step`` in one call as long as their rows
+    are few, so short buckets cost no call each, and at most that many rows or one bucket of a key are in memory.  Rows behind
+    the watermark are dropped and counted by Spark.
     """
 
+    ROWS = 100_000
+
     def __init__(self, step: Callable, order: list[str], bucket_ms: int):
         self.step, self.order, self.bucket = step, order, bucket_ms
 
@@ -162,15 +201,26 @@ class _InOrder(StatefulProcessor):
         found = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
         held = self.state.get()
         state, after = (list(held[0]) if held is not None else None), None
-        for b in sorted({b for b, _ in found}):
+        due: list[pd.DataFrame] = []
+
+        def through(state):
+            out, state = self.step(pd.concat(due).sort_values(self.order).reset_index(drop=True), state)
+            due.clear()
+            return out, state
+
+        for b, mine in groupby(found, lambda k: k[0]):
             if (b + 1) * self.bucket > passed:
                 after = b
                 break
-            mine = [k for k in found if k[0] == b]
-            pdf = pd.concat([pa.ipc.open_stream(self.waiting.getValue(k)[0]).read_pandas() for k in mine])
             for k in mine:
+                due.append(pa.ipc.open_stream(self.waiting.getValue(k)[0]).read_pandas())
                 self.waiting.removeKey(k)
-            out, state = self.step(pdf.sort_values(self.order).reset_index(drop=True), state)
+            if sum(map(len, due)) >= self.ROWS:
+                out, state = through(state)
+                if len(out):
+                    yield out
+        if due:
+            out, state = through(state)
             if len(out):
                 yield out
         if state is not None:
@@ -182,6 +232,69 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+class _Gaps:
+    """Rows of a key in time order: fresh with the first, stale once ``limit`` has passed without a row, fresh again with the next.
+
+    State: microseconds of the last row, and 1 once the key has been told stale after it.
+    """
+
+    def __init__(self, limit_us: int):
+        self.limit = limit_us
+
+    def __call__(self, pdf: pd.DataFrame, state):
+        at = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+        before = np.concatenate([[state[0] if state else np.nan], at[:-1].astype(float)])
+        told = np.zeros(len(at))
+        told[0] = state[1] if state else 0
+        silent = at - before > self.limit  # False for the first row of all
+        fresh = silent | np.isnan(before)
+        ends = np.where(silent & (told == 0))[0]
+        starts = np.where(fresh)[0]
+        out = pd.concat([self.rows(pdf["symbol"].iloc[0], before[ends] + self.limit, "STALE", before[ends]), self.rows(pdf["symbol"].iloc[0], at[starts], "FRESH", at[starts])])
+        return out.sort_values("ts"), [float(at[-1]), 0.0]
+
+    @staticmethod
+    def rows(symbol, at, status, last) -> pd.DataFrame:
+        stamp = [np.asarray(x).astype("int64").astype("datetime64[us]") for x in (at, last)]
+        return pd.DataFrame({"symbol": symbol, "ts": stamp[0], "status": status, "last_ts": stamp[1]})
+
+
+class _Staleness(_InOrder):
+    """:class:`_Gaps` with a timer for keys that send nothing: it fires when the watermark has passed the end of the limit's bucket."""
+
+    def __init__(self, limit_us: int, bucket_ms: int):
+        super().__init__(_Gaps(limit_us), ["ts"], bucket_ms)
+        self.limit = limit_us
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        held = self.state.get()
+        if held is None:
+            return
+        last, told = held[0]
+        # every row up to the limit has been handed on once the bucket that holds the limit is over
+        due = (int(last + self.limit) // 1000 // self.bucket + 1) * self.bucket
+        if told == 0 and passed >= due:
+            self.state.update(([last, 1.0],))
+            yield _Gaps.rows(key[0], np.array([last + self.limit]), "STALE", np.array([last]))
+        elif told == 0:
+            self.handle.registerTimer(due)
+
+
+def staleness_events(bars: DataFrame, limit: str, delay: str = "0 seconds", bucket: str = "1 minute") -> DataFrame:
+    """(symbol, ts, status, last_ts) of a stream: FRESH when a symbol first sends or returns, STALE once it has been silent for longer than ``limit``.
+
+    A symbol that sends nothing is told stale by a timer in event time, so the rows of the other symbols are enough.  Neither
+    batches nor the order of arrival within ``delay`` change the rows.
+    """
+    use_rocksdb(bars.sparkSession)
+    rows = watched(bars.select("symbol", "ts"), "ts", delay)
+    us = int(pd.Timedelta(limit).value // 1000)
+    return rows.groupBy("symbol").transformWithStateInPandas(_Staleness(us, int(pd.Timedelta(bucket).value // 1_000_000)),
+                                                             "symbol string, ts timestamp, status string, last_ts timestamp", "append", "EventTime")
+
+
 class OnlineRegime:
     """CUSUM, volatility state and percentile regime of bars as they come, on the scans of ``operators.regime``.
 
@@ -239,7 +352,7 @@ class OnlineRegime:
 
 
 def online_regime(bars: DataFrame, delay: str = "0 seconds", **params) -> DataFrame:
-    return _in_order(bars.withWatermark("ts", delay), ["symbol"], OnlineRegime(**params), ["ts"], OnlineRegime.SCHEMA)
+    return _in_order(watched(bars, "ts", delay), ["symbol"], OnlineRegime(**params), ["ts"], OnlineRegime.SCHEMA)
 
 
 class _RollingCircuit:
@@ -259,9 +372,9 @@ class _RollingCircuit:
         return pd.concat([pdf[["mode", "closed_at", "order_id"]], made], axis=1), lost[-self.n:].tolist()
 
 
-def rolling_circuit_state(trades: DataFrame, n: int = 20, delay: str = "0 seconds", bucket: str = "180 days") -> DataFrame:
+def rolling_circuit_state(trades: DataFrame, n: int = 20, delay: str = "0 seconds", bucket: str = "1 day") -> DataFrame:
     schema = "mode string, closed_at timestamp, order_id string, failure_rate double, loss_streak long, analyzed long"
-    return _in_order(trades.withWatermark("closed_at", delay), ["mode"], _RollingCircuit(n), ["closed_at", "order_id"], schema, bucket)
+    return _in_order(watched(trades, "closed_at", delay), ["mode"], _RollingCircuit(n), ["closed_at", "order_id"], schema, bucket)
 
 
 class _LastKnown:
@@ -279,10 +392,10 @@ def stream_asof(base: DataFrame, overlay: DataFrame, value: str, delay: str = "0
 
     Each side has a watermark of its own and the lesser one counts, so base rows wait for an overlay that lags behind.
     """
-    b = base.withWatermark("ts", delay).select("symbol", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side"))
-    o = overlay.withWatermark("ts", delay).select("symbol", "ts", F.lit(-1).cast("long").alias("event_id"), F.col(value).alias("value"), F.lit(0).alias("side"))
+    b = watched(base, "ts", delay).select("symbol", "ts", "event_id", F.lit(None).cast("double").alias("value"), F.lit(1).alias("side"))
+    o = watched(overlay, "ts", delay).select("symbol", "ts", F.lit(-1).cast("long").alias("event_id"), F.col(value).alias("value"), F.lit(0).alias("side"))
     return _in_order(b.unionByName(o), ["symbol"], _LastKnown(), ["ts", "side", "event_id"], "symbol string, ts timestamp, event_id long, rate double")
 
 
-__all__ = ["use_rocksdb", "tick_stream", "folder_stream", "run_to_table", "stream_bars", "sliding_tick_features", "activity_sessions", "dedup_stream", "stream_upsert",
-           "staleness_flag", "OnlineRegime", "online_regime", "rolling_circuit_state", "stream_asof"]
+__all__ = ["use_rocksdb", "tick_stream", "folder_stream", "Bounded", "END_OF_INPUT", "watched", "run_to_table", "stream_bars", "sliding_tick_features", "activity_sessions", "dedup_stream", "stream_upsert",
+           "staleness_flag", "staleness_events", "OnlineRegime", "online_regime", "rolling_circuit_state", "stream_asof"]

@@ -55,24 +55,80 @@ def test_online_regime_by_pieces():
         assert np.allclose(np.concatenate(got), want, rtol=1e-8, atol=1e-9, equal_nan=True), piece
 
 
-def test_online_regime_over_batches(spark, bars):
-    path, x = scratch_path(spark, "bars"), bars.select("symbol", "ts", "close")
-    # the middle comes last: within the delay, order of arrival does not matter
-    for lo, hi in (("2024-01-01", "2024-01-11"), ("2024-01-14", "2024-02-01"), ("2024-01-11", "2024-01-14")):
-        x.filter((F.col("ts") >= lo) & (F.col("ts") < hi)).coalesce(1).write.mode("append").parquet(path)
-    got = ST.run_to_table(ST.online_regime(ST.folder_stream(spark, path, x.schema, 1), delay="20 days", threshold=1.5), "regime").toPandas()
+def _files(df, name, spans, time="ts"):
+    path = scratch_path(df.sparkSession, name)
+    for lo, hi in spans:
+        df.filter((F.col(time) >= lo) & (F.col(time) < hi)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_online_regime_gives_all_rows(spark, bars):
+    """The middle comes last: within the delay the order of arrival does not matter; closing the input gives the newest rows too."""
+    x = bars.select("symbol", "ts", "close")
+    path = _files(x, "bars", (("2024-01-01", "2024-01-11"), ("2024-01-14", "2024-02-01"), ("2024-01-11", "2024-01-14")))
+    b = ST.Bounded(ST.folder_stream(spark, path, x.schema, 1))
+    got = ST.run_to_table(ST.online_regime(b.rows, delay="20 days", threshold=1.5), "regime", closing=[b]).toPandas()
     rows = x.toPandas().sort_values("ts")
-    rows = rows[rows.ts < rows.ts.max() - pd.Timedelta("21 days")]
-    assert len(got) >= len(rows) > 0
+    assert len(got) == len(rows) > 0
     for s, g in rows.groupby("symbol"):
-        mine = got[got.symbol == s].sort_values("ts").iloc[:len(g), 2:].to_numpy(float)
+        mine = got[got.symbol == s].sort_values("ts").iloc[:, 2:].to_numpy(float)
         assert np.allclose(mine, sequential(g.close.to_numpy(), 1.5), rtol=1e-8, atol=1e-9, equal_nan=True)
 
 
+def test_circuit_gives_all_trades_whatever_the_bucket(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"mode": rng.choice(["A", "B"], 400), "closed_at": pd.to_datetime("2024-01-01") + pd.to_timedelta(np.sort(rng.integers(0, 60 * 24, 400)), unit="h"),
+                        "order_id": [f"{i:04d}" for i in range(400)], "realized_r": rng.normal(size=400)})
+    df = spark.createDataFrame(pdf)
+    path = _files(df, "trades", (("2024-01-01", "2024-01-20"), ("2024-02-10", "2025-01-01"), ("2024-01-20", "2024-02-10")), "closed_at")
+    for bucket in ("1 hour", "1 day", "30 days"):
+        b = ST.Bounded(ST.folder_stream(spark, path, df.schema, 1), "closed_at")
+        got = ST.run_to_table(ST.rolling_circuit_state(b.rows, n=7, delay="60 days", bucket=bucket), "circuit", closing=[b]).toPandas().set_index("order_id")
+        assert len(got) == 400
+        for _, g in pdf.sort_values(["closed_at", "order_id"]).groupby("mode"):
+            lost = (g.realized_r <= 0).astype(float)
+            want = lost.rolling(7, min_periods=1).mean() * 100
+            assert np.allclose(got.loc[g.order_id, "failure_rate"], want)
+            assert (got.loc[g.order_id, "analyzed"] == np.minimum(np.arange(len(g)) + 1, 7)).all()
+
+
+def test_late_overlay_and_one_file_a_trigger(spark):
+    """The overlay lags behind the base by files; all base rows come out with the value at or before them."""
+    base = spark.createDataFrame([("x", f"2024-01-{1 + i // 24:02d} {i % 24:02d}:30:00", i) for i in range(120)], "symbol string, t string, event_id long") \
+        .select("symbol", F.to_timestamp("t").alias("ts"), "event_id")
+    over = spark.createDataFrame([("x", f"2024-01-{1 + i:02d} 00:00:00", float(i)) for i in range(1, 5)], "symbol string, t string, v double") \
+        .select("symbol", F.to_timestamp("t").alias("ts"), "v")
+    days = [(f"2024-01-{d:02d}", f"2024-01-{d + 1:02d}") for d in range(1, 6)]
+    sides = ST.Bounded(ST.folder_stream(spark, _files(base, "base", days), base.schema, 1)), ST.Bounded(ST.folder_stream(spark, _files(over, "over", days[2:]), over.schema, 1))
+    got = ST.run_to_table(ST.stream_asof(sides[0].rows, sides[1].rows, "v", delay="1 hour"), "asof", closing=sides).toPandas().set_index("event_id")
+    assert len(got) == 120
+    known = got.rate.dropna()
+    assert all(got.rate.isna().loc[i] == (i < 48) for i in range(120)) and all(v == i // 24 for i, v in known.items())
+
+
+def test_a_silent_symbol_goes_stale_once_and_returns(spark):
+    hours = [("A", h) for h in range(60)] + [("B", h) for h in [0, 1, 2, 40, 41]]
+    df = spark.createDataFrame(hours, "symbol string, h int").select("symbol", F.timestamp_add("HOUR", F.col("h"), F.lit("2024-01-01").cast("timestamp")).alias("ts"))
+    path = _files(df, "quiet", [(f"2024-01-0{1 + i // 2} {12 * (i % 2):02d}:00:00", f"2024-01-0{1 + (i + 1) // 2} {12 * ((i + 1) % 2):02d}:00:00") for i in range(5)])
+    b = ST.Bounded(ST.folder_stream(spark, path, df.schema, 1))
+
+    def seen(closing):
+        out = ST.run_to_table(ST.staleness_events(b.rows, "5 hours", bucket="1 hour"), "stale", closing=closing).toPandas().sort_values(["symbol", "ts"])
+        at = ((out.ts - pd.Timestamp("2024-01-01")).dt.total_seconds() / 3600).astype(int)
+        return list(zip(out.symbol, at, out.status))
+
+    # still open: the rows of A alone have told that B is silent
+    assert seen([]) == [("A", 0, "FRESH"), ("B", 0, "FRESH"), ("B", 7, "STALE"), ("B", 40, "FRESH"), ("B", 46, "STALE")]
+    assert seen([b]) == [("A", 0, "FRESH"), ("A", 64, "STALE"), ("B", 0, "FRESH"), ("B", 7, "STALE"), ("B", 40, "FRESH"), ("B", 46, "STALE")]
+
+
 def test_stream_bars_equal_batch(spark, sf):
     got = ST.run_to_table(ST.stream_bars(ST.tick_stream(spark, sf), "4 hours", "1 hour"), "b")
     want = S.bars(spark, sf).select(*got.columns)
     assert got.count() > 0 and got.exceptAll(want).count() == 0
+    b = ST.Bounded(ST.tick_stream(spark, sf))
+    whole = ST.run_to_table(ST.stream_bars(b.rows, "4 hours", "1 hour"), "b", closing=[b])
+    assert whole.count() == want.count() and whole.exceptAll(want).count() == 0
 
 
 def test_upsert_keeps_latest(spark, sf):
