@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barlens.functions.core import c, clip, div, ln
 from barlens.functions.stats import corr_agg
 from barlens.operators.windows import RN, lag, r_beta, r_corr, r_mean, r_std, r_sum, r_zscore, when_ready, pair, w_corr
-from barlens.plans.ordered import frame
+from barlens.plans.gram import pair_moments, with_correlation
+from barlens.plans.ordered import blocked, core_rows, frame
+from barlens.session import written
 
 
 def _x(*more: str):
@@ -56,50 +58,50 @@ def cs_rank_center(x) -> Column:
 def cs_rank_matrix(df: DataFrame, cols: list[str], min_rows: int = 3) -> DataFrame:
     """``cs_rank_center`` of many columns at once.
 
-    The wide rows are placed by ts once and ranked in Arrow batches with one
-    vectorised sort per column: a window per column would sort every partition
+    The wide rows are placed by ts once and ranked in Arrow batches: cross-sections of one size form a block (times, symbols,
+    columns), whose second axis is sorted for all of them in one call.  A window per column would sort every partition
     once per column, and unpivoting would multiply the rows.  A cross-section
     holds one row per symbol and always fits a batch buffer; one that runs over
     the end of a batch is carried into the next.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     def rank(it):
-        rest = None
-        for pdf in it:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["ts"].iloc[-1]
-            whole = (pdf["ts"] != last).to_numpy()
-            if not whole.any():
-                rest = pdf
+        rest = []
+        for batch in it:
+            if not batch.num_rows:
                 continue
-            rest = pdf[~whole].reset_index(drop=True)
-            yield ranked(pdf[whole])
-        if rest is not None and len(rest):
-            yield ranked(rest)
-
-    def ranked(pdf):
-        pdf = pdf.reset_index(drop=True)
-        t = pdf["ts"].to_numpy()
-        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            t = batch.column("ts").to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(t, t[-1]))  # sorted by ts: the last cross-section may go on
+            if rest and cut == 0 and rest[0].column("ts")[0] == batch.column("ts")[0]:
+                rest.append(batch)
+                continue
+            whole = [*rest, batch.slice(0, cut)]
+            yield ranked(pa.Table.from_batches(whole))
+            rest = [batch.slice(cut)]
+        if rest:
+            yield ranked(pa.Table.from_batches(rest))
+
+    def ranked(table):
+        t = table.column("ts").to_numpy()
+        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(t)])
-        group = np.repeat(np.arange(len(start)), size)
-        first, n = np.repeat(start, size), np.repeat(size, size).astype(float)
-        x = pdf[cols].to_numpy(float)
-        out = np.empty_like(x)
-        for j in range(x.shape[1]):
-            order = np.lexsort((x[:, j], group))  # rows arrive by (ts, symbol): ties keep symbol order, NaN comes last
-            pos = np.empty(len(t))
-            pos[order] = np.arange(len(t))
-            out[:, j] = np.where(n >= min_rows, (pos - first + 0.5) / n, x[:, j])
-        pdf[cols] = out
-        return pdf
+        x = np.column_stack([table.column(k).to_numpy() for k in cols]).astype(np.float64)
+        for n in np.unique(size[size >= min_rows]):
+            at = start[size == n][:, None] + np.arange(n)
+            # rows arrive by (ts, symbol): a stable sort lets ties keep symbol order, NaN comes last
+            order = np.argsort(x[at], axis=1, kind="stable")
+            place = np.empty(order.shape)
+            np.put_along_axis(place, order, (np.arange(n)[None, :, None] + 0.5) / n, axis=1)
+            x[at] = place
+        made = [pa.array(x[:, j], mask=np.isnan(x[:, j])) for j in range(len(cols))]
+        return pa.RecordBatch.from_arrays([table.column("symbol").combine_chunks(), table.column("ts").combine_chunks(), *made], keep)
 
     keep = ["symbol", "ts", *cols]
     d = df.select("symbol", "ts", *[F.col(k).cast("double").alias(k) for k in cols])
     fields = ", ".join(["symbol string", "ts timestamp", *[f"`{k}` double" for k in cols]])
-    return d.repartition("ts").sortWithinPartitions("ts", "symbol").select(*keep).mapInPandas(rank, fields)
+    return d.repartition("ts").sortWithinPartitions("ts", "symbol").select(*keep).mapInArrow(rank, fields)
 
 
 def cs_zscore(x, *by: str) -> Column:
@@ -148,16 +150,20 @@ def residual_return(df: DataFrame, n: int = 20, mp: int = 5) -> DataFrame:
 
 def symbol_profiles(df: DataFrame, n: int = 20) -> DataFrame:
     """Latest beta, volatility of the last n returns, sum of the last five residuals."""
-    w = Window.partitionBy("symbol")
-
     def last_k(x, k):
-        return F.row_number().over(w.orderBy(F.when(c(x).isNull(), 1).otherwise(0), F.col("ts").desc())) <= k
-
-    d = df.withColumns({"_k5": last_k("residual_momentum", 5), "_kn": last_k("ret", n)})
-    return d.groupBy("symbol").agg(
-        F.max_by("residual_beta", F.when(F.col("residual_beta").isNotNull(), F.col("ts"))).alias("beta"),
+        # the last k of a symbol are among the last k of its months, so no sort holds a whole symbol
+        newest = (F.when(c(x).isNull(), 1).otherwise(0), F.col("ts").desc())
+        near = F.row_number().over(Window.partitionBy("symbol", F.date_trunc("month", "ts")).orderBy(*newest)) <= k
+        return near, lambda flag: F.col(flag) & (F.row_number().over(Window.partitionBy("symbol", flag).orderBy(*newest)) <= k)
+
+    near5, last5 = last_k("residual_momentum", 5)
+    near_n, last_n = last_k("ret", n)
+    d = df.withColumns({"_m5": near5, "_mn": near_n})
+    beta = d.groupBy("symbol").agg(F.max_by("residual_beta", F.when(F.col("residual_beta").isNotNull(), F.col("ts"))).alias("beta"))
+    d = d.where("_m5 or _mn").withColumns({"_k5": last5("_m5"), "_kn": last_n("_mn")})
+    return beta.join(d.groupBy("symbol").agg(
         F.stddev_samp(F.when(F.col("_kn"), F.col("ret"))).alias("vol"),
-        F.sum(F.when(F.col("_k5"), F.col("residual_momentum"))).alias("mom")).fillna(0.0)
+        F.sum(F.when(F.col("_k5"), F.col("residual_momentum"))).alias("mom")), "symbol").fillna(0.0)
 
 
 def cluster_symbols(profiles: DataFrame, cols: list[str], k: int = 3, seed: int = 42) -> DataFrame:
@@ -200,32 +206,42 @@ def lead_lag_group(df: DataFrame, n: int = 20, max_lag: int = 5, vol_n: int = 20
     return df.drop(*shifts)
 
 
-def cluster_rotation(df: DataFrame, cluster: list[str], n: int = 20, min_valid: int = 5) -> DataFrame:
-    """1 - mean correlation with the cluster members (columns ``ret_<symbol>``), clipped to 0..1."""
-    rs = F.array(*[r_corr("ret", f"ret_{s}", n, min_valid) for s in cluster])
-    ok = F.filter(rs, lambda z: z.isNotNull())
-    mean = F.when(F.size(ok) > 0, F.aggregate(ok, F.lit(0.0), lambda a, b: a + b) / F.size(ok))
-    return df.withColumn("cluster_rotation", clip(1.0 - mean, 0.0, 1.0))
+def cluster_rotation(df: DataFrame, clusters: DataFrame, n: int = 20, min_valid: int = 5, rows_per_block: int | None = None) -> DataFrame:
+    """1 - mean correlation of each symbol with the other members of its cluster, clipped to 0..1.
+
+    ``df`` has (symbol, ts, ret), ``clusters`` (symbol, cluster).  Pairs are in long form, one series for each (symbol, other), so
+    the plan does not depend on how many symbols or members there are.
+    """
+    mine = clusters.join(clusters.select("cluster", F.col("symbol").alias("other")), "cluster").where("symbol <> other").select("symbol", "other")
+    pairs = df.select("symbol", "ts", "ret").join(mine, "symbol").join(
+        df.select(F.col("symbol").alias("other"), "ts", F.col("ret").alias("other_ret")), ["other", "ts"], "left")
+    keys = ("symbol", "other")
+    b = blocked(pairs, n, keys=keys, rows_per_block=rows_per_block)
+    w = frame(n, keys=keys)
+    a, o = pair("ret", "other_ret")
+    moving = (F.stddev_pop(a).over(w) >= 1e-14) & (F.stddev_pop(o).over(w) >= 1e-14)
+    r = F.when(moving, clip(w_corr(a, o, w), -1.0, 1.0))
+    b = core_rows(b.withColumn("_r", when_ready(r, a, n, min_valid, True, w)))
+    return b.groupBy("symbol", "ts").agg(F.when(F.count("_r") > 0, clip(1.0 - F.avg("_r"), 0.0, 1.0)).alias("cluster_rotation"))
 
 
 def correlation_pairs(df: DataFrame, cols: list[str], fill: float | None = 0.0) -> DataFrame:
-    """Pearson for every pair of columns in one pass; one row per pair."""
-    x = {k: (F.coalesce(F.col(k), F.lit(fill)) if fill is not None else F.col(k)) for k in cols}
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            aggs.append(clip(corr_agg(x[a], x[b]), -1.0, 1.0).alias(f"{a}|{b}"))
-            names.append((a, b))
-    one = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr"))
-                     for a, b in names])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
-
-
-def symbol_correlations(df: DataFrame, symbols: list[str], x: str) -> DataFrame:
-    """Pairwise return correlations of listed symbols (one pivot on ts, then one pass)."""
-    wide = df.filter(F.col("symbol").isin(symbols)).groupBy("ts").pivot("symbol", symbols).agg(F.first(x))
-    return correlation_pairs(wide, symbols, fill=None)
+    """Pearson for every pair of columns (a, b, corr), however many; gaps become ``fill``, or leave the row out of the pair if it is None."""
+    value = F.array(*[F.coalesce(F.col(k).cast("double"), F.lit(fill)) if fill is not None else F.col(k).cast("double") for k in cols])
+    cells = df.select(F.sequence(F.lit(0), F.lit(len(cols) - 1)).alias("at"), value.alias("value"))
+    names = F.array(*[F.lit(k) for k in cols])
+    return with_correlation(pair_moments(cells, len(cols))).select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), "corr")
+
+
+def symbol_correlations(df: DataFrame, x: str) -> DataFrame:
+    """(a, b, n, corr) of every pair of symbols over the times both have a value.  The driver learns how many symbols there are."""
+    known = written(df.where(F.col(x).isNotNull()).select("symbol", "ts", F.col(x).cast("double").alias("_x")), "cells")
+    index = written(known.select("symbol").distinct().withColumn("_i", F.row_number().over(Window.orderBy("symbol")) - 1), "symbols")
+    width = index.count()
+    cells = known.join(index, "symbol").groupBy("ts").agg(F.collect_list("_i").alias("at"), F.collect_list("_x").alias("value"))
+    c = with_correlation(pair_moments(cells, width))
+    a, b = (index.select(F.col("_i").alias(i), F.col("symbol").alias(s)) for i, s in (("i", "a"), ("j", "b")))
+    return c.join(a, "i").join(b, "j").select("a", "b", "n", "corr")
 
 
 __all__ = [k for k in list(globals()) if not k.startswith("_")] + ["ln", "r_mean"]

@@ -8,6 +8,7 @@ from barlens.functions.core import c, div
 from barlens.functions.stats import corr_agg
 from barlens.operators.windows import lag, lead
 from barlens.plans.ordered import blocked, core_rows, running
+from barlens.session import written
 
 
 def forward_returns(panel: DataFrame, horizons: list[int], keep: list[str] | None = None) -> DataFrame:
@@ -182,19 +183,19 @@ def greedy_select(ic: DataFrame, pairs: DataFrame, max_features: int = 20, corr_
                   min_ic: float = 0.005) -> list[str]:
     """Highest |IC| first, skipping what correlates with a chosen feature.
 
-    Works on two summaries with one row per feature and per feature pair; only
-    those are fetched.
+    A round takes the best feature that no chosen one rules out, so there are at most ``max_features`` rounds, and the driver
+    sees one name in each.
     """
-    rows = ic.filter(F.col("abs_ic") >= min_ic).orderBy(F.desc("abs_ic"), "feature").select("feature").collect()
-    corr = {}
-    for r in pairs.select("a", "b", "corr").collect():
-        corr[(r["a"], r["b"])] = corr[(r["b"], r["a"])] = abs(r["corr"] or 0.0)
+    left = written(ic.filter(F.col("abs_ic") >= min_ic).select("feature", "abs_ic"), "ic")
+    close = pairs.where(F.abs("corr") > corr_threshold)
+    close = written(close.select("a", "b").unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"))), "close")
     chosen: list[str] = []
-    for r in rows:
-        if len(chosen) >= max_features:
+    while len(chosen) < max_features:
+        out = close.where(F.col("a").isin(chosen)).select(F.col("b").alias("feature"))
+        best = left.where(~F.col("feature").isin(chosen)).join(out, "feature", "left_anti").orderBy(F.desc("abs_ic"), "feature").select("feature").first()
+        if best is None:
             break
-        if all(corr.get((r["feature"], s), 0.0) <= corr_threshold for s in chosen):
-            chosen.append(r["feature"])
+        chosen.append(best["feature"])
     return chosen
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions.core import c, div
+from barlens.plans.ordered import running
 
 
 def equity_curve(df: DataFrame, keys: list[str], order: list[str], r: str, *, rows_per_slice: int | None = None,
@@ -58,26 +59,25 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out:
     return g.groupBy(*keys).agg(F.max(F.greatest(fall, F.lit(0.0))).alias(out))
 
 
-def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str) -> DataFrame:
-    """Compounded equity from period returns and its relative drawdown.
+def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str, rows_per_slice: int | None = None) -> DataFrame:
+    """Compounded equity from period returns and its relative drawdown, in slices of a key (see ``plans.ordered.running``).
 
-    There is one row per period, so a key is as long as its calendar.  The
-    product is carried as logarithm, sign and zero count, so returns at or below
+    The product is carried as logarithm, sign and zero count, so returns at or below
     -100 % are handled too.
     """
     g = 1.0 + F.col(ret)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    logs = F.sum(F.when(g != 0, F.log(F.abs(F.when(g != 0, g))))).over(w)
-    neg, zero = F.count(F.when(g < 0, 1)).over(w), F.count(F.when(g == 0, 1)).over(w)
-    sign = F.when(zero > 0, 0.0).when(neg % 2 == 1, -1.0).otherwise(1.0)
-    e = df.withColumn("equity", sign * F.exp(logs))
-    e = e.withColumn("_p", F.greatest(F.max("equity").over(w), F.lit(1.0)))
+    e = running(df, keys, order, {"_logs": ("sum", F.when(g != 0, F.log(F.abs(F.when(g != 0, g))))), "_neg": ("count", F.when(g < 0, 1)),
+                                  "_zero": ("count", F.when(g == 0, 1))}, rows_per_slice=rows_per_slice)
+    sign = F.when(F.col("_zero") > 0, 0.0).when(F.col("_neg") % 2 == 1, -1.0).otherwise(1.0)
+    e = e.withColumn("equity", sign * F.exp(F.coalesce("_logs", F.lit(0.0)))).drop("_logs", "_neg", "_zero")
+    e = running(e, keys, order, {"_p": ("max", F.col("equity"))}, rows_per_slice=rows_per_slice)
+    e = e.withColumn("_p", F.greatest("_p", F.lit(1.0)))
     return e.withColumn("drawdown", (F.col("equity") - F.col("_p")) / F.col("_p")).drop("_p")
 
 
-def return_metrics(df: DataFrame, keys: list[str], order: list[str], ret: str, per_year: float) -> DataFrame:
+def return_metrics(df: DataFrame, keys: list[str], order: list[str], ret: str, per_year: float, rows_per_slice: int | None = None) -> DataFrame:
     """Net return, Sharpe, profit factor and maximum drawdown of period returns."""
-    e = compound_curve(df, keys, order, ret)
+    e = compound_curve(df, keys, order, ret, rows_per_slice)
     r = F.col(ret)
     last = F.struct(*order)
     pos, neg = F.sum(F.when(r > 0, r).otherwise(0.0)), F.abs(F.sum(F.when(r < 0, r).otherwise(0.0)))

@@ -93,9 +93,9 @@ def purge_report(roles: DataFrame, required: int) -> DataFrame:
         .drop("_te", "_vs", "_ve", "_os")
 
 
-def temporal_split(df: DataFrame, order: list[str], discovery: float = 0.6, validation: float = 0.2) -> DataFrame:
-    """discovery / validation / holdout by row order (a total order, cut in slices)."""
-    p = running(df, [], order, {"_i": ("count", F.lit(1))}, slice_col=F.date_trunc("month", order[0]))
+def temporal_split(df: DataFrame, order: list[str], discovery: float = 0.6, validation: float = 0.2, rows_per_slice: int | None = None) -> DataFrame:
+    """discovery / validation / holdout by row order (a total order, cut in range partitions of about ``rows_per_slice`` rows)."""
+    p = running(df, [], order, {"_i": ("count", F.lit(1))}, rows_per_slice=rows_per_slice)
     n = df.select(F.count(F.lit(1))).scalar()
     a = F.floor(n * F.lit(discovery))
     b = a + F.floor(n * F.lit(validation))

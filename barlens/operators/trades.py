@@ -199,9 +199,15 @@ def ranked_improvements(df: DataFrame) -> DataFrame:
     return g.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
+def _known(df: DataFrame) -> DataFrame:
+    """Failures with gaps filled as the reports count them: unknown labels, no confidence, no severity."""
+    return df.withColumns({"failure_source": F.coalesce("failure_source", F.lit("UNKNOWN")), "blamed_component": F.coalesce("blamed_component", F.lit("UNKNOWN")),
+                           "confidence": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)), "severity_score": F.coalesce("severity_score", F.lit(0))})
+
+
 def weakness_profile(df: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     """Ranked sources with their heaviest component and the advice of the surest case."""
-    x = df.filter(F.col("confidence") >= min_confidence)
+    x = _known(df).filter(F.col("confidence") >= min_confidence)
     comp = x.groupBy("failure_source", "blamed_component").agg(F.sum("severity_score").alias("_w"))
     top = comp.groupBy("failure_source").agg(F.max_by("blamed_component", F.struct("_w", "blamed_component")).alias("top_component"))
     g = x.groupBy("failure_source").agg(
@@ -210,6 +216,27 @@ def weakness_profile(df: DataFrame, min_confidence: float = 0.6) -> DataFrame:
     return g.withColumn("weight_score", F.col("count") * F.col("avg_severity")).join(top, "failure_source")
 
 
+def weakness_components(df: DataFrame, min_confidence: float = 0.6) -> DataFrame:
+    """Components, over all sources (failure_source 'ALL') and within each: count, mean severity and confidence, weight, the source
+    they are most often seen with, the advice of the surest case, and the place by weight.
+
+    Equal counts of sources go to the last name, equal weights to the first.  One shuffle of counts by (source, component); the totals are rolled up from them.
+    """
+    x = _known(df).filter(F.col("confidence") >= min_confidence)
+    surest = F.max(F.struct("confidence", "order_id", "classification"))
+    per = x.groupBy("failure_source", "blamed_component").agg(F.count(F.lit(1)).alias("_n"), F.sum("severity_score").alias("_s"), F.sum("confidence").alias("_c"), surest.alias("_best"))
+
+    def board(of: DataFrame, source: Column) -> DataFrame:
+        g = of.groupBy(source.alias("failure_source"), "blamed_component").agg(
+            F.sum("_n").alias("count"), (F.sum("_s") / F.sum("_n")).alias("avg_severity"), (F.sum("_c") / F.sum("_n")).alias("avg_confidence"),
+            F.max_by("failure_source", F.struct("_n", "failure_source")).alias("top_source"), F.max("_best").alias("_best"))
+        return g.withColumns({"weight_score": F.col("count") * F.col("avg_severity"), "best_improvement": F.col("_best.classification")}).drop("_best")
+
+    out = board(per, F.lit("ALL")).unionByName(board(per, F.col("failure_source")))
+    w = Window.partitionBy("failure_source").orderBy(F.desc("weight_score"), "blamed_component")
+    return out.withColumn("place", F.row_number().over(w))
+
+
 # ---- components -----------------------------------------------------------------
 
 def component_impact(df: DataFrame, components: str = "components", min_samples: int = 10) -> DataFrame:
@@ -457,22 +484,44 @@ def what_if(df: DataFrame, value: str, current: float, thresholds: list[float])
         F.count_distinct(F.when(new, F.col("symbol"))).alias("new_symbols"), F.avg(F.when(new, F.col("realized_r"))).alias("new_avg_r"))
 
 
-def circuit_state(df: DataFrame, window: int = 20, streak_window: int = 50, max_rate: float = 70.0, max_losses: int = 6) -> DataFrame:
-    """State from the newest trades: failure rate, loss streak, rule outcome.
+def circuit_state(df: DataFrame, failures: DataFrame, window: int = 20, streak_window: int = 50, max_rate: float = 70.0, max_losses: int = 6,
+                  max_severity: float = 4.0) -> DataFrame:
+    """State from the newest trades and failures: failure rate, loss streak, mean severity of the last five failures, rules that hold.
 
-    Only the newest rows are kept, by a distributed top-n.
+    Only the newest rows are kept, by distributed top-n.  A rule that is reached opens the circuit; without one, a rule that is near degrades it.
     """
     last = df.orderBy(F.desc("closed_at"), F.desc("order_id")).limit(streak_window)
     w = Window.partitionBy().orderBy(F.desc("closed_at"), F.desc("order_id"))
     x = last.withColumn("_i", F.row_number().over(w))
     first_win = F.min(F.when(F.col("realized_r") > 0, F.col("_i")))
-    g = x.agg((F.avg(F.when(F.col("_i") <= window, F.when(F.col("realized_r") <= 0, 100.0).otherwise(0.0)))).alias("failure_rate"),
+    g = x.agg(F.coalesce(F.avg(F.when(F.col("_i") <= window, F.when(F.col("realized_r") <= 0, 100.0).otherwise(0.0))), F.lit(0.0)).alias("failure_rate"),
               (F.coalesce(first_win, F.count(F.lit(1)) + 1) - 1).alias("consecutive_losses"),
               F.count(F.when(F.col("_i") <= window, 1)).alias("analyzed"))
-    fr, cl = F.col("failure_rate"), F.col("consecutive_losses")
-    open_ = (cl >= max_losses) | ((fr >= max_rate) & (F.col("analyzed") >= min(window, 3)))
-    near = (fr >= max(max_rate * 0.8, max_rate - 10.0)) | (cl >= max(max_losses - 1, 1))
-    return g.withColumn("status", F.when(open_, "OPEN").when(near, "DEGRADED").otherwise("CLOSED"))
+    five = failures.orderBy(F.desc("created_at"), F.desc("order_id")).limit(5)
+    g = g.withColumns({"avg_severity": five.agg(F.coalesce(F.avg(F.coalesce("severity_score", F.lit(0))), F.lit(0.0))).scalar(),
+                       "_f": five.agg(F.count(F.lit(1))).scalar()})
+    fr, cl, sv = F.col("failure_rate"), F.col("consecutive_losses"), F.col("avg_severity")
+    reached = {"max_consecutive_losses": cl >= max_losses, "max_failure_rate_pct": (fr >= max_rate) & (F.col("analyzed") >= min(window, 3)),
+               "max_severity_avg": (sv >= max_severity) & (F.col("_f") >= 3)}
+    near = {"near_failure_rate": fr >= max(max_rate * 0.8, max_rate - 10.0), "near_consecutive_losses": cl >= max(max_losses - 1, 1),
+            "near_severity": sv >= max(max_severity - 0.5, max_severity * 0.85)}
+
+    def names(rules: dict[str, Column]) -> Column:
+        return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
+
+    g = g.withColumn("_open", names(reached)).withColumn("_near", names(near))
+    return g.withColumns({"active_rules": F.concat_ws(",", F.when(F.size("_open") > 0, F.col("_open")).otherwise(F.col("_near"))),
+                          "status": F.when(F.size("_open") > 0, "OPEN").when(F.size("_near") > 0, "DEGRADED").otherwise("CLOSED")}).drop("_open", "_near", "_f")
+
+
+def circuit_boards(df: DataFrame, session: str, window: int = 20) -> DataFrame:
+    """Losses among the newest trades by session and by hour of their close, in percent of these losses."""
+    last = df.orderBy(F.desc("closed_at"), F.desc("order_id")).limit(window).filter(F.col("realized_r") <= 0)
+    hour = F.coalesce(F.format_string("%02d:00", F.hour("closed_at")), F.lit("unknown"))
+    one = last.select(F.explode(F.array(F.struct(F.lit("session").alias("board"), F.coalesce(F.col(session), F.lit("unknown")).alias("label")),
+                                        F.struct(F.lit("hour").alias("board"), hour.alias("label")))).alias("x")).select("x.*")
+    g = one.groupBy("board", "label").agg(F.count(F.lit(1)).alias("losses"))
+    return g.withColumn("percent", F.round(F.col("losses") * 100.0 / F.sum("losses").over(Window.partitionBy("board")), 2))
 
 
 def symbol_throttle(df: DataFrame, lookback: int = 12, max_streak: int = 3, max_rate: float = 70.0, cooldown_min: int = 240) -> DataFrame:
@@ -578,23 +627,45 @@ def component_penalties(failures: DataFrame) -> DataFrame:
     return g.withColumns({"frequency": f, "penalty": clip(p, 0.0, 0.35)})
 
 
-def entry_and_stop_rules(failures: DataFrame) -> DataFrame:
-    """Entry-timing penalty, stop multiplier and dominant cluster of the losses, one row."""
-    s, b = F.col("failure_source"), F.col("blamed_component")
-    timing, stop = (s == "TIMING") | (b == "Entry Logic"), (s == "RISK_MODEL") | (b == "Stop Loss")
+# fixed values: rows that learning needs, and what the rejection rules ask for
+MIN_CLOSED, MIN_FAILURES = 20, 5
+REJECT_ENTRY_RISK, REJECT_ENTRY_RISK_UNKNOWN, REJECT_CONFIDENCE = 0.72, 0.75, 68.0
+
 
-    def part(cond):
-        return [share(cond), F.avg(F.when(cond, F.col("severity_score"))), F.avg(F.when(cond, F.col("confidence"))), F.count(F.when(cond, 1))]
+def entry_and_stop_rules(failures: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """Entry-timing penalty, stop multiplier and rejection rules learned from the losses, one row.
 
-    (tr, ts, tc, tn), (sr, ss, sc, sn) = part(timing), part(stop)
-    g = failures.agg(tr.alias("timing_rate"), ts.alias("_ts"), tc.alias("_tc"), tn.alias("_tn"), sr.alias("stop_rate"), ss.alias("_ss"), sc.alias("_sc"))
-    sig = clip(F.col("timing_rate") * (F.col("_ts") / 5.0) * F.greatest(F.col("_tc"), F.lit(0.5)), 0.0, 1.0)
-    pen = sig * 0.35
-    pen = F.when((F.col("timing_rate") >= 0.55) & (F.col("_tn") >= 4) & (F.col("_tc") >= 0.7), F.greatest(pen, F.lit(0.15))).otherwise(pen)
-    mult = 1.0 + clip(F.col("stop_rate") * (F.col("_ss") / 5.0) * F.greatest(F.col("_sc"), F.lit(0.5)) * 0.8, 0.0, 0.55)
-    top = failures.groupBy("failure_source", "blamed_component").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n") / F.sum("_n"))
-    return g.select("timing_rate", "stop_rate", clip(pen, 0.0, 0.35).alias("entry_penalty"), clip(mult, 1.0, 1.8).alias("stop_multiplier")) \
-        .withColumn("dominant_cluster", top.scalar())
+    ``closed`` are the closed trades: learning is active from MIN_CLOSED of them and MIN_FAILURES losses on; without it only the
+    losses are asked for.  A severity that is missing or 0 counts as 1, a missing confidence as 0.
+    """
+    x = failures.withColumns({"_v": F.when(F.coalesce("severity_score", F.lit(0)) == 0, 1).otherwise(F.col("severity_score")),
+                              "_c": F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))})
+    s, b, k = (F.coalesce(q, F.lit("")) for q in ("failure_source", "blamed_component", "classification"))
+    timing = (s == "TIMING") | (b == "Entry Logic")
+    stop = (s == "RISK_MODEL") | (b == "Stop Loss") | (k == "STOP_LOSS_HIT")
+
+    def part(cond, name):
+        return [F.coalesce(share(cond), F.lit(0.0)).alias(f"{name}_rate"), F.avg(F.when(cond, F.col("_v"))).alias(f"_{name}_v"),
+                F.avg(F.when(cond, F.col("_c"))).alias(f"_{name}_c"), F.count(F.when(cond, 1)).alias(f"_{name}_n")]
+
+    g = x.agg(*part(timing, "timing"), *part(stop, "stop"), F.count(F.lit(1)).alias("_n"))
+    n_closed = F.lit(MIN_CLOSED) if closed is None else closed.select(F.count(F.lit(1))).scalar()
+    tr, tv, tc, tn = (F.col(q) for q in ("timing_rate", "_timing_v", "_timing_c", "_timing_n"))
+    sr, sv, sc, sn = (F.col(q) for q in ("stop_rate", "_stop_v", "_stop_c", "_stop_n"))
+    active = (n_closed >= MIN_CLOSED) & (F.col("_n") >= MIN_FAILURES)
+    pen = clip(tr * (tv / 5.0) * F.greatest(tc, F.lit(0.5)), 0.0, 1.0) * 0.35
+    pen = F.when((tr >= 0.55) & (tn >= 4) & (tc >= 0.7), F.greatest(pen, F.lit(0.15))).otherwise(pen)
+    pen = F.when((tr >= 0.7) & (tv >= 4.0), F.greatest(pen, F.lit(0.22))).otherwise(pen)
+    mult = 1.0 + clip(sr * (sv / 5.0) * F.greatest(sc, F.lit(0.5)) * 0.8, 0.0, 0.55)
+    top = x.groupBy(F.coalesce("failure_source", F.lit("UNKNOWN")), F.coalesce("blamed_component", F.lit("UNKNOWN"))).agg(F.count(F.lit(1)).alias("_k")) \
+        .agg(F.coalesce(F.max("_k") / F.sum("_k"), F.lit(0.0)))
+    g = g.withColumn("dominant_cluster", top.scalar())
+    return g.select(
+        "timing_rate", "stop_rate", F.when(tn > 0, clip(pen, 0.0, 0.35)).otherwise(0.0).alias("entry_penalty"), (active & (tn >= 2)).alias("entry_active"),
+        F.when(sn > 0, clip(mult, 1.0, 1.8)).otherwise(1.0).alias("stop_multiplier"), (active & (sn >= 3)).alias("stop_active"), "dominant_cluster",
+        (active & (F.col("dominant_cluster") >= 0.55)).alias("reject_active"),
+        F.when(F.col("_n") > 0, REJECT_ENTRY_RISK).otherwise(REJECT_ENTRY_RISK_UNKNOWN).alias("reject_if_entry_risk_gte"),
+        F.lit(REJECT_CONFIDENCE).alias("reject_if_confidence_lte"))
 
 
 def regime_stability(df: DataFrame, min_total: int = 20) -> DataFrame:

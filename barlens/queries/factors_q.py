@@ -193,19 +193,21 @@ def _(spark, d):
     return _pairs(spark, d)
 
 
-_CL = ["S02", "S03", "S04", "S05"]
+# clusters of five symbols, by their number
+_CL = "CAST(substr({}, 2) AS INT) // 5"
+_WP = "(PARTITION BY p.symbol, o.symbol ORDER BY p.ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+_PA, _PB = "(CASE WHEN o.ret IS NOT NULL THEN p.ret END)", "(CASE WHEN p.ret IS NOT NULL THEN o.ret END)"
 
 
-@query("X14_cluster_rotation", "ts@ cluster_rotation#", f"""
-SELECT ts, CASE WHEN len(r) > 0 THEN least(1, greatest(0, 1 - list_avg(r))) END AS cluster_rotation
-FROM (SELECT ts, list_filter([{', '.join(corr_sql('ret', f'"r{s}"', 20) for s in _CL)}], lambda z: z IS NOT NULL) AS r
-      FROM (SELECT p.*, {', '.join(f'{s}.ret AS "r{s}"' for s in _CL)} FROM rp p {' '.join(f"LEFT JOIN (SELECT ts, ret FROM rp WHERE symbol = '{s}') {s} ON {s}.ts = p.ts" for s in _CL)} WHERE p.symbol = 'S01'))""")
+@query("X14_cluster_rotation", "symbol ts@ cluster_rotation#", f"""
+SELECT symbol, ts, CASE WHEN count(r) > 0 THEN least(1, greatest(0, 1 - avg(r))) END AS cluster_rotation FROM (
+SELECT p.symbol, p.ts, CASE WHEN p.rn >= 19 AND count({_PA}) OVER {_WP} >= 5 AND stddev_pop({_PA}) OVER {_WP} >= 1e-14 AND stddev_pop({_PB}) OVER {_WP} >= 1e-14
+  THEN corr({_PA}, {_PB}) OVER {_WP} END AS r
+FROM rp p JOIN rp o ON o.ts = p.ts AND o.symbol <> p.symbol AND {_CL.format('o.symbol')} = {_CL.format('p.symbol')}) GROUP BY 1, 2""")
 def _(spark, d):
     x = core_rows(ft.base(blocked(panel(spark, d), 1))).select("symbol", "ts", "ret")
-    wide = x.filter(F.col("symbol").isin(_CL)).groupBy("ts").pivot("symbol", _CL).agg(F.first("ret"))
-    wide = wide.select("ts", *[F.col(s).alias(f"ret_{s}") for s in _CL])
-    p = x.filter(F.col("symbol") == "S01").join(wide, "ts", "left")
-    return core_rows(X.cluster_rotation(blocked(p, 20), _CL))
+    number = F.substring("symbol", 2, 10).cast("int")
+    return X.cluster_rotation(x, x.select("symbol").distinct().withColumn("cluster", F.floor(number / 5)))
 
 
 _FE = ["body", "rng", "volume", "trade_count"]
@@ -224,16 +226,13 @@ def _(spark, d):
     return X.correlation_pairs(_features(spark, d), _FE)
 
 
-_SY = ["S00", "S01", "S02", "S03", "S04"]
-
-
 @query("X16_symbol_diversity", "mean_diversity# pairs! most_diverse#", f"""
-SELECT avg(s) AS mean_diversity, count(*) AS pairs, max(s) AS most_diverse FROM (
-SELECT a.symbol AS x, b.symbol AS y, 1 - least(abs(corr(a.ret, b.ret)), 1) AS s FROM rp a JOIN rp b ON a.ts = b.ts AND a.symbol < b.symbol
-WHERE a.symbol IN ({', '.join(repr(s) for s in _SY)}) AND b.symbol IN ({', '.join(repr(s) for s in _SY)}) AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL)""")
+SELECT avg(1 - least(abs(c), 1)) AS mean_diversity, count(*) AS pairs, max(1 - least(abs(c), 1)) AS most_diverse FROM (
+SELECT a.symbol AS x, b.symbol AS y, corr(a.ret, b.ret) AS c FROM rp a JOIN rp b ON a.ts = b.ts AND a.symbol < b.symbol
+WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY ALL) WHERE isfinite(c)""")
 def _(spark, d):
     x = core_rows(ft.base(blocked(panel(spark, d), 1)))
-    c = X.symbol_correlations(x, _SY, "ret").withColumn("s", 1.0 - F.least(F.abs("corr"), F.lit(1.0)))
+    c = X.symbol_correlations(x, "ret").filter(F.col("corr").isNotNull()).withColumn("s", 1.0 - F.least(F.abs("corr"), F.lit(1.0)))
     return c.agg(F.avg("s").alias("mean_diversity"), F.count("s").alias("pairs"), F.max("s").alias("most_diverse"))
 
 

@@ -177,6 +177,19 @@ def _(spark, d):
     return A.weakness_profile(failures(spark, d))
 
 
+def _components_sql(source, groups):
+    return f"""
+SELECT {source} AS failure_source, blamed_component, count(*) AS count, avg(severity_score) AS avg_severity, avg(confidence) AS avg_confidence, count(*) * avg(severity_score) AS weight_score, arg_max(classification, (confidence, order_id)) AS best_improvement FROM fails WHERE confidence >= 0.6 GROUP BY {groups}"""
+
+
+@query("A14_weakness_components", "failure_source blamed_component count! avg_severity# avg_confidence# weight_score#2 top_source best_improvement place!", f"""
+SELECT c.*, CASE WHEN c.failure_source = 'ALL' THEN m.top ELSE c.failure_source END AS top_source, row_number() OVER (PARTITION BY c.failure_source ORDER BY weight_score DESC, blamed_component) AS place
+FROM ({_components_sql("'ALL'", 'blamed_component')} UNION ALL {_components_sql('failure_source', 'failure_source, blamed_component')}) c
+JOIN (SELECT blamed_component, arg_max(failure_source, (n, failure_source)) AS top FROM (SELECT blamed_component, failure_source, count(*) AS n FROM fails WHERE confidence >= 0.6 GROUP BY 1, 2) GROUP BY 1) m USING (blamed_component)""")
+def _(spark, d):
+    return A.weakness_components(failures(spark, d))
+
+
 cte("tc", "SELECT *, unnest(components) AS component FROM tt")
 
 
@@ -222,10 +235,10 @@ LEFT JOIN (SELECT regime, {'n': count(*), 'wr': avg(CASE WHEN realized_r > 0 THE
 LEFT JOIN (SELECT mode, {'n': count(*), 'wr': avg(CASE WHEN realized_r > 0 THEN 100.0 ELSE 0 END), 'pf': sum(greatest(realized_r, 0)) / abs(sum(least(realized_r, 0))), 'scope': 'MODE'} AS s FROM tband GROUP BY ALL HAVING count(*) >= 60) m ON m.mode = q.mode
 LEFT JOIN (SELECT symbol, {'n': count(*), 'wr': avg(CASE WHEN realized_r > 0 THEN 100.0 ELSE 0 END), 'pf': sum(greatest(realized_r, 0)) / abs(sum(least(realized_r, 0))), 'scope': 'SYMBOL'} AS s FROM tband GROUP BY ALL HAVING count(*) >= 60) y ON y.symbol = q.symbol) r""",
        tband="SELECT *, CASE WHEN confidence < 40 THEN '0-40' WHEN confidence < 60 THEN '40-60' WHEN confidence < 80 THEN '60-80' ELSE '80-100' END AS band FROM trades",
-       lreq="SELECT DISTINCT symbol, mode, regime, direction, interval, confidence, band FROM tband WHERE confidence IN (30, 50, 90)")
+       lreq="SELECT DISTINCT symbol, mode, regime, direction, interval, confidence, band FROM tband")
 def _(spark, d):
     t = T(spark, d)
-    req = t.filter(F.col("confidence").isin(30, 50, 90)).select("symbol", "mode", "regime", "direction", "interval", "confidence").distinct()
+    req = t.select("symbol", "mode", "regime", "direction", "interval", "confidence").distinct()
     return A.learning_multiplier(t, req, 60)
 
 
@@ -357,11 +370,22 @@ def _(spark, d):
     return A.what_if(T(spark, d), "confidence", 60, [40, 50, 70])
 
 
-@query("A32_circuit_state", "failure_rate#4 consecutive_losses! analyzed! status", """
-SELECT *, CASE WHEN consecutive_losses >= 6 OR failure_rate >= 70 THEN 'OPEN' WHEN failure_rate >= 60 OR consecutive_losses >= 5 THEN 'DEGRADED' ELSE 'CLOSED' END AS status FROM (
-SELECT avg(CASE WHEN i <= 20 THEN CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END END) AS failure_rate, coalesce(min(CASE WHEN realized_r > 0 THEN i END), count(*) + 1) - 1 AS consecutive_losses, count(CASE WHEN i <= 20 THEN 1 END) AS analyzed FROM (SELECT *, row_number() OVER (ORDER BY closed_at DESC, order_id DESC) AS i FROM trades) WHERE i <= 50)""")
+@query("A32_circuit_state", "failure_rate#4 consecutive_losses! analyzed! avg_severity# active_rules status", """
+SELECT failure_rate, consecutive_losses, analyzed, avg_severity, array_to_string(CASE WHEN len(o) > 0 THEN o ELSE d END, ',') AS active_rules, CASE WHEN len(o) > 0 THEN 'OPEN' WHEN len(d) > 0 THEN 'DEGRADED' ELSE 'CLOSED' END AS status FROM (
+SELECT *, list_filter([CASE WHEN consecutive_losses >= 6 THEN 'max_consecutive_losses' END, CASE WHEN failure_rate >= 70 AND analyzed >= 3 THEN 'max_failure_rate_pct' END, CASE WHEN avg_severity >= 4 AND f >= 3 THEN 'max_severity_avg' END], lambda x: x IS NOT NULL) AS o,
+ list_filter([CASE WHEN failure_rate >= 60 THEN 'near_failure_rate' END, CASE WHEN consecutive_losses >= 5 THEN 'near_consecutive_losses' END, CASE WHEN avg_severity >= 3.5 THEN 'near_severity' END], lambda x: x IS NOT NULL) AS d FROM (
+SELECT avg(CASE WHEN i <= 20 THEN CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END END) AS failure_rate, coalesce(min(CASE WHEN realized_r > 0 THEN i END), count(*) + 1) - 1 AS consecutive_losses, count(CASE WHEN i <= 20 THEN 1 END) AS analyzed FROM (SELECT *, row_number() OVER (ORDER BY closed_at DESC, order_id DESC) AS i FROM trades) WHERE i <= 50),
+(SELECT avg(severity_score) AS avg_severity, count(*) AS f FROM (SELECT severity_score FROM fails ORDER BY created_at DESC, order_id DESC LIMIT 5)))""")
+def _(spark, d):
+    return A.circuit_state(T(spark, d), failures(spark, d))
+
+
+@query("A32_circuit_boards", "board label losses! percent#2", """
+SELECT board, label, count(*) AS losses, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY board), 2) AS percent FROM (
+SELECT board, label FROM (SELECT 'session' AS board, session AS label FROM newest20 UNION ALL SELECT 'hour', printf('%02d:00', extract(hour FROM closed_at)) FROM newest20)) GROUP BY 1, 2""",
+       newest20="SELECT * FROM (SELECT * FROM tt ORDER BY closed_at DESC, order_id DESC LIMIT 20) WHERE realized_r <= 0")
 def _(spark, d):
-    return A.circuit_state(T(spark, d))
+    return A.circuit_boards(TH(spark, d), "session")
 
 
 @query("A33_symbol_throttle", "symbol trade_count! stop_hits! stop_rate_pct#4 consecutive_stop_hits! throttled? cooldown_until@ avg_fee_r#", """
@@ -441,13 +465,14 @@ def _(spark, d):
     return A.component_penalties(failures(spark, d))
 
 
-@query("A39_entry_and_stop_rules", "timing_rate# stop_rate# entry_penalty# stop_multiplier# dominant_cluster#", """
-SELECT tr AS timing_rate, sr AS stop_rate, least(0.35, CASE WHEN tr >= 0.55 AND tn >= 4 AND tc >= 0.7 THEN greatest(0.35 * tr * ts / 5 * greatest(tc, 0.5), 0.15) ELSE 0.35 * tr * ts / 5 * greatest(tc, 0.5) END) AS entry_penalty, 1 + least(0.55, sr * ss / 5 * greatest(sc, 0.5) * 0.8) AS stop_multiplier,
- (SELECT max(n) / sum(n) FROM (SELECT count(*)::DOUBLE AS n FROM fails GROUP BY failure_source, blamed_component)) AS dominant_cluster FROM (
-SELECT avg(CASE WHEN t THEN 1.0 ELSE 0 END) AS tr, avg(severity_score) FILTER (WHERE t) AS ts, avg(confidence) FILTER (WHERE t) AS tc, count(*) FILTER (WHERE t) AS tn, avg(CASE WHEN s THEN 1.0 ELSE 0 END) AS sr, avg(severity_score) FILTER (WHERE s) AS ss, avg(confidence) FILTER (WHERE s) AS sc
-FROM (SELECT *, failure_source = 'TIMING' OR blamed_component = 'Entry Logic' AS t, failure_source = 'RISK_MODEL' OR blamed_component = 'Stop Loss' AS s FROM fails))""")
+@query("A39_entry_and_stop_rules", "timing_rate# stop_rate# entry_penalty# entry_active? stop_multiplier# stop_active? dominant_cluster# reject_active? reject_if_entry_risk_gte# reject_if_confidence_lte#", """
+SELECT tr AS timing_rate, sr AS stop_rate, CASE WHEN tn = 0 THEN 0 ELSE least(0.35, greatest(e, CASE WHEN tr >= 0.55 AND tn >= 4 AND tc >= 0.7 THEN 0.15 ELSE 0 END, CASE WHEN tr >= 0.7 AND ts >= 4 THEN 0.22 ELSE 0 END)) END AS entry_penalty, on_ AND tn >= 2 AS entry_active,
+ CASE WHEN sn = 0 THEN 1 ELSE 1 + least(0.55, sr * ss / 5 * greatest(sc, 0.5) * 0.8) END AS stop_multiplier, on_ AND sn >= 3 AS stop_active, dc AS dominant_cluster, on_ AND dc >= 0.55 AS reject_active, 0.72::DOUBLE AS reject_if_entry_risk_gte, 68.0::DOUBLE AS reject_if_confidence_lte
+FROM (SELECT *, 0.35 * least(1, tr * ts / 5 * greatest(tc, 0.5)) AS e, n >= 5 AND (SELECT count(*) FROM trades) >= 20 AS on_, (SELECT max(k) / sum(k) FROM (SELECT count(*)::DOUBLE AS k FROM fails GROUP BY failure_source, blamed_component)) AS dc FROM (
+SELECT count(*) AS n, avg(CASE WHEN t THEN 1.0 ELSE 0 END) AS tr, avg(v) FILTER (WHERE t) AS ts, avg(confidence) FILTER (WHERE t) AS tc, count(*) FILTER (WHERE t) AS tn, avg(CASE WHEN s THEN 1.0 ELSE 0 END) AS sr, avg(v) FILTER (WHERE s) AS ss, avg(confidence) FILTER (WHERE s) AS sc, count(*) FILTER (WHERE s) AS sn
+FROM (SELECT *, CASE WHEN severity_score = 0 THEN 1 ELSE severity_score END AS v, failure_source = 'TIMING' OR blamed_component = 'Entry Logic' AS t, failure_source = 'RISK_MODEL' OR blamed_component = 'Stop Loss' OR classification = 'STOP_LOSS_HIT' AS s FROM fails)))""")
 def _(spark, d):
-    return A.entry_and_stop_rules(failures(spark, d))
+    return A.entry_and_stop_rules(failures(spark, d), T(spark, d))
 
 
 @query("A39_regime_stability", "total! unique_regimes! dominant_regime dominant_share# label damping#2", """
@@ -586,22 +611,19 @@ def _(spark, d):
 
 # ---- sets and scalar helpers -----------------------------------------------------------
 
-@query("U1_union", "symbol ts@ close#2", "SELECT symbol, ts, close FROM bars_4h WHERE day(ts) <= 10 UNION ALL SELECT symbol, ts, close FROM bars_4h WHERE day(ts) > 20")
+@query("U1_union", "symbol ts@ close#2", "SELECT symbol, ts, close FROM bars_4h UNION ALL SELECT symbol, ts, close FROM bars_1h")
 def _(spark, d):
-    b = S.bars(spark, d)
-    return b.filter(F.day("ts") <= 10).unionByName(b.filter(F.day("ts") > 20))
+    return S.bars(spark, d).unionByName(S.bars(spark, d, "1 hour"))
 
 
-@query("U2_intersect", "ts@", "SELECT ts FROM bars_4h WHERE symbol = 'S01' INTERSECT SELECT ts FROM bars_4h WHERE symbol = 'S02'")
+@query("U2_intersect", "symbol ts@", "SELECT symbol, ts FROM bars_1h INTERSECT SELECT symbol, ts FROM funding")
 def _(spark, d):
-    b = S.bars(spark, d)
-    return b.filter("symbol = 'S01'").select("ts").intersect(b.filter("symbol = 'S02'").select("ts"))
+    return S.bars(spark, d, "1 hour").select("symbol", "ts").intersect(S.funding(spark, d).select("symbol", "ts"))
 
 
-@query("U3_except", "ts@", "SELECT ts FROM bars_4h WHERE symbol = 'S01' EXCEPT SELECT ts FROM bars_4h WHERE symbol = 'S02'")
+@query("U3_except", "symbol ts@", "SELECT symbol, ts FROM bars_4h EXCEPT SELECT symbol, ts FROM bars_1h")
 def _(spark, d):
-    b = S.bars(spark, d)
-    return b.filter("symbol = 'S01'").select("ts").subtract(b.filter("symbol = 'S02'").select("ts"))
+    return S.bars(spark, d).select("symbol", "ts").subtract(S.bars(spark, d, "1 hour").select("symbol", "ts"))
 
 
 @query("U4_distinct_keep_last", "symbol ts@ event_id! price#2", "SELECT symbol, ts, max(event_id) AS event_id, arg_max(price, event_id) AS price FROM coarse GROUP BY 1, 2")
