@@ -56,7 +56,7 @@ def bucketize(df: DataFrame, cuts: dict[str, list[float]], out: str = "condition
             for label, (lo, hi) in DOMAINS[dom].items():
                 b = b.when((dcl >= lo) & (dcl <= hi), f"{f}__{label}")
             names.append(b.otherwise(None))
-    return df.withColumn(out, F.array_sort(F.array_compact(F.array(*names)))).drop(*[f"_dcl_{f}" for f in cuts])
+    return df.withColumn(out, F.sort_array(F.array_compact(F.array(*names)))).drop(*[f"_dcl_{f}" for f in cuts])
 
 
 def condition_registry(df: DataFrame, min_support: float = 0.0, conditions: str = "conditions") -> DataFrame:
@@ -65,24 +65,41 @@ def condition_registry(df: DataFrame, min_support: float = 0.0, conditions: str
     return g.filter(F.col("support") / n >= min_support)
 
 
-def _totals(df: DataFrame, target: str, conditions: str | None = None):
-    """Numbers of the whole table in one pass; with ``conditions`` also the most of them that a row has."""
-    t = df.agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), F.count(target).alias("k"),
-               F.sum(target).alias("s"), F.sum(F.col(target) * F.col(target)).alias("q"),
-               (F.max(F.size(conditions)) if conditions else F.lit(0)).alias("width"))
-    r = t.first()  # one row of six numbers
-    return {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in ("n", "m", "k", "s", "q")} | {"width": max(r["width"] or 0, 0)}
+def patterns(df: DataFrame, target: str, conditions: str = "conditions", by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with the same conditions (and ``by``) as one: rows ``_n``, rows with a target ``_k``, wins ``_w``, sum ``_s`` and sum of squares ``_q``.
+
+    Rows are merged map-side and there are at most as many patterns as combinations of buckets, so no scan below multiplies or moves rows.
+    """
+    x = F.col(target).cast("double")
+    g = df.groupBy(*by, F.col(conditions).alias("conditions")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(x).alias("_k"), F.count(F.when(x > 0, 1)).alias("_w"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q"))
+    return written(g, "patterns")
+
+
+def _totals(p: DataFrame):
+    """Numbers of the whole table from its patterns, and the most conditions that a row has."""
+    r = p.agg(*[F.sum(f"_{x}").alias(x) for x in "nksq"], F.max(F.size("conditions")).alias("width")).first()  # one row of five numbers
+    t = {x: F.lit(float(r[x]) if r[x] is not None else None).cast("double") for x in "nksq"}
+    t["n"] = F.coalesce(t["n"], F.lit(0.0))
+    return t | {"m": div(t["s"], t["k"]), "width": max(r["width"] or 0, 0)}
 
 
-def _score(target: str):
-    x = F.col(target)
-    return [F.count(F.lit(1)).alias("support"), F.avg(x).alias("mean_r"), F.avg(F.when(x > 0, 1.0).when(x.isNotNull(), 0.0)).alias("win_rate"),
-            F.count(x).alias("_k"), F.sum(x).alias("_s")]
+def _score():
+    k = F.sum("_k").cast("double")
+    return [F.sum("_n").alias("support"), div(F.sum("_s"), k).alias("mean_r"), div(F.sum("_w").cast("double"), k).alias("win_rate"),
+            F.sum("_k").alias("_k"), F.sum("_s").alias("_s")]
+
+
+_SUMS = ("_n", "_k", "_w", "_s")
 
 
 def level1_scan(df: DataFrame, target: str, min_support: float = 0.01, conditions: str = "conditions") -> DataFrame:
-    t = _totals(df, target)
-    g = df.select(target, F.explode(conditions).alias("condition")).groupBy("condition").agg(*_score(target))
+    return _level1(patterns(df, target, conditions), min_support)
+
+
+def _level1(p: DataFrame, min_support: float) -> DataFrame:
+    t = _totals(p)
+    g = p.select(*_SUMS, F.explode("conditions").alias("condition")).groupBy("condition").agg(*_score())
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     return g.withColumns({"support_frac": F.col("support") / t["n"], "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}).drop("_k", "_s")
 
@@ -101,6 +118,17 @@ def pairs_of(conditions: str, width: int | None = None) -> Column:
                                      for i in range(width) for j in range(i + 1, width)]))
 
 
+def triples_of(conditions: str, width: int) -> Column:
+    """All triples of a row's conditions, in their order; spelled out while they are few."""
+    if width > 9:
+        n = f"size({conditions})"
+        return F.expr(f"flatten(transform({conditions}, (a, i) -> flatten(transform(slice({conditions}, i + 2, {n}), (b, j) -> "
+                      f"transform(slice({conditions}, i + j + 3, {n}), z -> named_struct('a', a, 'b', b, 'c', z))))))")
+    at = [F.get(F.col(conditions), F.lit(i)) for i in range(width)]
+    return F.array_compact(F.array(*[F.when(at[k].isNotNull(), F.struct(at[i].alias("a"), at[j].alias("b"), at[k].alias("c")))
+                                     for i in range(width) for j in range(i + 1, width) for k in range(j + 1, width)]))
+
+
 def _width(df: DataFrame, conditions: str) -> int:
     return df.agg(F.max(F.size(conditions))).first()[0] or 0
 
@@ -108,12 +136,13 @@ def _width(df: DataFrame, conditions: str) -> int:
 def level2_scan(df: DataFrame, target: str, min_support: float = 0.01, top_n: int | None = None, conditions: str = "conditions") -> DataFrame:
     """Support, mean, win rate, lift and IC of every pair; ``top_n`` asks for the best only.
 
-    Pairs are formed inside a row and summed map-side, so what is shuffled is
+    Pairs are formed inside a pattern and summed map-side, so what is shuffled is
     one row per pair and task.  The IC comes from the sums in closed form.
     """
-    t = _totals(df, target, conditions)
-    x = df.select(target, F.explode(pairs_of(conditions, t["width"])).alias("p")).select(target, "p.a", "p.b")
-    g = x.groupBy("a", "b").agg(*_score(target))
+    p = patterns(df, target, conditions)
+    t = _totals(p)
+    x = p.select(*_SUMS, F.explode(pairs_of("conditions", t["width"])).alias("p")).select(*_SUMS, "p.a", "p.b")
+    g = x.groupBy("a", "b").agg(*_score())
     g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & F.col("mean_r").isNotNull())
     k = t["k"].cast("double")
     mx, my = F.col("_k") / k, t["s"] / k
@@ -131,27 +160,33 @@ def _best_first(*names: str):
 
 
 def level3_scan(df: DataFrame, pairs: DataFrame, target: str, min_support: float = 0.01, beam: int | None = None, conditions: str = "conditions") -> DataFrame:
-    """Third conditions that improve a pair; ``beam`` asks for the best pairs only."""
-    t = _totals(df, target, conditions)
+    """Third conditions that improve a pair; ``beam`` asks for the best pairs only.
+
+    The sums of a triple are the same whichever of its conditions is the third one, so each is summed once, map-side;
+    supported triples only meet the pairs.
+    """
+    p = patterns(df, target, conditions)
+    t = _totals(p)
     best = pairs if beam is None else pairs.orderBy(*_best_first("a", "b")).limit(beam)
     best = best.select("a", "b", F.col("mean_r").alias("_base"))
-    x = df.select(target, conditions, F.explode(pairs_of(conditions, t["width"])).alias("p")).select(target, conditions, "p.a", "p.b")
-    x = x.join(best, ["a", "b"])
-    x = x.withColumn("third", F.explode(F.array_except(F.col(conditions), F.array("a", "b"))))
-    g = x.groupBy("a", "b", "third").agg(*_score(target), F.max("_base").alias("_base"))
-    g = g.filter((F.col("support") >= F.ceil(t["n"] * F.lit(min_support))) & (F.col("mean_r") > F.col("_base") + 1e-10))
-    return g.withColumns({"improvement": F.col("mean_r") - F.col("_base"), "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}) \
-        .drop("_k", "_s", "_base")
-
-
-def redundant_pairs(df: DataFrame, limit: float, conditions: str = "conditions") -> DataFrame:
-    """(a, b) of conditions whose correlation over the rows exceeds ``limit``, both ways round."""
-    n = F.lit(float(df.count()))
-    pc = df.select(F.explode(pairs_of(conditions, _width(df, conditions))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("_ab"))
-    reg = condition_registry(df, 0.0, conditions)
+    x = p.withColumn("conditions", F.array_distinct("conditions"))
+    x = x.select(*_SUMS, F.explode(triples_of("conditions", t["width"])).alias("t")).groupBy("t").agg(*_score())
+    x = x.filter(F.col("support") >= F.ceil(t["n"] * F.lit(min_support)))
+    ways = F.array(*[F.struct(F.col(f"t.{a}").alias("a"), F.col(f"t.{b}").alias("b"), F.col(f"t.{z}").alias("third")) for a, b, z in ("abc", "acb", "bca")])
+    g = x.withColumn("_way", F.explode(ways)).select("_way.*", "support", "mean_r", "win_rate").join(best, ["a", "b"])
+    g = g.filter(F.col("mean_r") > F.col("_base") + 1e-10)
+    return g.withColumns({"improvement": F.col("mean_r") - F.col("_base"), "lift": F.coalesce(div(F.col("mean_r"), t["m"]), F.lit(0.0))}).drop("_base")
+
+
+def redundant_pairs(p: DataFrame, limit: float) -> DataFrame:
+    """(a, b) of conditions whose correlation over the rows of ``patterns`` exceeds ``limit``, both ways round."""
+    t = _totals(p)
+    n = t["n"]
+    pc = p.select("_n", F.explode(pairs_of("conditions", t["width"])).alias("p")).groupBy("p.a", "p.b").agg(F.sum("_n").alias("_ab"))
+    reg = p.select("_n", F.explode("conditions").alias("condition")).groupBy("condition").agg(F.sum("_n").alias("support"))
     pc = pc.join(reg.select(F.col("condition").alias("a"), F.col("support").alias("_na")), "a") \
         .join(reg.select(F.col("condition").alias("b"), F.col("support").alias("_nb")), "b")
-    phi = div(F.col("_ab") * n - F.col("_na") * F.col("_nb"),
+    phi = div(F.col("_ab") * n - F.col("_na") * F.col("_nb").cast("double"),
               F.sqrt(F.col("_na").cast("double") * (n - F.col("_na"))) * F.sqrt(F.col("_nb").cast("double") * (n - F.col("_nb"))))
     near = pc.filter(phi > limit)
     return near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -163,14 +198,14 @@ def beam_search(df: DataFrame, target: str, beam: int = 50, depth: int = 3, min_
 
     A condition that correlates above ``redundancy`` with one already in the
     rule is skipped, and a rule must beat its best parent.  At most ``depth``
-    rounds; each reads the rows as sets per condition (``plans.vertical``) and gets the beam with it, which is all that the driver sees.
+    rounds; each reads the patterns as sets per condition (``plans.vertical``) and gets the beam with it, which is all that the driver sees.
     Equal means and supports are ordered by name.
     """
-    t = _totals(df, target)
-    need = F.ceil(t["n"] * F.lit(min_support))
-    slices = vertical(df, target, conditions, rows_per_slice or ROWS_PER_SLICE)
-    near = written(redundant_pairs(df, redundancy, conditions), "redundant")
-    one = level1_scan(df, target, min_support, conditions).select(F.array("condition").alias("rule"), F.col("mean_r").alias("score"), "support")
+    p = patterns(df, target, conditions)
+    need = F.ceil(_totals(p)["n"] * F.lit(min_support))
+    slices = vertical(p, target, "conditions", rows_per_slice or ROWS_PER_SLICE, sums=("_n", "_k", "_s"))
+    near = written(redundant_pairs(p, redundancy), "redundant")
+    one = _level1(p, min_support).select(F.array("condition").alias("rule"), F.col("mean_r").alias("score"), "support")
 
     def best(of: DataFrame) -> DataFrame:
         return written(of.orderBy(F.desc(F.round("score", 10)), F.desc("support"), F.array_join("rule", "|")).limit(beam), "beam")
@@ -216,13 +251,15 @@ def match_rules(df: DataFrame, rules: DataFrame, conditions: str = "conditions")
 def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05, multipliers=(2, 5, 10), conditions: str = "conditions") -> DataFrame:
     """Mean, median, positive rate, lift, profit factor, Sharpe, spread over symbols and regimes, cost stress.
 
-    The matches are counted once by rule, symbol, regime and result, with partial counts before the shuffle; every figure, the
-    median too, is rolled up from these counts.
+    Rows are counted by their conditions and result, symbol or regime first; only these counts meet the rules, and every figure, the
+    median too, is rolled up from them.
     """
-    m = match_rules(df.select("symbol", "regime", target, conditions), rules, conditions)
-    m = written(m.groupBy("rule_id", "symbol", "regime", F.col(target).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "rule-counts")
-    base = df.select(F.avg(target)).scalar()
+    of = F.col(conditions).alias("conditions")
+    cells = written(df.groupBy(of, F.col(target).alias("_x")).agg(F.count(F.lit(1)).alias("_c")), "cells")
+    hits = written(match_rules(cells.select("conditions").distinct(), rules), "hits")
+    m = written(cells.join(hits, "conditions").groupBy("rule_id", "_x").agg(F.sum("_c").alias("_c")), "rule-counts")
     x, w = F.col("_x"), F.col("_c")
+    base = cells.select(div(F.sum(x * w), F.sum(F.when(x.isNotNull(), w)).cast("double"))).scalar()
     known = F.when(x.isNotNull(), w)
     mean = div(F.sum(x * w), F.sum(known).cast("double"))
     means = m.groupBy("rule_id").agg(
@@ -236,7 +273,8 @@ def score_rules(df: DataFrame, rules: DataFrame, target: str, fee: float = 0.05,
     med = exact_quantiles(m, ["rule_id"], "_x", {"median_r": 0.5}, times="_c").drop("n")
     g = g.join(med, "rule_id")
     for key in ("symbol", "regime"):
-        per = m.groupBy("rule_id", key).agg(mean.alias("_m"))
+        part = df.groupBy(of, key).agg(F.sum(target).alias("_s"), F.count(target).alias("_k"))
+        per = part.join(hits, "conditions").groupBy("rule_id", key).agg(div(F.sum("_s"), F.sum("_k").cast("double")).alias("_m"))
         cv = per.groupBy("rule_id").agg(div(F.stddev_pop("_m"), F.abs(F.avg("_m"))).alias(f"{key}_cv"))
         g = g.join(cv, "rule_id")
     g = g.withColumn("lift", F.coalesce(div(F.col("mean_r"), base), F.lit(0.0)))
@@ -316,15 +354,14 @@ def rule_similarity(df: DataFrame, rules: DataFrame, target: str, conditions: st
     """0.6*Jaccard + 0.4*|return correlation| of rule pairs that share rows.
 
     Sums per rule and per pair are enough for both parts; the pairs are those of
-    the rules one row meets, and they are added up map-side.
+    the rules one pattern of conditions meets, and they are added up map-side.  A missing target counts as 0.
     """
-    rows = cut_lineage(df.select(F.coalesce(F.col(target), F.lit(0.0)).alias("y"), conditions)).withColumn("_row", F.monotonically_increasing_id())
-    x = match_rules(rows, rules, conditions).groupBy("_row").agg(F.first("y").alias("y"), F.array_sort(F.collect_list("rule_id")).alias("hit"))
-    x = cut_lineage(x.select("y", "hit"))
-    one = x.select("y", F.explode("hit").alias("rule_id")).groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
-    two = x.select("y", F.explode(pairs_of("hit", _width(x, "hit"))).alias("p")).groupBy("p.a", "p.b").agg(
-        F.count(F.lit(1)).alias("nab"), F.sum(F.col("y") * F.col("y")).alias("qab"))
+    x = match_rules(patterns(df, target, conditions), rules).groupBy("conditions").agg(
+        *[F.coalesce(F.first(f"_{v}"), F.lit(0.0 if v in "sq" else 0)).alias(f"_{v}") for v in "nsq"], F.array_sort(F.collect_list("rule_id")).alias("hit"))
+    x = written(x.select("_n", "_s", "_q", "hit"), "hits")
+    one = x.select("_n", "_s", "_q", F.explode("hit").alias("rule_id")).groupBy("rule_id").agg(*[F.sum(f"_{v}").alias(v) for v in "nsq"])
+    two = x.select("_n", "_q", F.explode(pairs_of("hit", _width(x, "hit"))).alias("p")).groupBy("p.a", "p.b").agg(
+        F.sum("_n").alias("nab"), F.sum("_q").alias("qab"))
     j = two.join(one.select(F.col("rule_id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a") \
         .join(one.select(F.col("rule_id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b")
     u = (F.col("na") + F.col("nb") - F.col("nab")).cast("double")
@@ -354,19 +391,18 @@ def dedupe_rules(rules: DataFrame, similarity: DataFrame, threshold: float = 0.7
         if done:
             break
     j = rules.select("rule_id", "mean_r").join(lab, "rule_id")
-    w = Window.partitionBy("family").orderBy(F.desc("mean_r"), "rule_id")
+    w = Window.partitionBy("family").orderBy(F.desc(F.round("mean_r", 10)), "rule_id")
     return j.withColumn("is_representative", F.row_number().over(w) == 1)
 
 
 def validate_rules_oos(df: DataFrame, rules: DataFrame, target: str, min_ratio: float = 0.5, min_rows: int = 10,
                        conditions: str = "conditions") -> DataFrame:
     """Mean per split, out-of-sample ratio, sign and decay checks (df has ``split``)."""
-    m = match_rules(df.select("split", target, conditions), rules, conditions)
-    x = F.col(target)
+    m = match_rules(patterns(df, target, conditions, by=("split",)), rules)
 
     def part(s):
-        on = F.col("split") == s
-        return [F.count(F.when(on, 1)).alias(f"n_{s}"), F.avg(F.when(on, x)).alias(f"mean_{s}")]
+        n, k, x = (F.sum(F.when(F.col("split") == s, F.col(v))) for v in ("_n", "_k", "_s"))
+        return [F.coalesce(n, F.lit(0)).alias(f"n_{s}"), div(x, k.cast("double")).alias(f"mean_{s}")]
 
     g = m.groupBy("rule_id").agg(*part("discovery"), *part("validation"), *part("holdout"))
     ratio = F.coalesce(div(F.col("mean_validation"), F.col("mean_discovery")), F.lit(0.0))

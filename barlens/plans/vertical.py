@@ -1,7 +1,7 @@
 """Sets of row numbers per condition: a table turned on its side, in slices.
 
-A slice holds some rows in one record: for each condition the sorted numbers of the rows that meet it, 16 bits each, and the target of
-every row.  A rule's rows are a bit mask, the AND of its conditions; what each further condition would leave of it is counted for
+A slice holds some rows in one record: for each condition the sorted numbers of the rows that meet it, 16 bits each, and how often
+every row counts, how often with a target, and the sum of its targets.  A rule's rows are a bit mask, the AND of its conditions; what each further condition would leave of it is counted for
 all conditions in one sweep over the slice's numbers.  So a round over any number of conditions reads every slice once, moves only counts,
 and needs neither a join of rows with rules nor a shuffle of rows.
 """
@@ -15,17 +15,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from barlens.functions.core import no_nan
 from barlens.session import settings, written
 
 ROWS_PER_SLICE = 1 << 16
-_SLICE = "slice long, rows int, conditions array<string>, ends array<int>, numbers binary, target binary"
+_SLICE = "slice long, rows int, conditions array<string>, ends array<int>, numbers binary, n binary, k binary, s binary"
 _COUNTS = "rule int, condition string, n long, k long, s double"
 #: A slice record is large, so a worker takes one at a time.
 _ONE = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1"}
 
 
-def vertical(df: DataFrame, target: str, conditions: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Slices of (target, conditions array<string>), written once."""
+def vertical(df: DataFrame, target: str, conditions: str, rows_per_slice: int = ROWS_PER_SLICE, sums: Sequence[str] | None = None) -> DataFrame:
+    """Slices of (target, conditions array<string>), written once; ``sums`` names rows, rows with a target and its sum where a row stands for several."""
     assert rows_per_slice <= 1 << 16, "row numbers have 16 bits"
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,11 +39,12 @@ def vertical(df: DataFrame, target: str, conditions: str, rows_per_slice: int =
             row, code = np.repeat(np.arange(len(lists)), sizes), coded.indices.to_numpy()
             order = np.argsort(code, kind="stable")
             ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
-            y = t.column("y").to_numpy().astype(np.float64)
+            n, k, s = (t.column(v).to_numpy() for v in ("n", "k", "s"))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part + at]), pa.array([len(lists)], pa.int32()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
-                 pa.array([ends], pa.list_(pa.int32())), pa.array([row[order].astype(np.uint16).tobytes()]), pa.array([y.tobytes()])],
-                ["slice", "rows", "conditions", "ends", "numbers", "target"])
+                 pa.array([ends], pa.list_(pa.int32())), pa.array([row[order].astype(np.uint16).tobytes()]),
+                 pa.array([n.astype(np.int64).tobytes()]), pa.array([k.astype(np.int64).tobytes()]), pa.array([s.astype(np.float64).tobytes()])],
+                ["slice", "rows", "conditions", "ends", "numbers", "n", "k", "s"])
 
         at = 0
         for batch in batches:
@@ -56,7 +58,10 @@ def vertical(df: DataFrame, target: str, conditions: str, rows_per_slice: int =
         if n:
             yield one(pa.Table.from_batches(held), at)
 
-    given = df.select(F.col(target).cast("double").alias("y"), F.coalesce(F.col(conditions), F.array().cast("array<string>")).alias("c"))
+    y = no_nan(F.col(target).cast("double"))
+    each = [F.lit(1), y.isNotNull().cast("int"), y] if sums is None else [F.col(v) for v in sums]
+    n, k, s = (F.coalesce(v.cast(kind), F.lit(0).cast(kind)) for v, kind in zip(each, ("long", "long", "double")))
+    given = df.select(n.alias("n"), k.alias("k"), s.alias("s"), F.coalesce(F.col(conditions), F.array().cast("array<string>")).alias("c"))
     return written(given.mapInArrow(turn, _SLICE), "slices")
 
 
@@ -74,13 +79,11 @@ def extended(slices: DataFrame, rules: Sequence[Sequence[str]]) -> DataFrame:
                 if not names:
                     continue
                 numbers = np.frombuffer(batch.column("numbers")[i].as_py(), np.uint16)
-                y = np.frombuffer(batch.column("target")[i].as_py())
+                w = {v: np.frombuffer(batch.column(v)[i].as_py(), kind) for v, kind in (("n", np.int64), ("k", np.int64), ("s", np.float64))}
                 at, starts = {c: j for j, c in enumerate(names)}, np.concatenate([[0], ends[:-1]])
-                known = ~np.isnan(y)
-                value = np.where(known, y, 0.0)
 
                 def mask(condition: str) -> np.ndarray:
-                    bits = np.zeros(len(y), bool)
+                    bits = np.zeros(len(w["n"]), bool)
                     bits[numbers[starts[at[condition]]:ends[at[condition]]]] = True
                     return bits
 
@@ -92,9 +95,7 @@ def extended(slices: DataFrame, rules: Sequence[Sequence[str]]) -> DataFrame:
                     if not bits.any():
                         continue
                     # every condition has a row, so no run is empty
-                    n = np.add.reduceat(bits[numbers].astype(np.int64), starts)
-                    k = np.add.reduceat((bits & known)[numbers].astype(np.int64), starts)
-                    s = np.add.reduceat((bits * value)[numbers], starts)
+                    n, k, s = (np.add.reduceat((bits * w[v])[numbers], starts) for v in ("n", "k", "s"))
                     n[[at[c] for c in rule]] = 0
                     some = np.flatnonzero(n)
                     out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(some), r), pa.int32()), pa.array([names[j] for j in some], pa.string()),

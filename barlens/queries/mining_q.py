@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barlens.operators import mining as M, splits as SP
 from barlens.queries.joins_q import with_hold
 from barlens.queries.registry import cte, query
-from barlens.session import cut_lineage
+from barlens.session import cut_lineage, written
 from barlens.sources import tables as S
 
 FEATS = ["atr_pct", "momentum_score", "volume_z", "regime_score"]
@@ -22,8 +22,8 @@ def mined(spark, d):
 
 def conditioned(spark, d):
     """The condition table is written once; every scan below reads it."""
-    x = cut_lineage(mined(spark, d))
-    return cut_lineage(M.bucketize(x, M.fit_deciles(x, FEATS)).drop(*FEATS))
+    x = written(mined(spark, d), "mined")
+    return written(M.bucketize(x, M.fit_deciles(x, FEATS)).drop(*FEATS), "conditions")
 
 
 cte("mx", "SELECT order_id, closed_at, symbol, regime, notional_k AS atr_pct, confidence AS momentum_score, hold_minutes AS volume_z, expected_candles AS regime_score, realized_r + CASE WHEN notional_k > 60 THEN 0.1 ELSE 0 END AS net_r FROM ts_e")
