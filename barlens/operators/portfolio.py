@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barlens.functions.core import c, div
 from barlens.plans.ordered import running
+from barlens.session import written
 
 
 def equity_curve(df: DataFrame, keys: list[str], order: list[str], r: str, *, rows_per_slice: int | None = None,
@@ -36,22 +42,52 @@ def equity_curve(df: DataFrame, keys: list[str], order: list[str], r: str, *, ro
     return j.withColumn("drawdown", F.col("peak") - F.col("equity")).select(*df.columns, "equity", "peak", "drawdown")
 
 
+_SLICE_DRAWDOWN = "_slice int, _sum double, _hi double, _lo double, _dd double"
+
+
 def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out: str = "max_drawdown",
-                 rows_per_slice: int | None = None) -> DataFrame:
+                 rows_per_slice: int | None = None, groups: Column | None = None) -> DataFrame:
     """Largest fall of the running sum per key, equity starting at 0.
 
-    Equity points of equal times are merged per slice: each slice gives its sum,
+    The rows are range-partitioned by ``order`` alone.  A range gives for each key its sum,
     its highest and lowest prefix and its own drawdown, and those few rows are
-    combined in order.  One ordered scan of the rows, whatever the group size.
+    combined in order.  One move of keys, order and result, whatever the group size.
+    ``groups`` is an array of structs with the fields ``keys``: a row counts for each of them, and is multiplied only
+    where its range is read.
     """
-    from barlens.plans.ordered import with_slices
+    from barlens.plans.ordered import ROWS_PER_SLICE
     keys, order = list(keys), list(order)
-    s = with_slices(df.withColumn("_r", F.coalesce(F.col(r), F.lit(0.0))), keys, order, rows_per_slice)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_e", F.sum("_r").over(w))
-    s = s.withColumn("_d", F.greatest(F.max("_e").over(w), F.lit(0.0)) - F.col("_e"))
-    g = s.groupBy(*keys, "_slice").agg(F.sum("_r").alias("_sum"), F.max("_e").alias("_hi"), F.min("_e").alias("_lo"),
-                                       F.max("_d").alias("_dd"))
+    x = df.select(*([F.col(k) for k in keys] if groups is None else [groups.alias("_groups")]), *order, F.coalesce(F.col(r).cast("double"), F.lit(0.0)).alias("_r"))
+    x = written(x, "results")  # the count and the sampling of ranges read this again, not the input
+    x = x.repartitionByRange(max(1, -(-x.count() // (rows_per_slice or ROWS_PER_SLICE // 4))), *order)
+    if groups is not None:
+        x = x.select(F.explode("_groups").alias("_g"), *order, "_r").select(*[F.col(f"_g.{k}").alias(k) for k in keys], *order, "_r")
+    of = x.select(*keys)
+    types = list(to_arrow_schema(of.schema))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in of.schema.fields)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key and order; a key that goes on in the next batch keeps its state."""
+        part, done, state = TaskContext.get().partitionId(), [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("_r").to_numpy()
+            cuts = [0, *_changes(batch, keys), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(batch.column(k)[lo].as_py() for k in keys)
+                if state is None or state[0] != key:
+                    done += [state] if state else []
+                    state = [key, 0.0, -math.inf, math.inf, 0.0]
+                e = np.cumsum(np.concatenate([[state[1]], values[lo:hi]]))[1:]
+                tops = np.maximum.accumulate(np.concatenate([[max(state[2], 0.0)], e]))[1:]
+                state[1:] = [float(e[-1]), max(state[2], float(e.max())), min(state[3], float(e.min())), max(state[4], float((tops - e).max()))]
+        done += [state] if state else []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0][i] for d in done], f.type) for i, f in enumerate(types)] + [pa.array([part] * len(done), pa.int32())]
+                                             + [pa.array([d[i] for d in done]) for i in range(1, 5)], [*keys, "_slice", "_sum", "_hi", "_lo", "_dd"])
+
+    g = x.sortWithinPartitions(*keys, *order).select(*keys, "_r").mapInArrow(fold, fields + _SLICE_DRAWDOWN)
     wk = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_base", F.coalesce(F.sum("_sum").over(wk), F.lit(0.0)))
     g = g.withColumn("_prev", F.greatest(F.max(F.col("_base") + F.col("_hi")).over(wk), F.lit(0.0)))
@@ -59,6 +95,15 @@ def max_drawdown(df: DataFrame, keys: list[str], order: list[str], r: str, out:
     return g.groupBy(*keys).agg(F.max(F.greatest(fall, F.lit(0.0))).alias(out))
 
 
+def _changes(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
+    """Row numbers at which the key differs from the row before."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def compound_curve(df: DataFrame, keys: list[str], order: list[str], ret: str, rows_per_slice: int | None = None) -> DataFrame:
     """Compounded equity from period returns and its relative drawdown, in slices of a key (see ``plans.ordered.running``).
 

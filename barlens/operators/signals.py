@@ -58,7 +58,7 @@ def block_bootstrap_ci(df: DataFrame, order: list[str], r: str, block: int, resa
     (``plans.draws.times_drawn``), every split drawn from a hash of its node.  So a task finds the counts of its own blocks, no
     draw is a row, and one row per resample and task is added up.
     """
-    p = running(df, [], order, {"_i": ("count", F.lit(1))}, rows_per_slice=rows_per_slice)
+    p = running(df.select(*dict.fromkeys([*order, r])), [], order, {"_i": ("count", F.lit(1))}, rows_per_slice=rows_per_slice)
     bl = written(p.groupBy(F.floor((F.col("_i") - 1) / F.lit(block)).alias("b")).agg(F.sum(r).cast("double").alias("s"), F.count(F.lit(1)).alias("c")), "blocks")
     nb = bl.count()
 

@@ -15,6 +15,7 @@ from barlens.functions import trading as P
 from barlens.functions.core import c, clip, div
 from barlens.operators.portfolio import max_drawdown
 from barlens.plans.quantiles import exact_quantiles
+from barlens.session import written
 
 ORDER = ["closed_at", "order_id"]
 
@@ -56,16 +57,19 @@ def trade_stats_by(df: DataFrame, dims: list[str], r: str = "realized_r") -> Dat
     return g.withColumns({"dim": dim, "label": label}).drop(*dims, *[f"_g_{d}" for d in dims])
 
 
+def _labels(dims: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("UNKNOWN")).alias("label")) for d in dims])
+
+
 def by_dims(df: DataFrame, dims: list[str], keep: list[str]) -> DataFrame:
     """One row per trade and dimension: (dim, label, kept columns)."""
-    e = F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("UNKNOWN")).alias("label"))
-                  for d in dims])
-    return df.select(*keep, F.explode(e).alias("_d")).select("_d.dim", "_d.label", *keep)
+    return df.select(*keep, F.explode(_labels(dims)).alias("_d")).select("_d.dim", "_d.label", *keep)
 
 
 def group_metrics(df: DataFrame, dims: list[str], min_samples: int = 10) -> DataFrame:
     """Win rate, R figures, drawdown, hold, exit shares, score and reliability per (dim, label)."""
-    keep = ["realized_r", "hold_minutes", "close_reason", *ORDER]
+    keep = ["realized_r", "hold_minutes", "close_reason"]
+    df = written(df.select(*dict.fromkeys([*dims, *keep, *ORDER])), "trades")
     x = by_dims(df, dims, keep)
     r = F.col("realized_r")
     g = x.groupBy("dim", "label").agg(
@@ -73,7 +77,7 @@ def group_metrics(df: DataFrame, dims: list[str], min_samples: int = 10) -> Data
         F.sum(r).alias("net_r"), profit_factor(r).alias("profit_factor"), F.avg("hold_minutes").alias("avg_hold_minutes"),
         share(F.col("close_reason") == "HIT_SL").alias("stop_hit_pct"), share(F.col("close_reason") == "HIT_TP").alias("target_hit_pct"),
         share(F.col("close_reason") == "TIME_STOP").alias("time_exit_pct"))
-    dd = max_drawdown(x, ["dim", "label"], ORDER, "realized_r", "max_drawdown_r")
+    dd = max_drawdown(df, ["dim", "label"], ORDER, "realized_r", "max_drawdown_r", groups=_labels(dims))
     g = g.join(dd, ["dim", "label"])
     n = F.col("trades")
     return g.withColumns({"expectancy_score": F.col("avg_realized_r") * F.sqrt(n.cast("double")),
@@ -241,13 +245,14 @@ def weakness_components(df: DataFrame, min_confidence: float = 0.6) -> DataFrame
 
 def component_impact(df: DataFrame, components: str = "components", min_samples: int = 10) -> DataFrame:
     """Result with each component against the mean over all component rows."""
-    x = df.select("realized_r", "confidence", "close_reason", *ORDER, F.explode(components).alias("component"))
+    df = written(df.select("realized_r", "confidence", "close_reason", *ORDER, components), "trades")
+    x = df.select("realized_r", "confidence", "close_reason", F.explode(components).alias("component"))
     base = x.agg(F.avg("realized_r").alias("b"), F.avg("confidence").alias("q"))
     r = F.col("realized_r")
     g = x.groupBy("component").agg(
         F.count(F.lit(1)).alias("trades"), share(r > 0).alias("win_rate"), F.avg(r).alias("avg_realized_r"), F.sum(r).alias("net_r"),
         profit_factor(r).alias("profit_factor"), F.avg("confidence").alias("_c"), share(F.col("close_reason") == "HIT_SL").alias("stop_hit_pct"))
-    g = g.join(max_drawdown(x, ["component"], ORDER, "realized_r", "max_drawdown_r"), "component")
+    g = g.join(max_drawdown(df, ["component"], ORDER, "realized_r", "max_drawdown_r", groups=F.transform(components, lambda z: F.struct(z.alias("component")))), "component")
     b, q = base.select("b").scalar(), base.select("q").scalar()
     return g.withColumns({"expectancy_delta": F.col("avg_realized_r") - b, "confidence_delta": F.col("_c") - q,
                           "sample_reliability": P.component_reliability("trades", min_samples)}).drop("_c")
@@ -328,6 +333,7 @@ def daily_performance(df: DataFrame) -> DataFrame:
 
 
 def profitability(df: DataFrame, keys: list[str], r: str = "realized_r", per_year: float = 252) -> DataFrame:
+    df = written(df.select(*dict.fromkeys([*keys, r, "fee_r", "close_reason", "symbol", *ORDER])), "trades")
     x = F.col(r)
     g = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trades"), F.sum(x).alias("total_net_r"), F.avg(x).alias("avg_net_r"), F.stddev_samp(x).alias("_sd"),
@@ -403,7 +409,7 @@ def no_trade_trend(df: DataFrame, order: list[str], no_trade: str, window: int,
     Rows are numbered with prefix counts, then everything is a group aggregate.
     """
     from barlens.plans.ordered import running
-    p = running(df, [], order, {"_i": ("count", F.lit(1))})
+    p = running(df.select(*dict.fromkeys([*order, no_trade])), [], order, {"_i": ("count", F.lit(1))})
     g = p.withColumn("window", F.floor((F.col("_i") - 1) / F.lit(window))).groupBy("window").agg(
         share(F.col(no_trade)).alias("pct"), F.count(F.lit(1)).alias("n"))
     n = g.select(F.count(F.lit(1))).scalar()
@@ -542,6 +548,7 @@ def baseline_excess(df: DataFrame, dims: list[str], r: str, min_group: int = 10)
 
     Group means are a small table joined back, not a window over the groups.
     """
+    df = written(df, "trades")
     g = df.groupBy(*dims).agg(F.avg(r).alias("_m"), F.count(r).alias("_n"))
     total = df.select(F.avg(r)).scalar()
     g = g.withColumn("baseline_mean", F.when(F.col("_n") >= min_group, F.col("_m")).otherwise(total)).drop("_m", "_n")
@@ -773,13 +780,13 @@ def candidate_vs_baseline(cand: DataFrame, base: DataFrame, key: str, cols: list
 
 def filter_on_off(df: DataFrame, on: Column, r: str, trials: int) -> DataFrame:
     """Result with and without a filter, and a deflated-Sharpe p value."""
-    x = df.withColumn("filtered", on)
-    both = x.select("*", F.explode(F.array(F.lit("off"), F.when(F.col("filtered"), F.lit("on")))).alias("variant")).filter(F.col("variant").isNotNull())
+    x = written(df.select(*ORDER, r, F.array_compact(F.array(F.lit("off"), F.when(on, F.lit("on")))).alias("_v")), "trades")
+    both = x.select(r, F.explode("_v").alias("variant"))
     v = F.col(r)
     sd = F.stddev_samp(v)
     g = both.groupBy("variant").agg(F.count(F.lit(1)).alias("trades"), F.avg(v).alias("expectancy"), profit_factor(v).alias("profit_factor"),
                                     div(F.avg(v), sd).alias("sharpe"))
-    dd = max_drawdown(both, ["variant"], ORDER, r, "max_drawdown_r")
+    dd = max_drawdown(x, ["variant"], ORDER, r, "max_drawdown_r", groups=F.transform("_v", lambda z: F.struct(z.alias("variant"))))
     from barlens.operators.mining import norm_cdf, norm_ppf
     z0 = norm_ppf(1.0 - 0.5 / trials)
     n = F.col("trades").cast("double")

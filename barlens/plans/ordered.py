@@ -34,8 +34,9 @@ def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     The table is range-partitioned by keys and order, whatever their types, and the partition number is the label: inside a
     key it grows with the order, a slice holds about ``rows_per_slice`` rows, and no key, instant or common
     beginning of a text is one slice unless the whole order is tied.  The labelled table is written once, so that
-    totals and scan see the same cuts and the input is not read again.
+    totals and scan see the same cuts.  The input is written before that, so that counting and sampling do not compute it again.
     """
+    df = written(df, "unsliced")
     n = -(-df.count() // (rows_per_slice or ROWS_PER_SLICE))
     if n <= 1:
         return df.withColumn(out, F.array(F.lit(0).cast("long")))

@@ -1,7 +1,7 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` keeps one map per group in one task.  Here equal values are
-counted first (map-side), and the counts are accumulated in value order with
+counted first (map-side) and the counts are written, so that slices, totals and scan do not count again; they are accumulated in value order with
 :func:`barlens.plans.ordered.running`, so a hot group is spread over tasks.
 """
 
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from barlens.plans.ordered import running
+from barlens.session import written
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -23,6 +24,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
               .agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c")))
+    counts = written(counts, "counts")
     cum = running(counts, keys, ["_v"], {"_cum": ("sum", F.col("_c"))}, rows_per_slice=rows_per_slice)
     total = counts.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).agg(F.sum("_c").alias("n"))
     cond = F.lit(True)

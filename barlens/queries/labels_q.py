@@ -293,7 +293,7 @@ cte("eqm", """SELECT *, sum(realized_r) OVER (PARTITION BY mode ORDER BY closed_
 @query("W57_equity_curve", "order_id mode equity#4 peak#4 drawdown#4", """
 SELECT order_id, mode, equity, greatest(0, max(equity) OVER w) AS peak, greatest(0, max(equity) OVER w) - equity AS drawdown FROM eqm WINDOW w AS (PARTITION BY mode ORDER BY closed_at, order_id ROWS UNBOUNDED PRECEDING)""")
 def _(spark, d):
-    return PF.equity_curve(S.trades(spark, d), ["mode"], ["closed_at", "order_id"], "realized_r")
+    return PF.equity_curve(S.trades(spark, d).select("order_id", "mode", "closed_at", "realized_r"), ["mode"], ["closed_at", "order_id"], "realized_r")
 
 
 @query("W57_max_drawdown", "mode max_drawdown#4", """

@@ -407,7 +407,7 @@ SELECT *, CASE WHEN count(*) OVER w >= 10 THEN avg(realized_r) OVER w ELSE avg(r
 SELECT *, CASE WHEN notional_k <= q1 THEN 'low' WHEN notional_k <= q2 THEN 'mid_low' WHEN notional_k <= q3 THEN 'mid_high' ELSE 'high' END AS vol_bucket FROM trades, (SELECT quantile_cont(notional_k, 0.25) AS q1, quantile_cont(notional_k, 0.5) AS q2, quantile_cont(notional_k, 0.75) AS q3 FROM trades))
 WINDOW w AS (PARTITION BY mode, direction, vol_bucket))""")
 def _(spark, d):
-    return A.baseline_excess(A.quartile_bucket(T(spark, d), "notional_k", "vol_bucket"), ["mode", "direction", "vol_bucket"], "realized_r")
+    return A.baseline_excess(A.quartile_bucket(T(spark, d).select("order_id", "mode", "direction", "notional_k", "realized_r"), "notional_k", "vol_bucket"), ["mode", "direction", "vol_bucket"], "realized_r")
 
 
 @query("A35_baselines", "baseline net_expectancy# net_sharpe# active_trades! exposure_pct#4", """
