@@ -19,6 +19,13 @@ def div(a: ColLike, b: ColLike) -> Column:
     return a / F.when(b != 0, b)
 
 
+def ieee_div(a: ColLike, b: ColLike) -> Column:
+    """a / b as floating point has it where b is 0: infinite with the sign of a, NaN for 0 / 0 (ANSI mode would raise)."""
+    a, b = c(a).cast("double"), c(b).cast("double")
+    inf = float("inf")
+    return F.when(b != 0, a / F.when(b != 0, b)).when(b == 0, F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, inf).when(a < 0, -inf))
+
+
 def ln(x: ColLike) -> Column:
     """Natural log, NULL outside its domain."""
     x = c(x)

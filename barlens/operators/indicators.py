@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions import bars as B
-from barlens.functions.core import div
+from barlens.functions.core import div, ieee_div
 from barlens.operators import features as ft, flow as fl
 from barlens.operators.windows import RN, lag, r_kurt, r_list, r_max, r_mean, r_min, r_skew, r_std, r_sum, w_slope
 from barlens.plans.ordered import blocked, core_rows, frame
@@ -117,7 +117,7 @@ def _clusters(levels: Column, width: float) -> Column:
 
     def add(acc, x):
         last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & ((x - last["last"]) / last["last"] < width)
+        near = (F.size(acc) > 0) & (ieee_div(x - last["last"], last["last"]) < width)
         one = F.struct(x.alias("last"), x.alias("sum"), F.lit(1).alias("n"))
         merged = F.struct(x.alias("last"), (last["sum"] + x).alias("sum"), (last["n"] + 1).alias("n"))
         return F.when(F.size(acc) == 0, F.array(one)).when(near, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))) \
@@ -154,7 +154,7 @@ def swing_levels(bars: DataFrame, lookback: int = 50, order: int = 5, width: flo
                        "breakout_up": F.coalesce(F.exists("_ch", lambda x: (pc < x) & (x <= p)), F.lit(False)),
                        "breakout_down": F.coalesce(F.exists("_cl", lambda x: (pc > x) & (x >= p)), F.lit(False))})
     r, s, no = F.col("resistance"), F.col("support"), F.lit(False)
-    g = g.withColumns({"near_resistance": F.coalesce((r - p) / p < near, no), "near_support": F.coalesce((p - s) / p < near, no),
+    g = g.withColumns({"near_resistance": F.coalesce(ieee_div(r - p, p) < near, no), "near_support": F.coalesce(ieee_div(p - s, p) < near, no),
                        "bullish_sweep": F.coalesce((F.col("_ll") < s) & (p > s), no), "bearish_sweep": F.coalesce((F.col("_lh") > r) & (p < r), no)})
     g = g.withColumns({"retest_support": F.col("breakout_up") & F.col("near_support"), "retest_resist": F.col("breakout_down") & F.col("near_resistance")})
     return g.drop("_a", "_h", "_l", "_pc", "_lh", "_ll", "_ph", "_pl", "_ch", "_cl")

@@ -210,7 +210,8 @@ def leverage_label(df: DataFrame, horizon=12, stop=2.0, target=2.0, min_edge=0.1
     df = df.withColumn("_more", F.lead("rn", horizon).over(frame()))
     df = df.withColumn("atr", F.greatest(F.col("high") - F.col("low"), F.lit(10.0)))
     df = df.withColumns({**P.stop_target_levels("close", "atr", stop, target), "risk": P.entry_risk("atr", stop),
-                         "cost_r": P.total_cost_r("close", "close", "atr", stop)})
+                         # an entry at 0 has no size, so no cost and no result: no trade
+                         "cost_r": F.when(F.col("close") != 0, P.total_cost_r("close", "close", "atr", stop))})
     # the stop and target bars are shared by all tiers; only the liquidation bar differs
     mmr, n = maintenance_ratio("close"), F.col("_n")
     touches, price = [], {}
@@ -234,7 +235,7 @@ def leverage_label(df: DataFrame, horizon=12, stop=2.0, target=2.0, min_edge=0.1
                 .when(t_ <= n, F.col(f"{side.lower()}_target")).otherwise(F.col("_last"))
             net = sg * (out - F.col("close")) / F.col("risk") - F.col("cost_r")
             # result on the posted margin: R * risk * quantity / (notional / leverage), quantity 1
-            ret = net if lev == 1 else net * F.col("risk") * lev / F.col("close")
+            ret = net if lev == 1 else div(net * F.col("risk") * lev, F.col("close"))
             rows.append(F.struct(F.lit(side).alias("side"), F.lit(lev).alias("leverage"), net.alias("net_r"),
                                  ret.alias("margin_return"), liq.alias("liquidated")))
     df = df.withColumn("tiers", F.array(*rows)).drop("_n", "_last", *[x.out for x in touches], *[f"_{k}p{lev}" for k in "ls" for lev in LEVERAGE_TIERS[1:]])
