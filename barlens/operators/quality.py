@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from barlens.functions.core import c, div
+from barlens.functions.core import c, ieee_div
 from barlens.operators.windows import lag
 from barlens.plans.ordered import blocked, core_rows, running
 
@@ -60,7 +60,7 @@ def dataset_audit(df: DataFrame, by: list[str], min_rows: int = 100) -> DataFram
     per_key = df.groupBy(*by, "symbol", "ts").agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(sum((F.col(x).isNull().cast("int") for x in price + ["volume"]), F.lit(0))).alias("_miss"),
-        F.count_if((F.least(*price) <= 0) | (F.col("volume") < 0)).alias("_neg"),
+        F.count_if((F.least(*price) < 0) | (F.col("volume") < 0)).alias("_neg"),
         F.count_if(F.col("volume") == 0).alias("_zero"))
     g = per_key.groupBy(*by).agg(
         F.sum("_n").alias("rows"), F.countDistinct("symbol").alias("symbols"), F.min("ts").alias("first_ts"),
@@ -80,7 +80,7 @@ def bar_sanity(df: DataFrame, minutes: int, max_move: float = 0.5) -> DataFrame:
     one = dedup_last(df, ["symbol", "ts"], ["ts"])
     p = core_rows(blocked(one, 1).withColumns({"_prev": lag("ts"), "_pc": lag("close")}))
     step = F.unix_seconds("ts") - F.unix_seconds("_prev")
-    move = F.abs(div(F.col("close"), F.col("_pc")) - 1)
+    move = F.abs(ieee_div(F.col("close"), F.col("_pc")) - 1)  # any move from 0 is extreme
     stats = p.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("bars"), F.count_if(step > 1.5 * minutes * 60).alias("gaps"),
         F.count_if(F.least("open", "high", "low", "close") <= 0).alias("bad_price"),

@@ -43,7 +43,9 @@ def project(df: DataFrame, cols: str) -> DataFrame:
         elif kind == "?":
             x = x.cast("int")
         elif kind == "#":
-            x = F.floor(x.cast("double") * 10.0 ** d + _NUDGE) / 10.0 ** d
+            x = x.cast("double")
+            # floor gives a whole number, which has no infinity and no NaN
+            x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.floor(x * 10.0 ** d + _NUDGE) / 10.0 ** d)
         sel.append(x.alias(name))
     return df.select(*sel)
 
