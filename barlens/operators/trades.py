@@ -296,14 +296,15 @@ def learning_multiplier(df: DataFrame, requests: DataFrame, min_rows: int = 5) -
     """Multiplier of the first scope with enough trades: exact, regime, mode, symbol.
 
     Four small summaries are joined to the requests; the trades are read once
-    per summary and never joined themselves.
+    per summary and never joined themselves.  The win rate is a mean of whole percents, so that a rate
+    on a limit is not rounded below it.
     """
     exact = ["symbol", "interval", "mode", "direction", "regime", "band"]
     x = df.withColumn("band", P.confidence_band("confidence"))
     out = requests.withColumn("band", P.confidence_band("confidence"))
     scopes = [("EXACT", exact), ("REGIME", ["regime"]), ("MODE", ["mode"]), ("SYMBOL", ["symbol"])]
     for name, keys in scopes:
-        g = x.groupBy(*keys).agg(F.struct(F.count(F.lit(1)).alias("n"), (share(F.col("realized_r") > 0) * 100.0).alias("wr"),
+        g = x.groupBy(*keys).agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("realized_r") > 0, 100.0).otherwise(0.0)).alias("wr"),
                                           profit_factor("realized_r").alias("pf"), F.lit(name).alias("scope")).alias(f"_{name}"))
         out = out.join(g.filter(F.col(f"_{name}.n") >= min_rows), keys, "left")
     best = F.coalesce(*[F.col(f"_{n}") for n, _ in scopes])
