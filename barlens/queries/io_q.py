@@ -301,8 +301,9 @@ FROM (SELECT mode, order_id, closed_at, realized_r, row_number() OVER (PARTITION
  avg(CASE WHEN realized_r <= 0 THEN 100.0 ELSE 0 END) OVER w AS failure_rate, count(*) OVER w AS analyzed FROM trades WINDOW w AS {win(20).replace('symbol', 'mode').replace('ORDER BY ts', 'ORDER BY closed_at, order_id')})""")
 def _(spark, d):
     path = scratch_path(spark, "trades")
-    S.trades(spark, d).select("mode", "closed_at", "order_id", "realized_r").repartitionByRange(3, "closed_at").write.parquet(path)
-    return _closed(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1000), lambda t: ST.rolling_circuit_state(t, delay="1 day"), "circuit", "closed_at")
+    S.trades(spark, d).select("mode", "closed_at", "order_id", "realized_r").write.parquet(path)
+    # the files are in no order of time, so one batch takes them all, however many
+    return _closed(ST.folder_stream(spark, path, spark.read.parquet(path).schema, 1 << 30), lambda t: ST.rolling_circuit_state(t, delay="1 day"), "circuit", "closed_at")
 
 
 @query("ST8_dedup_stream", "symbol ts@", "SELECT DISTINCT symbol, ts FROM coarse")

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barlens.functions.core import div
 from barlens.operators.regime import filtered, two_sided
-from barlens.session import configure, scratch_path
+from barlens.session import configure, scratch_path, written
 from barlens.sources.keyed import KeyedTable
 from barlens.sources.tables import ticks_from
 
@@ -82,26 +83,33 @@ def watched(df: DataFrame, time: str, delay: str) -> DataFrame:
     return df.withWatermark(time, delay).filter(F.col(time) < F.lit(END_OF_INPUT).cast("timestamp"))
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append", late: list[int] | None = None, closing: Sequence[Bounded] = ()) -> DataFrame:
+def run_to_table(df: DataFrame | Finals, name: str, mode: str = "append", late: list[int] | None = None, closing: Sequence[Bounded] = ()) -> DataFrame:
     """Run a stream over what is there now and return its output table.
 
     ``closing``: bounded inputs of the stream.  When what is there has been read, they are closed and the query goes on from its
     checkpoint, so what waited for the watermark comes out as well and nothing is left in state.
     ``late`` gets the number of rows that came behind the watermark and were dropped.
     """
-    spark = df.sparkSession
+    steps = df if isinstance(df, Finals) else None
+    stream = steps.stream if steps else df
+    spark = stream.sparkSession
     out, chk = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-chk")
+    if steps:
+        spark.createDataFrame([], steps.schema).write.parquet(f"{out}/epoch=-1")  # there may be no batch at all
+        batch = _through_steps(steps, out, name)
     dropped = 0
     for ending in ([False, True] if closing else [False]):
         if ending:
             for b in closing:
                 b.close()
-        q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk).outputMode(mode)
-             .trigger(availableNow=True).start())
+        w = stream.writeStream.foreachBatch(batch) if steps else stream.writeStream.format("parquet").option("path", out)
+        q = w.option("checkpointLocation", chk).outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
         dropped += sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     if late is not None:
         late.append(dropped)
+    if steps:
+        return spark.read.schema(T.StructType([*steps.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(out).drop("epoch")
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -355,26 +363,71 @@ def online_regime(bars: DataFrame, delay: str = "0 seconds", **params) -> DataFr
     return _in_order(watched(bars, "ts", delay), ["symbol"], OnlineRegime(**params), ["ts"], OnlineRegime.SCHEMA)
 
 
-class _RollingCircuit:
-    """Failure share and trailing losses among the last n closed trades of a key after each trade."""
+@dataclass(frozen=True)
+class Finals:
+    """A stream of final rows and the batch job each micro-batch of it goes through.
 
-    def __init__(self, n: int):
-        self.n = n
+    ``step(batch, carry) -> (rows, carry)`` gets the carry of the batch before, None at first; a carry is a small table.
+    """
 
-    def __call__(self, pdf: pd.DataFrame, state):
-        old = len(state or [])
-        lost = np.concatenate([np.array(state or [], dtype=float), (pdf["realized_r"].to_numpy(float) <= 0).astype(float)])
-        at = np.arange(len(lost))
-        total = np.concatenate([[0.0], np.cumsum(lost)])
-        seen = np.minimum(at + 1, self.n)
-        streak = np.minimum(at - np.maximum.accumulate(np.where(lost == 0, at, -1)), seen)
-        made = pd.DataFrame({"failure_rate": 100.0 * (total[1:] - total[at + 1 - seen]) / seen, "loss_streak": streak, "analyzed": seen})[old:].reset_index(drop=True)
-        return pd.concat([pdf[["mode", "closed_at", "order_id"]], made], axis=1), lost[-self.n:].tolist()
-
-
-def rolling_circuit_state(trades: DataFrame, n: int = 20, delay: str = "0 seconds", bucket: str = "1 day") -> DataFrame:
-    schema = "mode string, closed_at timestamp, order_id string, failure_rate double, loss_streak long, analyzed long"
-    return _in_order(watched(trades, "closed_at", delay), ["mode"], _RollingCircuit(n), ["closed_at", "order_id"], schema, bucket)
+    stream: DataFrame
+    schema: T.StructType
+    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
+
+
+def _through_steps(finals: Finals, out: str, name: str) -> Callable[[DataFrame, int], None]:
+    """Output and carry of an epoch lie in folders of their own, so a batch that is retried writes the same again."""
+    spark, carries = finals.stream.sparkSession, scratch_path(finals.stream.sparkSession, f"{name}-carry")
+    before: list[str] = []
+
+    def batch(rows: DataFrame, epoch: int) -> None:
+        at = f"{carries}/{epoch:08d}"
+        kept = [p for p in before if p < at]
+        made, carry = finals.step(rows, spark.read.parquet(kept[-1]) if kept else None)
+        carry.coalesce(1).write.mode("overwrite").parquet(at)
+        made.write.mode("overwrite").parquet(f"{out}/epoch={epoch:08d}")
+        before.append(at)
+
+    return batch
+
+
+def rolling_circuit_state(trades: DataFrame, n: int = 20, delay: str = "0 seconds", bucket: str = "1 day") -> Finals:
+    """Failure share and trailing losses among the last n closed trades of a mode after each trade.
+
+    Trades wait in buckets of event time until the watermark has passed them, so neither the cut into micro-batches nor the order
+    of arrival changes the result.  A bucket is worked on its own behind the last n - 1 trades before it; only those tails meet per mode.
+    """
+    use_rocksdb(trades.sparkSession)
+    lost = F.coalesce(F.col("realized_r") <= 0, F.lit(False)).alias("lost")
+    t = watched(trades, "closed_at", delay).groupBy("mode", F.window("closed_at", bucket).alias("w")).agg(
+        F.collect_list(F.struct("closed_at", "order_id", lost)).alias("rows"))
+    kinds = {f.name: f.dataType for f in trades.schema.fields}
+    schema = T.StructType([T.StructField(x, kinds[x]) for x in ("mode", "closed_at", "order_id")]).add("failure_rate", "double").add("loss_streak", "long").add("analyzed", "long")
+    return Finals(t.select("mode", F.col("w.start").alias("bucket"), "rows"), schema, lambda batch, carry: _circuit_buckets(batch, carry, n))
+
+
+def _last(x: Column, k: int) -> Column:
+    return F.slice(x, F.greatest(F.size(x) - k + 1, F.lit(1)), k)
+
+
+def _circuit_buckets(batch: DataFrame, carry: DataFrame | None, n: int) -> tuple[DataFrame, DataFrame]:
+    b = written(batch, "buckets")
+    tails = b.select("mode", "bucket", _last(F.array_sort("rows"), n - 1).alias("tail"))
+    if carry is not None:
+        tails = tails.unionByName(carry)
+    w = Window.partitionBy("mode").orderBy(F.col("bucket").asc_nulls_first())
+    # a bucket has at least one trade, so n - 1 buckets before it are enough
+    tails = written(tails.withColumn("head", _last(F.flatten(F.collect_list("tail").over(w.rowsBetween(-max(n - 1, 1), -1))), n - 1)), "tails")
+    carry = tails.groupBy("mode").agg(F.max_by(_last(F.concat("head", "tail"), n - 1), F.coalesce("bucket", F.lit("0001-01-01").cast("timestamp"))).alias("tail")) \
+        .select("mode", F.lit(None).cast("timestamp").alias("bucket"), "tail")
+    heads = tails.where(F.col("bucket").isNotNull()).select("mode", "bucket", F.col("head").alias("rows"), F.lit(False).alias("own"))
+    r = b.select("mode", "bucket", "rows", F.lit(True).alias("own")).unionByName(heads).select("mode", "bucket", "own", F.inline("rows"))
+    o = Window.partitionBy("mode", "bucket").orderBy("closed_at", "order_id", "lost")
+    r = r.withColumn("_i", F.row_number().over(o).cast("long"))
+    streak = F.col("_i") - F.coalesce(F.max(F.when(~F.col("lost"), F.col("_i"))).over(o.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    r = r.withColumns({"analyzed": F.least("_i", F.lit(n)), "_n": F.count(F.when(F.col("lost"), 1)).over(o.rowsBetween(1 - n, 0)), "_s": streak})
+    return r.where("own").select("mode", "closed_at", "order_id", (100.0 * F.col("_n") / F.col("analyzed")).alias("failure_rate"),
+                                 F.least("_s", "analyzed").alias("loss_streak"), "analyzed"), carry
 
 
 class _LastKnown:
