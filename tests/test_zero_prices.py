@@ -25,7 +25,8 @@ def zeros(tmp_path_factory, sf):
     return out
 
 
-@pytest.mark.parametrize("name", ["DQ4_dataset_audit", "DQ5_bar_sanity", "L5_leverage_label", "W59_swing_levels", "E1_forward_returns", "E2_rank_ic", "E4_turnover", "E7_per_feature_ic"])
+@pytest.mark.parametrize("name", ["DQ4_dataset_audit", "DQ5_bar_sanity", "L5_leverage_label", "W59_swing_levels", "E1_forward_returns", "E2_rank_ic", "E4_turnover", "E7_per_feature_ic",
+                                  "E3_top_bottom_spread", "E5_evaluate_factor", "E8_walk_forward_ic", "E10_dynamic_weights", "E11_leaderboard", "E15_direction_audit"])
 def test_zero_prices_as_in_sql(spark, zeros, name):
     import __spark_entry__ as entry
     state, n, _, message = compare(name, spark, duck(zeros), zeros, entry.queries(), entry.oracle_sql())
